@@ -126,3 +126,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.groupBy("doc_id", "tid", "size", "source_size", "target").agg(
         F.sum(F.when(F.col("copy").isNotNull(), F.col("size")).otherwise(0)).alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards")
     ).drop("tid")
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them, dealt over its shards."""
+    plan = mix_sources(docs.select("doc_id", "text", "source"), **settings).where("copy is not null")
+    often = plan.groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"), F.col("source").alias("__source")).agg(F.countDistinct("copy").alias("__times"))
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    joined = keyed.join(often, keyed.doc_id.eqNullSafe(often["__id"]) & (keyed["__key"] == often["__tid"]) & keyed.source.eqNullSafe(often["__source"]))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[keyed[c] for c in docs.columns])

@@ -228,3 +228,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their group: those of its smallest doc_id.
+
+    Rows that repeat the smallest doc_id of their group (or have none) all stay.
+    """
+    spark = docs.sparkSession
+    found = near_duplicates(spark, docs)
+    gone = found.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
