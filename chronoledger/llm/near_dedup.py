@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import partitions, written
@@ -191,23 +191,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     heads = some.join(
         some.groupBy("node").agg(F.min(F.struct("doc_id", "tid")).alias("h")).select("node", "h.doc_id", "h.tid"), ["node", "doc_id", "tid"], "left_semi"
     ).dropDuplicates(["node"])
-    banded = heads.select("node", "doc_id", "tid", "n_shingles", "low", F.explode("keys").alias("key"))
-    least = banded.groupBy("key").agg(F.min_by(F.struct("node", "n_shingles", "low"), F.struct("doc_id", "node")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    crowded = written(
-        banded.join(least, "key").select("key", "node", "doc_id", "tid", "n_shingles", "low", F.col("l.node").alias("a"), F.col("l.n_shingles").alias("n_a"), F.col("l.low").alias("low_a")), "buckets"
-    )
-    once = crowded.where("node <> a").dropDuplicates(["a", "node"])
+    banded = heads.select("node", "doc_id", F.explode("keys").alias("key"))
+    bucket = Window.partitionBy("key")
+    crowded = banded.withColumn("size", F.count("*").over(bucket)).withColumn("a", F.min(F.struct("doc_id", "node")).over(bucket)["node"]).where("size > 1")
+    crowded = written(crowded.select("key", "node", "a"), "buckets")
+    # Signatures of what shares a bucket; bands carry none.
+    near = written(heads.select("node", "doc_id", "tid", "n_shingles", "low").join(crowded.select("node").distinct(), "node", "left_semi"), "near")
+    mine = near.select("node", "n_shingles", "low")
+    pivot = near.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("low").alias("low_a"))
+    once = crowded.where("node <> a").select("a", "node").distinct().join(mine, "node").join(pivot, "a")
     pairs = written(once.mapInArrow(_stars, "a long, b long"), "pairs")
     # Only what shares a bucket is read again for verification.
-    near = crowded.select("node", "doc_id", "tid").distinct()
-    texts = written(base.join(near, ["doc_id", "tid"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = written(base.join(near.select("node", "doc_id", "tid"), ["doc_id", "tid"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     links = written(_confirmed(pairs, texts), "links")
     first = written(components(links), "components")
     # Buckets that hold several components.
-    tagged = crowded.select("key", "node", "n_shingles", "low").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tagged = crowded.select("key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = tagged.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("total"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
-    rest = tagged.join(mixed, "key").withColumn("stray", F.col("component") != F.col("main"))
+    rest = tagged.join(mixed, "key").join(mine, "node").withColumn("stray", F.col("component") != F.col("main"))
     # Members are dealt into blocks; the strays of the bucket come along to every block.
     blocks = F.ceil(F.col("total") / BLOCK)
     kept = ("node", "n_shingles", "low", "component")
