@@ -8,8 +8,8 @@ documents stop after rank 0 or 1.
 Documents with equal sets are one class (node). Within a bucket (equal values in all components of a band) each class
 is first paired with that of the smallest doc_id; pairs whose signatures leave the threshold in
 reach are confirmed on their full shingle sets and joined into components. What remains are buckets that hold several
-components: there, every member outside the bucket's largest component is compared with all members of the others,
-in blocks, by signature, and what is in reach is confirmed likewise. So two linked classes that share a bucket always
+components: there, every member outside the bucket's largest component is compared by signature with all members of the others, in
+blocks: the likeliest partners are confirmed first, then, for what is still apart, all that are in reach. So two linked classes that share a bucket always
 end in one component, while a bucket of near copies costs one comparison a member instead of all pairs.
 """
 
@@ -31,8 +31,8 @@ from .words import U, buffers, hashed, ids, mix, slices, spans, windows, within
 COMPONENTS, BANDS, SHINGLE, NEAR = 128, 32, 5, (75, 100)
 #: Signatures with fewer equal components are out of reach of the threshold: 6 deviations below 0.75 of 128.
 REACH = 66
-#: Members of one block in the comparison within a bucket.
-BLOCK = 2048
+#: Members and bytes of text of one block in the comparison within a bucket.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 
 
 def shingles(data, off) -> tuple[np.ndarray, np.ndarray]:
@@ -160,19 +160,51 @@ def _stars(batches):
         yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["node"]}).filter(pa.array(ok))
 
 
-def _across(key, table):
-    """Pairs in reach between the strays of a bucket and one block of its members, of different components."""
-    stray = np.asarray(table["stray"])
-    sig = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, COMPONENTS)
-    n, doc, comp, lead = (np.asarray(table[c]) for c in ("n_shingles", "node", "component", "copied"))
-    a, b = [], []
-    members = np.flatnonzero(~lead)
-    for i in np.flatnonzero(stray):
-        js = members[(comp[members] != comp[i])]
-        js = js[_in_reach(sig[js], sig[i], n[js], n[i])]
-        a.append(np.minimum(doc[js], doc[i]))
-        b.append(np.maximum(doc[js], doc[i]))
-    return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+def _across(exact: bool):
+    """Pairs between the strays of a bucket and one block of its members, of different components and in reach: each
+    stray's likeliest one or, ``exact``, all that are linked on their full sets. A pair that shares several buckets is
+    looked at in that of its first common band only."""
+
+    def run(key, table):
+        stray, bucket = np.asarray(table["stray"]), key[0].as_py()
+        sig = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+        n, node, comp, copied = (np.asarray(table[c]) for c in ("n_shingles", "node", "component", "copied"))
+        bands = np.asarray(table["keys"].combine_chunks().flatten()).reshape(-1, BANDS)
+        sets, cut = shingles(*buffers(table["text"])) if exact else (None, None)
+        a, b = [], []
+        members = np.flatnonzero(~copied)
+        for i in np.flatnonzero(stray & copied):
+            js = members[(comp[members] != comp[i]) & (~stray[members] | (node[members] > node[i]))]
+            js = js[bands[js, (bands[js] == bands[i]).argmax(1)] == bucket]
+            js = js[_in_reach(sig[js], sig[i], n[js], n[i])]
+            if exact:
+                mine, linked = sets[cut[i] : cut[i + 1]], []
+                for j in js:
+                    both = len(np.intersect1d(mine, sets[cut[j] : cut[j + 1]], assume_unique=True))
+                    linked.append(NEAR[1] * both >= NEAR[0] * (n[i] + n[j] - both))
+                js = js[np.array(linked, bool)]
+            elif len(js):
+                js = js[[np.argmax((sig[js] == sig[i]).sum(1))]]
+            a.append(np.minimum(node[js], node[i]))
+            b.append(np.maximum(node[js], node[i]))
+        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+
+    return run
+
+
+def _mixed(crowded: DataFrame, mine: DataFrame, found: DataFrame, exact: bool) -> DataFrame:
+    """What ``_across`` finds in the buckets that hold several components."""
+    tagged = crowded.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = tagged.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
+    rest = written(tagged.join(mixed, "key").withColumn("stray", F.col("component") != F.col("main")), "mixed")
+    # Members are dealt into blocks of so many rows and bytes; the strays of the bucket come along to every block.
+    weighed = rest.select("key", "node").join(mine.select("node", "n_bytes"), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_bytes") / BLOCK_BYTES)).alias("blocks"))
+    kept = ["node", "n_shingles", "low", "keys", "component", *(["text"] if exact else [])]
+    full = rest.join(weighed, "key").join(mine, "node")
+    here = full.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), *kept, "stray", F.lit(False).alias("copied"))
+    along = full.where("stray").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *kept, "stray", F.lit(True).alias("copied"))
+    return here.unionByName(along).groupBy("key", "block").applyInArrow(_across(exact), "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -196,30 +228,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     crowded = banded.withColumn("size", F.count("*").over(bucket)).withColumn("a", F.min(F.struct("doc_id", "node")).over(bucket)["node"]).where("size > 1")
     crowded = written(crowded.select("key", "node", "a"), "buckets")
     # Signatures of what shares a bucket; bands carry none.
-    near = written(heads.select("node", "doc_id", "tid", "n_shingles", "low").join(crowded.select("node").distinct(), "node", "left_semi"), "near")
-    mine = near.select("node", "n_shingles", "low")
+    near = written(heads.select("node", "doc_id", "tid", "n_shingles", "low", "keys").join(crowded.select("node").distinct(), "node", "left_semi"), "near")
+    mine = near.select("node", "n_shingles", "low", "keys")
     pivot = near.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("low").alias("low_a"))
-    once = crowded.where("node <> a").select("a", "node").distinct().join(mine, "node").join(pivot, "a")
+    once = crowded.where("node <> a").select("a", "node").distinct().join(mine.drop("keys"), "node").join(pivot, "a")
     pairs = written(once.mapInArrow(_stars, "a long, b long"), "pairs")
     # Only what shares a bucket is read again for verification.
-    texts = written(base.join(near.select("node", "doc_id", "tid"), ["doc_id", "tid"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = written(base.join(near.select("node", "doc_id", "tid").hint("merge"), ["doc_id", "tid"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     links = written(_confirmed(pairs, texts), "links")
-    first = written(components(links), "components")
-    # Buckets that hold several components.
-    tagged = crowded.select("key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = tagged.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("total"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
-    rest = tagged.join(mixed, "key").join(mine, "node").withColumn("stray", F.col("component") != F.col("main"))
-    # Members are dealt into blocks; the strays of the bucket come along to every block.
-    blocks = F.ceil(F.col("total") / BLOCK)
-    kept = ("node", "n_shingles", "low", "component")
-    here = rest.select("key", F.pmod(F.xxhash64("node"), blocks).alias("block"), *kept, F.lit(False).alias("stray"), F.lit(False).alias("copied"))
-    along = rest.where("stray").select("key", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))).alias("block"), *kept, F.lit(True).alias("stray"), F.lit(True).alias("copied"))
-    more = written(here.unionByName(along).groupBy("key", "block").applyInArrow(_across, "a long, b long").distinct(), "pairs")
+    final = written(components(links), "components")
+    # Buckets that hold several components: first each stray with its likeliest partner, then with all in reach.
+    mine = mine.join(texts.withColumn("n_bytes", F.octet_length("text")), "node")
+    more = written(_mixed(crowded, mine, final, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if more.take(1):
+        links = links.unionByName(written(_confirmed(more, texts), "links"))
+        final = written(components(links), "components")
+    more = written(_mixed(crowded, mine, final, True), "links")
     if more.take(1):
-        final = components(links.unionByName(written(_confirmed(more, texts), "links")))
-    else:
-        final = first
+        final = written(components(links.unionByName(more)), "components")
     ranked = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(final, "node", "left")
     ranked = ranked.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
     smallest = ranked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
