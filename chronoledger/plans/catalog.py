@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from . import history_queries
+from .sqltext import duckdb_text, spark_query
+from .statements import FOUND
+
 FLAGSHIP = "jn12_asof_history"
 
 
 def queries() -> dict:
-    return {}
+    return {name: spark_query(s) for name, s in FOUND.items()} | history_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: duckdb_text(s) for name, s in FOUND.items()} | history_queries.SQL
