@@ -30,7 +30,7 @@ UNIGRAM, BPE = 1, 2
 #: The text that stands for an unknown piece when decoding.
 UNKNOWN_TEXT = " ⁇ "
 #: Distinct chunks that a worker remembers before it starts afresh.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 
 
 def _fields(data: bytes):
@@ -280,7 +280,7 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
 
     def run(batches):
         codec = _codec(data)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=4 << 20):
             ids = codec.encode(batch["text"])
             raw, off = buffers(batch["text"])
             back, cut = codec.decode(ids)
