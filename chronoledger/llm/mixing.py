@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Blocks a source is dealt into, at most, and documents of a block, at least on average.
 BLOCKS, DOCS_PER_BLOCK = 1024, 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,6 +80,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tid")
     ).withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "tid"))
+    base = written(base, "sizes")  # texts are read once
     # One row per source.
     found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
