@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history_queries
+from . import history_queries, job_queries, statements_history, statements_logs  # noqa: F401 (the latter two register statements)
 from .sqltext import duckdb_text, spark_query
 from .statements import FOUND
 
@@ -10,7 +10,7 @@ FLAGSHIP = "jn12_asof_history"
 
 
 def queries() -> dict:
-    return {name: spark_query(s) for name, s in FOUND.items()} | history_queries.QUERIES
+    return {name: spark_query(s) for name, s in FOUND.items()} | history_queries.QUERIES | job_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
