@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import U, buffers, hashed, slices
+from .words import U, buffers, hashed, release, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -280,13 +280,15 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
 
     def run(batches):
         codec = _codec(data)
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=1 << 20):
             ids = codec.encode(batch["text"])
             raw, off = buffers(batch["text"])
             back, cut = codec.decode(ids)
             same = [np.array_equal(raw[a:b], back[c:d]) for a, b, c, d in zip(off, off[1:], cut, cut[1:])]
             size = np.diff(np.asarray(ids.offsets)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.int64()), "n_tokens": pa.array(size), "ids": ids, "round_trip": pa.array(same, pa.bool_())})
+        codec._forget()
+        release()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")

@@ -6,6 +6,7 @@ since in UTF-8 these bytes stand for nothing else. Hashes are 64-bit polynomials
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ _SEEDED = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype
 _FOLDED = _SEEDED.copy()
 _FOLDED[65:91] = _SEEDED[97:123]
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -55,8 +57,18 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most ``limit`` bytes of text, or one longer row."""
+def release() -> None:
+    """Gives memory that is free in this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``limit`` bytes of text, or one longer row.
+
+    After each batch the worker hands freed memory back: it outlives its task and serves other stages.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -66,6 +78,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
             yield batch.slice(lo, min(hi, batch.num_rows) - lo)
             lo = hi
+        batch = None
+        release()
 
 
 def ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
