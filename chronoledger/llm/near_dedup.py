@@ -33,6 +33,8 @@ COMPONENTS, BANDS, SHINGLE, NEAR = 128, 32, 5, (75, 100)
 REACH = 66
 #: Members and bytes of text of one block in the comparison within a bucket.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Parts that the rows of a component are dealt over when its smallest doc_id is brought to them.
+SALTS = 16
 
 
 def shingles(data, off) -> tuple[np.ndarray, np.ndarray]:
@@ -248,8 +250,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         final = written(components(links.unionByName(more)), "components")
     ranked = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(final, "node", "left")
     ranked = ranked.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
-    smallest = ranked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    out = ranked.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+    # A component may hold a third of all rows: they are dealt over salts, and its one row of the other side goes to each.
+    smallest = ranked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("rows")).where("rows > 1")
+    smallest = smallest.select("component", "smallest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = ranked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = salted.join(smallest, ["component", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
