@@ -71,3 +71,22 @@ _add("dq05_version_difference", "select workflow, process from (select workflow,
 _add("dq09_split_fraction_error", lambda e: f", r as (select workflow, {e.hex_to_int('substr(' + e.sha('cast(task_id as string)') + ', 1, 2)')} < 179 as train from tasks) select workflow, round(abs(count_if(train) / cast(count(*) as double) - 0.7), 9) as error from r group by workflow")
 _add("dq10_check_report", """, c as (select count(*) as n, count(distinct task_id) as ids, count_if(peak_bytes <= 0) as bad, count_if(completion_us < decision_us) as early from tasks)
  select 'unique_ids' as name, cast(n - ids as bigint) as found, case when n = ids then 'PASS' else 'FAIL' end as status from c union all select 'positive_peaks', bad, case when bad = 0 then 'PASS' else 'FAIL' end from c union all select 'time_order', early, case when early = 0 then 'PASS' else 'FAIL' end from c""")
+
+# Running sums over long orders: totals of each hour are carried on, and rows are ordered inside their hour only, so no
+# task gets more than an hour of one key.
+_HOUR = "cast(floor({} / 3600000000.0) as bigint)"
+_add("wn03_total_order", f""", b as (select task_id, workflow, process, decision_us, {_HOUR.format('decision_us')} as slot from tasks),
+ n as (select slot, cast(sum(count(*)) over (order by slot) - count(*) as bigint) as earlier from b group by slot)
+ select task_id, cast(earlier + row_number() over (partition by b.slot order by decision_us, workflow, process, task_id) as bigint) as position from b join n on b.slot = n.slot""")
+_add("jn05_prefix_errors", lambda e: f""", t as (select task_id, workflow, substr({e.sha('cast(task_id as string)')}, 1, 4) as prefix from tasks), c as (select prefix, count(*) as matches from t group by prefix)
+ select t.task_id, t.prefix, matches, 'ambiguous' as problem from t join c on t.prefix = c.prefix where matches > 1""")
+_add("hs08_six_scopes", f""", v as (select task_id, 'instance' as scope, workflow || '|' || process || '|' || task_instance as key, decision_us, completion_us, peak_bytes from tasks
+ union all select task_id, 'input', input_identity, decision_us, completion_us, peak_bytes from tasks union all select task_id, 'process', workflow || '|' || process, decision_us, completion_us, peak_bytes from tasks
+ union all select task_id, 'workflow', workflow, decision_us, completion_us, peak_bytes from tasks union all select task_id, 'all', 'all', decision_us, completion_us, peak_bytes from tasks
+ union all select task_id, 'class', case when input_bytes >= 536870912 then 'large' else 'small' end, decision_us, completion_us, peak_bytes from tasks
+ union all select task_id, 'class', case when consumed_bytes is null then 'unseen' else 'seen' end, decision_us, completion_us, peak_bytes from tasks),
+ x as (select scope, key, task_id, decision_us as at_us, 0 as outcome, cast(0 as bigint) as bytes from v union all select scope, key, task_id, completion_us, 1, peak_bytes from v),
+ b as (select *, {_HOUR.format('at_us')} as slot from x),
+ h as (select scope, key, slot, sum(sum(outcome)) over (partition by scope, key order by slot) - sum(outcome) as n0, sum(sum(bytes)) over (partition by scope, key order by slot) - sum(bytes) as b0 from b group by scope, key, slot),
+ r as (select *, sum(outcome) over (partition by scope, key, slot order by at_us, outcome, task_id rows between unbounded preceding and current row) as n1, sum(bytes) over (partition by scope, key, slot order by at_us, outcome, task_id rows between unbounded preceding and current row) as b1 from b)
+ select task_id, r.scope, cast(sum(n0 + n1) as bigint) as support, cast(sum(b0 + b1) as bigint) as bytes from r join h on r.scope = h.scope and r.key = h.key and r.slot = h.slot where outcome = 0 group by task_id, r.scope""")
