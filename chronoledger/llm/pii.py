@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Characters of an IBAN after its check digits, by country: in printed groups only the length tells where it ends.
+_IBAN = {
+    11: "NO", 12: "BE", 14: "DK|FI|FK|FO|GL|NL|SD", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|MN|XK", 17: "CH|HR|LI|LV",
+    18: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 19: "AE|GI|IL|IQ|OM|SO|TL", 20: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 21: "LY|PT|ST",
+    22: "DZ|IS|TR", 23: "BI|DJ|FR|GR|IT|MC|MR|SM", 24: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 25: "BR|EG|PS|QA|UA",
+    26: "JO|KW|MU|YE", 27: "MT|SC", 28: "LC", 29: "RU",
+}
+_GROUPED = "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]){{{n}}}" for n, c in _IBAN.items())
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}",
     "secret": r"(?<=(?:token|TOKEN|Token|secret|SECRET|Secret|password|PASSWORD|Password|api_key|API_KEY|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/-]{16,}",
@@ -20,9 +28,13 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d)",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{_GROUPED})(?![A-Za-z0-9])",
 }
+# A card's candidate is the whole run of digit groups, up to where another kind of value begins.
+_OTHER = "|".join(PATTERNS[kind] for kind in ("date", "phone", "ssn"))
+PATTERNS["card"] = rf"(?<!\d)\d(?:(?:[ -](?!{_OTHER}))?\d){{12,}}+"
+#: Numbers of digits of a card, likeliest first.
+CARD_DIGITS = (16, 15, 19, 14, 13, 18, 17)
 #: Dates of these days (from 1900-01-01 on, 256 x 256 of them) are permuted among themselves.
 FIRST_DAY, DAYS = "1900-01-01", 65536
 
@@ -102,14 +114,66 @@ def _card(v: Column, key: str) -> Column:
     d = _symbols(v)
     body = F.concat(F.substring(d, F.lit(1), F.lit(1)), feistel(F.substring(d, F.lit(2), F.length(d) - 2), key))
     checked = lambda b: F.concat(b, F.pmod(F.lit(10) - _luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string"))
-    return F.when(_luhn_sum(d) % 10 == 0, _fill(v, _let(body, checked))).otherwise(v)
+    return _fill(v, _let(body, checked))
+
+
+def _result(text: Column, n: Column) -> Column:
+    return F.struct(text.alias("text"), n.cast("int").alias("n"))
+
+
+def _cards(v: Column, key: str) -> Column:
+    """A run of digit groups with the cards in it replaced, and their number.
+
+    Every 13 to 19 digits from the begin of a group to the end of one that pass Luhn are taken for a card: the first
+    of them and, of those that begin alike, the one of the likeliest length. Groups that only others cover which
+    overlap with it are replaced too, so that no digit of a valid number stays.
+    """
+    groups = F.regexp_extract_all(v, F.lit(r"[ -]?\d+"), F.lit(0))
+    part = lambda g, i, j: F.array_join(F.slice(g, i, j - i + 1), "")
+    rank = lambda d: F.array_position(F.lit(list(CARD_DIGITS)), F.length(d))
+    # By group: the cards that begin there, as (rank of the length, last group).
+    ranked = lambda d: F.when(rank(d) > 0, F.when(_luhn_sum(d) % 10 == 0, rank(d)))
+    ends = lambda g, i: F.transform(F.sequence(i, F.least(i + 18, F.size(g))), lambda j: F.struct(_let(_symbols(part(g, i, j)), ranked).alias("rank"), j.alias("end")))
+    valid = lambda g: F.transform(g, lambda _, i: F.filter(ends(g, i + 1), lambda e: e["rank"].isNotNull()))
+
+    def scanned(g: Column, cards: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            here, one = F.get(cards, i - 1), F.get(g, i - 1)
+            best, free = F.array_min(here)["end"], i > s["until"]
+            cover = F.greatest(s["cover"], F.array_max(F.transform(here, lambda e: e["end"])))
+            made = (
+                F.when(~free, F.lit(""))
+                .when(best.isNotNull(), _card(part(g, i, best), key))
+                .when(i <= s["cover"], _fill(one, feistel(_symbols(one), key)))
+                .otherwise(one)
+            )
+            new = free & best.isNotNull()
+            return F.struct(
+                F.concat(s["text"], made).alias("text"), (s["n"] + F.when(new, 1).otherwise(0)).alias("n"),
+                F.when(new, best).otherwise(s["until"]).alias("until"), cover.alias("cover"),
+            )
+
+        zero = F.lit(0).cast("int")
+        start = F.struct(F.lit("").alias("text"), zero.alias("n"), zero.alias("until"), zero.alias("cover"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step, lambda s: _result(s["text"], s["n"]))
+
+    return _let(groups, lambda g: _let(valid(g), lambda cards: scanned(g, cards)))
 
 
 def _iban(v: Column, key: str) -> Column:
+    """A valid IBAN replaced; of an invalid one the cards among its digits."""
+    plain = _symbols(v)
+    runs = F.regexp_extract_all(v, F.lit(r"\d(?:[ -]?\d)*+|\D+"), F.lit(0))
+    each = F.transform(runs, lambda r: F.when(F.length(_symbols(r)) >= 13, F.when(r.rlike(r"^\d"), _cards(r, key + "card"))).otherwise(_result(r, F.lit(0))))
+    each = F.zip_with(runs, each, lambda r, x: F.coalesce(x, _result(r, F.lit(0))))
+    other = F.aggregate(each, _result(F.lit(""), F.lit(0)), lambda a, x: _result(F.concat(a["text"], x["text"]), a["n"] + x["n"]))
+    return F.when(_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1, _result(_fill(v, _account(plain, key + "iban")), F.lit(1))).otherwise(other)
+
+
+def _account(v: Column, key: str) -> Column:
     country, account = F.substring(v, 1, 2), F.substring(v, F.lit(5), F.length(v))
     check = lambda new: F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    made = _let(feistel(account, key), lambda new: F.concat(country, check(new), new))
-    return F.when(_mod97(F.concat(account, F.substring(v, 1, 4))) == 1, made).otherwise(v)
+    return _let(feistel(account, key), lambda new: F.concat(country, check(new), new))
 
 
 def _email(v: Column, key: str) -> Column:
@@ -147,18 +211,19 @@ def _date(v: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one candidate; the candidate itself where it is not valid."""
+    """The pseudonym of one candidate (the candidate itself where it is not valid) and the number of values replaced."""
     is_ = lambda kind: value.rlike(f"^(?:{PATTERNS[kind]})$")
+    counted = lambda new: _let(new, lambda x: _result(x, F.when(x != value, 1).otherwise(0)))
     generic = _fill(value, feistel(_symbols(value), key + "secret"))
     return (
-        F.when(value.contains("@"), _email(value, key + "email"))
-        .when(is_("ip"), _ip(value, key + "ip"))
-        .when(is_("date"), _date(value, key + "date"))
-        .when(is_("phone"), _phone(value, key + "phone"))
-        .when(is_("ssn"), _fill(value, feistel(_symbols(value), key + "ssn")))
-        .when(is_("card"), _card(value, key + "card"))
-        .when(is_("iban"), _iban(value, key + "iban"))
-        .otherwise(generic)
+        F.when(value.contains("@"), counted(_email(value, key + "email")))
+        .when(is_("ip"), counted(_ip(value, key + "ip")))
+        .when(is_("date"), counted(_date(value, key + "date")))
+        .when(is_("phone"), counted(_phone(value, key + "phone")))
+        .when(is_("ssn"), counted(_fill(value, feistel(_symbols(value), key + "ssn"))))
+        .when(is_("card"), _cards(value, key + "card"))
+        .when(is_("iban"), _iban(value, key))
+        .otherwise(counted(generic))
     )
 
 
@@ -166,8 +231,9 @@ def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFr
     """``docs`` with the values in ``text`` replaced by pseudonyms under ``key``; all other columns as they are.
 
     Replaced are e-mail addresses, IPv4 addresses, phone numbers, social security numbers, card numbers that pass
-    Luhn (their check digit is set anew, their first digit kept), IBANs that pass mod 97, calendar dates from
-    1900-01-01 to 2079-06-05 and secrets given as token, secret, password or api key. Candidates that fail their check
+    Luhn (their check digit is set anew, their first digit kept; anywhere in a run of digit groups), IBANs that pass
+    mod 97 (in one piece or, of the countries in ``_IBAN``, with single spaces), calendar dates from 1900-01-01 to
+    2079-06-05 and secrets given as token, secret, password or api key. Candidates that fail their check
     stay. Null and empty texts stay; repeated rows get equal results; an empty table stays empty. ``count`` names a
     new column with the number of values replaced.
     """
@@ -178,12 +244,12 @@ def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFr
     out = docs.withColumn(found, F.when(some, F.regexp_extract_all("text", F.lit(every), F.lit(0))))
     out = out.withColumn(made, F.when(F.size(found) > 0, F.transform(found, lambda v: pseudonym(v, key))))
     gaps = F.split("text", every, -1)
-    text = F.array_join(F.zip_with(gaps, F.concat(F.col(made), F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
+    text = F.array_join(F.zip_with(gaps, F.concat(F.col(made)["text"], F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
     out = out.withColumn("text", F.when(F.col(made).isNotNull(), text).otherwise(F.col("text")))
     extra = []
     if count:
-        changed = F.filter(F.zip_with(found, made, lambda a, b: a != b), lambda x: x)
-        extra = [F.when(F.col(made).isNotNull(), F.size(changed)).otherwise(0).cast("long").alias(count)]
+        changed = F.aggregate(F.col(made)["n"], F.lit(0), lambda a, n: a + n)
+        extra = [F.when(F.col(made).isNotNull(), changed).otherwise(0).cast("long").alias(count)]
     return out.select(*[F.col(f"`{c}`") for c in order], *extra)
 
 

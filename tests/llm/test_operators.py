@@ -205,6 +205,25 @@ def test_op8_pseudonyms(spark, docs, none):
     assert pii.pseudonymised(docs, "k").columns == docs.columns and pii.pseudonymised(none, "k").count() == 0
 
 
+def test_op8_values_among_other_numbers(spark):
+    card, bank = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    texts = {
+        1: (f"{card} 12/27", 1), 2: (f"{card} 123 cvv", 1), 3: ("7 4111111111111111", 1), 4: ("card-4111111111111111", 1), 5: (bank, 1),
+        6: (f"pay {bank} BIC COBADEFF {card}", 2), 7: (f"{card} 5500 0000 0000 0004", 2), 8: (f"AT12 {card}", 1), 9: ("1234 555-123-4567", 1),
+        10: (f"{card} 2024-05-01", 2), 11: ("4111 1111 1111 1112 12", 0), 12: ("12345678901234567890123", 0), 13: ("1 " * 400, None), 14: ("7" * 20000, 0),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymised(df, "k", "n").collect()}
+    for i, (text, n) in texts.items():
+        assert (n is None or out[i].n == n) and len(out[i].text) == len(text) and (n != 0 or out[i].text == text)
+        for gone in (card, "4111111111111111", "5500 0000", bank, "3704 0044", "555-123-4567", "2024-05-01"):
+            assert gone not in out[i].text
+    new = {re.search(r"\d{4} ?\d{4} ?\d{4} ?\d{4}", out[i].text.removeprefix("7 "))[0].replace(" ", "") for i in (1, 2, 3, 4, 7)}
+    assert len(new) == 1 and out[1].text.endswith(" 12/27") and out[2].text.endswith(" 123 cvv") and out[3].text.startswith("7 ")
+    moved = out[5].text.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97 == 1 and out[5].text in out[6].text and "BIC COBADEFF" in out[6].text
+
+
 def test_op9_read_back(spark, docs, none):
     got = audio.audio_features(audio.text_media(docs)).collect()
     want = Counter()
