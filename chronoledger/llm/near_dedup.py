@@ -31,7 +31,7 @@ from .words import U, buffers, hashed, ids, mix, slices, spans, windows, within
 COMPONENTS, BANDS, SHINGLE, NEAR = 128, 32, 5, (75, 100)
 #: Signatures with fewer equal components are out of reach of the threshold: 6 deviations below 0.75 of 128.
 REACH = 66
-#: Members and bytes of text of one block in the comparison within a bucket.
+#: Rows and bytes of text of one block, of members or of strays, in the comparison within a bucket.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Parts that the rows of a component are dealt over when its smallest doc_id is brought to them.
 SALTS = 16
@@ -163,7 +163,7 @@ def _stars(batches):
 
 
 def _across(exact: bool):
-    """Pairs between the strays of a bucket and one block of its members, of different components and in reach: each
+    """Pairs between one block of the strays of a bucket and one of its members, of different components and in reach: each
     stray's likeliest one or, ``exact``, all that are linked on their full sets. A pair that shares several buckets is
     looked at in that of its first common band only."""
 
@@ -200,13 +200,18 @@ def _mixed(crowded: DataFrame, mine: DataFrame, found: DataFrame, exact: bool) -
     sizes = tagged.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
     rest = written(tagged.join(mixed, "key").withColumn("stray", F.col("component") != F.col("main")), "mixed")
-    # Members are dealt into blocks of so many rows and bytes; the strays of the bucket come along to every block.
-    weighed = rest.select("key", "node").join(mine.select("node", "n_bytes"), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_bytes") / BLOCK_BYTES)).alias("blocks"))
+    # Members and strays are dealt into blocks of so many rows and bytes; each block of strays meets each of members.
+    sized = rest.select("key", "node", "stray").join(mine.select("node", "n_bytes"), "node")
+    deal = lambda rows, size: F.greatest(F.lit(1).cast("long"), F.ceil(F.greatest(rows / BLOCK, size / BLOCK_BYTES)))
+    strays = deal(F.count_if("stray"), F.sum(F.when(F.col("stray"), F.col("n_bytes")).otherwise(0)))
+    weighed = sized.groupBy("key").agg(deal(F.count("*"), F.sum("n_bytes")).alias("blocks"), strays.alias("stray_blocks"))
     kept = ["node", "n_shingles", "low", "keys", "component", *(["text"] if exact else [])]
     full = rest.join(weighed, "key").join(mine, "node")
-    here = full.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), *kept, "stray", F.lit(False).alias("copied"))
-    along = full.where("stray").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *kept, "stray", F.lit(True).alias("copied"))
-    return here.unionByName(along).groupBy("key", "block").applyInArrow(_across(exact), "a long, b long").distinct()
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    here = full.select("key", own("blocks").alias("block"), each("stray_blocks").alias("strays"), *kept, "stray", F.lit(False).alias("copied"))
+    along = full.where("stray").select("key", each("blocks").alias("block"), own("stray_blocks").alias("strays"), *kept, "stray", F.lit(True).alias("copied"))
+    return here.unionByName(along).groupBy("key", "block", "strays").applyInArrow(_across(exact), "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,22 @@ def test_op5_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 0.6) < 0.2
 
 
+def test_op5_strays_of_a_bucket_are_dealt_too(spark, monkeypatch):
+    n, size = 200, 20
+    crowded = spark.range(n).selectExpr("7L as key", "id as node", "0L as a")
+    mine = spark.range(n).selectExpr("id as node", "5L as n_shingles", "cast('x' as binary) as low", "array(7L) as keys", "'text' as text", "4 as n_bytes")
+    found = spark.range(2).selectExpr("id as node", "0L as component")
+    sides = lambda t: (np.asarray(t["node"])[np.asarray(t["copied"])], np.asarray(t["node"])[~np.asarray(t["copied"])])
+    rows = lambda exact: lambda key, t: pa.table({"a": [len(sides(t)[0])], "b": [len(sides(t)[1])]})
+    pairs = lambda exact: lambda key, t: pa.table(dict(zip("ab", (x.ravel() for x in np.meshgrid(*sides(t))))))
+    monkeypatch.setattr(near_dedup, "BLOCK", size)
+    monkeypatch.setattr(near_dedup, "_across", rows)
+    for r in near_dedup._mixed(crowded, mine, found, True).collect():
+        assert r.a <= 3 * size and r.b <= 3 * size
+    monkeypatch.setattr(near_dedup, "_across", pairs)
+    assert near_dedup._mixed(crowded, mine, found, True).count() == (n - 2) * n
+
+
 def test_op6_held_out(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
