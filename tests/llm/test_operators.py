@@ -130,6 +130,17 @@ def test_op4_parity_and_round_trip(spark, docs, none):
     assert sentencepieces.encoded(none).count() == 0
 
 
+def test_op4_parity_on_random_texts(spark):
+    import sentencepiece
+
+    rng = np.random.default_rng(4)
+    symbols = list("aeinorst,.019-AZ") + [" ", "  ", "\n", "\t", "é", "ß", "中", "文", "\u3000", "\u00a0", "\u0301", "ﬁ", "①", "🙂", "\u200d", "\u2581", "the", "ing"]
+    rows = [(i, "".join(rng.choice(symbols, rng.integers(0, 60)))) for i in range(400)]
+    theirs = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    tokens = sentencepieces.encoded(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: list(r.ids) for r in tokens} == {i: theirs.encode(x) for i, x in rows}
+
+
 def test_op5_brute_force(spark, docs, none):
     rows = fixture_rows()
     sets = []
