@@ -1,17 +1,17 @@
-"""LM scoring with an n-gram trie of Elias-Fano levels.
+"""LM scoring with an n-gram trie of Elias-Fano levels, in shards.
 
-Counting: each slice of texts reduces its n-grams to distinct keys and counts, dealt over shards of the key space,
-where they are added up. Kept in the trie are words, bigrams and trigrams whose share of all N training tokens is at
-least 1 / LEVEL_SHARE (and of n-grams two occurrences); since counts of a level sum to N at most, no level has more
-than LEVEL_SHARE entries at any corpus size, which bounds what is broadcast. Counts of all other words are exact too:
-in the scoring pass they go, with their documents, to shards that count and score them.
+Model: interpolated absolute discounting, P(w|h) = (c(hw) - D) / c(h) + left(h) P(w|h'), over add-0.5 unigrams. Kept are
+all words, and all bigrams and trigrams that occur twice or more in training, at every corpus size.
 
-Model: interpolated absolute discounting, P(w|h) = (c(hw) - D) / c(h) + left(h) P(w|h'), over add-0.5 unigrams.
+Documents are dealt into chunks, written once and bucketed. Level by level each chunk asks the shards of the key space
+for its distinct words, then for its bigrams of repeated words, then for its trigrams of kept bigrams; an ask carries
+its training counts too, so a shard first adds up what it is asked, builds its part of the level from that, and then
+answers from it. A context belongs to one shard, and a frequent one to several buckets by child, whose left-over masses
+add up; so no shard grows with a frequent word. Nothing but sums reaches the driver and nothing is broadcast.
 
-Trie: a level stores the last words of its entries, made monotone by adding the last value of the preceding context,
-and the pointers from contexts to their children, both in Elias-Fano form; probabilities and left-over masses are
-quantised to one byte. Levels lie in one file that each worker maps into memory; children are found by successor search
-relative to their context.
+A shard's part of a level: its contexts, the pointers from contexts to children and the children (made monotone by adding
+the last child of the context before) in Elias-Fano form, and discounted probabilities of one byte. It is memory-mapped
+and searched in place: a child is found by successor search relative to its context.
 """
 
 from __future__ import annotations
@@ -20,34 +20,40 @@ import json
 import math
 import mmap
 import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import partitions, written
+from ..storage import Scratch, partitions, written
 from .quality import remainder
-from .words import U, buffers, hashed, mix, pack, pack_plain, slices, spans, unpack, unpack_plain
+from .words import U, buffers, hashed, mix, pack, pack_plain, spans, unpack, unpack_plain
 
-LEVEL_SHARE, DISCOUNT = 1 << 20, (1.0, 0.75)
-#: The hash that stands for the end of a text.
-END = U(0x0E0D0E0D0E0D0E0D)
-_SLICE = 6 << 20
+#: Discounts of bigrams and trigrams, and occurrences from which an n-gram is kept.
+DISCOUNT, LEAST = (1.0, 0.75), 2
+#: Training tokens of a shard and of a bucket of a context.
+SHARD_TOKENS, BUCKET = 1 << 21, 1 << 21
+#: The hash that stands for the end of a text; ids of no kept word and of the begin of a text; bits of a child's id and of a bucket.
+END, NONE, BEGIN, CHILD_BITS, BUCKET_BITS = U(0x0E0D0E0D0E0D0E0D), 0, 1, 38, 22
+#: A probability's byte is its place on a logarithmic scale of this step; 0: not kept.
+STEP = 0.04
+BOOK = np.append(0.0, 10 ** (-STEP * np.arange(255)))
+
+_POPULATION = np.array([bin(i).count("1") for i in range(256)], np.int64)
+_PLACES = np.zeros((256, 8), np.int64)
+for _i in range(256):
+    _on = [j for j in range(8) if _i >> j & 1]
+    _PLACES[_i, : len(_on)] = _on
 
 
 class EliasFano:
-    """A monotone sequence below ``universe``: low bits packed, high bits in unary; successor search within a range."""
+    """A monotone sequence: low bits packed, high bits in unary with the ones before each word, all read in place."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.unpackbits(high, bitorder="little")
-        zeros = np.flatnonzero(ones[: n + _buckets(ones, n)] == 0)
-        # Directory: entries before each bucket of equal high bits.
-        self._start = np.append(0, zeros - np.arange(len(zeros))).astype(np.int64)
-        self._words = np.ndarray((max(0, len(low) - 7),), "<u8", low, strides=(1,)) if len(low) >= 8 else np.zeros(0, np.uint64)
+    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.bits = int(head[0]), int(head[1])
+        self._low, self._high, self._ones = np.ndarray((max(0, len(low) - 7),), "<u8", low, strides=(1,)), high, ones
+        self._zeros = 64 * np.arange(len(ones)) - ones
 
     @staticmethod
     def build(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -55,41 +61,61 @@ class EliasFano:
         n, universe = len(v), int(v[-1]) + 1 if len(v) else 1
         bits = max(0, int(math.floor(math.log2(universe / n)))) if n and universe > n else 0
         high = (v >> U(bits)).astype(np.int64)
-        unary = np.zeros(n + (int(high[-1]) + 1 if n else 1), np.uint8)
+        unary = np.zeros(-(-(n + (int(high[-1]) if n else 0) + 1) // 64) * 64, np.uint8)
         unary[high + np.arange(n)] = 1
+        words = np.packbits(unary, bitorder="little").view(np.uint64)
+        ones = np.cumsum(_POPULATION[words.view(np.uint8)].reshape(-1, 8).sum(1))
         low = np.zeros(0, np.uint8)
         if bits and n:
             each = ((v[:, None] >> np.arange(bits, dtype=np.uint64)) & U(1)).astype(np.uint8)
             low = np.packbits(each.ravel(), bitorder="little")
-        return {"n": np.array([n, bits], np.int64), "low": np.append(low, np.zeros(8, np.uint8)), "high": np.packbits(unary, bitorder="little")}
+        return {"head": np.array([n, bits], np.int64), "low": np.append(low, np.zeros(8, np.uint8)), "high": words, "ones": ones - np.diff(ones, prepend=0)}
+
+    def _select(self, before: np.ndarray, i: np.ndarray, flip: int) -> np.ndarray:
+        """Where the i-th one (or, flipped, zero) is, given those before each word."""
+        at = np.searchsorted(before, i, "right") - 1
+        left = i - before[at]
+        parts = (self._high[at] ^ U(flip)).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(_POPULATION[parts], 1)
+        byte = (upto <= left[:, None]).sum(1)
+        row = np.arange(len(i))
+        left = left - np.where(byte > 0, upto[row, np.maximum(byte - 1, 0)], 0)
+        return at * 64 + byte * 8 + _PLACES[parts[row, byte], left]
+
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """Entries whose high bits are less."""
+        out = np.full(len(high), self.n, np.int64)
+        out[high <= 0] = 0
+        last = int(self._select(self._ones, np.array([self.n - 1]), 0)[0]) - self.n + 1 if self.n else -1
+        on = np.flatnonzero((high > 0) & (high <= last))
+        out[on] = self._select(self._zeros, high[on] - 1, -1 % 2**64) - (high[on] - 1)
+        return out
 
     def lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
+        if not self.bits:
             return np.zeros(len(i), np.uint64)
-        at = i * self.low_bits
-        return (self._words[at >> 3] >> (at & 7).astype(np.uint64)) & U((1 << self.low_bits) - 1)
+        at = i * self.bits
+        return (self._low[at >> 3] >> (at & 7).astype(np.uint64)) & U((1 << self.bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        high = np.searchsorted(self._start, i, "right") - 1
-        return (high.astype(np.uint64) << U(self.low_bits)) | self.lows(i)
+        high = self._select(self._ones, i, 0) - i
+        return (high.astype(np.uint64) << U(self.bits)) | self.lows(i)
 
-    def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Where each x is within [lo, hi); -1 if it is not there."""
+    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Where each x is (within [lo, hi)); -1 if it is not there."""
         x = x.astype(np.uint64)
-        high = (x >> U(self.low_bits)).astype(np.int64)
-        hi = np.where(high < len(self._start), hi, lo)
-        high = np.minimum(high, len(self._start) - 1)
-        beyond = np.append(self._start, self.n)[np.minimum(high + 1, len(self._start))]
-        a, b = np.maximum(lo, self._start[high]), np.minimum(hi, beyond)
-        want, end = x & U((1 << self.low_bits) - 1), b.copy()
-        while True:  # successor in the bucket, by halves
-            on = np.flatnonzero(a < b)
-            if not len(on):
-                break
+        high = (x >> U(self.bits)).astype(np.int64)
+        a, b = self._below(high), self._below(high + 1)
+        if lo is not None:
+            a, b = np.maximum(a, lo), np.minimum(b, hi)
+        want, end = x & U((1 << self.bits) - 1), b.copy()
+        on = np.flatnonzero(a < b)
+        while len(on):  # successor in the bucket, by halves
             mid = (a[on] + b[on]) >> 1
             less = self.lows(mid) < want[on]
             a[on] = np.where(less, mid + 1, a[on])
             b[on] = np.where(less, b[on], mid)
+            on = on[a[on] < b[on]]
         found = np.full(len(x), -1, np.int64)
         ok = np.flatnonzero(a < end)
         ok = ok[self.lows(a[ok]) == want[ok]]
@@ -97,82 +123,42 @@ class EliasFano:
         return found
 
 
-def _buckets(ones: np.ndarray, n: int) -> int:
-    last = np.flatnonzero(ones)[-1] + 1 if n else 0
-    return int(last - n)
+def quantised(p: np.ndarray) -> np.ndarray:
+    """The byte of each probability above 0."""
+    return np.clip(np.round(-np.log10(p) / STEP) + 1, 1, 255).astype(np.uint8)
 
 
-def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte a value and the 256 values that they stand for (means of equally filled bins; 0 keeps its own)."""
-    book = np.unique(np.quantile(x, np.linspace(0, 1, 255))) if len(x) else np.zeros(1)
-    book = np.unique(np.append(book, 0.0))
-    at = np.clip(np.searchsorted(book, x), 0, len(book) - 1)
-    at = np.where((at > 0) & (np.abs(book[np.maximum(at - 1, 0)] - x) < np.abs(book[at] - x)), at - 1, at)
-    return at.astype(np.uint8), book
+class Level:
+    """A shard's part of a level, mapped into memory: ``build`` makes its bytes."""
 
+    _SEQUENCES = ("contexts", "points", "children")
 
-class Trie:
-    """Words (id 0: any other word, then the kept words by hash, last the begin of a text) and two levels of children."""
-
-    def __init__(self, path_or_bytes: bytes):
-        fd, path = tempfile.mkstemp(prefix="trie-")
-        with os.fdopen(fd, "r+b") as f:
-            f.write(path_or_bytes)
+    def __init__(self, data: bytes):
+        with os.fdopen(os.memfd_create("level"), "r+b") as f:  # a file in memory, no folder of the machine
+            f.write(data)
             f.flush()
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        os.unlink(path)  # the mapping keeps the file
         size = int.from_bytes(self._map[:8], "little")
-        head, self._at = json.loads(self._map[8 : 8 + size]), 8 + size
-        a = {k: np.frombuffer(self._map, np.dtype(t), n, self._at + at) for k, (t, n, at) in head.items()}
-        self.hashes, self.counts, self.total, self.distinct = a["hashes"], a["counts"], int(a["total"][0]), int(a["total"][1])
-        self.left1, self.book_left1 = a["left1"], a["book_left1"]
-        self.prob2, self.book2, self.left2, self.book_left2 = a["prob2"], a["book2"], a["left2"], a["book_left2"]
-        self.prob3, self.book3 = a["prob3"], a["book3"]
-        seq = {k: EliasFano(*(int(x) for x in a[f"{k}.n"]), a[f"{k}.low"], a[f"{k}.high"]) for k in ("point1", "last2", "point2", "last3")}
-        self.point1, self.last2, self.point2, self.last3 = seq["point1"], seq["last2"], seq["point2"], seq["last3"]
-        self._first = np.searchsorted(self.hashes, np.arange(1 << 16, dtype=np.uint64) << U(48))
-        self.begin = len(self.hashes) + 1
-        self.log_z = math.log10(self.total + 0.5 * (self.distinct + 1))
+        head = json.loads(self._map[8 : 8 + size])
+        a = {k: np.frombuffer(self._map, np.dtype(t), n, 8 + size + at) for k, (t, n, at) in head.items()}
+        self.codes, self.totals, self.lefts = a["codes"], a["totals"], a["lefts"]
+        self.contexts, self.points, self.children = (EliasFano(*(a[f"{s}.{k}"] for k in ("head", "low", "high", "ones"))) for s in self._SEQUENCES)
 
     @staticmethod
-    def build(hashes, counts, total, distinct, docs, two, three) -> bytes:
-        """From kept words and (key, count) arrays of kept n-grams; a key is the ids, first word highest."""
-        base = len(hashes) + 2
-        key2, c2 = two
-        p1 = np.concatenate(([0.5], counts + 0.5, [0.5])) / (total + 0.5 * (distinct + 1))
-        context = np.concatenate(([1], counts, [docs])).astype(np.float64)
-        first, last = (key2 // U(base)).astype(np.int64), (key2 % U(base)).astype(np.int64)
-        own = (c2 - DISCOUNT[0]) / context[first]
-        left1 = 1 - np.bincount(first, own, minlength=base)
-        p2 = own + left1[first] * p1[last]
-        key3, c3 = three
-        first3, last3 = np.searchsorted(key2, key3 // U(base)), (key3 % U(base)).astype(np.int64)
-        own3 = (c3 - DISCOUNT[1]) / c2[first3] if len(key3) else np.zeros(0)
-        left2 = 1 - np.bincount(first3, own3, minlength=len(key2))[: len(key2)]
-        # The shorter history of a trigram is its last two words.
-        middle = (key3 // U(base) % U(base)) * U(base) + last3.astype(np.uint64)
-        at = np.searchsorted(key2, middle)
-        there = at < len(key2)
-        there[there] = key2[at[there]] == middle[there]
-        mid = (middle // U(base)).astype(np.int64)
-        lower = np.where(there, p2[np.minimum(at, max(len(key2) - 1, 0))] if len(key2) else 0, left1[mid] * p1[last3])
-        p3 = own3 + left2[first3] * lower if len(key3) else own3
-
-        def level(parents: int, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            point = np.concatenate(([0], np.cumsum(np.bincount(parent, minlength=parents)[:parents])))
-            top = np.zeros(parents + 1, np.uint64)
-            if len(child):
-                some = np.flatnonzero(np.diff(point))
-                top[some + 1] = child[point[some + 1] - 1]
-            return point, child.astype(np.uint64) + np.cumsum(top, dtype=np.uint64)[parent]
-
-        point1, seq2 = level(base, first, last)
-        point2, seq3 = level(len(key2), first3, last3)
-        log = lambda x: np.log10(np.maximum(x, 1e-12))
-        out: dict[str, np.ndarray] = {"hashes": hashes, "counts": np.asarray(counts, np.int64), "total": np.array([total, distinct], np.int64)}
-        for name, x in (("left1", log(left1)), ("2", log(p2)), ("left2", log(left2)), ("3", log(p3))):
-            out[f"prob{name}" if len(name) == 1 else name], out[f"book{name}" if len(name) == 1 else f"book_{name}"] = _quantise(x)
-        for name, x in (("point1", point1), ("last2", seq2), ("point2", point2), ("last3", seq3)):
+    def build(contexts: np.ndarray, totals: np.ndarray, owner: np.ndarray, child: np.ndarray, count: np.ndarray, discount: float) -> bytes:
+        """From ascending contexts with their occurrences, and counts of children in order of (place of its context, child)."""
+        keep = count >= LEAST
+        owner, child, count = owner[keep], child[keep], count[keep]
+        own = (count - discount) / totals[owner]
+        # What discounting leaves to the lower order, in quarters of an occurrence.
+        lefts = 4 * totals - np.bincount(owner, np.round(4 * (count - discount)), minlength=len(totals)).astype(np.int64)
+        points = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(contexts)))))
+        top = np.zeros(len(contexts) + 1, np.uint64)
+        some = np.flatnonzero(np.diff(points))
+        top[some + 1] = child[points[some + 1] - 1]
+        monotone = child.astype(np.uint64) + np.cumsum(top, dtype=np.uint64)[owner]
+        out = {"codes": quantised(own), "totals": totals, "lefts": lefts}
+        for name, x in zip(Level._SEQUENCES, (contexts, points, monotone)):
             out |= {f"{name}.{k}": v for k, v in EliasFano.build(x).items()}
         head, at, body = {}, 0, []
         for k, v in out.items():
@@ -185,301 +171,286 @@ class Trie:
         text += b" " * (-(len(text) + 8) % 8)
         return len(text).to_bytes(8, "little") + text + b"".join(body)
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Word ids of hashes; 0 for words that are not kept."""
-        n = len(self.hashes)
-        if not n:
-            return np.zeros(len(h), np.int64)
-        top = (h >> U(48)).astype(np.int64)
-        a, b = self._first[top], np.append(self._first, n)[top + 1]
-        end = b.copy()
-        on = np.flatnonzero(a < b)
-        while len(on):
-            mid = (a[on] + b[on]) >> 1
-            less = self.hashes[mid] < h[on]
-            a[on] = np.where(less, mid + 1, a[on])
-            b[on] = np.where(less, b[on], mid)
-            on = on[a[on] < b[on]]
-        ok = a < end
-        ok[ok] = self.hashes[a[ok]] == h[ok]
-        return np.where(ok, a + 1, 0)
-
-    def _child(self, seq: EliasFano, point: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The entry of ``word`` under each context; -1 where there is none."""
+    def find(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """The entry of each child under the context at that place; -1 where none is kept."""
         out = np.full(len(context), -1, np.int64)
         distinct, inverse = np.unique(context, return_inverse=True)
-        lo, hi = point.get(distinct).astype(np.int64), point.get(distinct + 1).astype(np.int64)
+        lo, hi = self.points.get(distinct).astype(np.int64), self.points.get(distinct + 1).astype(np.int64)
         base = np.zeros(len(distinct), np.uint64)
         some = np.flatnonzero((lo > 0) & (hi > lo))
-        base[some] = seq.get(lo[some] - 1)
+        base[some] = self.children.get(lo[some] - 1)
         lo, hi, base = lo[inverse], hi[inverse], base[inverse]
         on = np.flatnonzero(hi > lo)
-        if len(on):
-            out[on] = seq.find(word[on].astype(np.uint64) + base[on], lo[on], hi[on])
+        out[on] = self.children.find(child[on].astype(np.uint64) + base[on], lo[on], hi[on])
         return out
 
-    def bigram(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self._child(self.last2, self.point1, a, b)
-
-    def log_probs(self, w: np.ndarray, before: np.ndarray, before2: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words after two others; ``unigram`` has those of the words alone."""
-        two = np.full(len(w), -1, np.int64)
-        known = np.flatnonzero((w > 0) & (before > 0))
-        two[known] = self.bigram(before[known], w[known])
-        out = np.where(two >= 0, self.book2[self.prob2[two]] if len(self.prob2) else 0, self.book_left1[self.left1[before]] * (before > 0) + unigram)
-        context = np.full(len(w), -1, np.int64)
-        known = np.flatnonzero((before > 0) & (before2 > 0))
-        context[known] = self.bigram(before2[known], before[known])
-        on = np.flatnonzero(context >= 0)
-        if len(on):
-            three = np.full(len(on), -1, np.int64)
-            has = np.flatnonzero(w[on] > 0)
-            three[has] = self._child(self.last3, self.point2, context[on[has]], w[on[has]])
-            kept = self.book3[self.prob3[three]] if len(self.prob3) else 0
-            out[on] = np.where(three >= 0, kept, self.book_left2[self.left2[context[on]]] + out[on])
-        return out
 
+class _Plan:
+    """The sizes of one run, which every task knows."""
 
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, then the end of the text) and offsets by document."""
-    data, off = buffers(batch["text"])
-    starts, ends, word_off = spans(data, off)
-    h = hashed(data, starts, ends, fold=True)
-    return np.insert(h, word_off[1:], END), word_off + np.arange(len(word_off))
+    def __init__(self, total_bytes: int, docs: int, parts: int, chunk_bytes: int, bucket: int):
+        self.docs, self.bucket = docs, bucket
+        self.chunks = max(parts, -(-total_bytes // chunk_bytes))
+        self.shards = max(parts, -(-total_bytes // 6 // SHARD_TOKENS))
 
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        return ((mix(keys, 61) >> U(32)) % U(self.shards)).astype(np.int64)
 
-def _previous(x: np.ndarray, off: np.ndarray, by: int, begin: int) -> np.ndarray:
-    """The token ``by`` places before each, ``begin`` before the first of its document, 0 further back."""
-    out = np.zeros_like(x)
-    out[by:] = x[:-by] if by else x
-    place = np.arange(len(x)) - np.repeat(off[:-1], np.diff(off))
-    out[place < by] = 0
-    out[place == by - 1] = begin
-    return out
 
+_MAIL = "shard long, p long, a binary, b binary, c binary, d binary, total long, distinct long"
+_NAMES = ("shard", "p", "a", "b", "c", "d", "total", "distinct")
+_KINDS = (pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64())
 
-_COUNTED = "shard long, a binary, b binary, total long, distinct long"
 
+def _mail(rows: list[tuple]) -> pa.Table:
+    rows = [(*r, *[None] * (8 - len(r))) for r in rows]
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(_NAMES, list(zip(*rows)) if rows else [()] * 8, _KINDS)})
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
-    """(shard, packed keys, packed counts) of ascending keys."""
-    shard = (mix(keys, 61) >> U(32)) % U(shards)
-    order = np.lexsort((keys, shard))
-    keys, counts, shard = keys[order], counts[order], shard[order]
-    cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-    return [(s, pack(keys[a:b]), pack_plain(counts[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
+def _spread(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of ascending shards."""
+    first = np.flatnonzero(np.r_[True, np.diff(shard) != 0]) if len(shard) else []
+    return [(int(shard[a]), int(a), int(b)) for a, b in zip(first, [*first[1:], len(shard)])]
 
-def _counted(docs: DataFrame, keys_of, shards: int, least: float = 0) -> DataFrame:
-    """Counts by key over the training documents: one row per shard with its keys of at least ``least`` and its sums."""
 
-    def run(batches):
-        for batch in slices(batches, limit=_SLICE):
-            keys, counts = np.unique(keys_of(batch), return_counts=True)
-            rows = _dealt(keys, counts.astype(np.int64), shards)
-            s, a, b = zip(*rows) if rows else ((), (), ())
-            none = pa.nulls(len(s), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), none, none], names=["shard", "a", "b", "total", "distinct"])
+class _Words:
+    """A chunk's tokens (words, then the end of each text) and its distinct words in the order in which it asks for them."""
 
-    def add(key, table):
-        keys = np.concatenate([unpack(x) for x in table["a"].to_pylist()])
-        counts = np.concatenate([unpack_plain(x) for x in table["b"].to_pylist()])
-        keys, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at, counts, minlength=len(keys)).astype(np.int64)
-        total, distinct, keep = int(counts.sum()), len(keys), counts >= least
-        return pa.table({"shard": [key[0].as_py()], "a": [pack(keys[keep])], "b": [pack_plain(counts[keep])], "total": [total], "distinct": [distinct]}, schema=pa.schema([("shard", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())]))
+    def __init__(self, plan: _Plan, table: pa.Table):
+        data, off = buffers(table["text"])
+        starts, ends, word_off = spans(data, off)
+        put = lambda x, end: np.insert(x, word_off[1:], end)
+        one = put(hashed(data, starts, ends, fold=True), END)
+        two = put(hashed(data, starts, ends, fold=True, half=1) & U(0xFFFFFFFF), U(0))
+        self.off = word_off + np.arange(len(word_off))
+        self.doc = np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
+        self.train = ~np.asarray(table["held_out"].combine_chunks())[self.doc]
+        order = np.lexsort((two, one, plan.shard(one)))
+        new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)] if len(order) else np.zeros(0, bool)
+        self.inverse = np.empty(len(order), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        self.one, self.two = one[order][new], two[order][new]
+        self.count = np.bincount(self.inverse, self.train, minlength=len(self.one)).astype(np.int64)
+        self.runs = _spread(plan.shard(self.one))
 
-    return docs.where("not held_out").select("text").mapInArrow(run, _COUNTED).groupBy("shard").applyInArrow(add, _COUNTED)
+    def asks(self, p: int) -> list[tuple]:
+        return [(s, p, pack(self.one[a:b]), pack_plain(self.two[a:b].view(np.int64)), pack_plain(self.count[a:b])) for s, a, b in self.runs]
 
+    def answered(self, plan: _Plan, mail: pa.Table) -> None:
+        """Ids (0: not kept) and training counts of the tokens."""
+        ids, counts = np.zeros(len(self.one), np.int64), np.zeros(len(self.one), np.int64)
+        rows = {s: r for s, *r in zip(*(mail[c].to_pylist() for c in ("shard", "a", "b", "c")))}
+        for s, a, b in self.runs:
+            kept, ranks, n = rows[s]
+            kept = np.unpackbits(np.frombuffer(kept, np.uint8), count=b - a).astype(bool)
+            ids[a:b][kept] = unpack(ranks).astype(np.int64) * plan.shards + s + BEGIN + 1
+            counts[a:b] = unpack_plain(n)
+        self.word, self.occurs = ids[self.inverse], counts[self.inverse]
 
-def _gathered(rows) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.zeros(0, np.uint64), *(unpack(bytes(r.a)) for r in rows)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(unpack_plain(bytes(r.b)) for r in rows)])
-    order = np.argsort(keys)
-    return keys[order], counts[order]
 
+def _count_words(plan: _Plan):
+    def run(key, table):
+        """A shard of words: training counts, and ranks among those kept as ids."""
+        shard = key[0].as_py()
+        asked = [unpack(x) for x in table["a"].to_pylist()]
+        one, two = np.concatenate(asked), np.concatenate([unpack_plain(x) for x in table["b"].to_pylist()])
+        count = np.concatenate([unpack_plain(x) for x in table["c"].to_pylist()])
+        order = np.lexsort((two, one))
+        new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        sums = np.bincount(at, count).astype(np.int64)
+        kept = sums >= LEAST
+        rank = np.cumsum(kept) - 1
+        out, cut = [(shard, -1, None, None, None, None, int(sums.sum()), int((sums > 0).sum()))], np.cumsum([0, *map(len, asked)])
+        for p, a, b in zip(table["p"].to_pylist(), cut, cut[1:]):
+            i = at[a:b]
+            out.append((shard, p, np.packbits(kept[i]).tobytes(), pack(rank[i[kept[i]]]), pack_plain(sums[i])))
+        return _mail(out)
 
-_tries: dict[str, Trie] = {}
-
+    return run
 
-def _sent(spark: SparkSession, data: bytes):
-    """A broadcast trie under a name that no other has."""
-    return uuid.uuid4().hex, spark.sparkContext.broadcast(data)
 
+class _Grams:
+    """A chunk's distinct (context, child) pairs in the order in which it asks for them.
 
-def _load(model) -> Trie:
-    """The worker's map of a broadcast trie."""
-    name, sent = model
-    if name not in _tries:
-        _tries.clear()
-        _tries[name] = Trie(sent.value)
-    return _tries[name]
+    Every context is asked for, with its training occurrences, in all its buckets: their left-over masses add up.
+    """
 
+    def __init__(self, plan: _Plan, context: np.ndarray, child: np.ndarray, train: np.ndarray, occurs: np.ndarray):
+        self._on = np.flatnonzero(context != NONE)
+        at = self._on
+        distinct, first, self._which = np.unique(context[at], return_index=True, return_inverse=True)
+        total = np.bincount(self._which, train[at], minlength=len(distinct)).astype(np.int64)
+        self._buckets = 1 + occurs[at][first].astype(np.int64) // plan.bucket
+        self._first = np.cumsum(self._buckets) - self._buckets
+        owner = np.repeat(np.arange(len(distinct)), self._buckets)
+        key = distinct[owner].astype(np.uint64) << U(BUCKET_BITS) | (np.arange(len(owner)) - self._first[owner]).astype(np.uint64)
+        shard = plan.shard(key)
+        order = np.lexsort((key, shard))
+        self._place = np.empty(len(order), np.int64)
+        self._place[order] = np.arange(len(order))
+        self._key, self._total, self._runs = key[order], total[owner[order]], _spread(shard[order])
+        self._has = np.flatnonzero(child[at] != NONE)
+        which, c = self._which[self._has], child[at][self._has].astype(np.uint64)
+        entry = self._place[self._first[which] + (mix(c, 71) % self._buckets[which].astype(np.uint64)).astype(np.int64)]
+        self._pair, self._inverse = np.unique(entry.astype(np.uint64) << U(CHILD_BITS) | c, return_inverse=True)
+        self._count = np.bincount(self._inverse, train[at][self._has], minlength=len(self._pair)).astype(np.int64)
+        self._cut = np.searchsorted(self._pair >> U(CHILD_BITS), np.arange(len(order) + 1, dtype=np.uint64))
+
+    def asks(self, p: int) -> list[tuple]:
+        out = []
+        for s, a, b in self._runs:
+            x, y = self._cut[a], self._cut[b]
+            pairs = self._pair[x:y] - (U(a) << U(CHILD_BITS))
+            out.append((s, p, pack(self._key[a:b]), pack(pairs), pack_plain(self._total[a:b]), pack_plain(self._count[x:y])))
+        return out
 
-def fit_trie(docs: DataFrame, shards: int) -> bytes:
-    """A trie of the documents (text, held_out) that are not held out; at most LEVEL_SHARE entries a level."""
-    spark = docs.sparkSession
-    # All words are counted; the shards' rows with words below the bound are dropped once the total is known.
-    words = written(_counted(docs, lambda batch: _tokens(batch)[0], shards), "words")
-    sums = words.agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
-    total, distinct = int(sums.total or 0), int(sums.distinct or 0)
-    n_docs = docs.where("not held_out").count()
-    least = max(1.0, total / LEVEL_SHARE)
-
-    def frequent(batches):
-        for batch in batches:
-            out = []
-            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
-                keys, counts = unpack(a), unpack_plain(b)
-                out.append((pack(keys[counts >= least]), pack_plain(counts[counts >= least])))
-            a, b = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    hashes, counts = _gathered(words.mapInArrow(frequent, "a binary, b binary").collect())
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    base = len(hashes) + 2
-    least = max(2.0, total / LEVEL_SHARE)
-    build = lambda two, three: Trie.build(hashes, counts, total, distinct, n_docs, two, three)
-    model = _sent(spark, build(none, none))
-
-    def bigrams(batch):
-        trie = _load(model)
-        h, off = _tokens(batch)
-        w = trie.ids(h)
-        p = _previous(w, off, 1, trie.begin)
-        ok = (w > 0) & (p > 0)
-        return p[ok].astype(np.uint64) * U(base) + w[ok].astype(np.uint64)
-
-    two = _gathered(_counted(docs, bigrams, shards, least).select("a", "b").collect())
-    model2 = _sent(spark, build(two, none))
-
-    def trigrams(batch):
-        trie = _load(model2)
-        h, off = _tokens(batch)
-        w = trie.ids(h)
-        p, q = _previous(w, off, 1, trie.begin), _previous(w, off, 2, trie.begin)
-        ok = np.flatnonzero((w > 0) & (p > 0) & (q > 0))
-        # A trigram is as rare as either of its bigrams: only where both are kept can it be kept.
-        ok = ok[trie.bigram(p[ok], w[ok]) >= 0]
-        ok = ok[trie.bigram(q[ok], p[ok]) >= 0]
-        return (q[ok].astype(np.uint64) * U(base) + p[ok].astype(np.uint64)) * U(base) + w[ok].astype(np.uint64)
-
-    three = _gathered(_counted(docs, trigrams, shards, least).select("a", "b").collect())
-    return build(two, three)
-
-
-_PART = "shard long, uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, a binary, b binary, c binary, d binary"
-_SCHEMA = pa.schema([("shard", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-
-
-def _score(model, shards: int):
-    def run(batches):
-        trie = _load(model)
-        for batch in slices(batches, limit=_SLICE // 2):
-            h, off = _tokens(batch)
-            n = len(off) - 1
-            uid, held = np.asarray(batch["uid"]), np.asarray(batch["held_out"])
-            doc = np.repeat(np.arange(n), np.diff(off))
-            w = trie.ids(h)
-            kept = w > 0
-            unigram = np.zeros(len(w))
-            unigram[kept] = np.log10(trie.counts[w[kept] - 1] + 0.5)
-            alone = unigram - trie.log_z
-            log_p = trie.log_probs(w, _previous(w, off, 1, trie.begin), _previous(w, off, 2, trie.begin), alone)
-            add = lambda x: np.bincount(doc, x, minlength=n)
-            own = pa.RecordBatch.from_arrays(
-                [
-                    pa.array((uid.astype(np.uint64) % U(shards)).astype(np.int64)), batch["uid"], batch["doc_id"], batch["held_out"], pa.array(np.diff(off).astype(np.int64)),
-                    pa.array(add(kept).astype(np.int64)), pa.array(add(alone)), pa.array(add(log_p)), *[pa.nulls(n, pa.binary())] * 4,
-                ], schema=_SCHEMA,
-            )
-            yield own
-            # All other words go to the shard that counts them.
-            rare = np.flatnonzero(~kept)
-            shard = (mix(h[rare], 61) >> U(32)) % U(shards)
-            order = np.lexsort((h[rare], shard))
-            rare, shard = rare[order], shard[order]
-            cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-            rows = []
-            for s, (a, b) in enumerate(zip(cut, cut[1:])):
-                if b > a:
-                    part = rare[a:b]
-                    keys, count = np.unique(h[part], return_counts=True)
-                    docs, place = np.unique(doc[part], return_inverse=True)
-                    rows.append((s, pack(keys), pack_plain(count), pack_plain(place), np.append(uid[docs], held[docs]).astype(np.int64).tobytes()))
-            if rows:
-                s, *rest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), *[pa.nulls(len(s), f.type) for f in list(_SCHEMA)[1:8]], *[pa.array(x, pa.binary()) for x in rest]], schema=_SCHEMA)
+    def answered(self, plan: _Plan, mail: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By token: the discounted probability (0: not kept), the mass left to the lower order (1: no context) and the pair's id."""
+        rows = {s: r for s, *r in zip(*(mail[c].to_pylist() for c in ("shard", "a", "b", "c", "d")))}
+        codes, ids = np.zeros(len(self._pair), np.uint8), np.zeros(len(self._pair), np.int64)
+        used, total = np.zeros(len(self._key)), np.ones(len(self._key))
+        for s, a, b in self._runs:
+            x, y = self._cut[a], self._cut[b]
+            code, rank, sums, left = rows[s]
+            codes[x:y] = unpack_plain(code)
+            kept = np.flatnonzero(codes[x:y])
+            ids[x:y][kept] = unpack(rank).astype(np.int64) * plan.shards + s + 1
+            sums = unpack_plain(sums)
+            used[a:b], total[a:b] = 4 * sums - unpack_plain(left), np.maximum(4 * sums, 1)
+        mass = np.add.reduceat((used / total)[self._place], self._first) if len(self._first) else np.zeros(0)
+        own, left, pair = np.zeros(n), np.ones(n), np.zeros(n, np.int64)
+        left[self._on] = (1 - mass)[self._which]
+        own[self._on[self._has]] = BOOK[codes[self._inverse]]
+        pair[self._on[self._has]] = ids[self._inverse]
+        return own, left, pair
+
+
+def _count_grams(plan: _Plan, discount: float):
+    def run(key, table):
+        """A shard of a level: built from all that is asked, then asked."""
+        shard, asked = key[0].as_py(), [unpack(x) for x in table["a"].to_pylist()]
+        keys, totals = np.concatenate(asked), np.concatenate([unpack_plain(x) for x in table["c"].to_pylist()])
+        contexts, at = np.unique(keys, return_inverse=True)
+        totals = np.bincount(at, totals, minlength=len(contexts)).astype(np.int64)
+        pairs, cut, sizes = [], np.cumsum([0, *map(len, asked)]), []
+        for i, raw in enumerate(table["b"].to_pylist()):
+            got = unpack(raw)
+            place = at[cut[i] + (got >> U(CHILD_BITS)).astype(np.int64)]
+            pairs.append(place.astype(np.uint64) << U(CHILD_BITS) | got & U((1 << CHILD_BITS) - 1))
+            sizes.append(len(got))
+        pairs = np.concatenate(pairs)
+        count = np.concatenate([unpack_plain(x) for x in table["d"].to_pylist()])
+        distinct, which = np.unique(pairs, return_inverse=True)
+        count = np.bincount(which, count, minlength=len(distinct)).astype(np.int64)
+        place, child = (distinct >> U(CHILD_BITS)).astype(np.int64), distinct & U((1 << CHILD_BITS) - 1)
+        raw = Level.build(contexts, totals, place, child, count, discount)
+        level, out, low = Level(raw), [(shard, -1, raw)], 0
+        for i, p in enumerate(table["p"].to_pylist()):
+            mine = pairs[low : low + sizes[i]]
+            low += sizes[i]
+            here = level.contexts.find(asked[i])
+            found = level.find((mine >> U(CHILD_BITS)).astype(np.int64), mine & U((1 << CHILD_BITS) - 1))
+            codes = np.where(found >= 0, level.codes[found], 0) if len(level.codes) else np.zeros(len(mine), np.int64)
+            out.append((shard, p, pack_plain(codes), pack(found[found >= 0]), pack_plain(level.totals[here]), pack_plain(level.lefts[here])))
+        return _mail(out)
 
     return run
 
 
-_SUMS = "home long, uid binary, known binary, log binary"
-
-
-def _settle(shards: int):
-    """A shard's words, counted over the training documents and scored: sums by document, packed by the documents' home shard."""
+class _Chunk:
+    """A chunk with the answers that it has so far."""
+
+    def __init__(self, plan: _Plan, table: pa.Table, mail: pa.Table | None = None):
+        import pyarrow.compute as pc
+
+        self.plan, self.words = plan, _Words(plan, table)
+        if mail is None:
+            return
+        part = lambda level: mail.filter(pc.equal(mail["level"], level))
+        w = self.words
+        w.answered(plan, part(1))
+        n = len(w.word)
+        self.before, place = np.zeros(n, np.int64), np.arange(n) - np.repeat(w.off[:-1], np.diff(w.off))
+        self.before[1:] = w.word[:-1]
+        self.before[place == 0] = BEGIN
+        # Occurrences of the token before, exact, deal its pairs into buckets.
+        occurs = np.zeros(n, np.int64)
+        occurs[1:] = w.occurs[:-1]
+        occurs[place == 0] = plan.docs
+        self.two = _Grams(plan, self.before, w.word, w.train, occurs)
+        answers = part(2)
+        if not answers.num_rows:
+            return
+        self.own2, self.left1, pair = self.two.answered(plan, answers, n)
+        context, often = np.zeros(n, np.int64), np.zeros(n)
+        context[1:], often[1:] = pair[:-1], (self.own2 * occurs)[:-1] + DISCOUNT[0]
+        context[place == 0] = NONE
+        # A trigram is as rare as either of its bigrams: only where both are kept can it be kept.
+        self.three = _Grams(plan, context, np.where(self.own2 > 0, w.word, NONE), w.train, often)
+        answers = part(3)
+        if answers.num_rows:
+            self.own3, self.left2, _ = self.three.answered(plan, answers, n)
+        else:
+            self.own3, self.left2 = np.zeros(n), np.ones(n)
 
-    def run(key, table):
-        parts = [[], [], []]
-        for a, b, c, d in zip(*(table[x].to_pylist() for x in "abcd")):
-            docs, place = np.frombuffer(d, np.int64), unpack_plain(c)
-            half = len(docs) // 2
-            for list_, x in zip(parts, (np.repeat(unpack(a), unpack_plain(b)), docs[:half][place], docs[half:][place])):
-                list_.append(x)
-        keys, uid, held = (np.concatenate(x) for x in parts)
-        _, at = np.unique(keys, return_inverse=True)
-        count = np.bincount(at, held == 0)[at]
-        docs, at = np.unique(uid, return_inverse=True)
-        log, known = np.bincount(at, np.log10(count + 0.5)), np.bincount(at, count > 0).astype(np.int64)
-        home = docs.astype(np.uint64) % U(shards)
-        order = np.argsort(home, kind="stable")
-        cut = np.searchsorted(home[order], np.arange(shards + 1, dtype=np.uint64))
-        rows = [(h, docs[i].tobytes(), pack_plain(known[i]), log[i].tobytes()) for h in range(shards) if len(i := order[cut[h] : cut[h + 1]])]
-        return pa.table(dict(zip(("home", "uid", "known", "log"), map(pa.array, zip(*rows)))))
 
-    return run
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def _score(plan: _Plan, total: int, distinct: int):
+    z = total + 0.5 * (distinct + 1)
 
+    def run(key, table, mail):
+        chunk = _Chunk(plan, table, mail)
+        w, n = chunk.words, table.num_rows
+        p1 = (w.occurs + 0.5) / z
+        score = np.log10(np.minimum(chunk.own3 + chunk.left2 * (chunk.own2 + chunk.left1 * p1), 1))
+        add = lambda x: np.bincount(w.doc, x, minlength=n)
+        new = [np.diff(w.off).astype(np.int64), add(w.occurs > 0).astype(np.int64), add(np.log10(p1)), add(score)]
+        return pa.table([table["doc_id"], table["held_out"], *map(pa.array, new)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-def _finish(key, left, right):
-    """The documents of a home shard with what all shards found for them; equal rows share a uid and its sums."""
-    uid, at = np.unique(np.asarray(left["uid"]), return_inverse=True)
-    copies = np.bincount(at, minlength=len(uid))
-    known, log = np.zeros(len(uid), np.int64), np.zeros(len(uid))
-    for u, n, x in zip(*(right[c].to_pylist() for c in ("uid", "known", "log"))):
-        place = np.searchsorted(uid, np.frombuffer(u, np.int64))
-        known[place] += unpack_plain(n)
-        log[place] += np.frombuffer(x)
-    known, log = (known // np.maximum(copies, 1))[at], (log / np.maximum(copies, 1))[at]
-    plain = {c: np.asarray(left[c]) for c in ("n_known", "base", "score")}
-    new = [pa.array(plain["n_known"] + known), pa.array(plain["base"] + log), pa.array(plain["score"] + log)]
-    return pa.table([left["doc_id"], left["held_out"], left["n_tokens"], *new], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    return run
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, chunk_bytes: int = 8 << 20, bucket: int = BUCKET, model_path: str | None = None) -> DataFrame:
     """Fits on documents whose crc32(doc_id) mod 5 is not 1 and scores all.
 
     Takes doc_id and text; other columns are ignored. Returns doc_id, held_out, n_tokens (words and one end), n_known,
     train_tokens, base_score and score. Null and empty texts have one token, the end. A null doc_id is trained on.
     Repeated rows are counted as often as they occur and scored alike. An empty table gives an empty result.
+
+    ``chunk_bytes`` is the memory knob: a task holds one chunk of texts and some thirty times that in arrays; larger
+    chunks send fewer and fuller messages. A context is dealt into one bucket more for every ``bucket`` occurrences,
+    which bounds what one shard has to hold of it. ``model_path`` keeps the trie: rows (level, shard, data), see ``Level``.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))).withColumn("uid", F.xxhash64("doc_id", "text"))
-    size = int(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    shards = max(partitions(spark), -(-size // 6 >> 22))
-    fitted = fit_trie(base, shards)
-    model = _sent(spark, fitted)
-    total = int(Trie(fitted).total)
-    # Written, as both branches below read it: documents with the sums of kept words, and the other words as messages.
-    parts = written(base.mapInArrow(_score(model, shards), _PART), "scores")
-    sums = parts.where("a is not null").select("shard", "a", "b", "c", "d").groupBy("shard").applyInArrow(_settle(shards), _SUMS)
-    rows = parts.where("a is null").select(F.col("shard").alias("home"), "uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    out = rows.groupBy("home").cogroup(sums.groupBy("home")).applyInArrow(_finish, _RESULT)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    base = base.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False)))
+    size = base.agg(F.sum(F.octet_length("text") + 6).alias("bytes"), F.count_if(~F.col("held_out")).alias("docs")).first()
+    plan = _Plan(int(size.bytes or 0), size.docs, partitions(spark), chunk_bytes, bucket)
+    dealt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "text"), F.lit(plan.chunks))
+    asks = lambda grams: lambda key, table, mail: _mail(getattr(_Chunk(plan, table, mail), grams).asks(key[0].as_py()))
+    with Scratch(spark) as scratch:
+        chunks = scratch.bucketed(base.withColumn("p", dealt), "chunks", "p").groupBy("p")
+        words = chunks.applyInArrow(lambda key, table: _mail(_Words(plan, table).asks(key[0].as_py())), _MAIL)
+        level1 = scratch.written(words.groupBy("shard").applyInArrow(_count_words(plan), _MAIL).withColumn("level", F.lit(1)), "words")
+        sums = level1.where("p = -1").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+        total, distinct = int(sums.total or 0), int(sums.distinct or 0)
+        columns = ["shard", "p", "a", "b", "c", "d", "level"]
+        known, kept = level1.where("p >= 0").select(*columns), []
+        for level, grams, discount in ((2, "two", DISCOUNT[0]), (3, "three", DISCOUNT[1])):
+            asked = chunks.cogroup(known.groupBy("p")).applyInArrow(asks(grams), _MAIL)
+            found = asked.groupBy("shard").applyInArrow(_count_grams(plan, discount), _MAIL).withColumn("level", F.lit(level))
+            found = scratch.written(found, grams)
+            kept.append(found.where("p = -1").select("level", "shard", F.col("a").alias("data")))
+            known = known.unionByName(found.where("p >= 0").select(*columns))
+        if model_path:
+            kept[0].unionByName(kept[1]).write.parquet(model_path)
+        out = chunks.cogroup(known.groupBy("p")).applyInArrow(_score(plan, total, distinct), _RESULT)
+        out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        return written(out, "scores")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Documents are dealt into chunks by a hash and written once as a bucketed table,
 without another shuffle. Every chunk sketches its windows: for each shard of the hash space the cells that they hit
 in each row of a Count-min sketch. A shard merges the sketches of all chunks and answers each chunk with those of
 its cells that hold two or more. Windows with such a cell in every row are estimated repeated (never too low, so
-none is lost); only these are grouped exactly, by their 64-bit hash, once per chunk and window.
+none is lost); only these are grouped exactly, by their 128-bit hash, once per chunk and window.
 
 Nothing is sized by a group of copies: a window counts once per chunk in the exact pass, whatever its copies.
 """
@@ -12,14 +12,13 @@ Nothing is sized by a group of copies: a window counts once per chunk in the exa
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import partitions, scratch_path
+from ..storage import Scratch, partitions, written
 from .words import U, buffers, hashed, ids, mix, pack, pack_plain, spans, unpack, unpack_plain, windows, within
 
 #: Rows of the Count-min sketch and its cells per window (of one row).
@@ -51,19 +50,25 @@ def _grams(plan: _Plan, table: pa.Table):
     return data, off, starts, ends, word_off, at, doc, h
 
 
+def _other_half(plan: _Plan, grams: tuple, chosen: np.ndarray) -> np.ndarray:
+    data, _, starts, ends, _, at, *_ = grams
+    return windows(hashed(data, starts, ends, half=1), plan.k, 1)[at[chosen]]
+
+
 def _runs(keys: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, from, to) of each run of equal values."""
     cut = np.flatnonzero(np.diff(keys)) + 1
     return [(int(keys[a]), a, b) for a, b in zip(np.r_[0, cut], np.r_[cut, len(keys)])] if len(keys) else []
 
 
-_MAIL = "shard long, p long, a binary, b binary"
+_MAIL = "shard long, p long, a binary, b binary, c binary"
 
 
 def _mail(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [(), (), (), ()]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "p", "a", "b"), cols, kinds)})
+    rows = [(*r, *[None] * (5 - len(r))) for r in rows]
+    cols = list(zip(*rows)) if rows else [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "p", "a", "b", "c"), cols, kinds)})
 
 
 def _sketch(plan: _Plan):
@@ -114,18 +119,24 @@ def _local(plan: _Plan, table: pa.Table, mail: pa.Table):
     """Candidates by shard and hash, and the smallest document that each starts in within the chunk."""
     grams, chosen = _candidates(plan, table, mail)
     doc_id = ids(table["doc_id"])[0]
-    h, owner = grams[-1][chosen], doc_id[grams[-2][chosen]]
-    order = np.lexsort((owner, h, plan.shard(h)))
-    first = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0]) if len(order) else np.zeros(0, np.int64)
-    return grams, chosen, doc_id, h, owner, order, first
+    h, other, owner = grams[-1][chosen], _other_half(plan, grams, chosen), doc_id[grams[-2][chosen]]
+    order = np.lexsort((owner, other, h, plan.shard(h)))
+    first = _firsts(h[order], other[order])
+    return grams, chosen, doc_id, h, other, owner, order, first
+
+
+def _firsts(h: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Where a new window begins in an ordered list."""
+    return np.flatnonzero(np.r_[True, (np.diff(h) != 0) | (np.diff(other) != 0)]) if len(h) else np.zeros(0, np.int64)
 
 
 def _ask(plan: _Plan):
     def run(key, table, mail):
-        *_, h, owner, order, first = _local(plan, table, mail)
+        *_, h, other, owner, order, first = _local(plan, table, mail)
         lead = order[first]
         shard = plan.shard(h[lead])
-        return _mail([(s, key[0].as_py(), pack(h[lead[a:b]]), pack_plain(owner[lead[a:b]])) for s, a, b in _runs(shard)])
+        other = other.view(np.int64)
+        return _mail([(s, key[0].as_py(), pack(h[lead[a:b]]), pack_plain(owner[lead[a:b]]), pack_plain(other[lead[a:b]])) for s, a, b in _runs(shard)])
 
     return run
 
@@ -134,11 +145,11 @@ def _decide(key, table):
     """For each chunk and window: is there a smaller document in another chunk?"""
     asked = [unpack(x) for x in table["a"].to_pylist()]
     owner = np.concatenate([unpack_plain(x) for x in table["b"].to_pylist()])
-    h = np.concatenate(asked)
-    order = np.lexsort((owner, h))
-    new = np.r_[True, np.diff(h[order]) != 0]
+    h, other = np.concatenate(asked), np.concatenate([unpack_plain(x) for x in table["c"].to_pylist()])
+    order = np.lexsort((owner, other, h))
+    first = _firsts(h[order], other[order])
     least = np.empty(len(h), np.int64)
-    least[order] = owner[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    least[order] = np.repeat(owner[order][first], np.diff(np.append(first, len(h))))
     bits, cut = least < owner, np.cumsum([0, *map(len, asked)])
     return _mail([(key[0].as_py(), p, None, np.packbits(bits[a:b]).tobytes()) for p, a, b in zip(table["p"].to_pylist(), cut, cut[1:])])
 
@@ -151,7 +162,7 @@ def _apply(plan: _Plan, with_text: bool):
         import pyarrow.compute as pc
 
         exact = mail.filter(pc.is_null(mail["a"]))
-        grams, chosen, doc_id, h, owner, order, first = _local(plan, table, mail.filter(pc.is_valid(mail["a"])))
+        grams, chosen, doc_id, h, _, owner, order, first = _local(plan, table, mail.filter(pc.is_valid(mail["a"])))
         data, off, starts, ends, word_off, at, doc, _ = grams
         smaller = np.zeros(len(first), bool)
         bits = dict(zip(exact["shard"].to_pylist(), exact["b"].to_pylist()))
@@ -198,30 +209,21 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, k: int = 13, with_text
     Rows with the same doc_id are separate documents, neither of which is smaller. A window that repeats only
     within its document stays. An empty table gives an empty result.
 
-    ``chunk_bytes`` is the memory knob: a task holds one chunk of texts and about ten times that in arrays.
+    ``chunk_bytes`` is the memory knob: a task holds one chunk of texts and about ten times that in arrays. A chunk
+    sends a message to each shard that its windows hit, so larger chunks mean fewer and fuller messages.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = int(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts = partitions(spark)
-    plan = _Plan(total, k, parts, chunk_bytes)
-    name = f"chunks_{uuid.uuid4().hex}"
-    (
-        base.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.chunks)))
-        .repartition(parts, "p")
-        .write.bucketBy(parts, "p")
-        .option("compression", "zstd")
-        .option("path", scratch_path(spark, name))
-        .saveAsTable(name)
-    )
-    chunks = spark.table(name).groupBy("p")
-    merged = chunks.applyInArrow(_sketch(plan), _MAIL).groupBy("shard").applyInArrow(_merge(plan), _MAIL)
-    path = scratch_path(spark, "repeated")
-    merged.write.parquet(path)
-    merged = spark.read.schema(merged.schema).parquet(path)
-    asked = chunks.cogroup(merged.groupBy("p")).applyInArrow(_ask(plan), _MAIL)
-    exact = asked.groupBy("shard").applyInArrow(_decide, _MAIL)
-    out = chunks.cogroup(merged.unionByName(exact).groupBy("p")).applyInArrow(_apply(plan, with_text), _OUT)
-    return out if with_text else out.drop("kept_text")
+    plan = _Plan(total, k, partitions(spark), chunk_bytes)
+    # Rows without doc_id may repeat at will: their place deals them apart.
+    dealt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "text"), F.lit(plan.chunks))
+    with Scratch(spark) as scratch:
+        chunks = scratch.bucketed(base.withColumn("p", dealt), "chunks", "p").groupBy("p")
+        merged = scratch.written(chunks.applyInArrow(_sketch(plan), _MAIL).groupBy("shard").applyInArrow(_merge(plan), _MAIL), "repeated")
+        asked = chunks.cogroup(merged.groupBy("p")).applyInArrow(_ask(plan), _MAIL)
+        exact = asked.groupBy("shard").applyInArrow(_decide, _MAIL)
+        out = chunks.cogroup(merged.unionByName(exact).groupBy("p")).applyInArrow(_apply(plan, with_text), _OUT)
+        return written(out if with_text else out.drop("kept_text"), "deduplicated")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Words, shingles and hashes of whole texts as numpy arrays over Arrow buffers.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which equals ``[^\\x20\\x09-\\x0D]+`` on the text,
-since in UTF-8 these bytes stand for nothing else. Hashes are 64-bit polynomials over seeded byte values, mixed.
+since in UTF-8 these bytes stand for nothing else. A word's hash is a chain of bijective mixes over its eight-byte
+pieces or, of words over LONG bytes, a BLAKE2b digest; two independent halves give 128 bits.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +16,14 @@ import pyarrow as pa
 import zstandard
 
 U = np.uint64
-_BASE, _PIECE = U(0x9E3779B97F4A7C15 | 5), 1 << 22
+LONG = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_SEEDED = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_FOLDED = _SEEDED.copy()
-_FOLDED[65:91] = _SEEDED[97:123]
-_powers: dict[str, np.ndarray] = {}
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
+#: Factors of a window's hash, by half.
+_FACTORS = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
@@ -32,17 +35,6 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 16)
-        inverse = U(pow(int(_BASE), -1, 2**64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,31 +98,35 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A hash of each word, piece by piece so that memory stays bounded; ``fold`` lower-cases A-Z."""
-    table, out, i = (_FOLDED if fold else _SEEDED), np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + _PIECE, "right")))
-        hi = ends[j - 1]
-        up, down = _power(int(hi - lo) + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=total[1:])
-        out[i:j] = (total[ends[i:j] - lo] - total[starts[i:j] - lo]) * down[starts[i:j] - lo]
-        i = j
-    return mix(out)
-
-
-def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of ``k`` hashes, without regard to documents."""
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, half: int = 0) -> np.ndarray:
+    """One half (0 or 1) of each word's 128-bit hash; ``fold`` lower-cases A-Z."""
+    out, size, step = np.empty(len(starts), np.uint64), ends - starts, 1 << 18
+    padded = np.append(_FOLD[data] if fold else data, np.zeros(8, np.uint8))
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    for lo in range(0, len(starts), step):
+        s, n = starts[lo : lo + step], size[lo : lo + step]
+        h, on, at = mix(n.astype(np.uint64), 3 + half), np.arange(len(s)), 0
+        while len(on):
+            h[on] = mix(h[on] ^ (lanes[s[on] + at] & _MASK[np.minimum(n[on] - at, 8)]), 5 + half)
+            at += 8
+            on = np.flatnonzero((n > at) & (n <= LONG))
+        out[lo : lo + step] = h
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8 * half : 8 * half + 8], "little")
+    return out
+
+
+def windows(hashes: np.ndarray, k: int, half: int = 0) -> np.ndarray:
+    """A hash of each run of ``k`` hashes, without regard to documents; halves from halves."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out, factor = np.zeros(n, np.uint64), 1
     for j in range(k):
         out += hashes[j : n + j] * U(factor)
-        factor = factor * 0xD6E8FEB86659FD93 % 2**64
-    return mix(out, 7)
+        factor = factor * _FACTORS[half] % 2**64
+    return mix(out, 7 + half)
 
 
 def within(word_off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -88,34 +88,97 @@ def test_op2_targets_and_draws(spark, docs, none):
     assert split.sum(0).tolist() == [10, 0, 33] and split.sum(1).max() - split.sum(1).min() <= 1
 
 
-def test_op3_counts_and_scores(spark, docs, none):
-    rows, counts = fixture_rows(), Counter()
+def brute_scores(rows):
+    """By row: held out, tokens, known, training tokens, base score, score."""
+    counts, two, three = Counter(), Counter(), Counter()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     tokens = [words(folded(r[1])) + [None] for r in rows]
     for r, t in zip(rows, tokens):
         if not held(r[0]):
             counts.update(t)
-    n, v = sum(counts.values()), len(counts)
-    want = sorted((str(r[0]), held(r[0]), len(t), sum(counts[x] > 0 for x in t), n, round(sum(np.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), 6)) for r, t in zip(rows, tokens))
-    got = langmodel.score_documents(docs).collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    assert langmodel.score_documents(none).count() == 0
+            t = ["<begin>", *t]
+            two.update(zip(t, t[1:]))
+            three.update(zip(t, t[1:], t[2:]))
+    n, v, before = sum(counts.values()), len(counts), counts | {"<begin>": sum(not held(r[0]) for r in rows)}
+    before = {**before, **two}
+    grams = {**two, **three}
+    kept = {g: float(langmodel.BOOK[langmodel.quantised(np.array([(c - langmodel.DISCOUNT[len(g) - 2]) / before[g[0] if len(g) == 2 else g[:2]]]))[0]]) for g, c in grams.items() if c >= 2}
+    used = Counter()
+    for g, c in grams.items():
+        if c >= 2:
+            used[g[:-1]] += c - langmodel.DISCOUNT[len(g) - 2]
+    left = lambda h: 1 - used[h] / max(1, before.get(h[0] if len(h) == 1 else h, 0))
+
+    def p(w, h):
+        if not h:
+            return (counts[w] + 0.5) / (n + 0.5 * (v + 1))
+        known = kept.get(h) if len(h) == 2 else h[0] == "<begin>" or counts[h[0]] >= 2
+        return kept.get((*h, w), 0) + left(h) * p(w, h[1:]) if known else p(w, h[1:])
+
+    out = []
+    for r, t in zip(rows, tokens):
+        full = ["<begin>", *t]
+        base = sum(np.log10(p(w, ())) for w in t)
+        score = sum(np.log10(min(1, p(full[i], tuple(full[max(0, i - 2) : i])))) for i in range(1, len(full)))
+        out.append((r[0], held(r[0]), len(t), sum(counts[x] > 0 for x in t), n, round(base, 6), round(score, 6)))
+    return out
+
 
+def scored(df, **settings):
+    return Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in langmodel.score_documents(df, **settings).collect())
 
-def test_op3_model_is_a_distribution():
-    rng = np.random.default_rng(1)
-    text = rng.integers(0, 6, 3000)
-    hashes = np.sort(rng.integers(1, 2**63, 6).astype(np.uint64))
-    ids, base = text + 1, 8
-    count = lambda keys: [np.asarray(x) for x in np.unique(keys, return_counts=True)]
-    k2, c2 = count((ids[:-1] * base + ids[1:]).astype(np.uint64))
-    k3, c3 = count(((ids[:-2] * base + ids[1:-1]) * base + ids[2:]).astype(np.uint64))
-    trie = langmodel.Trie(langmodel.Trie.build(hashes, np.bincount(text), 3000, 6, 1, (k2, c2), (k3, c3)))
-    w = np.arange(0, 7)
-    unigram = np.log10(np.append(0.5, np.bincount(text) + 0.5)) - trie.log_z
-    for a, b in ((1, 2), (3, 3), (6, 1)):
-        assert abs((10 ** trie.log_probs(w, np.full(7, b), np.full(7, a), unigram)).sum() - 1) < 0.02
+
+def test_op3_brute_force(spark, docs, none, tmp_path):
+    want = Counter(brute_scores(fixture_rows()))
+    assert scored(docs) == want
+    # Many chunks, and every context that occurs ten times in several buckets: the same scores.
+    assert scored(docs, chunk_bytes=2000, bucket=10, model_path=str(tmp_path / "model")) == want
+    levels = spark.read.parquet(str(tmp_path / "model")).collect()
+    assert {r.level for r in levels} == {2, 3} and all(langmodel.Level(bytes(r.data)).contexts.n for r in levels)
+    assert langmodel.score_documents(none).count() == 0
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert scored(d) == Counter(brute_scores([tuple(r) for r in d.collect()]))
+
+
+def test_op3_keeps_pairs_at_any_size(spark):
+    # A passage that occurs twice is kept however many other words there are.
+    rows = [(2, "alpha beta gamma delta"), (4, "alpha beta gamma delta")]
+    for n in (10, 100_000):
+        filler = [(100 + 2 * i, " ".join(f"f{j % 997}" for j in range(i * 50, i * 50 + 50))) for i in range(n // 50 + 1)]
+        got = {r.doc_id: r for r in langmodel.score_documents(spark.createDataFrame(rows + filler, "doc_id long, text string")).where("doc_id = 2").collect()}
+        assert got[2].score > got[2].base_score / 3
+
+
+def test_op3_elias_fano():
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 1), (1, 0), (1, 2**50), (1000, 300), (5000, 2**40), (4000, 2**63)):
+        v = np.sort(rng.integers(0, top + 1, n, dtype=np.uint64))
+        seq = langmodel.EliasFano(*langmodel.EliasFano.build(v).values())
+        assert n == 0 or (seq.get(np.arange(n)) == v).all()
+        probe = np.unique(np.r_[v, rng.integers(0, top + 1, 500, dtype=np.uint64)])
+        there = np.isin(probe, v)
+        found = seq.find(probe) if n else np.full(len(probe), -1)
+        assert ((found >= 0) == there).all() and (v[found[there]] == probe[there]).all()
+
+
+def thue_morse(a="a", b="b", bytes_=1024):
+    text = a
+    while len(text) < bytes_:
+        text += "".join({a: b, b: a}[c] for c in text)
+    return text, "".join({a: b, b: a}[c] for c in text)
+
+
+def test_words_that_collide_under_polynomials(spark):
+    """Two different words whose polynomial hashes agree modulo 2**64 whatever the base."""
+    x, y = thue_morse()
+    rows = [(2, " ".join([x] * 13)), (3, " ".join([y] * 13)), (4, x), (5, y), (6, f"{x} {x} {x} {x} {x} end"), (7, f"{y} {y} {y} {y} {y} end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.substring_dedup(spark, df).collect()} == {0}
+    assert all(r.component_id == r.doc_id for r in near_dedup.near_duplicates(spark, df).collect())
+    assert scored(df) == Counter(brute_scores(rows))
+    tokens = sentencepieces.encoded(df)
+    assert tokens.where("not round_trip").count() == 0
+    assert {tuple(r) for r in sentencepieces.decoded(tokens).collect()} == set(rows)
 
 
 def test_op4_parity_and_round_trip(spark, docs, none):
