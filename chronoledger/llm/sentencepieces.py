@@ -3,6 +3,8 @@
 The model's protobuf is parsed here (pieces with scores and types, trainer and normaliser settings) and rebuilt as a
 tokenizers pipeline: the precompiled normaliser, the metaspace marker, a unigram model with its scores or a BPE model
 with merges ranked by them, and byte fallback. A probe set is encoded by the sentencepiece library too and must agree.
+Pieces that no text may match (control, unknown, unused, bytes) stand in a unigram vocabulary under names that hold a
+space, which the normaliser leaves in no text; what no piece covers falls back to bytes after the model.
 
 No piece joins a non-marker to a following marker, so a text falls into chunks (a run of spaces and what follows)
 that are encoded independently; each batch encodes its distinct chunks once, multithreaded, and puts the ids together.
@@ -103,8 +105,14 @@ def build(model: Model):
     """The tokenizers pipeline of a model."""
     from tokenizers import Regex, Tokenizer, models, normalizers
 
+    if USER_DEFINED in model.types:
+        raise ValueError("models with user-defined pieces are not supported")
     if model.model_type == UNIGRAM:
-        core = models.Unigram(list(zip(model.pieces, model.scores)), model.unk_id, model.byte_fallback)
+        if not model.escape:
+            raise ValueError("unigram models that keep spaces are not supported")
+        # A score of 0 leaves alone the least score, from which that of an unknown character derives.
+        vocab = [(p, x) if t == NORMAL else (f"{i} {p}", 0.0) for i, (p, x, t) in enumerate(zip(model.pieces, model.scores, model.types))]
+        core = models.Unigram(vocab, model.unk_id, False)
     elif model.model_type == BPE:
         vocab = {p: i for i, p in enumerate(model.pieces)}
         usable = {p for p, t in zip(model.pieces, model.types) if t in (NORMAL, USER_DEFINED, UNUSED)}
@@ -119,7 +127,7 @@ def build(model: Model):
         raise ValueError(f"model type {model.model_type} is neither unigram nor BPE")
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.remove_extra:
-        steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     if model.escape:
@@ -153,8 +161,11 @@ class Codec:
         m = self.model
         # Chunks need: no normaliser but the marker, and no piece with a marker (or newline) behind something else.
         inner = any(MARK in p.lstrip(MARK) for p, t in zip(m.pieces, m.types) if t == NORMAL)
-        self.chunked = not inner and not m.charsmap and not m.remove_extra and m.dummy_prefix and m.escape
-        self.newline = not any("\n" in p and len(p) > 1 for p in m.pieces)
+        plain = {p for p, t in zip(m.pieces, m.types) if t == NORMAL}
+        self.chunked = MARK in plain and not inner and not m.charsmap and not m.remove_extra and m.dummy_prefix and m.escape
+        self.fallback = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(m.pieces, m.types)) if t == BYTE} if m.model_type == UNIGRAM and m.byte_fallback else {}
+        # A newline is a chunk's edge if it is known: unknown characters in a row are one unknown piece.
+        self.newline = (m.byte_fallback or "\n" in plain) and not any("\n" in p and len(p) > 1 for p in m.pieces)
         out = []
         for p, t in zip(m.pieces, m.types):
             out.append(bytes([int(p[3:5], 16)]) if t == BYTE else UNKNOWN_TEXT.encode() if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode())
@@ -164,12 +175,26 @@ class Codec:
         self._forget()
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.pipeline.encode_batch_fast(texts, add_special_tokens=False)]
+        # The fast form keeps no surfaces, which bytes are made from.
+        encode = self.pipeline.encode_batch if self.fallback else self.pipeline.encode_batch_fast
+        encodings = encode(texts, add_special_tokens=False)
+        found = [x.ids for x in encodings]
+        if self.fallback:
+            unknown = self.model.unk_id
+            found = [self._with_bytes(x) if unknown in ids else ids for x, ids in zip(encodings, found)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
 
-    def _look_up(self, keys: np.ndarray, chunks) -> tuple[np.ndarray, np.ndarray]:
-        """Where in ``_flat`` each distinct chunk's ids are and how many; ``chunks`` gives (bytes, leads a text) of new ones."""
+    def _with_bytes(self, encoding) -> list[int]:
+        """Ids with what no piece covers as bytes."""
+        out: list[int] = []
+        for i, token in zip(encoding.ids, encoding.tokens):
+            out += [self.fallback[b] for b in token.encode()] if i == self.model.unk_id else [i]
+        return out
+
+    def _look_up(self, keys: np.ndarray, other: np.ndarray, chunks) -> tuple[np.ndarray, np.ndarray] | None:
+        """Where in ``_flat`` each distinct chunk's ids are and how many; ``chunks`` gives (bytes, leads a text) of new ones.
+        None if a key is known with another second half."""
         if len(self._known) > REMEMBERED:
             self._forget()
         at = np.searchsorted(self._known, keys)
@@ -178,14 +203,14 @@ class Codec:
             begin, size = self._chunk_ids(chunks(new))
             known = np.concatenate((self._known, keys[new]))
             order = np.argsort(known, kind="stable")
-            self._known = known[order]
+            self._known, self._other = known[order], np.concatenate((self._other, other[new]))[order]
             self._begin, self._count = np.concatenate((self._begin, begin))[order], np.concatenate((self._count, size))[order]
             at = np.searchsorted(self._known, keys)
-        return self._begin[at], self._count[at]
+        return (self._begin[at], self._count[at]) if (self._other[at] == other).all() else None
 
     def _forget(self) -> None:
-        self._known, self._begin, self._count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._flat = np.array([self.model.pieces.index(MARK) if MARK in self.model.pieces else self.model.unk_id], np.int32)
+        self._known, self._other, self._begin, self._count = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._flat = np.array([self.model.pieces.index(MARK) if self.chunked else self.model.unk_id], np.int32)
 
     def _chunk_ids(self, chunks: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
         """Encodes chunks into ``_flat``. The pipeline sets a marker before each: before a text's first chunk as it
@@ -215,8 +240,7 @@ class Codec:
         data, off = buffers(texts)
         raw = data.tobytes()
         if not self.chunked or MARK.encode() in raw:
-            flat, size = self._ids([raw[a:b].decode() for a, b in zip(off, off[1:])])
-            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
+            return self._whole(raw, off)
         space = data == 32
         start = space.copy()
         start[1:] &= ~space[:-1]
@@ -231,8 +255,14 @@ class Codec:
         lead = np.zeros(len(at), bool)
         lead[np.searchsorted(at, first)] = True
         key = hashed(data, at, end) ^ np.where(lead, U(0x5851F42D4C957F2D), U(0))
+        other = hashed(data, at, end, half=1)
         distinct, which, inverse = np.unique(key, return_index=True, return_inverse=True)
-        begin, size = self._look_up(distinct, lambda m: [(raw[a:b], c) for a, b, c in zip(at[which[m]].tolist(), end[which[m]].tolist(), lead[which[m]].tolist())])
+        found = None
+        if (other[which][inverse] == other).all():
+            found = self._look_up(distinct, other[which], lambda m: [(raw[a:b], c) for a, b, c in zip(at[which[m]].tolist(), end[which[m]].tolist(), lead[which[m]].tolist())])
+        if found is None:  # chunks that differ share half a key
+            return self._whole(raw, off)
+        begin, size = found
         flat = self._flat
         n = size[inverse]
         total = np.cumsum(n)
@@ -240,6 +270,10 @@ class Codec:
         cut = np.concatenate(([0], total))[np.searchsorted(at, off)]
         return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
 
+    def _whole(self, raw: bytes, off: np.ndarray) -> pa.ListArray:
+        flat, size = self._ids([raw[a:b].decode() for a, b in zip(off, off[1:])])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
+
     def decode(self, ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the texts of each list of ids."""
         flat, off = np.asarray(ids.flatten()), np.asarray(ids.offsets).astype(np.int64)
@@ -295,7 +329,11 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
 
 
 def decoded(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """doc_id and text of rows that hold ids; null ids give the empty text."""
+    """doc_id and text of rows that hold ids; other columns are ignored.
+
+    Null and empty ids give the empty text, bytes that are not UTF-8 the replacement character. Repeated rows give
+    repeated results, an empty table an empty result; an id beyond the vocabulary or null within a list is an error.
+    """
     with open(model_path, "rb") as f:
         data = f.read()
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -77,15 +78,66 @@ def test_op1_brute_force(spark, docs, none):
 
 
 def test_op2_targets_and_draws(spark, docs, none):
-    got = mixing.mix_sources(docs).cache()
+    got = mixing.mix_sources(docs, docs_per_block=2, blocks_per_shard=2).cache()
     taken = got.where("copy is not null").groupBy("source", "target").agg(F.sum("size").alias("n"), F.max("size").alias("most")).collect()
     assert taken and all(abs(r.n - r.target) <= r.most for r in taken)
-    assert got.where("copy > 1").count() == 0
-    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix_sources(docs.repartition(3)).collect()))
-    assert mixing.mix_sources(none).count() == 0
-    assert mixing.targets([10, 10, 1], [3, 1, 2], 1.5, 2) == [20.0, 9.5, 2.0]
-    split = mixing.split_tree(np.array([10, 0, 33]), 7, 1)
-    assert split.sum(0).tolist() == [10, 0, 33] and split.sum(1).max() - split.sum(1).min() <= 1
+    assert got.where("copy > 1").count() == 0 and got.select("row").distinct().count() == len(fixture_rows())
+    again = mixing.mix_sources(docs.repartition(3), docs_per_block=2, blocks_per_shard=2)
+    assert sorted(map(str, got.drop("row").collect())) == sorted(map(str, again.drop("row").collect()))
+    assert mixing.mix_sources(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+
+
+def test_op2_targets(spark):
+    def targets(sizes, weights, share, most):
+        left, out, free = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
+        while free:
+            w = sum(weights[i % len(weights)] for i in free)
+            over = {i for i in free if left * weights[i % len(weights)] / w > most * sizes[i]}
+            out = [left * weights[i % len(weights)] / w if i in free - over else most * sizes[i] if i in over else out[i] for i in range(len(sizes))]
+            if not over:
+                break
+            left, free = left - sum(out[i] for i in over), free - over
+        return out
+
+    rng = np.random.default_rng(7)
+    for sizes in ([10, 10, 1], [0, 5, 0, 7], *(rng.integers(0, 1000, n).tolist() for n in (1, 4, 30))):
+        for share in (1.5, 2.0):
+            found = mixing.source_targets(spark.createDataFrame(list(enumerate(sizes)), "rank long, size long"), (3, 1, 2), share, 2.0)
+            assert np.allclose([r.target for r in found.orderBy("rank").collect()], targets(sizes, (3, 1, 2), share, 2.0))
+
+
+def test_op2_tree():
+    split = mixing.split_tree(np.array([10, 0, 33]), 0, 7, 1)
+    assert [x[:2] for x in split] == [(i, i + 1) for i in range(7)]
+    counts = np.array([x[2] for x in split])
+    assert counts.sum(0).tolist() == [10, 0, 33] and counts.sum(1).max() - counts.sum(1).min() <= 1
+    # In steps of levels as at once.
+    steps = [y for lo, hi, c in mixing.split_tree(np.array([10, 0, 33]), 0, 7, 1, 1) for y in mixing.split_tree(c, lo, hi, 1)]
+    assert [(x[0], x[2].tolist()) for x in steps] == [(x[0], x[2].tolist()) for x in split]
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((5, 7, 6), (400, 30, 100), (3, 10**12, 10**11), (5 * 10**11, 10**12, 10**6)):
+        draws = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(300)])
+        mean = n * good / (good + bad)
+        dev = np.sqrt(mean * bad / (good + bad) * (good + bad - n) / (good + bad - 1))
+        assert abs(draws.mean() - mean) < 5 * dev / np.sqrt(300) and draws.min() >= max(0, n - bad) and draws.max() <= min(n, good)
+
+
+def test_op2_shards_hold_what_the_tree_gives(spark):
+    rows = [(i, "word " * (i % 7 + 1), f"s{i % 3 if i % 2 else 0}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` long")
+    got = mixing.mix_sources(df, docs_per_block=4, blocks_per_shard=8).where("copy is not null")
+    # A block is drawn once a pass, and shards differ by what blocks weigh only.
+    assert got.groupBy("row", "copy").count().where("count > 1").count() == 0
+    per = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert len(per) > 10 and max(per) < 4 * 8 * 3
+    mixed = mixing.mixed_documents(df, docs_per_block=4, blocks_per_shard=8)
+    assert mixed.columns == df.columns
+    where = {(r.doc_id): r.shard for r in got.where("copy = 0").collect()}
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in got.collect())
+    once = [i for i, c in Counter(r.doc_id for r in got.collect()).items() if c == 1]
+    for part in mixed.rdd.glom().collect():  # shard by shard
+        order = [where[r.doc_id] for r in part if r.doc_id in set(once)]
+        assert order == sorted(order)
 
 
 def brute_scores(rows):
@@ -204,6 +256,49 @@ def test_op4_parity_on_random_texts(spark):
     assert {r.doc_id: list(r.ids) for r in tokens} == {i: theirs.encode(x) for i, x in rows}
 
 
+def field(number, value):
+    """A protobuf field of bytes, a float or a number."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    if isinstance(value, bytes):
+        return varint(number << 3 | 2) + varint(len(value)) + value
+    return varint(number << 3 | 5) + struct.pack("<f", value) if isinstance(value, float) else varint(number << 3) + varint(value)
+
+
+def unigram_model(fallback, remove_extra, charsmap=b""):
+    """A unigram model by hand: nothing is trained."""
+    rng = np.random.default_rng(9)
+    special = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("gone", -1.0, 5), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback)]
+    normal = ["\u2581", "\u2581the", "ing", "the", "an", "\u2581a", "\u2581an", "rin", "sing", "st", "<", ">", "</", "\u4e2d", "\u2581x", "0x", "go", "ne", *"abcdefghinorst0123456789A"]
+    pieces = special + [(p, float(-rng.uniform(2, 12)), 1) for p in normal]
+    body = b"".join(field(1, field(1, p.encode()) + field(2, x) + field(3, t)) for p, x, t in pieces)
+    return body + field(2, field(3, 1) + (field(35, 1) if fallback else b"")) + field(3, field(2, charsmap) + field(3, 1) + field(4, int(remove_extra)) + field(5, 1))
+
+
+@pytest.mark.parametrize("fallback, remove_extra", [(True, False), (False, False), (True, True)])
+def test_op4_unigram_parity(spark, tmp_path, fallback, remove_extra):
+    import sentencepiece
+
+    data = unigram_model(fallback, remove_extra)
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = np.random.default_rng(4)
+    symbols = list("aeinorst019A") + [" ", "  ", "\n", "é", "中", "文", "🙂", "<s>", "</s>", "<unk>", "<0x0A>", "gone", "the", "ing", " the"]
+    texts = ["<s>", "a <s> b</s>", "gone", "<0x0A>", "", " ", "🙂🙂 中文", *("".join(rng.choice(symbols, rng.integers(0, 40))) for _ in range(300))]
+    (tmp_path / "m.model").write_bytes(data)
+    tokens = sentencepieces.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "m.model"))
+    rows = tokens.collect()
+    assert {r.doc_id: list(r.ids) for r in rows} == {i: theirs.encode(x) for i, x in enumerate(texts)}
+    if fallback and not remove_extra:
+        assert all(r.round_trip for r in rows)
+    back = {r.doc_id: r.text for r in sentencepieces.decoded(tokens, str(tmp_path / "m.model")).collect()}
+    assert back == {i: theirs.decode(theirs.encode(x)) for i, x in enumerate(texts)}
+
+
+def test_op4_user_defined_pieces_are_an_error():
+    data = unigram_model(True, False) + field(1, field(1, b"own") + field(2, 0.0) + field(3, 4))
+    with pytest.raises(ValueError, match="user-defined"):
+        sentencepieces.check_parity(data)
+
+
 def test_op5_brute_force(spark, docs, none):
     rows = fixture_rows()
     sets = []
@@ -358,6 +453,6 @@ def test_pipeline_stages(spark):
     assert good.columns == docs.columns and good.join(bad, "doc_id").count() == 0
     assert good.count() + bad.count() == docs.count()
     mixed = corpus_pipeline.mixing(spark, docs, SF)
-    plan = mixing.mix_sources(docs.select("doc_id", "text", "source")).where("copy is not null")
+    plan = mixing.mix_sources(docs).where("copy is not null")
     assert mixed.columns == docs.columns
     assert Counter(r.doc_id for r in mixed.select("doc_id").collect()) == Counter(r.doc_id for r in plan.select("doc_id").collect())
