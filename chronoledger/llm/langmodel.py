@@ -47,6 +47,10 @@ for _i in range(256):
     _PLACES[_i, : len(_on)] = _on
 
 
+#: Entries that are searched at once.
+_BLOCK = 1 << 16
+
+
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary with the ones before each word, all read in place."""
 
@@ -213,6 +217,13 @@ def _spread(shard: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(shard[a]), int(a), int(b)) for a, b in zip(first, [*first[1:], len(shard)])]
 
 
+def _by_shard(shard: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by shard, then key."""
+    order = np.argsort(key)
+    small = shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard
+    return order[np.argsort(small[order], kind="stable")]
+
+
 class _Words:
     """A chunk's tokens (words, then the end of each text) and its distinct words in the order in which it asks for them."""
 
@@ -225,11 +236,21 @@ class _Words:
         self.off = word_off + np.arange(len(word_off))
         self.doc = np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
         self.train = ~np.asarray(table["held_out"].combine_chunks())[self.doc]
-        order = np.lexsort((two, one, plan.shard(one)))
-        new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)] if len(order) else np.zeros(0, bool)
-        self.inverse = np.empty(len(order), np.int64)
-        self.inverse[order] = np.cumsum(new) - 1
-        self.one, self.two = one[order][new], two[order][new]
+        found = pa.array(one).dictionary_encode()
+        at, one_of = np.asarray(found.indices).astype(np.int64), np.asarray(found.dictionary)
+        two_of = np.zeros(len(one_of), np.uint64)
+        two_of[at] = two
+        if (two_of[at] != two).any():  # words that share the first half
+            order = np.lexsort((two, one))
+            new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]
+            at[order] = np.cumsum(new) - 1
+            one_of, two_of = one[order][new], two[order][new]
+            order = np.lexsort((two_of, one_of, plan.shard(one_of)))
+        else:
+            order = _by_shard(plan.shard(one_of), one_of)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.inverse, self.one, self.two = place[at], one_of[order], two_of[order]
         self.count = np.bincount(self.inverse, self.train, minlength=len(self.one)).astype(np.int64)
         self.runs = _spread(plan.shard(self.one))
 
@@ -245,7 +266,7 @@ class _Words:
             kept = np.unpackbits(np.frombuffer(kept, np.uint8), count=b - a).astype(bool)
             ids[a:b][kept] = unpack(ranks).astype(np.int64) * plan.shards + s + BEGIN + 1
             counts[a:b] = unpack_plain(n)
-        self.word, self.occurs = ids[self.inverse], counts[self.inverse]
+        self.ids, self.word, self.occurs = ids, ids[self.inverse], counts[self.inverse]
 
 
 def _count_words(plan: _Plan):
@@ -277,17 +298,21 @@ class _Grams:
     Every context is asked for, with its training occurrences, in all its buckets: their left-over masses add up.
     """
 
-    def __init__(self, plan: _Plan, context: np.ndarray, child: np.ndarray, train: np.ndarray, occurs: np.ndarray):
-        self._on = np.flatnonzero(context != NONE)
-        at = self._on
-        distinct, first, self._which = np.unique(context[at], return_index=True, return_inverse=True)
-        total = np.bincount(self._which, train[at], minlength=len(distinct)).astype(np.int64)
-        self._buckets = 1 + occurs[at][first].astype(np.int64) // plan.bucket
+    def __init__(self, plan: _Plan, context: np.ndarray, ids: np.ndarray, child: np.ndarray, train: np.ndarray, occurs: np.ndarray):
+        """``context`` is each token's place among ``ids``; places of NONE are no context."""
+        self._on = at = np.flatnonzero(ids[context] != NONE)
+        context = context[at]
+        total = np.bincount(context, train[at], minlength=len(ids)).astype(np.int64)
+        buckets = np.zeros(len(ids), np.int64)
+        buckets[context] = 1 + occurs[at].astype(np.int64) // plan.bucket
+        there = np.flatnonzero(buckets)
+        self._which = (np.cumsum(buckets > 0) - 1)[context]
+        distinct, total, self._buckets = ids[there], total[there], buckets[there]
         self._first = np.cumsum(self._buckets) - self._buckets
         owner = np.repeat(np.arange(len(distinct)), self._buckets)
         key = distinct[owner].astype(np.uint64) << U(BUCKET_BITS) | (np.arange(len(owner)) - self._first[owner]).astype(np.uint64)
         shard = plan.shard(key)
-        order = np.lexsort((key, shard))
+        order = _by_shard(shard, key)
         self._place = np.empty(len(order), np.int64)
         self._place[order] = np.arange(len(order))
         self._key, self._total, self._runs = key[order], total[owner[order]], _spread(shard[order])
@@ -307,7 +332,7 @@ class _Grams:
         return out
 
     def answered(self, plan: _Plan, mail: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By token: the discounted probability (0: not kept), the mass left to the lower order (1: no context) and the pair's id."""
+        """By token: the discounted probability (0: not kept), the mass left to the lower order (1: no context) and the pair's place in ``ids``."""
         rows = {s: r for s, *r in zip(*(mail[c].to_pylist() for c in ("shard", "a", "b", "c", "d")))}
         codes, ids = np.zeros(len(self._pair), np.uint8), np.zeros(len(self._pair), np.int64)
         used, total = np.zeros(len(self._key)), np.ones(len(self._key))
@@ -323,7 +348,8 @@ class _Grams:
         own, left, pair = np.zeros(n), np.ones(n), np.zeros(n, np.int64)
         left[self._on] = (1 - mass)[self._which]
         own[self._on[self._has]] = BOOK[codes[self._inverse]]
-        pair[self._on[self._has]] = ids[self._inverse]
+        pair[self._on[self._has]] = self._inverse + 1
+        self.ids = np.append(NONE, ids)
         return own, left, pair
 
 
@@ -346,14 +372,18 @@ def _count_grams(plan: _Plan, discount: float):
         count = np.bincount(which, count, minlength=len(distinct)).astype(np.int64)
         place, child = (distinct >> U(CHILD_BITS)).astype(np.int64), distinct & U((1 << CHILD_BITS) - 1)
         raw = Level.build(contexts, totals, place, child, count, discount)
-        level, out, low = Level(raw), [(shard, -1, raw)], 0
-        for i, p in enumerate(table["p"].to_pylist()):
-            mine = pairs[low : low + sizes[i]]
-            low += sizes[i]
-            here = level.contexts.find(asked[i])
-            found = level.find((mine >> U(CHILD_BITS)).astype(np.int64), mine & U((1 << CHILD_BITS) - 1))
-            codes = np.where(found >= 0, level.codes[found], 0) if len(level.codes) else np.zeros(len(mine), np.int64)
-            out.append((shard, p, pack_plain(codes), pack(found[found >= 0]), pack_plain(level.totals[here]), pack_plain(level.lefts[here])))
+        level, out = Level(raw), [(shard, -1, raw)]
+        here = level.contexts.find(contexts)
+        codes, found = np.zeros(len(distinct), np.int64), np.full(len(distinct), -1, np.int64)
+        for i in range(0, len(distinct), _BLOCK):
+            part = slice(i, i + _BLOCK)
+            found[part] = level.find(here[place[part]], child[part])
+        codes[found >= 0] = level.codes[found[found >= 0]]
+        ends = np.cumsum([0, *sizes])
+        for p, a, b, x, y in zip(table["p"].to_pylist(), cut, cut[1:], ends, ends[1:]):
+            mine, asker = which[x:y], here[at[a:b]]
+            rank = found[mine]
+            out.append((shard, p, pack_plain(codes[mine]), pack(rank[rank >= 0]), pack_plain(level.totals[asker]), pack_plain(level.lefts[asker])))
         return _mail(out)
 
     return run
@@ -371,24 +401,24 @@ class _Chunk:
         part = lambda level: mail.filter(pc.equal(mail["level"], level))
         w = self.words
         w.answered(plan, part(1))
-        n = len(w.word)
-        self.before, place = np.zeros(n, np.int64), np.arange(n) - np.repeat(w.off[:-1], np.diff(w.off))
-        self.before[1:] = w.word[:-1]
-        self.before[place == 0] = BEGIN
+        n, first = len(w.word), w.off[:-1]
+
+        def previous(x: np.ndarray, begin) -> np.ndarray:
+            out = np.empty_like(x)
+            out[1:] = x[:-1]
+            out[first] = begin
+            return out
+
         # Occurrences of the token before, exact, deal its pairs into buckets.
-        occurs = np.zeros(n, np.int64)
-        occurs[1:] = w.occurs[:-1]
-        occurs[place == 0] = plan.docs
-        self.two = _Grams(plan, self.before, w.word, w.train, occurs)
+        occurs, ids = previous(w.occurs, plan.docs), np.append(w.ids, BEGIN)
+        self.two = _Grams(plan, previous(w.inverse, len(w.ids)), ids, w.word, w.train, occurs)
         answers = part(2)
         if not answers.num_rows:
             return
         self.own2, self.left1, pair = self.two.answered(plan, answers, n)
-        context, often = np.zeros(n, np.int64), np.zeros(n)
-        context[1:], often[1:] = pair[:-1], (self.own2 * occurs)[:-1] + DISCOUNT[0]
-        context[place == 0] = NONE
+        often = previous(self.own2 * occurs + DISCOUNT[0], 0)
         # A trigram is as rare as either of its bigrams: only where both are kept can it be kept.
-        self.three = _Grams(plan, context, np.where(self.own2 > 0, w.word, NONE), w.train, often)
+        self.three = _Grams(plan, previous(pair, 0), self.two.ids, np.where(self.own2 > 0, w.word, NONE), w.train, often)
         answers = part(3)
         if answers.num_rows:
             self.own3, self.left2, _ = self.three.answered(plan, answers, n)
