@@ -78,9 +78,8 @@ def resampled(x: np.ndarray) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
-    """Frames x MELS; at least one frame."""
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    """Frames x MELS; at least one frame, and every sample is in a frame (the last is padded by silence)."""
+    x = np.pad(x, (0, max(FRAME - len(x), (FRAME - len(x)) % HOP)))
     view = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     parts = []
     for i in range(0, len(view), 4096):
@@ -143,9 +142,9 @@ def text_media(docs: DataFrame) -> DataFrame:
 _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, spans array<double>, tensors binary"
 
 
-def _analyse(schema: pa.Schema, with_tensors: bool):
+def _analyse(schema: pa.Schema):
     def run(batches):
-        for batch in slices(batches, "media", 16 << 20):
+        for batch in slices(batches, "media", 8 << 20):
             rows = []
             for media in batch["media"].to_pylist():
                 media = media or b""
@@ -158,7 +157,7 @@ def _analyse(schema: pa.Schema, with_tensors: bool):
                     (
                         len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(),
                         f"frames={len(mel)};segments={len(cut)};active={int((cut[:, 1] - cut[:, 0]).sum())};levels={levels};crc={zlib.crc32(coarse.tobytes()):08x}",
-                        seconds(cut).ravel().tolist(), tensors(mel) if with_tensors else None,
+                        seconds(cut).ravel().tolist(), tensors(mel),
                     )
                 )
             new = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
@@ -168,7 +167,7 @@ def _analyse(schema: pa.Schema, with_tensors: bool):
     return run
 
 
-def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
+def audio_features(media: DataFrame) -> DataFrame:
     """Features of every WAV file in ``media`` (doc_id, n_bytes, media).
 
     payload_bytes, payload_sha256, tail_crc32 (of the last 32 payload bytes) and the features come from the bytes
@@ -178,9 +177,10 @@ def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
     """
     base = media.select("doc_id", "n_bytes", "media")
     kinds = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("spans", pa.list_(pa.float64())), ("tensors", pa.binary())])
-    return base.mapInArrow(_analyse(kinds, with_tensors), "doc_id long, n_bytes long, " + _FEATURES)
+    return base.mapInArrow(_analyse(kinds), "doc_id long, n_bytes long, " + _FEATURES)
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' texts as media: sizes, digests of what is read back, and features."""
-    return audio_features(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), with_tensors=False).drop("tensors")
+    """All documents' texts as media: sizes, digests of what is read back, features, and the digest of the tensors."""
+    found = audio_features(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return found.withColumn("tensors_sha256", F.sha2("tensors", 256)).withColumn("tensors_bytes", F.octet_length("tensors").cast("long")).drop("tensors")

@@ -276,4 +276,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     found = near_duplicates(spark, docs)
     gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,15 +4,21 @@ Candidates are found by one pattern; numbers and dates are validated (Luhn, mod
 ones are replaced. A value's letters and digits are the symbols of a Feistel network: in each round one half is
 shifted, symbol by symbol within its class (digit, lower, upper), by a keyed digest of the other half. So a pseudonym
 has the format of its value, the mapping is a permutation under the key, and equal values stay linked across documents.
+Where not every string of a format is valid, the network is applied again until a valid one comes up, which permutes the
+valid ones among themselves.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: The session setting that holds the secret key, and how often at most a network is applied again.
+KEY_SETTING, WALK = "spark.chronoledger.pii.key", 64
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Characters of an IBAN after its check digits, by country: in printed groups only the length tells where it ends.
 _IBAN = {
     11: "NO", 12: "BE", 14: "DK|FI|FK|FO|GL|NL|SD", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|MN|XK", 17: "CH|HR|LI|LV",
@@ -27,7 +33,7 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ssn": r"(?<![\d-])(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{_GROUPED})(?![A-Za-z0-9])",
 }
 # A card's candidate is the whole run of digit groups, up to where another kind of value begins.
@@ -79,6 +85,13 @@ def _feistel_number(left: Column, right: Column, modulus: int, key: str, finish)
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, finish)
 
 
+def _walk(start: Column, move, ok) -> Column:
+    """``move`` applied to a valid value until the result is ``ok`` again: a permutation of the valid values."""
+    zero = F.struct(start.alias("v"), F.lit(False).alias("done"))
+    again = lambda s: _let(move(s["v"]), lambda v: F.struct(v.alias("v"), ok(v).alias("done")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), zero, lambda s, _: F.when(s["done"], s).otherwise(again(s)), lambda s: s["v"])
+
+
 def _symbols(value: Column) -> Column:
     return F.regexp_replace(value, "[^A-Za-z0-9]", "")
 
@@ -181,7 +194,13 @@ def _email(v: Column, key: str) -> Column:
     return F.concat(_fill(local, feistel(_symbols(local), key)), F.lit("@"), _fill(domain, feistel(_symbols(domain), key + "@")), F.lit("."), top)
 
 
+def _ssn(v: Column, key: str) -> Column:
+    """A social security or taxpayer number that can have been given out (``PATTERNS`` finds no other) becomes another."""
+    return _fill(v, _walk(_symbols(v), lambda x: feistel(x, key), lambda x: x.rlike(r"^(?!000|666)\d{3}(?!00)\d{2}(?!0000)\d{4}$")))
+
+
 def _phone(v: Column, key: str) -> Column:
+    """The country stays; the format is all that tells a phone number."""
     country = F.regexp_extract(v, r"^(\+\d{1,3}[ .-]?)(?=[(\d])", 1)
     rest = F.substring(v, F.length(country) + 1, F.length(v))
     return F.concat(country, _fill(rest, feistel(_symbols(rest), key)))
@@ -194,18 +213,23 @@ def _ip(v: Column, key: str) -> Column:
 
 
 def _date(v: Column, key: str) -> Column:
-    """The first form that reads the value as a day; day before month where both would do."""
+    """A day becomes another day in the same form.
+
+    With slashes, day before month is read where both would do. What only reads as month before day has a day after
+    the 12th, and so has its pseudonym: the two readings never give the same text.
+    """
     found = F.lit(None).cast("string")
     for form in ("MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-MM-dd"):
         shape = "^" + form.replace("MM", r"\d{2}").replace("dd", r"\d{2}").replace("yyyy", r"\d{4}").replace(".", r"\.") + "$"
         day = F.datediff(F.try_to_timestamp(F.when(v.rlike(shape), v), F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
         found = F.when(day.between(0, DAYS - 1), F.concat_ws("|", day.cast("string"), F.lit(form))).otherwise(found)
+    date = lambda day: F.date_add(F.lit(FIRST_DAY).cast("date"), day)
+    move = lambda day: _feistel_number(F.floor(day / 256), day % 256, 256, key, lambda s: (s["l"] * 256 + s["r"]).cast("int"))
 
     def moved(f: Column) -> Column:
         day, form = F.split_part(f, F.lit("|"), F.lit(1)).cast("int"), F.split_part(f, F.lit("|"), F.lit(2))
-        new = _feistel_number(F.floor(day / 256), day % 256, 256, key, lambda s: (s["l"] * 256 + s["r"]).cast("int"))
-        as_date = F.date_add(F.lit(FIRST_DAY).cast("date"), new)
-        return _let(as_date, lambda d: F.replace(F.replace(F.replace(form, F.lit("yyyy"), F.date_format(d, "yyyy")), F.lit("MM"), F.date_format(d, "MM")), F.lit("dd"), F.date_format(d, "dd")))
+        new = _walk(day, move, lambda d: (form != "MM/dd/yyyy") | (F.dayofmonth(date(d)) > 12))
+        return _let(date(new), lambda d: F.replace(F.replace(F.replace(form, F.lit("yyyy"), F.date_format(d, "yyyy")), F.lit("MM"), F.date_format(d, "MM")), F.lit("dd"), F.date_format(d, "dd")))
 
     return _let(found, lambda f: F.when(f.isNotNull(), moved(f)).otherwise(v))
 
@@ -220,7 +244,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(is_("ip"), counted(_ip(value, key + "ip")))
         .when(is_("date"), counted(_date(value, key + "date")))
         .when(is_("phone"), counted(_phone(value, key + "phone")))
-        .when(is_("ssn"), counted(_fill(value, feistel(_symbols(value), key + "ssn"))))
+        .when(is_("ssn"), counted(_ssn(value, key + "ssn")))
         .when(is_("card"), _cards(value, key + "card"))
         .when(is_("iban"), _iban(value, key))
         .otherwise(counted(generic))
@@ -230,7 +254,8 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     """``docs`` with the values in ``text`` replaced by pseudonyms under ``key``; all other columns as they are.
 
-    Replaced are e-mail addresses, IPv4 addresses, phone numbers, social security numbers, card numbers that pass
+    Replaced are e-mail addresses, IPv4 addresses (no leading zeros), phone numbers of ten digits
+    (by their format), social security and taxpayer numbers that can have been given out, card numbers that pass
     Luhn (their check digit is set anew, their first digit kept; anywhere in a run of digit groups), IBANs that pass
     mod 97 (in one piece or, of the countries in ``_IBAN``, with single spaces), calendar dates from 1900-01-01 to
     2079-06-05 and secrets given as token, secret, password or api key. Candidates that fail their check
@@ -240,7 +265,9 @@ def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFr
     every = "|".join(PATTERNS.values())
     # Most texts hold neither a digit nor an @: they are passed on untouched.
     some = F.col("text").rlike(r"[0-9@]|(?i:token|secret|password|api_?key)\s{0,2}[=:]")
-    found, made, order = "__pii_found", "__pii_made", docs.columns
+    order = docs.columns
+    taken = {c.lower() for c in order}
+    found, made = (next(n for i in range(len(order) + 1) if (n := f"{name}{i}") not in taken) for name in ("pii_found", "pii_made"))
     out = docs.withColumn(found, F.when(some, F.regexp_extract_all("text", F.lit(every), F.lit(0))))
     out = out.withColumn(made, F.when(F.size(found) > 0, F.transform(found, lambda v: pseudonym(v, key))))
     gaps = F.split("text", every, -1)
@@ -253,6 +280,14 @@ def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFr
     return out.select(*[F.col(f"`{c}`") for c in order], *extra)
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key of ``KEY_SETTING``. Unset it is a public word, so that runs agree, and pseudonyms can be undone by anyone."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms under the public key protect nobody", stacklevel=2)
+    return found or "public"
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, text with pseudonyms, n_values replaced."""
-    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "key-1", "n_values")
+    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), secret_key(spark), "n_values")

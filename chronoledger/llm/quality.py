@@ -3,7 +3,7 @@
 Statistics of the text alone (lengths, shares of character classes, repetition) are standardised and mapped to
 cos(Wx + b), whose inner products approximate a Gaussian kernel. Normal equations are summed by partition and solved
 on the driver (their size depends on the number of features only); scores are calibrated by isotonic regression on a
-histogram of fixed size.
+histogram of fixed size, over labelled rows that the ridge was not fitted on.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from .words import buffers, hashed, ids, slices, spans, windows
 #: Random features, ridge penalty per row, bins of the calibration, and the bound on labelled rows that are fitted.
 FEATURES, RIDGE, BINS, MAX_LABELLED = 256, 1e-4, 1000, 1_000_000
 KEEP_FROM = 0.7
-_PARTS = 16
+#: Parts of the labelled rows, and every which of them calibrates.
+_PARTS, CALIBRATE = 16, 5
 
 _CLASS = np.full(256, 9, np.uint8)
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"-()", b"!?", b"|", b"#$%&*@^~=+_<>{}[]\\/")):
@@ -138,17 +139,23 @@ def _summed(rows: DataFrame, moments) -> np.ndarray | None:
     return sum(parts[1:], parts[0].copy()) if parts else None
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> QualityModel | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> QualityModel | None:
     """Fits on labelled rows whose crc32(doc_id) mod 4 is not 2; None without any. Null labels are no labels.
 
-    At most about ``max_labelled`` rows, drawn by a hash of the id, are used.
+    At most about ``max_labelled`` rows, drawn by a hash of the id, are used, so their ids can be broadcast; only texts
+    that have one are measured. One row in ``CALIBRATE``, by a hash of the id, calibrates and is not fitted; where
+    there is none of either kind, all rows do both.
     """
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     use = use.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 4) != 2))
     n = use.count()
     if n > max_labelled:
         use = use.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
-    rows = written(use.join(stats, "doc_id").select("x", "quality").repartition(_PARTS), "labelled")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(use.select("doc_id").distinct()), "doc_id", "left_semi")
+    side = (F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(CALIBRATE)) == 0).alias("calibrates")
+    whole = written(measured(some).join(F.broadcast(use), "doc_id").select("x", "quality", side).repartition(_PARTS), "labelled")
+    fits, calibrates = whole.where("not calibrates"), whole.where("calibrates")
+    rows, checked = (fits, calibrates) if fits.take(1) and calibrates.take(1) else (whole, whole)
     first = _summed(rows, lambda x, y: np.concatenate((x.sum(0), (x**2).sum(0), [len(x), y.sum()])))
     if first is None:
         return None
@@ -172,7 +179,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
         at = np.clip(((model.raw(x) + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
         return np.concatenate((np.bincount(at, minlength=BINS), np.bincount(at, y, minlength=BINS)))
 
-    h = _summed(rows, histogram)
+    h = _summed(checked, histogram)
     there = np.flatnonzero(h[:BINS])
     level = _isotonic(h[BINS:][there] / h[:BINS][there], h[:BINS][there])
     model.knots, model.levels = (there + 0.5) / BINS * 2 - 0.5, level
@@ -202,13 +209,15 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts. A null doc_id has no label and is not held out. Without labelled rows every score is 1. An empty table
     gives an empty result.
     """
-    stats = written(measured(docs), "statistics")
-    return quality_scores(stats, fit_quality(stats, labels))
+    return quality_scores(measured(docs), fit_quality(docs, labels))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier does not reject."""
-    model = fit_quality(written(measured(docs), "statistics"), labels)
+    """The rows of ``docs``, with all their columns, that the classifier does not reject.
+
+    Null and empty texts are judged as empty ones; repeated rows alike; without labelled rows all stay. An empty table stays empty.
+    """
+    model = fit_quality(docs, labels)
     if model is None:
         return docs
 
