@@ -5,7 +5,7 @@ value in [j, j+1); a component keeps its least value. Ranks are generated level
 once every component of a document has a value, no later rank can lower one, so its elements stop there. Long
 documents stop after rank 0 or 1.
 
-Documents with equal sets are one class (node). Within a bucket (equal values in all components of a band) each class
+Documents with equal sets, by a 128-bit digest, are one class (node). Within a bucket (equal values in all components of a band) each class
 is first paired with that of the smallest doc_id; pairs whose signatures leave the threshold in
 reach are confirmed on their full shingle sets and joined into components. What remains are buckets that hold several
 components: there, every member outside the bucket's largest component is compared by signature with all members of the others, in
@@ -19,11 +19,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import partitions, written
+from ..storage import Scratch, partitions, written
 from .components import components
+from .skew import joined
 from .words import U, buffers, hashed, ids, mix, slices, spans, windows, within
 
 #: Components of a signature, bands (of COMPONENTS / BANDS components) and words of a shingle. A link at 0.75 misses
@@ -33,8 +34,8 @@ COMPONENTS, BANDS, SHINGLE, NEAR = 128, 32, 5, (75, 100)
 REACH = 66
 #: Rows and bytes of text of one block, of members or of strays, in the comparison within a bucket.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
-#: Parts that the rows of a component are dealt over when its smallest doc_id is brought to them.
-SALTS = 16
+#: Parts that the partners of a class are dealt over, for each shuffle partition.
+SALTS = 4
 
 
 def shingles(data, off) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +97,7 @@ def super_minhash(sets: np.ndarray, set_off: np.ndarray, m: int = COMPONENTS, bl
     return sig
 
 
-_SIGNED = "doc_id long, tid long, n_shingles long, node long, low binary, keys array<long>"
+_SIGNED = "doc_id long, tid long, n_shingles long, digest binary, low binary, keys array<long>"
 
 
 def _sign(batches):
@@ -116,7 +117,7 @@ def _sign(batches):
                 "doc_id": pa.array(doc_id, pa.int64(), mask=null),
                 "tid": batch["tid"],
                 "n_shingles": pa.array(np.diff(cut).astype(np.int64)),
-                "node": pa.array([int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(cut, cut[1:])], pa.int64()),
+                "digest": pa.array([hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(cut, cut[1:])], pa.binary()),
                 "low": pa.array([x.tobytes() for x in low], pa.binary()),
                 "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(doc_id) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel())),
             }
@@ -143,10 +144,10 @@ def _confirm(batches):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) linked on their full sets. A pivot with many partners is dealt over salts, each with its text."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("salt"))
+    n = partitions(pairs.sparkSession)
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS * n)).alias("salt"))
     partners = salted.join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text")
     pivots = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    n = partitions(pairs.sparkSession)
     return pivots.union(partners).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm, "a long, b long")
 
 
@@ -194,7 +195,7 @@ def _across(exact: bool):
     return run
 
 
-def _mixed(crowded: DataFrame, mine: DataFrame, found: DataFrame, exact: bool) -> DataFrame:
+def _mixed(crowded: DataFrame, mine: DataFrame, found: DataFrame, exact: bool, written=written) -> DataFrame:
     """What ``_across`` finds in the buckets that hold several components."""
     tagged = crowded.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = tagged.groupBy("key", "component").agg(F.count("*").alias("c"))
@@ -224,42 +225,50 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     component when linked. An empty table gives an empty result.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
+    with Scratch(spark) as scratch:
+        return written(_linked(base, scratch.written), "near_duplicates")
+
+
+def _linked(base: DataFrame, written) -> DataFrame:
     signed = written(base.mapInArrow(_sign, _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    # A node is a set, by its digest; rows with equal sets share one. Its first document (and which of its texts) stands for it.
-    heads = some.join(
-        some.groupBy("node").agg(F.min(F.struct("doc_id", "tid")).alias("h")).select("node", "h.doc_id", "h.tid"), ["node", "doc_id", "tid"], "left_semi"
-    ).dropDuplicates(["node"])
+    # Its first document (and which of its texts) stands for a class; its number is that of its row, which is written.
+    heads = some.groupBy("digest").agg(F.min(F.struct("doc_id", "tid", "n_shingles", "low", "keys")).alias("h"))
+    heads = written(heads.select("digest", "h.*", F.monotonically_increasing_id().alias("node")), "classes")
     banded = heads.select("node", "doc_id", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    crowded = banded.withColumn("size", F.count("*").over(bucket)).withColumn("a", F.min(F.struct("doc_id", "node")).over(bucket)["node"]).where("size > 1")
-    crowded = written(crowded.select("key", "node", "a"), "buckets")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "node")).alias("least")).where("size > 1")
+    buckets = written(buckets.select("key", "size", F.col("least.node").alias("a")), "sizes")
+    crowded = written(joined(banded.select("key", "node"), buckets, "key", "size").select("key", "node", "a"), "buckets")
     # Signatures of what shares a bucket; bands carry none.
-    near = written(heads.select("node", "doc_id", "tid", "n_shingles", "low", "keys").join(crowded.select("node").distinct(), "node", "left_semi"), "near")
+    near = written(heads.drop("digest").join(crowded.select("node").distinct(), "node", "left_semi"), "near")
     mine = near.select("node", "n_shingles", "low", "keys")
     pivot = near.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("low").alias("low_a"))
-    once = crowded.where("node <> a").select("a", "node").distinct().join(mine.drop("keys"), "node").join(pivot, "a")
-    pairs = written(once.mapInArrow(_stars, "a long, b long"), "pairs")
+    once = written(crowded.where("node <> a").select("a", "node").distinct(), "once")
+    often = written(once.groupBy("a").agg(F.count("*").alias("n")).join(pivot, "a"), "pivots")
+    pairs = joined(once.join(mine.drop("keys"), "node"), often, "a", "n").drop("n")
+    pairs = written(pairs.mapInArrow(_stars, "a long, b long"), "pairs")
     # Only what shares a bucket is read again for verification.
     texts = written(base.join(near.select("node", "doc_id", "tid").hint("merge"), ["doc_id", "tid"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     links = written(_confirmed(pairs, texts), "links")
     final = written(components(links), "components")
     # Buckets that hold several components: first each stray with its likeliest partner, then with all in reach.
     mine = mine.join(texts.withColumn("n_bytes", F.octet_length("text")), "node")
-    more = written(_mixed(crowded, mine, final, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = written(_mixed(crowded, mine, final, False, written).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.take(1):
         links = links.unionByName(written(_confirmed(more, texts), "links"))
         final = written(components(links), "components")
-    more = written(_mixed(crowded, mine, final, True), "links")
+    more = written(_mixed(crowded, mine, final, True, written), "links")
     if more.take(1):
         final = written(components(links.unionByName(more)), "components")
-    ranked = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(final, "node", "left")
-    ranked = ranked.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
-    # A component may hold a third of all rows: they are dealt over salts, and its one row of the other side goes to each.
-    smallest = ranked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("rows")).where("rows > 1")
-    smallest = smallest.select("component", "smallest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = ranked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = salted.join(smallest, ["component", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+    # The smallest doc_id of each class's component, brought to the rows of the class.
+    grouped = heads.select("digest", "doc_id", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("classes"))
+    least = joined(grouped.select("digest", "component"), written(least, "least"), "component", "classes").select("digest", "smallest")
+    copies = some.groupBy("digest").agg(F.count("*").alias("copies")).join(least, "digest")
+    ranked = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    alone = ranked.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("smallest"))
+    out = alone.unionByName(joined(ranked.where("digest is not null"), written(copies, "copies"), "digest", "copies").select("doc_id", "n_shingles", "smallest"))
+    out = out.withColumnRenamed("smallest", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

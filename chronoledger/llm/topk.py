@@ -57,8 +57,11 @@ def _search(k: int):
         width = max(q.shape[1], c.shape[1], 1)
         width = -(-width // RESOLUTIONS[-1]) * RESOLUTIONS[-1]
         q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
-        # Whole numbers below 2**53 are exact in float64; else int64.
-        small = width * np.abs(q).max(initial=0) * np.abs(c).max(initial=0) < 2**53
+        # Whole numbers below 2**53 are exact in float64; else int64, which has to hold every partial sum.
+        most = width * np.abs(q).max(initial=0) * np.abs(c).max(initial=0)
+        if most >= 2**63:
+            raise OverflowError("components too large: an inner product may exceed a long")
+        small = most < 2**53
         exact_c = c if small else c.astype(np.int64)
         half = (c * c).sum(1) / 2
         levels = [(_statistics(q, r), _statistics(c, r)) for r in RESOLUTIONS]
@@ -90,7 +93,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block:
     Both take vec_id and embedding; other columns are ignored. Vectors that are null or hold null or non-finite
     components, and rows without vec_id, take no part; shorter vectors count as padded with zeros. A query never
     meets rows of its own vec_id. Of rows that repeat a vec_id, each counts. Returns query_id, rank, vec_id, score;
-    fewer than ``k`` rows where fewer exist, none for an empty table.
+    fewer than ``k`` rows where fewer exist, none for an empty table. Components so large that an inner product may
+    exceed a long are an error, as such a score has no value to return.
     """
     whole = F.expr("embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     kept = ["vec_id", "embedding"]

@@ -365,6 +365,14 @@ def test_op7_ties_and_broken_vectors(spark):
     assert topk.exact_topk(v.limit(0), v).count() == 0
 
 
+def test_op7_scores_beyond_a_long_are_an_error(spark):
+    v = spark.createDataFrame([(0, [1e8, 1.0], "x"), (1, [1e8, 1.0], "y"), (2, [1e6, 0.0], "z")], "vec_id long, embedding array<double>, score string")
+    assert [r.vec_id for r in topk.exact_topk(v.where("vec_id > 0"), v.where("vec_id = 0").selectExpr("vec_id", "transform(embedding, x -> x / 1e6) as embedding")).collect()] == [1, 2]
+    big = v.selectExpr("vec_id", "transform(embedding, x -> x * 1000) as embedding")
+    with pytest.raises(Exception, match="exceed a long"):
+        topk.exact_topk(big, big).collect()
+
+
 @pytest.mark.parametrize("query, sql", [(topk.op7_exact_topk, topk.TOPK_SQL), (token_rollup.op10_token_rollup, token_rollup.ROLLUP_SQL)])
 def test_matches_duckdb(spark, query, sql):
     con = duckdb.connect()
