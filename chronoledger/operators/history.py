@@ -1,35 +1,181 @@
-"""Point-in-time history: as-of state and trailing statistics without a theta join."""
+"""Point-in-time history: as-of state, trailing statistics and nearest neighbours, without a theta join.
+
+No step gives a key to one task: places within a key come from a range-partitioned sort and the counts of the partitions
+before, and trailing frames from blocks of places, each with the places before it that its frames reach back to.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..storage import partitions, written
+
+_PART, _ONE, _BEFORE, _INNER, _BLOCK, _OWN, _ROW = "__part", "__one", "__before", "__inner", "__block", "__own", "__row"
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[prefix + k]) for k in keys], F.lit(True))
+
+
+def positions(rows: DataFrame, by: Sequence[str], order: Sequence[str], counted: Column | None = None, name: str = "place") -> DataFrame:
+    """``rows`` with ``name``: how many rows of the same key (those that are ``counted``) come before in ``order``.
+
+    ``order`` should tell rows of a key apart; nulls come first and a null key is a key.
+    """
+    one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
+    cut = rows.repartitionByRange(partitions(rows.sparkSession), *by, *order).withColumn(_PART, F.spark_partition_id()).withColumn(_ONE, one.cast("long"))
+    cut = written(cut, "ranges")
+    up = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = cut.groupBy(_PART, *by).agg(F.sum(_ONE).alias(_ONE)).withColumn(_BEFORE, up(_ONE, Window.partitionBy(*by).orderBy(_PART)))
+    sums = sums.select(_BEFORE, *[F.col(k).alias("__k_" + k) for k in (_PART, *by)])
+    inner = cut.withColumn(_INNER, up(_ONE, Window.partitionBy(_PART, *by).orderBy(*order)))
+    found = inner.join(sums, _same(inner, sums, (_PART, *by), "__k_"))
+    return found.select(*rows.columns, (F.col(_BEFORE) + F.col(_INNER)).alias(name))
 
 
 def asof(decisions: DataFrame, outcomes: DataFrame, on: Sequence[str], at: str, done: str, state: Sequence[str], tie: str) -> DataFrame:
     """Attaches to each decision the ``state`` of the last outcome completed strictly before it.
 
     Decisions and outcomes are one sorted sequence per key, decisions first at equal times, so an outcome that
-    completes at the decision time stays invisible. Keys and time order: one shuffle, one sort, no pairs.
+    completes at the decision time stays invisible. A decision's place among outcomes names the last one: an equi-join.
     """
-    packed = F.struct(*[F.col(c) for c in state])
-    left = decisions.withColumn("__time", F.col(at)).withColumn("__kind", F.lit(0)).withColumn("__state", F.lit(None).cast(outcomes.select(packed.alias("s")).schema["s"].dataType))
-    right = outcomes.select(*on, F.col(done).alias("__time"), F.lit(1).alias("__kind"), F.col(tie).alias("__tie"), packed.alias("__state"))
-    both = left.withColumn("__tie", F.lit(None).cast(outcomes.schema[tie].dataType)).unionByName(right, allowMissingColumns=True)
-    order = Window.partitionBy(*on).orderBy("__time", "__kind", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("__last", F.last("__state", ignorenulls=True).over(order)).where("__kind = 0")
-    return found.select(*decisions.columns, *[F.col(f"__last.{c}").alias(f"last_{c}") for c in state])
+    nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    left = decisions.select(*on, F.col(at).alias("__time"), F.lit(0).alias("__kind"), nothing(outcomes, tie).alias("__tie"), F.struct(*decisions.columns).alias("__d"))
+    right = outcomes.select(*on, F.col(done).alias("__time"), F.lit(1).alias("__kind"), F.col(tie).alias("__tie"), F.struct(*state).alias("__s"))
+    both = positions(left.unionByName(right, allowMissingColumns=True), on, ["__time", "__kind", "__tie"], F.col("__kind") == 1)
+    asks = both.where("__kind = 0").select(*on, (F.col("place") - 1).alias("place"), "__d")
+    last = both.where("__kind = 1").select("__s", *[F.col(k).alias("__o_" + k) for k in (*on, "place")])
+    found = asks.join(last, _same(asks, last, (*on, "place"), "__o_"), "left")
+    return found.select("__d.*", *[F.col(f"__s.{c}").alias(f"last_{c}") for c in state])
+
+
+def _blocked(rows: DataFrame, by: Sequence[str], order: Sequence[str], size: int, width: int) -> DataFrame:
+    """Rows with their places in blocks of ``width`` places; a block also gets the places that its frames reach back to."""
+    placed = positions(rows, by, order)
+    block = F.floor(F.col("place") / width)
+    reach = F.floor((F.col("place") + size - 1) / width)  # the last block whose frames reach this place
+    return placed.withColumn(_BLOCK, F.explode(F.sequence(block, reach))).withColumn(_OWN, F.col(_BLOCK) == block)
 
 
 def trailing(rows: DataFrame, scope: Sequence[str], order: Sequence[str], size: int, **aggs: Column) -> DataFrame:
     """Aggregates over the ``size`` rows up to and with each row of its scope, and ``support``, the whole scope so far."""
-    by = Window.partitionBy(*scope).orderBy(*order)
-    recent = by.rowsBetween(1 - size, Window.currentRow)
-    return rows.withColumns({name: agg.over(recent) for name, agg in aggs.items()} | {"support": F.count("*").over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    if not aggs:
+        return positions(rows, scope, order).select(*rows.columns, (F.col("place") + 1).alias("support"))
+    by = Window.partitionBy(*scope, _BLOCK).orderBy(*order).rowsBetween(1 - size, Window.currentRow)
+    found = _blocked(rows, scope, order, size, max(size, 1024)).withColumns({name: agg.over(by) for name, agg in aggs.items()})
+    return found.where(_OWN).select(*rows.columns, *aggs, (F.col("place") + 1).alias("support"))
+
+
+def _quantiles(size: int, asked: Sequence[tuple[str, float]], out: pa.Schema):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        own = np.flatnonzero(np.asarray(table[_OWN]))
+        if not len(own):
+            return out.empty_table()
+        frames, columns = {}, []
+        for c, q in asked:
+            if c not in frames:
+                x = np.asarray(table[c].cast(pa.float64()).fill_null(np.inf), np.float64)
+                x = np.concatenate((np.full(size - 1, np.inf), np.where(np.isnan(x), np.inf, x)))
+                frame = np.sort(np.lib.stride_tricks.sliding_window_view(x, size)[own], 1)
+                frames[c] = frame, np.isfinite(frame).sum(1)
+            frame, n = frames[c]
+            at, row = (np.maximum(n, 1) - 1) * q, np.arange(len(own))
+            lo = np.floor(at).astype(np.int64)
+            hi = np.minimum(lo + 1, np.maximum(n, 1) - 1)
+            low, high = frame[row, lo], frame[row, hi]
+            value = low + np.where(hi > lo, high - low, 0) * (at - lo)
+            columns.append(pa.array(value, mask=n == 0))
+        return pa.table([table[_ROW].take(pa.array(own)), table["place"].take(pa.array(own)), *columns], schema=out)
+
+    return run
+
+
+def trailing_quantiles(rows: DataFrame, scope: Sequence[str], order: Sequence[str], size: int, **asked: tuple[str, float]) -> DataFrame:
+    """Linear quantiles (name=(column, q)) over the ``size`` rows up to and with each row of its scope, and ``support``.
+
+    Null and NaN values are left out; a frame without values gives null. One sorted frame serves all quantiles of a column.
+    """
+    columns = sorted({c for c, _ in asked.values()})
+    cut = _blocked(rows, scope, order, size, size).select(*scope, _BLOCK, _OWN, "place", *[F.col(c).alias(f"__v_{c}") for c in columns], F.when(F.col(_OWN), F.struct(*rows.columns)).alias(_ROW))
+    schema = cut.select(_ROW, "place").schema
+    for name in asked:
+        schema = schema.add(name, "double")
+    run = _quantiles(size, [(f"__v_{c}", q) for c, q in asked.values()], to_arrow_schema(schema))
+    found = cut.groupBy(*scope, _BLOCK).applyInArrow(run, schema)
+    return found.select(f"{_ROW}.*", *asked, (F.col("place") + 1).alias("support"))
+
+
+def before_each(seen: DataFrame, scope: Sequence[str], state: Sequence[str]) -> DataFrame:
+    """Trailing results as each row found them: ``state`` and ``support`` of the row before in its scope, null (0) for the first."""
+    last = seen.select(*[F.col(k).alias("__o_" + k) for k in scope], (F.col("support") + 1).alias("__o_support"), *[F.col(c).alias("__s_" + c) for c in state])
+    found = seen.join(last, _same(seen, last, (*scope, "support"), "__o_"), "left")
+    kept = [F.col(f"__s_{c}").alias(c) if c in state else F.col(c) for c in seen.columns if c != "support"]
+    return found.select(*kept, (F.col("support") - 1).alias("support"))
+
+
+def _distances(k: int, out: pa.Schema):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        right = right.rename_columns([c.removeprefix("__r") for c in right.column_names])
+        x, y = (np.asarray(t["__v"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
+        at, other = np.asarray(left["place"]), np.asarray(right["place"])
+        rows, cols, gaps = [], [], []
+        for lo in range(0, len(x), 64):
+            d = np.sqrt(((x[lo : lo + 64, None] - y[None]) ** 2).mean(2)).round(9)
+            d[other[None] >= at[lo : lo + 64, None]] = np.inf
+            best = np.lexsort((np.broadcast_to(other, d.shape), d), axis=1)[:, :k]
+            row, _ = np.nonzero(np.isfinite(np.take_along_axis(d, best, 1)))
+            col = best[np.isfinite(np.take_along_axis(d, best, 1))]
+            rows.append(row + lo)
+            cols.append(col)
+            gaps.append(d[row, col])
+        row, col = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
+        return pa.table([left[_ROW].take(row), right[_ROW].take(col), right["place"].take(col), pa.array(np.concatenate(gaps))], schema=out)
+
+    return run
+
+
+def nearest_before(rows: DataFrame, scope: Sequence[str], order: Sequence[str], vector: Sequence[str], k: int, query: Sequence[str], carry: Sequence[str], block: int = 1024) -> DataFrame:
+    """The ``k`` nearest earlier rows of the same scope: ``query`` columns (they name a row), n_<carry>, distance, rank.
+
+    Distance is the root mean square over ``vector`` (null counts as 0), rounded to nine places; ties go to the earlier row.
+    Blocks of queries meet blocks of earlier rows; each keeps its best ``k`` a query, then each query its best of these.
+    """
+    placed = positions(rows, scope, order).withColumn("__v", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in vector]))
+    placed = written(placed.withColumn(_BLOCK, F.floor(F.col("place") / block)), "blocks")
+    last = placed.groupBy(*scope).agg(F.max(_BLOCK).alias("__last")).select("__last", *[F.col(c).alias("__o_" + c) for c in scope])
+    asks = placed.select(*scope, F.col(_BLOCK).alias("__q"), F.explode(F.sequence(F.lit(0).cast("long"), _BLOCK)).alias("__c"), "place", "__v", F.struct(*query).alias(_ROW))
+    rest = placed.join(last, _same(placed, last, scope, "__o_"))
+    rest = rest.select(*scope, F.explode(F.sequence(_BLOCK, "__last")).alias("__q"), F.col(_BLOCK).alias("__c"), "place", "__v", F.struct(*[F.col(c).alias(f"n_{c}") for c in carry]).alias(_ROW))
+    rest = rest.select(*[F.col(c).alias(f"__r{c}") for c in rest.columns])
+    schema = asks.select(F.col(_ROW).alias("__a")).schema.add("__b", rest.schema[f"__r{_ROW}"].dataType).add("place", "long").add("distance", "double")
+    keys = [*scope, "__q", "__c"]
+    found = asks.groupBy(*keys).cogroup(rest.groupBy(*[f"__r{c}" for c in keys])).applyInArrow(_distances(k, to_arrow_schema(schema)), schema)
+    best = Window.partitionBy("__a").orderBy("distance", "place")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("__a.*", "__b.*", "distance", "rank")
+
+
+def stability(p50: Column, p95: Column) -> Column:
+    """log p95 over log p50 of one plus the values, at least 0."""
+    return F.greatest(F.log1p(p95) - F.log1p(p50), F.lit(0.0))
+
+
+def confidence(support: Column, spread: Column, distance: Column | None = None, prior: float = 16.0) -> Column:
+    """How far history is to be trusted: by its support, its spread and, if given, its median distance. No support: 0."""
+    near = F.lit(1.0) if distance is None else F.exp(-F.greatest(F.coalesce(distance, F.lit(0.0)), F.lit(0.0)))
+    return F.when(support > 0, support / (support + prior) / (1 + spread) * near).otherwise(0.0)
 
 
 def last_attempt(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """Upsert: the row of each key that comes first in ``order``."""
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+

@@ -5,37 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import asof, trailing
+from ..operators.history import asof, before_each, confidence, nearest_before, positions, stability, trailing, trailing_quantiles
 from .sqltext import Engine, tasks
 
 _T = f"with {tasks(Engine(False))} ".replace("@", "")
+_CONTEXT, _DONE, _DECIDED = ["workflow", "process"], ["completion_us", "task_id"], ["decision_us", "task_id"]
 _WINDOW = "over (partition by workflow, process order by completion_us, task_id rows between 511 preceding and current row)"
+#: Quantiles of peak, consumption and their ratio that a scope is described by.
+STATISTICS = {"p50": ("peak_bytes", 0.5), "p95": ("peak_bytes", 0.95), "p99": ("peak_bytes", 0.99), "c50": ("consumed_bytes", 0.5), "c95": ("consumed_bytes", 0.95), "c99": ("consumed_bytes", 0.99), "ratio50": ("ratio", 0.5)}
+#: Neighbours of a task, and rows of a scope that statistics look back on.
+NEAREST, RECENT = 48, 512
 
 
 def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"with {tasks(Engine(True))} select * from tasks".replace("@events", "{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each task with the trailing statistics of its process context at its decision."""
-    t = task_table(spark, sf_dir)
-    seen = trailing(t, ["workflow", "process"], ["completion_us", "task_id"], 512, p50=F.percentile("peak_bytes", F.lit(0.5)), p95=F.percentile("peak_bytes", F.lit(0.95)))
-    return asof(t, seen, ["workflow", "process"], "decision_us", "completion_us", ["support", "p50", "p95"], "task_id")
+def _described(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """Rows with STATISTICS of their scope up to and with themselves, and its support."""
+    rows = rows.withColumn("ratio", F.col("consumed_bytes") / F.greatest(F.col("input_bytes"), F.lit(1)))
+    return trailing_quantiles(rows, scope, order, RECENT, **STATISTICS)
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    spread = stability(F.col("p50"), F.col("p95"))
+    return rows.withColumn("spread", F.round(spread, 9)).withColumn("confidence", F.round(confidence(F.col("support"), F.coalesce(spread, F.lit(0.0))), 9))
 
 
 def wn04_trailing_512(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trailing(task_table(spark, sf_dir), ["workflow", "process"], ["completion_us", "task_id"], 512, p50=F.percentile("peak_bytes", F.lit(0.5)), p95=F.percentile("peak_bytes", F.lit(0.95)))
-    return t.select("task_id", "support", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"))
+    """All statistics of the process context over its last 512 finished tasks."""
+    t = _judged(_described(task_table(spark, sf_dir), _CONTEXT, _DONE))
+    return t.select("task_id", "support", *[F.round(c, 3).alias(c) for c in STATISTICS if c != "ratio50"], F.round("ratio50", 9).alias("ratio50"), "spread", "confidence")
 
 
 def wn06_recent_32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trailing(task_table(spark, sf_dir), ["workflow"], ["completion_us", "task_id"], 32, most=F.max("peak_bytes"), mean=F.avg("peak_bytes"))
+    t = trailing(task_table(spark, sf_dir), ["workflow"], _DONE, 32, most=F.max("peak_bytes"), mean=F.avg("peak_bytes"))
     return t.select("task_id", "most", F.round("mean", 3).alias("mean"))
 
 
 def jn12_asof_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests from as-of history and what they cost, by workflow."""
-    h = _history(spark, sf_dir).withColumn("request", F.ceil(F.coalesce("last_p95", F.lit(500000000.0))))
+    t = task_table(spark, sf_dir)
+    seen = trailing_quantiles(t, _CONTEXT, _DONE, RECENT, p95=("peak_bytes", 0.95))
+    h = asof(t, seen, _CONTEXT, "decision_us", "completion_us", ["support", "p95"], "task_id").withColumn("request", F.ceil(F.coalesce("last_p95", F.lit(500000000.0))))
     return h.groupBy("workflow").agg(
         F.count("*").alias("n"), F.count_if(F.col("last_support") > 0).alias("with_history"), F.sum("last_support").alias("support"),
         F.count_if(F.col("request") < F.col("peak_bytes")).alias("under"), F.round(F.sum("request") / F.sum("peak_bytes"), 9).alias("request_ratio"),
@@ -45,23 +57,116 @@ def jn12_asof_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wn15_first_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most specific scope with 10 outcomes before the decision: process context, then workflow."""
     t = task_table(spark, sf_dir)
-    narrow = trailing(t, ["workflow", "process"], ["completion_us", "task_id"], 512)
-    wide = trailing(t, ["workflow"], ["completion_us", "task_id"], 512)
-    one = asof(t, narrow, ["workflow", "process"], "decision_us", "completion_us", ["support"], "task_id").withColumnRenamed("last_support", "narrow")
+    narrow, wide = (trailing(t, scope, _DONE, RECENT) for scope in (_CONTEXT, ["workflow"]))
+    one = asof(t, narrow, _CONTEXT, "decision_us", "completion_us", ["support"], "task_id").withColumnRenamed("last_support", "narrow")
     two = asof(one, wide, ["workflow"], "decision_us", "completion_us", ["support"], "task_id")
     return two.select("task_id", F.when(F.col("narrow") >= 10, "process").when(F.col("last_support") >= 10, "workflow").otherwise("none").alias("scope"))
 
 
+#: Columns known before a task starts, as logarithms scaled by their quartiles.
+_SIGNATURE = """, raw as (select *, ln(1 + input_bytes) as s1, ln(1 + cast(task_instance as double)) as s2, ln(1 + (task_id % 13)) as s3 from tasks),
+ q as (select {columns} from raw), sig as (select raw.*, {scaled} from raw cross join q)"""
+
+
+def _signature(e: Engine) -> str:
+    columns = ", ".join(f"{e.pct(s, p)} as {s}_{int(100 * p)}" for s in ("s1", "s2", "s3") for p in (0.25, 0.5, 0.75))
+    one = "round(least(greatest(({s} - {s}_50) / case when {s}_75 - {s}_25 > 1e-9 then {s}_75 - {s}_25 else 1e0 end, -12e0), 12e0), 9) as x{i}"
+    return _SIGNATURE.format(columns=columns, scaled=", ".join(one.format(s=f"s{i}", i=i) for i in (1, 2, 3)))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = f"with {tasks(Engine(True))} {_signature(Engine(True))} select * from sig".replace("@events", "{events}")
+    t = spark.sql(text, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return nearest_before(t, _CONTEXT, _DECIDED, ["x1", "x2", "x3"], NEAREST, ["task_id"], ["task_id", "peak_bytes"])
+
+
+def jn13_nearest_48(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 48 nearest earlier tasks of the same context."""
+    return _neighbours(spark, sf_dir).select("task_id", F.col("n_task_id").alias("neighbour"), "rank", "distance")
+
+
+def hs04_neighbour_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nearest earlier tasks tell; each task has at most 48, so quantiles are taken of few values."""
+    near = _neighbours(spark, sf_dir).groupBy("task_id").agg(
+        F.count("*").alias("support"), F.percentile("distance", F.lit(0.5)).alias("distance_p50"), F.min("distance").alias("distance_min"),
+        F.percentile("n_peak_bytes", F.lit(0.5)).alias("p50"), F.percentile("n_peak_bytes", F.lit(0.95)).alias("p95"),
+    )
+    trust = confidence(F.col("support"), stability(F.col("p50"), F.col("p95")), F.col("distance_p50"))
+    return near.select("task_id", "support", F.round("distance_p50", 11).alias("distance_p50"), "distance_min", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"), F.round(trust, 9).alias("confidence"))
+
+
+_SCOPES = {
+    "I0": "concat_ws('|', workflow, process, task_instance)", "I1": "concat_ws('|', workflow, process, input_identity)", "I3": "concat_ws('|', workflow, process)", "I4": "workflow", "I5": "'all'",
+}
+_HELD = "case when task_id % 5 = 0 then 1 else 0 end"
+
+
+def _held_out_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each held-out task, by scope, what all development tasks and the held-out ones before it tell."""
+    t = task_table(spark, sf_dir).withColumn("held", F.expr(_HELD))
+    long = t.withColumn("s", F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.expr(k).alias("key")) for s, k in _SCOPES.items()])))
+    long = long.select("*", "s.scope", "s.key").drop("s").where("key is not null")
+    seen = _described(long, ["scope", "key"], ["held", "decision_us", "task_id"])
+    return _judged(before_each(seen, ["scope", "key"], list(STATISTICS)).where("held = 1"))
+
+
+def hs03_causal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _held_out_history(spark, sf_dir)
+    return h.select("task_id", "scope", "support", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"), F.round("c95", 3).alias("c95"), F.round("ratio50", 9).alias("ratio50"), "confidence")
+
+
+def hs05_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support, spread and confidence of each task's context before its decision; its own outcome has no part in them."""
+    seen = trailing_quantiles(task_table(spark, sf_dir), _CONTEXT, _DECIDED, RECENT, p50=("peak_bytes", 0.5), p95=("peak_bytes", 0.95))
+    return _judged(before_each(seen, _CONTEXT, ["p50", "p95"])).select("task_id", "support", F.coalesce("spread", F.lit(0.0)).alias("spread"), "confidence")
+
+
+def hs11_best_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scope of highest confidence, ties to the more specific one; none without support."""
+    h = _held_out_history(spark, sf_dir).where("support > 0")
+    best = h.groupBy("task_id").agg(F.max_by(F.struct("scope", "support", "confidence"), F.struct("confidence", -F.substring("scope", 2, 1).cast("int"))).alias("b"))
+    return best.select("task_id", "b.*")
+
+
+def wn03_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each task's place in its workflow by completion."""
+    return positions(task_table(spark, sf_dir), ["workflow"], _DONE).select("task_id", "workflow", "place")
+
+
 _ASOF = f""", s as (select *, count(*) over (partition by workflow, process order by completion_us, task_id) as support, quantile_cont(peak_bytes, 0.95) {_WINDOW} as p95 from tasks),
  u as (select workflow, process, decision_us as t, 0 as kind, null as tie, task_id, peak_bytes, null as support, null as p95 from tasks union all select workflow, process, completion_us, 1, task_id, null, null, support, p95 from s),
  a as (select *, last_value(support ignore nulls) over w as last_support, last_value(p95 ignore nulls) over w as last_p95 from u window w as (partition by workflow, process order by t, kind, tie rows between unbounded preceding and 1 preceding)),
  r as (select *, ceil(coalesce(last_p95, 500000000.0)) as request from a where kind = 0)
  select workflow, count(*) as n, count_if(last_support > 0) as with_history, cast(sum(last_support) as bigint) as support, count_if(request < peak_bytes) as under, round(sum(request) / sum(peak_bytes), 9) as request_ratio from r group by workflow"""
-
-QUERIES = {f.__name__: f for f in (wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported)}
+_RATIO = "cast(consumed_bytes as double) / greatest(input_bytes, 1)"
+_DESCRIBED = ", ".join(f"quantile_cont({_RATIO if c == 'ratio' else c}, {q}) over w as {name}" for name, (c, q) in STATISTICS.items())
+_SPREAD = "greatest(ln(1 + p95) - ln(1 + p50), 0)"
+_TRUST = f"case when support > 0 then round(support / (support + 16.0) / (1 + coalesce({_SPREAD}, 0)), 9) else 0 end"
+_ROUNDED = ", ".join(f"round({c}, 3) as {c}" for c in STATISTICS if c != "ratio50")
+_PAIRS = _signature(Engine(False)) + f""", pairs as (select a.task_id, b.task_id as neighbour, b.peak_bytes, b.decision_us, round(sqrt(((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) + (a.x3 - b.x3) * (a.x3 - b.x3)) / 3), 9) as distance
+  from sig a join sig b on a.workflow = b.workflow and a.process = b.process and (b.decision_us < a.decision_us or (b.decision_us = a.decision_us and b.task_id < a.task_id))),
+ near as (select * from (select *, cast(row_number() over (partition by task_id order by distance, decision_us, neighbour) as integer) as rank from pairs) where rank <= {NEAREST})"""
+_LONG = ", l as (" + " union all ".join(f"select *, {_HELD} as held, '{s}' as scope, {k} as key from tasks where {k} is not null" for s, k in _SCOPES.items()) + f"""),
+ h as (select *, count(*) over w as support, {_DESCRIBED} from l window w as (partition by scope, key order by held, decision_us, task_id rows between 512 preceding and 1 preceding)),
+ n as (select * exclude (support), count(*) over (partition by scope, key order by held, decision_us, task_id rows between unbounded preceding and 1 preceding) as support from h),
+ j as (select *, {_TRUST} as confidence from n where held = 1)"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        wn03_positions, wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported,
+        jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
+    )
+}
 SQL = {
-    "wn04_trailing_512": _T + f"select task_id, count(*) over (partition by workflow, process order by completion_us, task_id) as support, round(quantile_cont(peak_bytes, 0.5) {_WINDOW}, 3) as p50, round(quantile_cont(peak_bytes, 0.95) {_WINDOW}, 3) as p95 from tasks",
+    "wn03_positions": _T + "select task_id, workflow, row_number() over (partition by workflow order by completion_us, task_id) - 1 as place from tasks",
+    "wn04_trailing_512": _T + f", h as (select *, count(*) over (partition by workflow, process order by completion_us, task_id) as support, {_DESCRIBED} from tasks window w as (partition by workflow, process order by completion_us, task_id rows between 511 preceding and current row)) select task_id, support, {_ROUNDED}, round(ratio50, 9) as ratio50, round({_SPREAD}, 9) as spread, {_TRUST} as confidence from h",
     "wn06_recent_32": _T + "select task_id, max(peak_bytes) over w as most, round(avg(peak_bytes) over w, 3) as mean from tasks window w as (partition by workflow order by completion_us, task_id rows between 31 preceding and current row)",
     "jn12_asof_history": _T + _ASOF,
     "wn15_first_supported": _T + "select t.task_id, case when (select count(*) from tasks o where o.workflow = t.workflow and o.process = t.process and o.completion_us < t.decision_us) >= 10 then 'process' when (select count(*) from tasks o where o.workflow = t.workflow and o.completion_us < t.decision_us) >= 10 then 'workflow' else 'none' end as scope from tasks t",
+    "jn13_nearest_48": _T + _PAIRS + " select task_id, neighbour, rank, distance from near",
+    "hs04_neighbour_statistics": _T + _PAIRS + f", s as (select task_id, count(*) as support, quantile_cont(distance, 0.5) as distance_p50, min(distance) as distance_min, quantile_cont(peak_bytes, 0.5) as p50, quantile_cont(peak_bytes, 0.95) as p95 from near group by task_id) select task_id, support, round(distance_p50, 11) as distance_p50, distance_min, round(p50, 3) as p50, round(p95, 3) as p95, round(support / (support + 16.0) / (1 + {_SPREAD}) * exp(-distance_p50), 9) as confidence from s",
+    "hs03_causal_history": _T + _LONG + " select task_id, scope, support, round(p50, 3) as p50, round(p95, 3) as p95, round(c95, 3) as c95, round(ratio50, 9) as ratio50, confidence from j",
+    "hs05_confidence": _T + f", h as (select *, quantile_cont(peak_bytes, 0.5) over w as p50, quantile_cont(peak_bytes, 0.95) over w as p95, count(*) over (partition by workflow, process order by decision_us, task_id rows between unbounded preceding and 1 preceding) as support from tasks window w as (partition by workflow, process order by decision_us, task_id rows between 512 preceding and 1 preceding)) select task_id, support, round(coalesce({_SPREAD}, 0), 9) as spread, {_TRUST} as confidence from h",
+    "hs11_best_scope": _T + _LONG + " select task_id, scope, support, confidence from (select *, row_number() over (partition by task_id order by confidence desc, scope) as k from j where support > 0) where k = 1",
 }

@@ -35,7 +35,7 @@ _add("fn05_clock_grammar", """, raw as (select task_id, case when task_id % 2 =
  select task_id, coalesce(try_cast(regexp_extract(v, '^([0-9]+):[0-9]+:', 1) as double), 0) * 3600 + try_cast(regexp_extract(v, '([0-9]+):[0-9.]+$', 1) as double) * 60 + try_cast(regexp_extract(v, ':([0-9.]+)$', 1) as double) as seconds from raw""")
 _add("fn06_process_tag_split", """, raw as (select task_id, 'MAIN:SUB:' || upper(process) || ' (' || task_instance || ')' as name from tasks)
  select task_id, regexp_extract(name, '^([^ ]+)', 1) as process, regexp_extract(name, '[(](.*)[)]$', 1) as tag, regexp_extract(name, '([^: ]+) [(]', 1) as alias from raw""")
-_add("fn08_completion_time", "select task_id, coalesce(case when task_id % 4 <> 0 then completion_us end, decision_us + cast(runtime_seconds * 1000000 as bigint)) as completed_us from tasks")
+_add("fn08_completion_time", "select task_id, coalesce(case when task_id % 4 <> 0 then completion_us end, decision_us + cast(floor(runtime_seconds * 1000000) as bigint)) as completed_us from tasks")
 _add("fn10_identity_hash", lambda e: f"select task_id, substr({e.sha('workflow || chr(31) || process || chr(31) || task_instance')}, 1, 20) as identity from tasks")
 _add("fn11_hash_fraction", lambda e: f"select task_id, {e.hex_to_int('substr(' + e.sha('cast(task_id as string)') + ', 1, 15)')} / 1152921504606846975.0 as fraction from tasks")
 _add("fn12_clean_text", "select task_id, case when lower(trim(v)) in ('', 'nan', 'none', 'null') then null else trim(v) end as clean from (select task_id, case task_id % 4 when 0 then ' NaN ' when 1 then '' when 2 then 'None' else ' ' || workflow end as v from tasks) t")
