@@ -73,14 +73,14 @@ def trailing(rows: DataFrame, scope: Sequence[str], order: Sequence[str], size:
     return found.where(_OWN).select(*rows.columns, *aggs, (F.col("place") + 1).alias("support"))
 
 
-def _quantiles(size: int, asked: Sequence[tuple[str, float]], out: pa.Schema):
+def _quantiles(size: int, asked: Sequence[tuple], out: pa.Schema):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
         own = np.flatnonzero(np.asarray(table[_OWN]))
         if not len(own):
             return out.empty_table()
         frames, columns = {}, []
-        for c, q in asked:
+        for c, q, *how in asked:
             if c not in frames:
                 x = np.asarray(table[c].cast(pa.float64()).fill_null(np.inf), np.float64)
                 x = np.concatenate((np.full(size - 1, np.inf), np.where(np.isnan(x), np.inf, x)))
@@ -88,6 +88,11 @@ def _quantiles(size: int, asked: Sequence[tuple[str, float]], out: pa.Schema):
                 frames[c] = frame, np.isfinite(frame).sum(1)
             frame, n = frames[c]
             at, row = (np.maximum(n, 1) - 1) * q, np.arange(len(own))
+            if how == ["higher"]:
+                some = np.maximum(n, 1)
+                lo = np.ceil(np.minimum(1, np.ceil((some + 1) * q) / some) * (some - 1)).astype(np.int64)
+                columns.append(pa.array(frame[row, lo], mask=n == 0))
+                continue
             lo = np.floor(at).astype(np.int64)
             hi = np.minimum(lo + 1, np.maximum(n, 1) - 1)
             low, high = frame[row, lo], frame[row, hi]
@@ -98,17 +103,17 @@ def _quantiles(size: int, asked: Sequence[tuple[str, float]], out: pa.Schema):
     return run
 
 
-def trailing_quantiles(rows: DataFrame, scope: Sequence[str], order: Sequence[str], size: int, **asked: tuple[str, float]) -> DataFrame:
-    """Linear quantiles (name=(column, q)) over the ``size`` rows up to and with each row of its scope, and ``support``.
+def trailing_quantiles(rows: DataFrame, scope: Sequence[str], order: Sequence[str], size: int, **asked: tuple) -> DataFrame:
+    """Linear quantiles (name=(column, q)), or conformal ones that take the next higher value (name=(column, q, "higher")), over the ``size`` rows up to and with each row of its scope, and ``support``.
 
     Null and NaN values are left out; a frame without values gives null. One sorted frame serves all quantiles of a column.
     """
-    columns = sorted({c for c, _ in asked.values()})
+    columns = sorted({c for c, *_ in asked.values()})
     cut = _blocked(rows, scope, order, size, size).select(*scope, _BLOCK, _OWN, "place", *[F.col(c).alias(f"__v_{c}") for c in columns], F.when(F.col(_OWN), F.struct(*rows.columns)).alias(_ROW))
     schema = cut.select(_ROW, "place").schema
     for name in asked:
         schema = schema.add(name, "double")
-    run = _quantiles(size, [(f"__v_{c}", q) for c, q in asked.values()], to_arrow_schema(schema))
+    run = _quantiles(size, [(f"__v_{c}", *how) for c, *how in asked.values()], to_arrow_schema(schema))
     found = cut.groupBy(*scope, _BLOCK).applyInArrow(run, schema)
     return found.select(f"{_ROW}.*", *asked, (F.col("place") + 1).alias("support"))
 

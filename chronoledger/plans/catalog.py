@@ -14,4 +14,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duckdb_text(s) for name, s in FOUND.items()} | history_queries.SQL
+    return {name: duckdb_text(s) for name, s in FOUND.items()} | history_queries.SQL | job_queries.SQL

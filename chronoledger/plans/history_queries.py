@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.calibration import Scope, corrections
 from ..operators.history import asof, before_each, confidence, nearest_before, positions, stability, trailing, trailing_quantiles
 from .sqltext import Engine, tasks
 
@@ -128,6 +129,28 @@ def hs11_best_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("task_id", "b.*")
 
 
+def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out tasks with their base (1.2 times the workflow's mean peak in development) and their correction of it."""
+    t = task_table(spark, sf_dir).withColumn("held", F.expr(_HELD))
+    base = t.where("held = 0").groupBy("workflow").agg((F.avg("peak_bytes") * 1.2).alias("base"))
+    t = t.join(base, "workflow")
+    scopes = [Scope("I0", F.expr(_SCOPES["I0"]), 2, "I3"), Scope("I1", F.expr(_SCOPES["I1"]), 3, "I3"), Scope("I3", F.expr(_SCOPES["I3"]), 16, "I4"), Scope("I4", F.col("workflow"), 32, "I5"), Scope("I5", F.lit("all"), 1, "I5")]
+    residual = F.round(F.log(F.col("peak_bytes") / F.col("base")), 9)
+    found = corrections(t, scopes, residual, ["held", "decision_us", "task_id"], F.col("held") == 1, 0.95, "task_id")
+    return t.where("held = 1").join(found, "task_id")
+
+
+def md10_hierarchical_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _corrections(spark, sf_dir)
+    return c.select("task_id", "scope", "support", F.round("confidence", 8).alias("confidence"), F.round("correction", 8).alias("correction"))
+
+
+def md13_ordered_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in whole MiB over the held-out sequence, each corrected by what was revealed before it."""
+    c = _corrections(spark, sf_dir).withColumn("request_mib", F.ceil(F.greatest(F.round(F.col("base") * F.exp("correction") / 1048576, 6), F.lit(1.0))))
+    return c.select("task_id", "request_mib", (F.col("request_mib") * 1048576 < F.col("peak_bytes")).alias("under"))
+
+
 def wn03_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task's place in its workflow by completion."""
     return positions(task_table(spark, sf_dir), ["workflow"], _DONE).select("task_id", "workflow", "place")
@@ -151,11 +174,26 @@ _LONG = ", l as (" + " union all ".join(f"select *, {_HELD} as held, '{s}' as sc
  n as (select * exclude (support), count(*) over (partition by scope, key order by held, decision_us, task_id rows between unbounded preceding and 1 preceding) as support from h),
  j as (select *, {_TRUST} as confidence from n where held = 1)"""
 
+_CORRECTED = _T + f""", hd as (select *, {_HELD} as held from tasks), bs as (select workflow, avg(peak_bytes) * 1.2 as base from hd where held = 0 group by workflow),
+ tb as (select hd.*, base, round(ln(peak_bytes / base), 9) as residual from hd join bs on hd.workflow = bs.workflow),
+ lg as (""" + " union all ".join(f"select *, '{s}' as scope, {k} as key from tb where {k} is not null" for s, k in _SCOPES.items()) + """),
+ fr as (select task_id, scope, held, list_sort(list(residual) over w) as v, count(*) over (partition by scope, key order by held, decision_us, task_id rows between unbounded preceding and 1 preceding) as n
+  from lg window w as (partition by scope, key order by held, decision_us, task_id rows between 512 preceding and 1 preceding)),
+ qs as (select task_id, scope, n, v[cast(ceil(least(1, ceil((len(v) + 1) * cast(0.95 as double)) / len(v)) * (len(v) - 1)) as bigint) + 1] as high, list_aggregate(v, 'quantile_cont', 0.95) - list_aggregate(v, 'quantile_cont', 0.5) as gap from fr where held = 1),
+ tr as (select *, case when n > 0 then n / (n + 16.0) / (1 + case when n > 1 then greatest(gap, 0) else 1 end) else 0 end as trust from qs),
+ wd as (select task_id, """ + ", ".join(f"max(case when scope = '{s}' then {c} end) as {c}_{s}" for s in _SCOPES for c in ("n", "high", "trust")) + """ from tr group by task_id),
+ ch as (select *, case when n_I0 >= 2 then 'I0' when n_I1 >= 3 then 'I1' when n_I3 >= 16 then 'I3' when n_I4 >= 32 then 'I4' else 'I5' end as scope from wd),
+ pa as (select *, coalesce(case when scope in ('I0', 'I1') then high_I3 when scope = 'I3' then high_I4 else high_I5 end, high_I5, 0) as parent from ch),
+ lo as (select *, coalesce(case scope when 'I0' then high_I0 when 'I1' then high_I1 when 'I3' then high_I3 when 'I4' then high_I4 else high_I5 end, parent) as local,
+  coalesce(case scope when 'I0' then n_I0 when 'I1' then n_I1 when 'I3' then n_I3 when 'I4' then n_I4 else n_I5 end, 0) as support, coalesce(case scope when 'I0' then trust_I0 when 'I1' then trust_I1 when 'I3' then trust_I3 when 'I4' then trust_I4 else trust_I5 end, 0) as confidence from pa),
+ co as (select lo.task_id, scope, support, confidence, greatest(confidence * local + (1 - confidence) * parent, 0) as correction, base, peak_bytes from lo join tb on lo.task_id = tb.task_id)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         wn03_positions, wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported,
         jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
+        md10_hierarchical_correction, md13_ordered_policy,
     )
 }
 SQL = {
@@ -168,5 +206,7 @@ SQL = {
     "hs04_neighbour_statistics": _T + _PAIRS + f", s as (select task_id, count(*) as support, quantile_cont(distance, 0.5) as distance_p50, min(distance) as distance_min, quantile_cont(peak_bytes, 0.5) as p50, quantile_cont(peak_bytes, 0.95) as p95 from near group by task_id) select task_id, support, round(distance_p50, 11) as distance_p50, distance_min, round(p50, 3) as p50, round(p95, 3) as p95, round(support / (support + 16.0) / (1 + {_SPREAD}) * exp(-distance_p50), 9) as confidence from s",
     "hs03_causal_history": _T + _LONG + " select task_id, scope, support, round(p50, 3) as p50, round(p95, 3) as p95, round(c95, 3) as c95, round(ratio50, 9) as ratio50, confidence from j",
     "hs05_confidence": _T + f", h as (select *, quantile_cont(peak_bytes, 0.5) over w as p50, quantile_cont(peak_bytes, 0.95) over w as p95, count(*) over (partition by workflow, process order by decision_us, task_id rows between unbounded preceding and 1 preceding) as support from tasks window w as (partition by workflow, process order by decision_us, task_id rows between 512 preceding and 1 preceding)) select task_id, support, round(coalesce({_SPREAD}, 0), 9) as spread, {_TRUST} as confidence from h",
+    "md10_hierarchical_correction": _CORRECTED + " select task_id, scope, support, round(confidence, 8) as confidence, round(correction, 8) as correction from co",
+    "md13_ordered_policy": _CORRECTED + ", rq as (select *, cast(ceil(greatest(round(base * exp(correction) / 1048576, 6), 1)) as bigint) as request_mib from co) select task_id, request_mib, request_mib * 1048576 < peak_bytes as under from rq",
     "hs11_best_scope": _T + _LONG + " select task_id, scope, support, confidence from (select *, row_number() over (partition by task_id order by confidence desc, scope) as k from j where support > 0) where k = 1",
 }

@@ -1,4 +1,4 @@
-"""Queries of operators that take several jobs; SQL has no counterpart, tests hold them against brute force."""
+"""Queries of operators that take several jobs; where SQL has no counterpart, tests hold them against brute force."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..operators.models import QuantileForest
-from ..sources.tables import fingerprint
+from ..sources.tables import fingerprint, key_fingerprint
 from .history_queries import task_table
+from .sqltext import Engine, tasks
 
 
 def jn16_component_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,4 +30,19 @@ def snk04_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (jn16_component_join, md03_quantile_forest, snk04_fingerprint)}
+def snk04_key_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of the line items' keys and flags."""
+    return key_fingerprint(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), _KEYS)
+
+
+_KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+
+QUERIES = {f.__name__: f for f in (jn16_component_join, md03_quantile_forest, snk04_fingerprint, snk04_key_fingerprint)}
+SQL = {
+    "jn16_component_join": f"with recursive {tasks(Engine(False))}".replace("@", "") + """, tok as (select task_id as k, 'i:' || input_identity as t from tasks union all select task_id, concat_ws(':', 't', workflow, process, task_instance) from tasks),
+ used as (select t from (select distinct k, t from tok) d group by t having count(*) between 2 and 100), links as (select distinct k, t from tok where t in (select t from used)),
+ cc(id, label) using key (id) as (select k, k from (select distinct k from tok) s
+  union select l.k as id, min(c.label) as label from cc c join links m on m.k = c.id join links l on l.t = m.t join recurring.cc o on o.id = l.k where c.label < o.label group by l.k)
+ select id as task_id, label as component_id from cc""",
+    "snk04_key_fingerprint": "select count(*) as n, cast(coalesce(sum(cast(cast('0x' || substr(sha256(" + " || '|' || ".join(f"coalesce(cast({c} as varchar), '')" for c in _KEYS) + "), 1, 12) as bigint) as hugeint)), 0) as varchar) as digest from lineitem",
+}

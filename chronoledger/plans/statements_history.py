@@ -28,20 +28,27 @@ _add("sp05_three_lanes", lambda e: f""", s as (select task_id, workflow, process
  c1 as (select * from c where k > q), d as (select task_id, q, row_number() over (partition by workflow order by {e.sha("'7|' || cast(task_id as string)")}) as k from c1)
  select task_id, 'risk' as lane from a where k <= q union all select task_id, 'information' from b where k <= q union all select task_id, 'discovery' from c where k <= q union all select task_id, 'exploration' from d where k <= q""")
 _add("sp07_random_comparators", lambda e: f", r as (select task_id, row_number() over (partition by workflow, process order by {e.sha("'1|' || cast(task_id as string)")}) as k, count(*) over (partition by workflow, process) as n from tasks) select task_id, ceil(0.2 * n) / n as inclusion from r where k <= ceil(0.2 * n)")
-_add("sp08_repeated_policies", lambda e: f""", x as (select task_id, workflow, peak_bytes, {e.steps('0', '9')} as rep from tasks), r as (select rep, workflow, peak_bytes, row_number() over (partition by rep, workflow order by {e.sha("cast(rep as string) || '|' || cast(task_id as string)")}) as k, count(*) over (partition by rep, workflow) as n from x)
- select rep, workflow, b.budget, count(*) as audited, cast(sum(peak_bytes) as bigint) as bytes from r cross join (select 5 as budget union all select 10 union all select 20) b where k <= ceil(n * b.budget / 100.0) group by 1, 2, 3""")
+# Audits of the riskiest are the same in every repetition: only what is drawn is multiplied.
+_add("sp08_repeated_policies", lambda e: f""", b as ({" union all ".join(f"select {x} as budget" for x in (5, 10, 20, 30, 50, 100))}), t as (select task_id, workflow, peak_bytes, row_number() over (partition by workflow order by value desc, task_id) as risk, count(*) over (partition by workflow) as n from tasks),
+ x as (select task_id, workflow, peak_bytes, n, risk, {e.steps('0', '999')} as rep from t), u as (select *, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || cast(task_id as string)") + ', 1, 13)')} as u from x),
+ r as (select *, row_number() over (partition by rep, workflow order by u, task_id) as k from u),
+ c as (select r.*, budget, cast(ceil(n * budget / 100.0) as bigint) as q, cast(ceil(n * budget / 200.0) as bigint) as top from r cross join b),
+ m as (select *, k - count_if(risk <= top) over (partition by rep, workflow, budget order by k rows between unbounded preceding and current row) as j from c),
+ s as (select rep, workflow, budget, 'random' as policy, count_if(k <= q) as audited, cast(sum(case when k <= q then peak_bytes else 0 end) as bigint) as bytes from c group by 1, 2, 3
+  union all select rep, workflow, budget, 'mixed', count_if(risk <= top or j <= q - top), cast(sum(case when risk <= top or j <= q - top then peak_bytes else 0 end) as bigint) from m group by 1, 2, 3),
+ d as (select workflow, budget, 'risk' as policy, count_if(risk <= ceil(n * budget / 100.0)) as audited, cast(sum(case when risk <= ceil(n * budget / 100.0) then peak_bytes else 0 end) as bigint) as bytes from t cross join b group by 1, 2)
+ select rep, workflow, budget, policy, audited, bytes from s union all select rep, workflow, budget, policy, audited, bytes from d cross join (select {e.steps('0', '999')} as rep) p""")
 _POISSON = "case when u < 0.36787944117144233 then 0 when u < 0.7357588823428847 then 1 when u < 0.9196986029286058 then 2 when u < 0.9810118431238462 then 3 when u < 0.9963401531726563 then 4 when u < 0.9994058151824183 then 5 else 6 end"
-_add("sp09_bootstrap_interval", lambda e: _REQ + f""", x as (select task_id, (request_b - request_a) / 1048576.0 as delta, {e.steps('0', '99')} as rep from req where task_id % 1 = 0), g as (select rep, delta, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || cast(task_id as string)") + ', 1, 13)')} / 4503599627370496.0 as u from x),
+_add("sp09_bootstrap_interval", lambda e: _REQ + f""", x as (select task_id, (request_b - request_a) / 1048576.0 as delta, {e.steps('0', '1999')} as rep from req), g as (select rep, delta, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || cast(task_id as string)") + ', 1, 13)')} / 4503599627370496.0 as u from x),
  w as (select rep, delta, {_POISSON} as n from g), m as (select rep, sum(n * delta) / sum(n) as mean from w group by rep) select count(*) as reps, round({e.pct('mean', 0.025)}, 6) as low, round({e.pct('mean', 0.975)}, 6) as high from m""")
-_add("sp10_cluster_bootstrap", lambda e: f""", c as (select workflow, task_instance, count(*) as n, sum(peak_bytes / 1048576.0) as s from tasks group by 1, 2), x as (select *, {e.steps('0', '99')} as rep from c), g as (select *, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || workflow || '|' || task_instance") + ', 1, 13)')} / 4503599627370496.0 as u from x),
+_add("sp10_cluster_bootstrap", lambda e: f""", c as (select workflow, task_instance, count(*) as n, sum(peak_bytes / 1048576.0) as s from tasks group by 1, 2), x as (select *, {e.steps('0', '4999')} as rep from c), g as (select *, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || workflow || '|' || task_instance") + ', 1, 13)')} / 4503599627370496.0 as u from x),
  w as (select *, {_POISSON} as k from g), m as (select workflow, rep, sum(k * s) / sum(k * n) as mean from w group by 1, 2) select workflow, round({e.pct('mean', 0.025)}, 6) as low, round({e.pct('mean', 0.975)}, 6) as high from m group by workflow""")
+_add("sp11_seed_means", lambda e: f""", m as (select task_id % 5 as seed, avg(peak_bytes / 1048576.0) as mean from tasks group by 1), x as (select {e.steps('0', '9999')} as rep), d as (select rep, {e.steps('0', '4')} as draw from x),
+ p as (select rep, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || cast(draw as string)") + ', 1, 12)')} % 5 as seed from d), g as (select rep, avg(mean) as mean from p join m on p.seed = m.seed group by rep)
+ select count(*) as reps, round({e.pct('mean', 0.025)}, 6) as low, round({e.pct('mean', 0.975)}, 6) as high from g""")
 _add("sp12_capped_sample", lambda e: f"select workflow, task_id from (select workflow, task_id, row_number() over (partition by workflow order by {e.sha('cast(task_id as string)')}) as k from tasks) t where k <= 10")
 
 # Policies.
-_RES = _REQ + """, res as (select *, ln(peak_bytes / request_a) as residual from req), b as (select *, avg(residual) over p as mp, count(*) over p as np, max(residual) over p as xp, max(residual) over w as xw from res
- window p as (partition by workflow, process order by decision_us, task_id rows between 512 preceding and 1 preceding), w as (partition by workflow order by decision_us, task_id rows between 512 preceding and 1 preceding))"""
-_add("md10_hierarchical_correction", _RES + " select task_id, round(greatest(np / (np + 16.0) * coalesce(xp, 0) + 16.0 / (np + 16.0) * coalesce(xw, 0), 0), 9) as correction from b")
-_add("md13_ordered_policy", _RES + " select task_id, round(request_a * exp(greatest(coalesce(xp, xw, 0), 0)), 3) as request, request_a * exp(greatest(coalesce(xp, xw, 0), 0)) < peak_bytes as under from b")
 _add("md12_policy_by_process", _REQ + """, c as (select workflow, process, k, avg(case when request_a * k >= peak_bytes then 1.0 else 0 end) as coverage, sum(request_a * k) as cost from req cross join (select 1.0 as k union all select 1.25 union all select 1.5 union all select 2.0) f group by 1, 2, 3)
  select workflow, process, k from (select *, row_number() over (partition by workflow, process order by case when coverage >= 0.9 then 0 else 1 end, case when coverage >= 0.9 then cost else -coverage end, k) as r from c) t where r = 1""")
 _add("md14_fold_external", _REQ + """, f as (select *, task_id % 5 as fold, ln(peak_bytes / request_a) as residual from req), m as (select workflow, fold, max(residual) as worst from f group by 1, 2), o as (select a.workflow, a.fold, max(b.worst) as worst from m a join m b on a.workflow = b.workflow and a.fold <> b.fold group by 1, 2)

@@ -65,6 +65,12 @@ _add("ag17_pinball_loss", _REQ + " select workflow, round(avg(greatest(0.99 * (p
 _add("ag18_average_precision", """, s as (select workflow, value as p, case when task_id % 3 = 0 then 1 else 0 end as y from tasks), t as (select workflow, p, sum(y) as pos, count(*) as n from s group by 1, 2),
  c as (select workflow, pos, sum(pos) over w as tp, sum(n) over w as seen, sum(pos) over (partition by workflow) as total from t window w as (partition by workflow order by p desc)) select workflow, round(sum(pos * tp / cast(seen as double)) / max(total), 9) as average_precision from c group by workflow""")
 
+# Tasks that one of two requests covers and the other does not; the binomial tail at 1/2, as sums of logarithms.
+_add("ag09_mcnemar", lambda e: _REQ + f""", d as (select workflow, count_if(request_a < peak_bytes and request_b >= peak_bytes) as rescued, count_if(request_a >= peak_bytes and request_b < peak_bytes) as broken from req group by workflow),
+ i as (select workflow, rescued, broken, rescued + broken as n, {e.steps('0', 'cast(least(rescued, broken) as int)')} as i from d),
+ l as (select *, coalesce(sum(case when i > 0 then ln((n - i + 1) / cast(i as double)) end) over (partition by workflow order by i), 0) as log_ways from i)
+ select workflow, rescued, broken, round(least(2 * sum(exp(log_ways - n * ln(2))), 1), 9) as p_value from l group by workflow, rescued, broken""")
+
 # Windows.
 _add("wn05_leave_one_out", """, r as (select task_id, workflow, process, peak_bytes, row_number() over (partition by workflow, process order by decision_us desc, task_id desc) as k from tasks),
  s as (select workflow as w, process as p, sum(case when k <= 512 then peak_bytes end) as tail, sum(case when k <= 513 then peak_bytes end) as tail1, count(*) as n from r group by 1, 2)

@@ -106,3 +106,10 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """Rows and an order-free sum of row hashes; equal tables have equal fingerprints, repeated rows count."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(20,0)")
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
+
+
+def key_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows and an order-free sum of SHA-256 prefixes over the given columns as text (null: empty), which any engine can repeat."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+    prefix = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(prefix), F.lit(0)).cast("string").alias("digest"))
