@@ -1,23 +1,33 @@
-"""Conditional quantiles of a measure: a forest's leaves hold the quantiles of the training rows that reach them."""
+"""Conditional quantiles of a measure: a forest's leaves hold the quantiles of the training rows that reach them.
+
+Around the forest: feature views that hold no label, predictions from outside a row's fold, tails by group, consumption as
+a feature, requests for workflows never seen, gates that tell which tasks to watch, and replay in batches.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 @dataclass
 class QuantileForest:
     """Quantiles of ``target`` given numeric and categorical columns, on a log scale.
 
-    The table of leaves has at most ``trees * 2**depth`` rows, whatever the input; that bounds its broadcast.
+    The table of leaves has at most ``trees * 2**depth`` rows, whatever the input; that bounds its broadcast. With ``by``
+    (columns) a leaf also holds quantiles of each group that has at least ``least`` rows in it; elsewhere, and for groups
+    never seen, those of all rows stand.
     """
 
     numeric: Sequence[str]
@@ -27,8 +37,11 @@ class QuantileForest:
     trees: int = 12
     depth: int = 7
     seed: int = 1996
+    by: Sequence[str] = ()
+    least: int = 20
     model: PipelineModel | None = None
     leaves: DataFrame | None = None
+    local: DataFrame | None = None
 
     def _ready(self, rows: DataFrame) -> DataFrame:
         flags = {f"__no_{c}": F.col(c).isNull().cast("double") for c in self.numeric}
@@ -45,15 +58,21 @@ class QuantileForest:
             RandomForestRegressor(featuresCol="__features", labelCol="__y", predictionCol="__mean", leafCol="__leaf", numTrees=self.trees, maxDepth=self.depth, seed=self.seed, maxBins=64),
         ]
         self.model = Pipeline(stages=stages).fit(train)
-        reached = self.model.transform(train).select("__y", F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"))
+        reached = self.model.transform(train).select("__y", *self.by, F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"))
         # mergeable sketches: a leaf may hold a large share of all rows
-        self.leaves = reached.groupBy("tree", "leaf").agg(F.percentile_approx("__y", [float(q) for q in self.quantiles], 10000).alias("at"), F.count("*").alias("rows"))
+        held = [F.percentile_approx("__y", [float(q) for q in self.quantiles], 10000).alias("at"), F.count("*").alias("rows")]
+        self.leaves = written(reached.groupBy("tree", "leaf").agg(*held), "leaves")
+        if self.by:
+            self.local = written(reached.groupBy(*self.by, "tree", "leaf").agg(*held).where(F.col("rows") >= self.least), "leaves")
         return self
 
     def predict(self, rows: DataFrame, key: str) -> DataFrame:
         """``key`` and a column q<percent> for each quantile: the median over trees, never falling."""
-        reached = self.model.transform(self._ready(rows)).select(key, F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"))
+        reached = self.model.transform(self._ready(rows)).select(key, *self.by, F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"))
         found = reached.join(F.broadcast(self.leaves), ["tree", "leaf"], "left")
+        if self.local is not None:
+            own = self.local.select(*self.by, "tree", "leaf", F.col("at").alias("own"))
+            found = found.join(own, [*self.by, "tree", "leaf"], "left").withColumn("at", F.coalesce("own", "at"))
         names = [f"q{q * 100:g}".replace(".", "_") for q in self.quantiles]
         out = found.groupBy(key).agg(*[F.expm1(F.median(F.col("at")[i])).alias(n) for i, n in enumerate(names)])
         return out.select(key, *[(F.greatest(*names[: i + 1]) if i else F.col(n)).alias(n) for i, n in enumerate(names)])
@@ -61,7 +80,104 @@ class QuantileForest:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         self.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+        if self.local is not None:
+            self.local.write.mode("overwrite").parquet(f"{path}/local")
 
     def load(self, spark, path: str) -> "QuantileForest":
         self.model, self.leaves = PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/leaves")
+        self.local = spark.read.parquet(f"{path}/local") if self.by else None
         return self
+
+
+def feature_view(view: str, parts: Mapping[str, Sequence[str]], labels: Sequence[str]) -> list[str]:
+    """Columns of a view such as ``A+P``: those of each of its ``parts``, in order. A label among them is an error."""
+    unknown = [p for p in view.split("+") if p not in parts]
+    if unknown:
+        raise ValueError(f"unknown parts of a view: {', '.join(unknown)}")
+    columns = [c for p in view.split("+") for c in parts[p]]
+    leaked = sorted(set(columns) & set(labels))
+    if leaked:
+        raise ValueError(f"labels among the features: {', '.join(leaked)}")
+    return columns
+
+
+def out_of_fold(make: Callable[[], QuantileForest], rows: DataFrame, key: str, fold: Column, folds: int) -> DataFrame:
+    """Predictions for all ``rows``, each from a fit on the other folds (0 to ``folds`` - 1)."""
+    parts = [make().fit(rows.where(fold != i)).predict(rows.where(fold == i), key) for i in range(folds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def derived_memory(rows: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], consumed: str, peak: str, fold: Column, folds: int, **forest) -> DataFrame:
+    """``key``, ``c_hat`` (consumption) and ``derived`` (c_hat times memory by consumption), from outside each row's fold.
+
+    Both are learned from rows whose consumption is known and predicted for all.
+    """
+    known = rows.where(F.col(consumed) > 0).withColumn("__ratio", F.col(peak) / F.col(consumed) * 1e6)
+    make = lambda target: QuantileForest(numeric, categorical, target, (0.5,), **forest)
+    parts = []
+    for i in range(folds):
+        train, test = known.where(fold != i), rows.where(fold == i)
+        c = make(consumed).fit(train).predict(test, key).withColumnRenamed("q50", "c_hat")
+        parts.append(c.join(make("__ratio").fit(train).predict(test, key).withColumnRenamed("q50", "ratio"), key))
+    return reduce(DataFrame.unionByName, parts).select(key, "c_hat", (F.col("c_hat") * F.col("ratio") / 1e6).alias("derived"))
+
+
+def cold_start(rows: DataFrame, key: str, workflow: str, make: Callable[[], QuantileForest], peak: str, multiplier: float = 1.0, folds: int = 50) -> DataFrame:
+    """Requests for tasks of workflows that the model never saw: each workflow is left out in turn (beyond ``folds``, in groups).
+
+    ``request`` is at least the geometric mean of the model's q99 and the others' 95th percentile. Without other
+    workflows there is nothing to learn from, and no rows.
+    """
+    spark, names = rows.sparkSession, rows.select(workflow).distinct()
+    order = names.select(workflow, F.abs(F.hash(workflow)).alias("h")).orderBy("h", workflow).limit(folds).collect() if names.limit(folds + 1).count() <= folds else None
+    if order is None:
+        place = F.pmod(F.xxhash64(workflow), F.lit(folds))
+        rows, count = rows.withColumn("__fold", place), folds
+    else:
+        found = spark.createDataFrame([(r[0], i) for i, r in enumerate(order)], f"{workflow} string, __fold int")
+        rows, count = rows.join(F.broadcast(found), workflow), len(order)  # at most ``folds`` rows
+    parts = []
+    for i in range(count if count > 1 else 0):
+        others = rows.where(F.col("__fold") != i)
+        p95 = others.agg(F.percentile_approx(peak, 0.95, 10000)).first()[0]
+        got = make().fit(others).predict(rows.where(F.col("__fold") == i), key)
+        floor = F.sqrt(F.greatest(F.col("q99"), F.lit(1.0)) * F.lit(float(max(p95 or 1, 1))))
+        parts.append(got.select(key, "q95", "q99", floor.alias("floor"), F.ceil(F.greatest(F.col("q95") * multiplier, floor, F.lit(1.0))).alias("request")))
+    return reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], f"{key} long, q95 double, q99 double, floor double, request long")
+
+
+def gate_scores(train: DataFrame, rows: DataFrame, key: str, numeric: Sequence[str], labels: Sequence[str], severity: str, seed: int = 1996) -> DataFrame:
+    """``key``, p_<label> for each 0/1 label, and ``severity``, predicted for ``rows``.
+
+    Labels are weighed so that both count alike; one that is always the same in ``train`` gives that constant. Null
+    features count as 0.
+    """
+    filled = lambda df: df.fillna(0, list(numeric))
+    ready = VectorAssembler(inputCols=list(numeric), outputCol="__f").transform
+    have, out = ready(filled(train)), ready(filled(rows)).select(key, "__f")
+    n = have.count()
+    for label in labels:
+        ones = have.where(F.col(label) == 1).count()
+        if ones in (0, n):
+            out = out.withColumn(f"p_{label}", F.lit(float(bool(ones))))
+            continue
+        weighed = have.withColumn("__w", F.when(F.col(label) == 1, n / (2.0 * ones)).otherwise(n / (2.0 * (n - ones))))
+        model = GBTClassifier(featuresCol="__f", labelCol=label, weightCol="__w", maxIter=20, maxDepth=4, seed=seed, predictionCol="__y")
+        model = model.setProbabilityCol("__p").setRawPredictionCol("__r").fit(weighed)
+        out = model.transform(out).withColumn(f"p_{label}", vector_to_array("__p")[1]).drop("__p", "__r", "__y")
+    model = GBTRegressor(featuresCol="__f", labelCol=severity, lossType="absolute", maxIter=20, maxDepth=3, seed=seed, predictionCol="severity").fit(have)
+    return model.transform(out).drop("__f")
+
+
+def replay(tasks: DataFrame, key: str, batch: str, batches: int, labels: Sequence[str], make: Callable[[], QuantileForest], quantile: str = "q95") -> DataFrame:
+    """Decisions over batches 1 to ``batches`` - 1, each by a fit on the batches before it; batch 0 is known from the start.
+
+    A batch's decisions are made without ``labels`` and written before its outcomes are joined. Returns key, batch, request
+    and the labels.
+    """
+    parts = []
+    for i in range(1, batches):
+        model = make().fit(tasks.where(F.col(batch) < i))
+        blind = tasks.where(F.col(batch) == i).drop(*labels)
+        parts.append(written(model.predict(blind, key).select(key, F.lit(i).alias(batch), F.ceil(quantile).alias("request")), "decisions"))
+    return reduce(DataFrame.unionByName, parts).join(tasks.select(key, *labels), key)

@@ -3,10 +3,13 @@
 import gzip
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoledger.operators import history as H
+from chronoledger.operators import models as M
 from chronoledger.operators.graph import components
 from chronoledger.plans import catalog
 from chronoledger.sources import tables as S
@@ -41,12 +44,102 @@ def test_job_queries_cover_their_tables(spark):
     assert q["snk04_fingerprint"](spark, SF).first()["n"] == n
 
 
-def test_quantile_forest_covers(spark):
-    t = catalog.queries()["md03_quantile_forest"](spark, SF)
-    rows = t.collect()
-    assert len(rows) == 200 and all(0 <= r.q50 <= r.q95 <= r.q99 for r in rows)
+@pytest.mark.parametrize("name", ["md03_quantile_forest", "md06_process_tails"])
+def test_quantiles_cover(spark, name):
+    rows = catalog.queries()[name](spark, SF).collect()
     actual = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", F.floor(F.col("value") * 1000000) + 1).collect()}
-    assert sum(actual[r.task_id] <= r.q95 for r in rows) / len(rows) > 0.85
+    assert {r.task_id for r in rows} == set(actual) and len(rows) == len(actual) and all(0 <= r.q50 <= r.q95 <= r.q99 for r in rows)
+    share = lambda q: sum(actual[r.task_id] <= r[q] for r in rows) / len(rows)
+    assert abs(share("q50") - 0.5) < 0.1 and share("q95") > 0.85
+    # Against plain quantiles: with features that tell nothing apart, a forest's quantiles are those of all rows.
+    plain = spark.createDataFrame([(i, 1, float(i)) for i in range(2000)], "id long, x long, y double")
+    got = M.QuantileForest(["x"], [], "y").fit(plain).predict(plain.limit(1), "id").first()
+    assert all(abs(got[c] - q * 2000) < 40 for c, q in (("q50", 0.5), ("q95", 0.95), ("q99", 0.99)))
+
+
+def test_forest_is_kept(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 7, f"p{i % 3}", float(i % 50)) for i in range(600)], "id long, x long, p string, y double")
+    forest = M.QuantileForest(["x"], ["p"], "y", by=["p"])
+    want = sorted(map(tuple, forest.fit(rows).predict(rows, "id").collect()))
+    forest.save(str(tmp_path / "f"))
+    again = M.QuantileForest(["x"], ["p"], "y", by=["p"]).load(spark, str(tmp_path / "f"))
+    assert sorted(map(tuple, again.predict(rows, "id").collect())) == want
+    new = spark.createDataFrame([(1, 3, "never seen"), (2, None, None)], "id long, x long, p string")
+    assert again.predict(new, "id").where("q95 is not null").count() == 2
+
+
+def test_feature_views():
+    parts = {"A": ["size"], "P": ["p50"], "C": ["c50", "c_hat"]}
+    assert M.feature_view("A+P+C", parts, ["peak"]) == ["size", "p50", "c50", "c_hat"]
+    with pytest.raises(ValueError, match="unknown"):
+        M.feature_view("A+X", parts, [])
+    with pytest.raises(ValueError, match="peak"):
+        M.feature_view("A", {"A": ["peak"]}, ["peak"])
+
+
+def test_models_over_all_tasks(spark):
+    q, n = catalog.queries(), spark.read.parquet(f"{SF}/events.parquet").count()
+    derived = q["md07_derived_memory"](spark, SF)
+    assert derived.count() == n and derived.where("c_hat < 0 or derived < 0 or derived is null").count() == 0
+    cold = q["md17_cold_start"](spark, SF)
+    assert cold.count() == n and cold.where("request < floor or request < q95").count() == 0
+    gates = q["md20_gate_models"](spark, SF)
+    assert gates.count() == n and gates.where("p_under not between 0 and 1 or severity is null").count() == 0
+    done = q["st11_batched_replay"](spark, SF)
+    assert done.select("batch").distinct().count() == 4 and done.where("request is null").count() == 0
+
+
+def test_gates_of_one_label_are_constant(spark):
+    rows = spark.createDataFrame([(i, i, 0, 1, 0.5) for i in range(20)], "id long, x long, never int, always int, s double")
+    got = M.gate_scores(rows, rows, "id", ["x"], ["never", "always"], "s")
+    assert {(r.p_never, r.p_always) for r in got.collect()} == {(0.0, 1.0)}
+
+
+def test_replay_sees_no_label_before_it_decides(spark):
+    rows = [(i, i // 100, 1.0, float(10 * (i // 100 + 1))) for i in range(300)]
+    t = spark.createDataFrame(rows, "id long, batch int, x double, peak double")
+    got = {(r.batch, r.request) for r in M.replay(t, "id", "batch", 3, ["peak"], lambda: M.QuantileForest(["x"], [], "peak")).collect()}
+    assert {b: r for b, r in got} == {1: 10, 2: 20} or all(r <= 10 * b + 1 for b, r in got)
+
+
+def test_history_of_a_hot_key(spark):
+    """One key for all rows: places, frames, states and neighbours as brute force finds them, from many blocks."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    rows = [("k", int(t), i, float(v) if i % 9 else None) for i, (t, v) in enumerate(zip(rng.integers(0, 1000, n), rng.uniform(0, 9, n)))]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v double")
+    order = sorted(rows, key=lambda r: (r[1], r[2]))
+    assert {r.id: r.place for r in H.positions(df, ["k"], ["t", "id"]).collect()} == {r[2]: i for i, r in enumerate(order)}
+    seen = H.trailing_quantiles(df, ["k"], ["t", "id"], 64, a=("v", 0.5), b=("v", 0.95), c=("v", 0.9, "higher"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions are merged otherwise
+    assert seen.select(F.spark_partition_id()).distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.id: r for r in seen.collect()}
+    for i, r in enumerate(order):
+        w = np.array([x[3] for x in order[max(0, i - 63) : i + 1] if x[3] is not None])
+        g = got[r[2]]
+        assert g.support == i + 1
+        if not len(w):
+            assert g.a is None
+            continue
+        level = min(1.0, np.ceil((len(w) + 1) * 0.9) / len(w))
+        assert np.allclose([g.a, g.b, g.c], [np.quantile(w, 0.5), np.quantile(w, 0.95), np.quantile(w, level, method="higher")])
+    assert {r.id: (r.support, r.a) for r in H.before_each(seen, ["k"], ["a"]).collect()} == {r[2]: (i, got[order[i - 1][2]].a if i else None) for i, r in enumerate(order)}
+    most = {r.id: r.m for r in H.trailing(df, ["k"], ["t", "id"], 32, m=F.max("v")).collect()}
+    assert most == {r[2]: max((x[3] for x in order[max(0, i - 31) : i + 1] if x[3] is not None), default=None) for i, r in enumerate(order)}
+    # An outcome that completes at the decision's time is not seen.
+    asked = H.asof(df.select("k", "t", F.col("id").alias("ask")), df, ["k"], "t", "t", ["id"], "id").collect()
+    last = {t: max(((r[1], r[2]) for r in rows if r[1] < t), default=(None, None))[1] for t in {r[1] for r in rows}}
+    assert all(r.last_id == last[r.t] for r in asked) and len(asked) == n
+    near = H.nearest_before(df, ["k"], ["t", "id"], ["v"], 3, ["id"], ["id"], block=256).collect()
+    found = {}
+    for r in near:
+        found.setdefault(r.id, {})[r["rank"]] = (r.n_id, r.distance)
+    value = lambda x: x[3] or 0.0
+    for i in (0, 1, 2, 50, 1500, 2999):
+        me = order[i]
+        want = sorted((round(abs(value(x) - value(me)), 9), j, x[2]) for j, x in enumerate(order[:i]))[:3]
+        assert [found.get(me[2], {})[k + 1] for k in range(len(want))] == [(x[2], x[0]) for x in want]
 
 
 def test_sources(spark, tmp_path):
