@@ -1,9 +1,11 @@
 """Exact top-k search by multi-resolution segment statistics.
 
 A vector's segments keep their mean and deviation. By Cauchy's inequality, segment by segment, the squared distance of
-two vectors is at least the sum of L * ((mean - mean')^2 + (dev - dev')^2); with their norms this bounds the inner
-product from above. Bounds are taken at 1, 4 and 16 segments, each only for pairs that the coarser one left, and exact
-scores only for the survivors. Queries and rows meet in blocks, as matrices; a block passes on its best k a query.
+two vectors is at least the sum of L * ((mean - mean')^2 + (dev - dev')^2). As a vector's squared norm is the sum of
+L * (mean^2 + dev^2), that bounds the inner product from above by the sum of L * (mean * mean' + dev * dev'), itself an
+inner product of statistics. Bounds are taken at 1, 4 and 16 segments, coarse to fine; each raises the query's floor by the
+exact scores of the likeliest rows and leaves only rows that reach it; exact scores are computed for the survivors.
+Queries and rows meet in blocks, as matrices; a block passes on its best k a query.
 """
 
 from __future__ import annotations
@@ -42,9 +44,14 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return out
 
 
-def _statistics(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _statistics(x: np.ndarray, parts: int) -> np.ndarray:
+    """Means and deviations of each row's segments, times the root of their length."""
     s = x.reshape(len(x), parts, -1)
-    return s.mean(2), s.std(2), s.shape[2]
+    return np.concatenate((s.mean(2), s.std(2)), 1) * np.sqrt(s.shape[2])
+
+
+#: Queries of a block that are searched at once.
+_AT_ONCE = 64
 
 
 def _search(k: int):
@@ -61,33 +68,41 @@ def _search(k: int):
         most = width * np.abs(q).max(initial=0) * np.abs(c).max(initial=0)
         if most >= 2**63:
             raise OverflowError("components too large: an inner product may exceed a long")
-        small = most < 2**53
-        exact_c = c if small else c.astype(np.int64)
-        half = (c * c).sum(1) / 2
+        if most >= 2**53:
+            whole_q, whole_c = q.astype(np.int64), c.astype(np.int64)
+        else:
+            whole_q, whole_c = q, c
         levels = [(_statistics(q, r), _statistics(c, r)) for r in RESOLUTIONS]
-        out = []
-        for i in range(len(q_ids)):
-            own = q[i] if small else q[i].astype(np.int64)
-            live = np.flatnonzero(c_ids != q_ids[i])
-            floor = -np.inf
-            for (qm, qs, length), (cm, cs, _) in [(a, b) for a, b in levels]:
-                gap = length * (((cm[live] - qm[i]) ** 2).sum(1) + ((cs[live] - qs[i]) ** 2).sum(1))
-                bound = half[live] + (q[i] @ q[i]) / 2 - gap / 2  # upper bound of the inner product
-                if len(live) > 4 * k:
-                    best = live[np.argpartition(-bound, 2 * k)[: 2 * k]]
-                    scores = np.sort(exact_c[best] @ own)
-                    floor = max(floor, float(scores[-k]))
-                    live = live[bound >= floor - 1e-6 * (1 + abs(floor)) - 1e-9 * (half[live] + q[i] @ q[i])]
-            score = (exact_c[live] @ own).astype(np.int64)
-            top = np.lexsort((c_ids[live], -score))[:k]
-            out.append((np.full(len(top), q_ids[i]), c_ids[live][top], score[top]))
+        norms, out, few = np.sqrt((c * c).sum(1)), [], min(2 * k, len(c))
+        for lo in range(0, len(q), _AT_ONCE):
+            own, ids = whole_q[lo : lo + _AT_ONCE], q_ids[lo : lo + _AT_ONCE]
+            live, floor = c_ids[None] != ids[:, None], np.full(len(own), -np.inf)
+            # What rounding may take from a bound.
+            slack = 1e-9 * (1 + np.sqrt((q[lo : lo + _AT_ONCE] ** 2).sum(1))[:, None] * norms[None])
+            for sq, sc in levels:
+                if len(c) <= 4 * k:
+                    break
+                bound = np.where(live, sq[lo : lo + _AT_ONCE] @ sc.T + slack, -np.inf)
+                best = np.argpartition(-bound, few - 1, axis=1)[:, :few]
+                score = np.where(np.take_along_axis(live, best, 1), np.einsum("ij,ikj->ik", own, whole_c[best]), -np.inf)
+                floor = np.maximum(floor, np.partition(score, few - k, axis=1)[:, few - k])
+                live &= bound >= floor[:, None]
+            there = np.flatnonzero(live.any(0))
+            score = own @ whole_c[there].T
+            row, col = np.nonzero(live[:, there])
+            score, row_id = score[row, col].astype(np.int64), c_ids[there][col]
+            order = np.lexsort((row_id, -score, row))
+            row = row[order]
+            first = np.searchsorted(row, np.arange(len(own)))
+            top = np.arange(len(row)) - first[row] < k
+            out.append((ids[row[top]], row_id[order][top], score[order][top]))
         a, b, s = (np.concatenate([x[j] for x in out]) for j in range(3))
         return pa.table({"query_id": a, "vec_id": b, "score": s})
 
     return run
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = 1024, row_block: int = 8192) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = 8192, row_block: int = 16384) -> DataFrame:
     """Each query's ``k`` rows of highest inner product of floor(256 x), ties to the smaller vec_id.
 
     Both take vec_id and embedding; other columns are ignored. Vectors that are null or hold null or non-finite
@@ -95,6 +110,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block:
     meets rows of its own vec_id. Of rows that repeat a vec_id, each counts. Returns query_id, rank, vec_id, score;
     fewer than ``k`` rows where fewer exist, none for an empty table. Components so large that an inner product may
     exceed a long are an error, as such a score has no value to return.
+
+    A task holds one block of each side; vectors travel once per block of the other side, so larger blocks shuffle less.
     """
     whole = F.expr("embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     kept = ["vec_id", "embedding"]

@@ -365,6 +365,22 @@ def test_op7_ties_and_broken_vectors(spark):
     assert topk.exact_topk(v.limit(0), v).count() == 0
 
 
+def test_op7_blocks_and_bounds(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (5, 20))
+    vectors = np.concatenate([centres[i % 5] + rng.normal(0, 0.2, 20) for i in range(700)]).reshape(700, 20).round(3)
+    vectors[100:110] = vectors[0]  # ties
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * vectors).astype(np.int64)
+    for blocks in ({}, {"query_block": 7, "row_block": 90}):
+        got = {}
+        for r in topk.exact_topk(v, v.where("vec_id % 50 = 0"), **blocks).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+        for i in range(0, 700, 50):
+            want = sorted(((-int(whole[i] @ whole[j]), j) for j in range(700) if j != i))[:5]
+            assert [got[i][k + 1] for k in range(5)] == [(j, -s) for s, j in want]
+
+
 def test_op7_scores_beyond_a_long_are_an_error(spark):
     v = spark.createDataFrame([(0, [1e8, 1.0], "x"), (1, [1e8, 1.0], "y"), (2, [1e6, 0.0], "z")], "vec_id long, embedding array<double>, score string")
     assert [r.vec_id for r in topk.exact_topk(v.where("vec_id > 0"), v.where("vec_id = 0").selectExpr("vec_id", "transform(embedding, x -> x / 1e6) as embedding")).collect()] == [1, 2]
