@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import partitions
+
 
 def read_delimited(spark: SparkSession, path: str | list[str], columns: Sequence[str], sep: str = "\t") -> DataFrame:
     """A table with a header row; every column is text and optional, in any order in the file. Gzip is read as it is."""
@@ -15,6 +17,12 @@ def read_delimited(spark: SparkSession, path: str | list[str], columns: Sequence
     return found.select(*[F.col(f"`{c}`") if c in found.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
+def materialise(spark: SparkSession, path: str, columns: Sequence[str], out: str) -> DataFrame:
+    """Gzipped text as a Parquet table. A gzip file is one task's to read, so rows are dealt over partitions behind it."""
+    read_delimited(spark, path, columns).repartition(partitions(spark)).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def read_manifests(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], aliases: Mapping[str, str]) -> DataFrame:
     """One table of several files whose columns differ; ``aliases`` maps an old name to the present one."""
     whole = None

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.history import positions
+
 OUTCOME = "task_id string, workflow string, process string, exit_status int, completion_us long, peak_bytes long, consumed_bytes long"
 
 
@@ -15,33 +17,40 @@ def route(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("route", F.when(ok & F.col("peak_bytes").isNotNull() & F.col("consumed_bytes").isNotNull(), "training").when(ok | oom, "history").otherwise("skipped"))
 
 
-def _existing(spark: SparkSession, table: str, before: int) -> DataFrame | None:
-    """Rows of the batches before this one: a batch that is run again does not see itself."""
+_APPLIED = OUTCOME + ", route string, digest long, status string, seq long, batch long"
+_STATE = "workflow string, base long, batch long"
+
+
+def _rows(spark: SparkSession, table: str, schema: str, before: int | None = None) -> DataFrame:
+    """Rows of a folder by batch, also of one that holds no file yet; a batch that is run again does not see itself."""
     root = spark._jvm.org.apache.hadoop.fs.Path(table)
     if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        return None
-    rows = spark.read.parquet(table).where(F.col("batch") < before)
-    return rows
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).parquet(table)
+    return found if before is None else found.where(F.col("batch") < before)
+
+
+def applied(spark: SparkSession, table: str) -> DataFrame:
+    """What ``ingest`` has taken in."""
+    return _rows(spark, table, _APPLIED)
 
 
 def _apply(batch: DataFrame, batch_id: int, table: str) -> None:
-    spark = batch.sparkSession
+    spark, root = batch.sparkSession, table.rstrip("/")
     digest = F.xxhash64(*[F.col(c) for c in sorted(batch.columns)])
     fresh = route(batch).withColumn("digest", digest).where("route <> 'skipped'").dropDuplicates(["task_id", "digest"])
-    first = Window.partitionBy("task_id").orderBy("completion_us", "digest")
-    fresh = fresh.withColumn("copy", F.row_number().over(first))
-    old = _existing(spark, table, batch_id)
-    if old is None:
-        fresh = fresh.withColumn("seen", F.lit(None).cast("long")).withColumn("base", F.lit(0).cast("long"))
-    else:
-        known = old.where("status = 'applied'")
-        fresh = fresh.join(known.select("task_id", F.col("digest").alias("seen")), "task_id", "left")
-        base = known.groupBy("workflow").agg(F.max("seq").alias("base"))
-        fresh = fresh.join(base, "workflow", "left").fillna({"base": 0})
-    marked = fresh.where("seen is null or seen <> digest").withColumn("status", F.when((F.col("copy") > 1) | F.col("seen").isNotNull(), "conflict").otherwise("applied"))
-    order = Window.partitionBy("workflow", "status").orderBy("completion_us", "task_id")
-    out = marked.withColumn("seq", F.when(F.col("status") == "applied", F.col("base") + F.row_number().over(order)))
-    out.drop("copy", "seen", "base").write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={batch_id}")
+    fresh = fresh.withColumn("copy", F.row_number().over(Window.partitionBy("task_id").orderBy("completion_us", "digest")))
+    known = _rows(spark, root, _APPLIED, batch_id).where("status = 'applied'").select("task_id", F.col("digest").alias("seen"))
+    # The last sequences are a small table of their own: one row a workflow and batch.
+    base = _rows(spark, f"{root}-state", _STATE, batch_id).groupBy("workflow").agg(F.max("base").alias("base"))
+    fresh = fresh.join(known, "task_id", "left").where("seen is null or seen <> digest")
+    marked = fresh.withColumn("status", F.when((F.col("copy") > 1) | F.col("seen").isNotNull(), "conflict").otherwise("applied"))
+    placed = positions(marked.drop("copy", "seen"), ["workflow"], ["completion_us", "task_id", "digest"], F.col("status") == "applied")
+    placed = placed.join(base, "workflow", "left").fillna({"base": 0})
+    out = placed.withColumn("seq", F.when(F.col("status") == "applied", F.col("base") + F.col("place") + 1)).drop("base", "place")
+    out.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    last = spark.read.schema(_APPLIED).parquet(f"{root}/batch={batch_id}").where("seq is not null").groupBy("workflow").agg(F.max("seq").alias("base"))
+    last.write.mode("overwrite").parquet(f"{root}-state/batch={batch_id}")
 
 
 def ingest(spark: SparkSession, source: str, table: str, checkpoint: str) -> StreamingQuery:
