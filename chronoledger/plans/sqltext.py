@@ -27,6 +27,12 @@ class Engine:
     def disc(self, x: str, q: float) -> str:
         return f"percentile_disc({q}) within group (order by {x})"
 
+    def like(self, x: str, pattern: str) -> str:
+        return f"{x} rlike '{pattern}'" if self.spark else f"regexp_matches({x}, '{pattern}')"
+
+    def replace_all(self, x: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({x}, '{pattern}', '{by}')" if self.spark else f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+
     def steps(self, lo: str, hi: str) -> str:
         return f"explode(sequence({lo}, {hi}))" if self.spark else f"unnest(range({lo}, {hi} + 1))"
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from ..functions import rules
 from .statements import _RANK, _REQ, _add
 
+#: Process names as pipelines print them, one for each number.
+_NAMES = ("NF:KRAKEN2_RUN", "prep:UNTAR", "gatk:MERGE_HAPLOTYPECALLER", "gatk:HAPLOTYPECALLER", "map:BUILD_INDEX", "map:bwamem align", "SAMTOOLS:FLAGSTAT", "qc:fastqc", "qc:FASTP", "qc:MOSDEPTH", "report:krona", "TABIX:bgzip", "main:SORT_SORT", "main:custom-step", "data:download_reads", "x:scatter intervals", "y:generate", "z:A_A_A")
+_NAMED = ", named as (select task_id, case task_id % " + str(len(_NAMES)) + " " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(_NAMES)) + " end as name from tasks)"
+_PATHS = ", paths as (select task_id, input_bytes, case task_id % 7 when 0 then '/runs/a1/work/stage-7/x.bam' when 1 then '/runs/a1/work/3f/out.bam' when 2 then 's3://bucket/reads.fq' when 3 then 'https://host/ref.fa' when 4 then '/work/stage-2/in.vcf' when 5 then '/workflow/data/panel.bed' else '/tmp/other.txt' end as path from tasks)"
+
 # Parsing.
 _add("fn07_timestamp_parse", lambda e: f""", raw as (select task_id, case task_id % 3 when 0 then '2024-03-0' || cast(task_id % 9 + 1 as string) || 'T10:00:0' || cast(task_id % 10 as string) || 'Z' when 1 then '2024-03-0' || cast(task_id % 9 + 1 as string) || ' 11:30:00' else 'unknown' end as v from tasks)
  select task_id, {"unix_micros(cast(try_cast(replace(v, 'Z', '') as timestamp_ntz) as timestamp))" if e.spark else "epoch_us(try_cast(replace(v, 'Z', '') as timestamp))"} as us from raw""")
 _add("fn09_lifecycle_minutes", """, lines as (select workflow, cast(decision_us as string) || case when task_id % 50 = 0 then ' Execution complete' else ' Submitted process' end as line from tasks),
  s as (select workflow, line, cast(regexp_extract(line, '^([0-9]+)', 1) as bigint) as us from lines) select workflow, round((max(case when line like '%Execution complete' then us end) - min(us)) / 60000000.0, 6) as minutes from s group by workflow""")
-_add("fn16_operation_rules", """, n as (select p_partkey, upper(p_type) as name, p_size % 3 = 0 as doubled from @part)
- select p_partkey, case when regexp_extract(name, '(^STANDARD|^PROMO)', 1) <> '' then 'sort' when regexp_extract(name, '(^SMALL|^MEDIUM)', 1) <> '' then 'align' when regexp_extract(name, '(^LARGE)', 1) <> '' then 'index'
-  else case when doubled then split_part(name || '_' || name, '_', 1) else name end end as operation, name like '%STEEL%' as is_steel, name like '%POLISHED%' as is_polished from n""")
-_add("fn19_source_class", "select page_id, case when regexp_extract(url, '^(https?)', 1) <> '' then 'remote' when regexp_extract(url, '^(s3|gs|ftp)', 1) <> '' then 'store' when url like '/%' then 'local' else 'unknown' end as source_class from @pages", False)
+_add("fn16_operation_rules", lambda e: _NAMED + f""" select task_id, {rules.first('upper(name)', rules.OPERATIONS, lambda r: f"'{r[1]}'", rules.terminal('name', e), e.like)} as operation,
+ {rules.first('upper(name)', rules.OPERATIONS, lambda r: "'" + '|'.join(sorted(r[2])) + "'", "'" + '|'.join(rules.UNCLASSIFIED) + "'", e.like)} as classes from named""")
+_add("fn17_process_family", lambda e: _NAMED + f""", w as (select task_id, {e.replace_all('upper(name)', '[^A-Z0-9]+', '_')} as v from named) select task_id, {rules.first('v', rules.FAMILIES, lambda r: f"'{r[1]}'", "'other'", e.like)} as family from w""")
+_add("fn19_source_class", lambda e: _PATHS + f""" select task_id, {rules.first('path', rules.SOURCES, lambda r: f"'{r[1]}'", "'external'", e.like)} as source_class from paths""")
 _add("fn23_retry_group", """, raw as (select task_id, process, task_instance, case when task_id % 2 = 0 then 'run_err' || task_instance || '_a' else 'other' end as tag from tasks)
  select task_id, coalesce(nullif(regexp_extract(upper(tag), '(ERR[0-9]+)', 1), ''), process || '::' || task_instance) as retry_group from raw""")
 _add("fn24_array_literal", """, raw as (select task_id, '[' || cast(value as string) || ', ' || cast(value * 2 as string) || ', ' || cast(value * 4 as string) || ']' as v from tasks)
@@ -27,8 +33,9 @@ _add("log01_syscall_summary", _LINES + """ select workflow, task_instance, count
 _add("log02_successful_only", lambda e: f""", l as (select task_id, {e.sha('cast(task_id as string)')} as h from tasks), ok as (select distinct substr({e.sha('cast(task_id as string)')}, 1, 8) as p from tasks where runtime_seconds is not null) select task_id from l where exists (select 1 from ok where p = substr(h, 1, 8))""")
 _add("log03_attribution_by_task", "select workflow, task_instance, cast(sum(consumed_bytes) as bigint) as read_bytes, cast(sum(input_bytes) as bigint) as mmap_bytes, round(100.0 * sum(input_bytes) / nullif(sum(coalesce(consumed_bytes, 0) + input_bytes), 0), 9) as mmap_pct from tasks group by workflow, task_instance")
 _add("log04_attribution_by_file", "select input_identity as filename, cast(sum(coalesce(consumed_bytes, 0) + input_bytes) as bigint) as total from tasks group by input_identity order by total desc, filename")
-_add("log05_staged_links", lambda e: f""", l as (select task_id, {e.steps('1', 'cast(task_id % 3 + 1 as int)')} as link, input_bytes from tasks), k as (select task_id, case link when 1 then 'original' when 2 then 'intermediate' else 'external' end as kind, input_bytes from l)
- select task_id, cast(sum(case when kind = 'original' then input_bytes else 0 end) as bigint) as original_bytes, cast(sum(case when kind = 'intermediate' then input_bytes else 0 end) as bigint) as intermediate_bytes, {"listagg(kind, '|') within group (order by kind)" if e.spark else "string_agg(kind, '|' order by kind)"} as kinds from k group by task_id""")
+_add("log05_staged_links", lambda e: _PATHS + f""", l as (select task_id, {e.steps('0', 'cast(task_id % 3 as int)')} as link from tasks), c as (select l.task_id, link, p.input_bytes, {rules.first('p.path', rules.SOURCES, lambda r: f"'{r[1]}'", "'external'", e.like)} as kind from l join paths p on p.task_id = l.task_id - l.task_id % 7 + (l.task_id + l.link) % 7)
+ select task_id, cast(sum(case when kind = 'original' then input_bytes else 0 end) as bigint) as original_bytes, cast(sum(case when kind = 'intermediate' then input_bytes else 0 end) as bigint) as intermediate_bytes, cast(sum(case when kind = 'external' then input_bytes else 0 end) as bigint) as external_bytes,
+ {"listagg(kind, '|') within group (order by link)" if e.spark else "string_agg(kind, '|' order by link)"} as kinds from c group by task_id""")
 _add("log06_trace_rows", """, t as (select task_id, case task_id % 4 when 0 then 'FAILED' when 1 then 'CACHED' else 'COMPLETED' end as status, case when task_id % 5 = 0 then '-' else cast(task_id % 90 as string) || '.5 MB' end as read_bytes, cast(task_id % 30 as string) || ' MB' as rchar from tasks)
  select task_id, cast(round(coalesce(try_cast(nullif(regexp_extract(read_bytes, '^([0-9.]+)', 1), '') as double), try_cast(regexp_extract(rchar, '^([0-9.]+)', 1) as double)) * 1048576) as bigint) as bytes from t where status in ('COMPLETED', 'CACHED')""")
 
