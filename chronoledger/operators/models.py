@@ -181,3 +181,20 @@ def replay(tasks: DataFrame, key: str, batch: str, batches: int, labels: Sequenc
         blind = tasks.where(F.col(batch) == i).drop(*labels)
         parts.append(written(model.predict(blind, key).select(key, F.lit(i).alias(batch), F.ceil(quantile).alias("request")), "decisions"))
     return reduce(DataFrame.unionByName, parts).join(tasks.select(key, *labels), key)
+
+
+def score_views(history: DataFrame, decisions: DataFrame, key: str, views: Mapping[str, Sequence[str]], categorical: Sequence[str], consumed: str, target: str, quantile: float = 0.95, **forest) -> DataFrame:
+    """``key``, ``c_hat`` and a request for each view, side by side, for a batch of decisions; fitted on ``history`` alone.
+
+    Consumption is learned from the first view's columns where it is known; a view may name its prediction, ``c_hat``, and
+    learns from predictions for history rows too.
+    """
+    first = list(next(iter(views.values())))
+    model = QuantileForest(first, categorical, consumed, (0.5,), **forest).fit(history.where(F.col(consumed).isNotNull()))
+    known, asked = (df.join(model.predict(df, key).withColumnRenamed("q50", "c_hat"), key) for df in (history, decisions))
+    out = asked.select(key, "c_hat")
+    for name, columns in views.items():
+        fitted = QuantileForest(list(columns), categorical, target, (quantile,), **forest).fit(known)
+        got = fitted.predict(asked, key)
+        out = out.join(got.select(key, F.ceil(F.greatest(got.columns[1], F.lit(1.0))).alias(name)), key)
+    return out

@@ -156,6 +156,14 @@ def wn03_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(task_table(spark, sf_dir), ["workflow"], _DONE).select("task_id", "workflow", "place")
 
 
+def st12_late_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a decision could see when it was made: outcomes that were complete, and those of them that had arrived."""
+    t = task_table(spark, sf_dir).withColumn("arrival_us", F.col("completion_us") + (F.col("task_id") % 7) * 3600000000)
+    done = asof(t, trailing(t, ["workflow"], _DONE, RECENT), ["workflow"], "decision_us", "completion_us", ["support"], "task_id").withColumnRenamed("last_support", "complete")
+    came = asof(done, trailing(t, ["workflow"], ["arrival_us", "task_id"], RECENT), ["workflow"], "decision_us", "arrival_us", ["support"], "task_id")
+    return came.select("task_id", F.coalesce("complete", F.lit(0)).alias("complete"), F.coalesce("last_support", F.lit(0)).alias("arrived"))
+
+
 _ASOF = f""", s as (select *, count(*) over (partition by workflow, process order by completion_us, task_id) as support, quantile_cont(peak_bytes, 0.95) {_WINDOW} as p95 from tasks),
  u as (select workflow, process, decision_us as t, 0 as kind, null as tie, task_id, peak_bytes, null as support, null as p95 from tasks union all select workflow, process, completion_us, 1, task_id, null, null, support, p95 from s),
  a as (select *, last_value(support ignore nulls) over w as last_support, last_value(p95 ignore nulls) over w as last_p95 from u window w as (partition by workflow, process order by t, kind, tie rows between unbounded preceding and 1 preceding)),
@@ -193,7 +201,7 @@ QUERIES = {
     for f in (
         wn03_positions, wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported,
         jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
-        md10_hierarchical_correction, md13_ordered_policy,
+        md10_hierarchical_correction, md13_ordered_policy, st12_late_outcomes,
     )
 }
 SQL = {
@@ -208,5 +216,6 @@ SQL = {
     "hs05_confidence": _T + f", h as (select *, quantile_cont(peak_bytes, 0.5) over w as p50, quantile_cont(peak_bytes, 0.95) over w as p95, count(*) over (partition by workflow, process order by decision_us, task_id rows between unbounded preceding and 1 preceding) as support from tasks window w as (partition by workflow, process order by decision_us, task_id rows between 512 preceding and 1 preceding)) select task_id, support, round(coalesce({_SPREAD}, 0), 9) as spread, {_TRUST} as confidence from h",
     "md10_hierarchical_correction": _CORRECTED + " select task_id, scope, support, round(confidence, 8) as confidence, round(correction, 8) as correction from co",
     "md13_ordered_policy": _CORRECTED + ", rq as (select *, cast(ceil(greatest(round(base * exp(correction) / 1048576, 6), 1)) as bigint) as request_mib from co) select task_id, request_mib, request_mib * 1048576 < peak_bytes as under from rq",
+    "st12_late_outcomes": _T + ", e as (select *, completion_us + (task_id % 7) * 3600000000 as arrival_us from tasks) select t.task_id, (select count(*) from e o where o.workflow = t.workflow and o.completion_us < t.decision_us) as complete, (select count(*) from e o where o.workflow = t.workflow and o.arrival_us < t.decision_us) as arrived from e t",
     "hs11_best_scope": _T + _LONG + " select task_id, scope, support, confidence from (select *, row_number() over (partition by task_id order by confidence desc, scope) as k from j where support > 0) where k = 1",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..operators.models import QuantileForest, cold_start, derived_memory, feature_view, gate_scores, out_of_fold, replay
+from ..operators.models import QuantileForest, cold_start, derived_memory, feature_view, gate_scores, out_of_fold, replay, score_views
 from ..sources.tables import fingerprint, key_fingerprint
 from .history_queries import task_table
 from .sqltext import Engine, tasks
@@ -64,6 +64,15 @@ def md20_gate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate_scores(t.where(_fold() != 0), t, "task_id", feature_view("A+P", PARTS, LABELS), ["under", "large"], "surprise")
 
 
+def md24_three_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half of all tasks, by task number, scored by three views that were fitted on the earlier half."""
+    t = _features(spark, sf_dir)
+    middle = t.agg(F.min("task_id") + F.floor((F.max("task_id") - F.min("task_id")) / 2)).first()[0] or 0
+    views = {"A": feature_view("A", PARTS, LABELS), "AP": feature_view("A+P", PARTS, LABELS), "APC": [*feature_view("A+P", PARTS, LABELS), "c_hat"]}
+    later = t.where(F.col("task_id") > middle).drop(*LABELS)
+    return score_views(t.where(F.col("task_id") <= middle), later, "task_id", views, ["workflow", "process"], "consumed_bytes", "peak_bytes")
+
+
 def st11_batched_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests over the later four of five batches by decision time, each from what was revealed before it."""
     t = _features(spark, sf_dir)
@@ -85,7 +94,7 @@ def snk04_key_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
 
 QUERIES = {f.__name__: f for f in (
-    jn16_component_join, md03_quantile_forest, md06_process_tails, md07_derived_memory, md17_cold_start, md20_gate_models, st11_batched_replay, snk04_fingerprint, snk04_key_fingerprint,
+    jn16_component_join, md03_quantile_forest, md06_process_tails, md07_derived_memory, md17_cold_start, md20_gate_models, md24_three_views, st11_batched_replay, snk04_fingerprint, snk04_key_fingerprint,
 )}
 SQL = {
     "jn16_component_join": f"with recursive {tasks(Engine(False))}".replace("@", "") + """, tok as (select task_id as k, 'i:' || input_identity as t from tasks union all select task_id, concat_ws(':', 't', workflow, process, task_instance) from tasks),

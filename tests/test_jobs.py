@@ -85,6 +85,8 @@ def test_models_over_all_tasks(spark):
     assert cold.count() == n and cold.where("request < floor or request < q95").count() == 0
     gates = q["md20_gate_models"](spark, SF)
     assert gates.count() == n and gates.where("p_under not between 0 and 1 or severity is null").count() == 0
+    views = q["md24_three_views"](spark, SF)
+    assert views.columns == ["task_id", "c_hat", "A", "AP", "APC"] and views.count() == n // 2 and views.where("least(A, AP, APC) < 1 or c_hat is null").count() == 0
     done = q["st11_batched_replay"](spark, SF)
     assert done.select("batch").distinct().count() == 4 and done.where("request is null").count() == 0
 
