@@ -126,6 +126,92 @@ def before_each(seen: DataFrame, scope: Sequence[str], state: Sequence[str]) ->
     return found.select(*kept, (F.col("support") - 1).alias("support"))
 
 
+def _buckets(asked: Sequence[tuple[str, float]], out: pa.Schema):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of one block of places: in which bucket of values each asked rank lies, and its rank there."""
+        if not left.num_rows:
+            return out.empty_table()
+        right = right.rename_columns([c.removeprefix("__r") for c in right.column_names])
+        bucket, place, before = (np.asarray(right[c].fill_null(-1)) for c in ("bucket", "place", "before"))
+        upto = np.zeros(int(bucket.max(initial=0)) + 1, np.int64)
+        upto[bucket[place < 0]] = before[place < 0]
+        order = np.argsort(np.where(place < 0, -1, place), kind="stable")
+        order = order[place[order] >= 0]
+        asks = np.asarray(left["__n"])
+        rows, names, found, ranks = [], [], [], []
+        done = 0
+        for i in np.argsort(asks, kind="stable").tolist():
+            while done < len(order) and place[order[done]] < asks[i]:
+                upto[bucket[order[done]]] += 1
+                done += 1
+            total = np.cumsum(upto)
+            for name, q in asked:
+                k = max(1, int(np.ceil(q * asks[i])))
+                at = int(np.searchsorted(total, k))
+                rows.append(i)
+                names.append(name)
+                found.append(at)
+                ranks.append(k - (int(total[at - 1]) if at else 0))
+        kept = [left[c].take(pa.array(rows, pa.int64())) for c in out.names[:-3]]
+        return pa.table([*kept, pa.array(names), pa.array(found, pa.int64()), pa.array(ranks, pa.int64())], schema=out)
+
+    return run
+
+
+def _within_buckets(value: str, out: pa.Schema):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of one bucket of values: the asked rank among those whose place comes before the ask's."""
+        if not left.num_rows:
+            return out.empty_table()
+        right = right.rename_columns([c.removeprefix("__r") for c in right.column_names]).sort_by([(value, "ascending"), ("place", "ascending")])
+        place, n, k = np.asarray(right["place"]), np.asarray(left["__n"]), np.asarray(left["__k"])
+        at = np.array([np.flatnonzero(place < a)[b - 1] for a, b in zip(n, k)], np.int64)
+        kept = [left[c] for c in out.names[:-1]]
+        return pa.table([*kept, right[value].take(pa.array(at)).cast(pa.float64())], schema=out)
+
+    return run
+
+
+def asof_quantiles(decisions: DataFrame, outcomes: DataFrame, on: Sequence[str], at: str, done: str, tie: str, key: Sequence[str], **asked: tuple[str, float]) -> DataFrame:
+    """For each decision the nearest-rank quantiles (name=(column, q)) of all outcomes completed strictly before it, and ``support``.
+
+    ``key`` names a decision within ``on``; outcomes with a null in an asked column are left out. Exact at any length of a
+    scope: of n outcomes, the root of n places make a block and the root of n values a bucket. A block knows how many
+    values of each bucket came before it, so an ask finds its bucket there, and its value among the bucket's.
+    """
+    columns = sorted({c for c, _ in asked.values()})
+    whole = outcomes.dropna(subset=columns)
+    left = decisions.select(*on, F.col(at).alias("__time"), F.lit(0).alias("__kind"), F.lit(None).cast(outcomes.schema[tie].dataType).alias("__tie"), F.struct(*key).alias("__d"))
+    right = whole.select(*on, F.col(done).alias("__time"), F.lit(1).alias("__kind"), F.col(tie).alias("__tie"), *[F.col(c).alias(f"__v_{c}") for c in columns])
+    both = written(positions(left.unionByName(right, allowMissingColumns=True), on, ["__time", "__kind", "__tie"], F.col("__kind") == 1).drop("__time", "__tie"), "places")
+    asks = both.where("__kind = 0").select(*on, "__d", F.col("place").alias("__n"))
+    outs = both.where("__kind = 1")
+    sizes = outs.groupBy(*on).agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("__w"), F.count("*").alias("__all"))
+    sizes = written(sizes.select(F.struct(*on).alias("__s"), "__w", F.ceil(F.col("__all") / F.col("__w")).cast("long").alias("__blocks")), "sizes")
+    sized = lambda df: df.join(sizes, F.struct(*[F.col(k) for k in on]).eqNullSafe(F.col("__s"))).drop("__s")
+    dealt = sized(asks).where("__n > 0").withColumn("block", F.floor(F.col("__n") / F.col("__w"))).select(*on, "__d", "__n", "block")
+    found = None
+    for c in columns:
+        mine = [(name, q) for name, (col, q) in asked.items() if col == c]
+        cells = sized(positions(outs.select(*on, "place", f"__v_{c}"), on, [f"__v_{c}", "place"], name="__rank"))
+        cells = written(cells.select(*on, "place", f"__v_{c}", F.floor(F.col("place") / F.col("__w")).alias("block"), F.floor(F.col("__rank") / F.col("__w")).alias("bucket")), "cells")
+        grid = sizes.select("__s.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("bucket"), "__blocks").select(*on, "bucket", F.explode(F.sequence(F.lit(0).cast("long"), "__blocks")).alias("block"))
+        held = cells.groupBy(*on, "bucket", "block").agg(F.count("*").alias("held")).select("held", *[F.col(k).alias(f"__o_{k}") for k in (*on, "bucket", "block")])
+        grid = grid.join(held, _same(grid, held, (*on, "bucket", "block"), "__o_"), "left").select(*grid.columns, F.coalesce("held", F.lit(0)).alias("held"))
+        before = F.coalesce(F.sum("held").over(Window.partitionBy(*on, "bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        known = grid.select(*on, "block", "bucket", F.lit(None).cast("long").alias("place"), before.alias("before")).unionByName(cells.select(*on, "block", "bucket", "place", F.lit(None).cast("long").alias("before")))
+        known = known.select(*[F.col(k).alias(f"__r{k}") for k in known.columns])
+        schema = dealt.select(*on, "__d", "__n").schema.add("name", "string").add("bucket", "long").add("__k", "long")
+        ranks = dealt.groupBy(*on, "block").cogroup(known.groupBy(*[f"__r{k}" for k in (*on, "block")])).applyInArrow(_buckets(mine, to_arrow_schema(schema)), schema)
+        values = cells.select(*[F.col(k).alias(f"__r{k}") for k in (*on, "bucket", "place", f"__v_{c}")])
+        schema = ranks.select(*on, "__d", "name").schema.add("value", "double")
+        got = ranks.groupBy(*on, "bucket").cogroup(values.groupBy(*[f"__r{k}" for k in (*on, "bucket")])).applyInArrow(_within_buckets(f"__v_{c}", to_arrow_schema(schema)), schema)
+        found = got if found is None else found.unionByName(got)
+    wide = found.groupBy(*on, "__d").agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in asked])
+    wide = wide.select(*asked, *[F.col(k).alias(f"__o_{k}") for k in (*on, "__d")])
+    return asks.join(wide, _same(asks, wide, (*on, "__d"), "__o_"), "left").select(*on, "__d.*", F.col("__n").alias("support"), *asked)
+
+
 def _distances(k: int, out: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

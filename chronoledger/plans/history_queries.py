@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calibration import Scope, corrections
-from ..operators.history import asof, before_each, confidence, nearest_before, positions, stability, trailing, trailing_quantiles
+from ..operators.history import asof, asof_quantiles, before_each, confidence, nearest_before, positions, stability, trailing, trailing_quantiles
 from .sqltext import Engine, tasks
 
 _T = f"with {tasks(Engine(False))} ".replace("@", "")
@@ -156,6 +156,25 @@ def wn03_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(task_table(spark, sf_dir), ["workflow"], _DONE).select("task_id", "workflow", "place")
 
 
+_LEVELS = {"G0": "concat_ws('|', workflow, process, task_instance)", "G1": "concat_ws('|', workflow, process)", "G2": "process", "G3": "workflow", "G4": "'all'"}
+_PHASE = "case when task_id % 3 = 0 then 1 else 0 end"
+_FIVE = {"peak_median": ("peak_bytes", 0.5), "peak_q95": ("peak_bytes", 0.95), "consumed_median": ("consumed_bytes", 0.5), "consumed_q95": ("consumed_bytes", 0.95), "ratio_median": ("ratio", 0.5)}
+
+
+def hs07_five_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two phases: a task sees all of the phase before its own and what its phase has completed. Of five levels, the most
+    specific with 20 outcomes counts, else the whole history, else none."""
+    t = task_table(spark, sf_dir).withColumn("phase", F.expr(_PHASE)).withColumn("ratio", F.col("consumed_bytes") / F.col("input_bytes"))
+    step = F.col("phase").cast("long") * (1 << 60)
+    t = t.withColumn("seen_at", step + F.col("decision_us")).withColumn("done_at", step + F.col("completion_us"))
+    long = t.withColumn("s", F.explode(F.array(*[F.struct(F.lit(s).alias("level"), F.expr(k).alias("key")) for s, k in _LEVELS.items()]))).select("*", "s.level", "s.key").drop("s")
+    h = asof_quantiles(long, long.where("consumed_bytes > 0"), ["level", "key"], "seen_at", "done_at", "task_id", ["task_id"], **_FIVE)
+    order = F.struct(F.when(F.col("support") >= 20, 1).when((F.col("level") == "G4") & (F.col("support") > 0), 0).otherwise(-1), -F.substring("level", 2, 1).cast("int"))
+    best = h.groupBy("task_id").agg(F.max_by(F.struct(F.when(F.col("support") >= 20, F.col("level")).when((F.col("level") == "G4") & (F.col("support") > 0), "G4_low_support").otherwise("cold").alias("used"), "support", *_FIVE), order).alias("b"))
+    cold = F.col("b.used") == "cold"
+    return best.select("task_id", "b.used", F.when(cold, 0).otherwise(F.col("b.support")).alias("support"), *[F.when(~cold, F.round(F.col(f"b.{c}"), 9)).alias(c) for c in _FIVE])
+
+
 def st12_late_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a decision could see when it was made: outcomes that were complete, and those of them that had arrived."""
     t = task_table(spark, sf_dir).withColumn("arrival_us", F.col("completion_us") + (F.col("task_id") % 7) * 3600000000)
@@ -201,7 +220,7 @@ QUERIES = {
     for f in (
         wn03_positions, wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported,
         jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
-        md10_hierarchical_correction, md13_ordered_policy, st12_late_outcomes,
+        md10_hierarchical_correction, md13_ordered_policy, st12_late_outcomes, hs07_five_levels,
     )
 }
 SQL = {
@@ -216,6 +235,12 @@ SQL = {
     "hs05_confidence": _T + f", h as (select *, quantile_cont(peak_bytes, 0.5) over w as p50, quantile_cont(peak_bytes, 0.95) over w as p95, count(*) over (partition by workflow, process order by decision_us, task_id rows between unbounded preceding and 1 preceding) as support from tasks window w as (partition by workflow, process order by decision_us, task_id rows between 512 preceding and 1 preceding)) select task_id, support, round(coalesce({_SPREAD}, 0), 9) as spread, {_TRUST} as confidence from h",
     "md10_hierarchical_correction": _CORRECTED + " select task_id, scope, support, round(confidence, 8) as confidence, round(correction, 8) as correction from co",
     "md13_ordered_policy": _CORRECTED + ", rq as (select *, cast(ceil(greatest(round(base * exp(correction) / 1048576, 6), 1)) as bigint) as request_mib from co) select task_id, request_mib, request_mib * 1048576 < peak_bytes as under from rq",
+    "hs07_five_levels": _T + f""", ph as (select *, {_PHASE} as phase, cast(consumed_bytes as double) / input_bytes as ratio from tasks),
+ lv as ({" union all ".join(f"select *, '{s}' as level, {k} as key from ph" for s, k in _LEVELS.items())}),
+ ev as (select level, key, phase, decision_us as t, 0 as kind, cast(null as bigint) as tie, task_id, null as peak_bytes, null as consumed_bytes, null as ratio from lv union all select level, key, phase, completion_us, 1, task_id, null, peak_bytes, consumed_bytes, ratio from lv where consumed_bytes > 0),
+ st as (select task_id, level, kind, count(peak_bytes) over w as support, {", ".join(f"quantile_disc({c}, {q}) over w as {n}" for n, (c, q) in _FIVE.items())} from ev window w as (partition by level, key order by phase, t, kind, tie rows between unbounded preceding and 1 preceding)),
+ rk as (select *, case when support >= 20 then level when level = 'G4' and support > 0 then 'G4_low_support' else 'cold' end as used, row_number() over (partition by task_id order by case when support >= 20 then 1 when level = 'G4' and support > 0 then 0 else -1 end desc, level) as k from st where kind = 0)
+ select task_id, used, case when used = 'cold' then 0 else support end as support, {", ".join(f"case when used <> 'cold' then round({n}, 9) end as {n}" for n in _FIVE)} from rk where k = 1""",
     "st12_late_outcomes": _T + ", e as (select *, completion_us + (task_id % 7) * 3600000000 as arrival_us from tasks) select t.task_id, (select count(*) from e o where o.workflow = t.workflow and o.completion_us < t.decision_us) as complete, (select count(*) from e o where o.workflow = t.workflow and o.arrival_us < t.decision_us) as arrived from e t",
     "hs11_best_scope": _T + _LONG + " select task_id, scope, support, confidence from (select *, row_number() over (partition by task_id order by confidence desc, scope) as k from j where support > 0) where k = 1",
 }

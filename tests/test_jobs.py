@@ -133,6 +133,13 @@ def test_history_of_a_hot_key(spark):
     asked = H.asof(df.select("k", "t", F.col("id").alias("ask")), df, ["k"], "t", "t", ["id"], "id").collect()
     last = {t: max(((r[1], r[2]) for r in rows if r[1] < t), default=(None, None))[1] for t in {r[1] for r in rows}}
     assert all(r.last_id == last[r.t] for r in asked) and len(asked) == n
+    # Quantiles of all that completed before, whatever its length.
+    every = H.asof_quantiles(df.select("k", "t", F.col("id").alias("ask")), df, ["k"], "t", "t", "id", ["ask"], a=("v", 0.5), b=("v", 0.95)).collect()
+    assert len(every) == n
+    for r in every[:: n // 60]:
+        seen_before = sorted(x[3] for x in rows if x[1] < rows[r.ask][1] and x[3] is not None)
+        rank = lambda q: seen_before[max(1, int(np.ceil(q * len(seen_before)))) - 1] if seen_before else None
+        assert r.support == len(seen_before) and (r.a, r.b) == (rank(0.5), rank(0.95))
     near = H.nearest_before(df, ["k"], ["t", "id"], ["v"], 3, ["id"], ["id"], block=256).collect()
     found = {}
     for r in near:
