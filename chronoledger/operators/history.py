@@ -126,6 +126,14 @@ def before_each(seen: DataFrame, scope: Sequence[str], state: Sequence[str]) ->
     return found.select(*kept, (F.col("support") - 1).alias("support"))
 
 
+def visible(decisions: DataFrame, outcomes: DataFrame, on: Sequence[str], at: str, done: str, tie: str, key: Sequence[str], counted: Column | None = None) -> DataFrame:
+    """``on``, ``key`` and ``support``: how many outcomes (those that are ``counted``) completed strictly before each decision."""
+    left = decisions.select(*on, F.col(at).alias("__time"), F.lit(0).alias("__kind"), F.lit(None).cast(outcomes.schema[tie].dataType).alias("__tie"), F.struct(*key).alias("__d"))
+    right = (outcomes if counted is None else outcomes.where(counted)).select(*on, F.col(done).alias("__time"), F.lit(1).alias("__kind"), F.col(tie).alias("__tie"))
+    both = positions(left.unionByName(right, allowMissingColumns=True), on, ["__time", "__kind", "__tie"], F.col("__kind") == 1)
+    return both.where("__kind = 0").select(*on, "__d.*", F.col("place").alias("support"))
+
+
 def _buckets(asked: Sequence[tuple[str, float]], out: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """Of one block of places: in which bucket of values each asked rank lies, and its rank there."""

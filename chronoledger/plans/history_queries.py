@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calibration import Scope, corrections
-from ..operators.history import asof, asof_quantiles, before_each, confidence, nearest_before, positions, stability, trailing, trailing_quantiles
+from ..operators.history import asof, asof_quantiles, before_each, confidence, nearest_before, positions, stability, trailing, trailing_quantiles, visible
 from .sqltext import Engine, tasks
 
 _T = f"with {tasks(Engine(False))} ".replace("@", "")
@@ -175,6 +175,52 @@ def hs07_five_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("task_id", "b.used", F.when(cold, 0).otherwise(F.col("b.support")).alias("support"), *[F.when(~cold, F.round(F.col(f"b.{c}"), 9)).alias(c) for c in _FIVE])
 
 
+#: How specific a scope is, the support that halves doubt, and the days after which history fades by e.
+_SPECIFIC, _PRIOR, _FADE = {"exact_process": 1.0, "workflow": 0.4, "global": 0.25}, 20.0, 30 * 86400e6
+_SCOPED = {"exact_process": "concat_ws('|', workflow, process)", "workflow": "workflow", "global": "'all'"}
+_OOM = "task_id % 17 = 0"
+
+
+def hs09_scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each scope told at each decision: counts, coverage, nearest-rank quantiles of all its outcomes, how recent and how
+    like the task they are, and the confidence that follows. No prediction is at hand, so stability is one half."""
+    t = task_table(spark, sf_dir).withColumn("ratio", F.col("consumed_bytes") / F.col("input_bytes")).withColumn("fresh_us", F.col("completion_us"))
+    long = t.withColumn("s", F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.expr(k).alias("key")) for s, k in _SCOPED.items()]))).select("*", "s.scope", "s.key").drop("s")
+    on, key, times = ["scope", "key"], ["task_id"], ("decision_us", "completion_us", "task_id")
+    peaks = asof_quantiles(long, long, on, *times, key, peak_median=("peak_bytes", 0.5), peak_q95=("peak_bytes", 0.95), peak_q99=("peak_bytes", 0.99), input_median=("input_bytes", 0.5)).withColumnRenamed("support", "completed")
+    used = asof_quantiles(long, long, on, *times, key, consumed_median=("consumed_bytes", 0.5), consumed_q95=("consumed_bytes", 0.95), ratio_median=("ratio", 0.5), ratio_q95=("ratio", 0.95))
+    failed = visible(long, long, on, *times, key, F.expr(_OOM)).withColumnRenamed("support", "oom")
+    last = asof(long, long, on, "decision_us", "completion_us", ["fresh_us"], "task_id").select(*on, "task_id", "decision_us", "input_bytes", "last_fresh_us")
+    h = peaks.join(used, [*on, *key]).join(failed, [*on, *key]).join(last, [*on, *key])
+    recency = F.when(F.col("completed") > 0, F.exp(-(F.col("decision_us") - F.col("last_fresh_us")) / _FADE)).otherwise(0.0)
+    like = F.coalesce(F.exp(-F.abs(F.log1p("input_bytes") - F.log1p("input_median"))), F.lit(0.0))
+    cover = F.when(F.col("completed") > 0, F.col("support") / F.col("completed")).otherwise(0.0)
+    special = F.element_at(F.create_map(*[F.lit(x) for pair in _SPECIFIC.items() for x in pair]), F.col("scope"))
+    trust = F.col("support") / (F.col("support") + _PRIOR) * F.sqrt(cover) * recency * 0.5 * like * special
+    values = [c for c in (*peaks.columns, *used.columns) if "_median" in c or "_q9" in c]
+    return h.select("task_id", "scope", "completed", "support", "oom", F.round(recency, 9).alias("recency"), F.round(like, 9).alias("similarity"), F.round(trust, 9).alias("confidence"), *[F.round(c, 9).alias(c) for c in values])
+
+
+def hs10_instance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the same instance and of the same input in the workflow before each decision, their consumption, and how
+    many processes the instance had gone through."""
+    t = task_table(spark, sf_dir)
+    times, key = ("decision_us", "completion_us", "task_id"), ["task_id"]
+    one, two = ["workflow", "task_instance"], ["workflow", "input_identity"]
+    first = positions(t, [*one, "process"], _DONE, name="turn").withColumn("first", F.col("turn") == 0)
+    parts = [
+        visible(t, t, one, *times, key).select("task_id", F.col("support").alias("instance_count")),
+        visible(t, t, two, *times, key).select("task_id", F.col("support").alias("input_count")),
+        visible(t, first, one, *times, key, F.col("first")).select("task_id", F.col("support").alias("processes")),
+        asof_quantiles(t, t, one, *times, key, instance_consumed=("consumed_bytes", 0.5)).select("task_id", "instance_consumed"),
+        asof_quantiles(t, t, two, *times, key, input_consumed=("consumed_bytes", 0.5)).select("task_id", "input_consumed"),
+    ]
+    out = t.select("task_id")
+    for part in parts:
+        out = out.join(part, "task_id")
+    return out
+
+
 def st12_late_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a decision could see when it was made: outcomes that were complete, and those of them that had arrived."""
     t = task_table(spark, sf_dir).withColumn("arrival_us", F.col("completion_us") + (F.col("task_id") % 7) * 3600000000)
@@ -220,7 +266,7 @@ QUERIES = {
     for f in (
         wn03_positions, wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported,
         jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
-        md10_hierarchical_correction, md13_ordered_policy, st12_late_outcomes, hs07_five_levels,
+        md10_hierarchical_correction, md13_ordered_policy, st12_late_outcomes, hs07_five_levels, hs09_scope_summary, hs10_instance_history,
     )
 }
 SQL = {
@@ -241,6 +287,17 @@ SQL = {
  st as (select task_id, level, kind, count(peak_bytes) over w as support, {", ".join(f"quantile_disc({c}, {q}) over w as {n}" for n, (c, q) in _FIVE.items())} from ev window w as (partition by level, key order by phase, t, kind, tie rows between unbounded preceding and 1 preceding)),
  rk as (select *, case when support >= 20 then level when level = 'G4' and support > 0 then 'G4_low_support' else 'cold' end as used, row_number() over (partition by task_id order by case when support >= 20 then 1 when level = 'G4' and support > 0 then 0 else -1 end desc, level) as k from st where kind = 0)
  select task_id, used, case when used = 'cold' then 0 else support end as support, {", ".join(f"case when used <> 'cold' then round({n}, 9) end as {n}" for n in _FIVE)} from rk where k = 1""",
+    "hs09_scope_summary": _T + f""", lv as ({" union all ".join(f"select *, cast(consumed_bytes as double) / input_bytes as ratio, '{s}' as scope, {k} as key, {_SPECIFIC[s]} as special from tasks" for s, k in _SCOPED.items())}),
+ ev as (select scope, key, special, decision_us as t, 0 as kind, cast(null as bigint) as tie, task_id, input_bytes as own, null as peak_bytes, null as input_bytes, null as consumed_bytes, null as ratio, null as done, null as oom from lv
+  union all select scope, key, special, completion_us, 1, task_id, null, null, peak_bytes, input_bytes, consumed_bytes, ratio, completion_us, case when {_OOM} then 1 end from lv),
+ st as (select *, count(done) over w as completed, count(x.consumed_bytes) over w as support, count(oom) over w as ooms, max(done) over w as fresh, quantile_disc(peak_bytes, 0.5) over w as peak_median, quantile_disc(peak_bytes, 0.95) over w as peak_q95, quantile_disc(peak_bytes, 0.99) over w as peak_q99, quantile_disc(x.input_bytes, 0.5) over w as input_median,
+  quantile_disc(x.consumed_bytes, 0.5) over w as consumed_median, quantile_disc(x.consumed_bytes, 0.95) over w as consumed_q95, quantile_disc(ratio, 0.5) over w as ratio_median, quantile_disc(ratio, 0.95) over w as ratio_q95 from ev x window w as (partition by scope, key order by t, kind, tie rows between unbounded preceding and 1 preceding)),
+ sc as (select *, case when completed > 0 then exp(-(t - fresh) / {_FADE}) else 0 end as rec, coalesce(exp(-abs(ln(1 + own) - ln(1 + input_median))), 0) as sim, case when completed > 0 then support / cast(completed as double) else 0 end as cover from st where kind = 0)
+ select task_id, scope, completed, support, ooms as oom, round(rec, 9) as recency, round(sim, 9) as similarity, round(support / (support + {_PRIOR}) * sqrt(cover) * rec * 0.5 * sim * special, 9) as confidence, {", ".join(f"round({c}, 9) as {c}" for c in ("peak_median", "peak_q95", "peak_q99", "input_median", "consumed_median", "consumed_q95", "ratio_median", "ratio_q95"))} from sc""",
+    "hs10_instance_history": _T + """ select t.task_id, (select count(*) from tasks o where o.workflow = t.workflow and o.task_instance = t.task_instance and o.completion_us < t.decision_us) as instance_count,
+ (select count(*) from tasks o where o.workflow = t.workflow and o.input_identity = t.input_identity and o.completion_us < t.decision_us) as input_count, (select count(distinct process) from tasks o where o.workflow = t.workflow and o.task_instance = t.task_instance and o.completion_us < t.decision_us) as processes,
+ (select quantile_disc(cast(consumed_bytes as double), 0.5) from tasks o where o.workflow = t.workflow and o.task_instance = t.task_instance and o.completion_us < t.decision_us) as instance_consumed,
+ (select quantile_disc(cast(consumed_bytes as double), 0.5) from tasks o where o.workflow = t.workflow and o.input_identity = t.input_identity and o.completion_us < t.decision_us) as input_consumed from tasks t""",
     "st12_late_outcomes": _T + ", e as (select *, completion_us + (task_id % 7) * 3600000000 as arrival_us from tasks) select t.task_id, (select count(*) from e o where o.workflow = t.workflow and o.completion_us < t.decision_us) as complete, (select count(*) from e o where o.workflow = t.workflow and o.arrival_us < t.decision_us) as arrived from e t",
     "hs11_best_scope": _T + _LONG + " select task_id, scope, support, confidence from (select *, row_number() over (partition by task_id order by confidence desc, scope) as k from j where support > 0) where k = 1",
 }

@@ -25,9 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Removes every folder that this driver has made in the shared folder so far; results that read them end with it."""
+    done = len(_made)
+    while _made:
+        remove(spark, _made.pop())
+    return done
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -177,6 +177,19 @@ def test_sources(spark, tmp_path):
         S.read_plan(spark, str(tmp_path / "p.csv"), ["z"], ["k"])
 
 
+def test_scratch_folders_go(spark, tmp_path, monkeypatch):
+    from chronoledger import storage
+
+    monkeypatch.setattr(storage, "_made", [])
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
+    with storage.Scratch(spark) as scratch:
+        scratch.written(spark.range(3), "a")
+        assert scratch.bucketed(spark.range(5).withColumn("p", F.col("id") % 2), "b", "p").groupBy("p").count().count() == 2
+        kept = storage.written(spark.range(4), "c")
+    assert len(list(tmp_path.iterdir())) == 1 and kept.count() == 4 and not [t for t in spark.catalog.listTables() if t.name.startswith("b_")]
+    assert storage.sweep(spark) == 3 and not list(tmp_path.iterdir())
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, "b", -1)], "id int, w string, peak int")
     good, bad = S.split_valid(df, {"positive": F.col("peak") > 0})
