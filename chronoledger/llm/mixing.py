@@ -223,11 +223,10 @@ def mixed_documents(
     """The rows of ``docs``, with all their columns, as often as the mix takes them.
 
     Rows are dealt over partitions by output shard and, within each, ordered by shard and then by the shard's shuffled
-    order, so files that are written from this hold whole shards. Columns of any names pass through. Null and empty texts
+    order, so files that are written from this hold whole shards; small tables of the plan stay in the shared folder. Columns of any names pass through. Null and empty texts
     have no words and are not taken; see ``mix_sources`` for ties, nulls and repeated rows.
     """
     spark, order = docs.sparkSession, docs.columns
-    with Scratch(spark) as scratch:
-        out = _mixed(docs, scratch, True, weights, share, most, blocks_per_shard, docs_per_block, seed).where("taken")
-        out = out.select("row", "shard", "place").repartition(partitions(spark), "shard").sortWithinPartitions("shard", "place")
-        return written(out.select(*[F.col("row").getField(c).alias(c) for c in order]), "mixed")
+    out = _mixed(docs, Scratch(spark), True, weights, share, most, blocks_per_shard, docs_per_block, seed).where("taken")
+    out = out.select("row", "shard", "place").repartition(partitions(spark), "shard").sortWithinPartitions("shard", "place")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in order])

@@ -222,10 +222,12 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
 
     def run(batches):
-        for batch in slices(batches):
-            yield batch.filter(pa.array(model.score(statistics(*buffers(batch["text"]))) >= KEEP_FROM))
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(model.score(statistics(*buffers(batch[text]))) >= KEEP_FROM))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots cannot be handed over
+    text = f"c{docs.columns.index('text')}"
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -541,3 +541,64 @@ def test_pipeline_stages(spark):
     plan = mixing.mix_sources(docs).where("copy is not null")
     assert mixed.columns == docs.columns
     assert Counter(r.doc_id for r in mixed.select("doc_id").collect()) == Counter(r.doc_id for r in plan.select("doc_id").collect())
+
+
+def test_pipeline_on_odd_rows(spark, docs, none):
+    """Nulls, empty texts, repeated rows, odd column names and no rows at all, through every stage."""
+    import corpus_pipeline
+
+    odd = docs.withColumn("a.b", F.lit("x")).withColumn("__key", F.lit("y")).withColumn("row", F.lit("z")).withColumn("shard", F.lit("w"))
+    for df in (odd, odd.limit(0), odd.where("text is null")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            rows = out.collect()
+            if name == "sentencepiece":
+                assert out.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and len(rows) == df.count()
+            else:
+                assert out.columns == df.columns and all(r["a.b"] == "x" and r["__key"] == "y" and r["row"] == "z" and r["shard"] == "w" for r in rows)
+            if name in ("near_dedup", "pii"):
+                empty = lambda rows: sum(not r.text for r in rows)
+                assert empty(rows) == empty(df.collect())
+            if name == "mixing":
+                assert all(words(r.text) for r in rows)
+
+
+def test_pipeline_against_brute_force(spark):
+    """The rows of ``run`` as its stages, one after another in plain Python, leave them."""
+    import corpus_pipeline
+    import sentencepiece
+
+    got = corpus_pipeline.run(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = {r.doc_id for r in quality.classify_quality(docs, labels).where("predicted = 1").collect()}
+    rows = sorted((r.doc_id, r.text, r.source) for r in docs.collect() if r.doc_id in kept)
+    sets, own = [], list(range(len(rows)))
+    for r in rows:
+        w = words(folded(r[1]))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    for a, b in combinations(range(len(rows)), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            own = [own[a] if x == own[b] else x for x in own]
+    rows = [r for i, r in enumerate(rows) if own.index(own[i]) == i]
+    size = Counter()
+    for r in rows:
+        size[r[2]] += len(words(r[1]))
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    target, free, left = {}, set(order), 1.5 * sum(size.values())
+    while free:
+        w = sum((3, 1, 2)[order.index(s) % 3] for s in free)
+        over = {s for s in free if left * (3, 1, 2)[order.index(s) % 3] / w > 2 * size[s]}
+        target |= {s: 2 * size[s] if s in over else left * (3, 1, 2)[order.index(s) % 3] / w for s in over or free}
+        left -= sum(target[s] for s in over)
+        free = free - over if over else set()
+    text = {r[0]: r[1] for r in rows}
+    taken = Counter()
+    for r in got:
+        taken[next(x[2] for x in rows if x[0] == r.doc_id)] += len(words(text[r.doc_id]))
+    longest = max(len(words(x)) for x in text.values())
+    assert {r.doc_id for r in got} <= set(text) and all(abs(taken[s] - target[s]) <= longest for s in order)
+    assert max(Counter(r.doc_id for r in got).values()) <= 2 and all(r.round_trip for r in got)
+    theirs = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    hidden = {r.doc_id: r.text for r in pii.pseudonymised(docs, pii.secret_key(spark)).collect()}
+    assert all(list(r.ids) == theirs.encode(hidden[r.doc_id]) for r in got)
