@@ -36,6 +36,12 @@ class Engine:
     def steps(self, lo: str, hi: str) -> str:
         return f"explode(sequence({lo}, {hi}))" if self.spark else f"unnest(range({lo}, {hi} + 1))"
 
+    def rows(self, structs: list[dict[str, str]]) -> str:
+        """Each of ``structs`` (column to expression) as a row."""
+        if self.spark:
+            return "inline(array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in s.items()) + ")" for s in structs) + "))"
+        return "unnest([" + ", ".join("{" + ", ".join(f"'{k}': {v}" for k, v in s.items()) + "}" for s in structs) + "], recursive := true)"
+
     def top(self, x: str, by: str) -> str:
         return f"max_by({x}, {by})"
 

@@ -28,16 +28,18 @@ _add("sp05_three_lanes", lambda e: f""", s as (select task_id, workflow, process
  c1 as (select * from c where k > q), d as (select task_id, q, row_number() over (partition by workflow order by {e.sha("'7|' || cast(task_id as string)")}) as k from c1)
  select task_id, 'risk' as lane from a where k <= q union all select task_id, 'information' from b where k <= q union all select task_id, 'discovery' from c where k <= q union all select task_id, 'exploration' from d where k <= q""")
 _add("sp07_random_comparators", lambda e: f", r as (select task_id, row_number() over (partition by workflow, process order by {e.sha("'1|' || cast(task_id as string)")}) as k, count(*) over (partition by workflow, process) as n from tasks) select task_id, ceil(0.2 * n) / n as inclusion from r where k <= ceil(0.2 * n)")
-# Audits of the riskiest are the same in every repetition: only what is drawn is multiplied.
-_add("sp08_repeated_policies", lambda e: f""", b as ({" union all ".join(f"select {x} as budget" for x in (5, 10, 20, 30, 50, 100))}), t as (select task_id, workflow, peak_bytes, row_number() over (partition by workflow order by value desc, task_id) as risk, count(*) over (partition by workflow) as n from tasks),
+# Audits of the riskiest are the same in every repetition: only what is drawn is multiplied, and ordered once for all budgets.
+_BUDGETS = (5, 10, 20, 30, 50, 100)
+_TOP, _ALL = "risk <= ceil(n * {b} / 200.0)", "ceil(n * {b} / 100.0)"
+_DRAWN = "k <= ceil(n * {b} / 100.0)"
+_MIXED = "(" + _TOP + " or k - j{b} <= ceil(n * {b} / 100.0) - ceil(n * {b} / 200.0))"
+_add("sp08_repeated_policies", lambda e: f""", t as (select task_id, workflow, peak_bytes, row_number() over (partition by workflow order by value desc, task_id) as risk, count(*) over (partition by workflow) as n from tasks),
  x as (select task_id, workflow, peak_bytes, n, risk, {e.steps('0', '999')} as rep from t), u as (select *, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || cast(task_id as string)") + ', 1, 13)')} as u from x),
- r as (select *, row_number() over (partition by rep, workflow order by u, task_id) as k from u),
- c as (select r.*, budget, cast(ceil(n * budget / 100.0) as bigint) as q, cast(ceil(n * budget / 200.0) as bigint) as top from r cross join b),
- m as (select *, k - count_if(risk <= top) over (partition by rep, workflow, budget order by k rows between unbounded preceding and current row) as j from c),
- s as (select rep, workflow, budget, 'random' as policy, count_if(k <= q) as audited, cast(sum(case when k <= q then peak_bytes else 0 end) as bigint) as bytes from c group by 1, 2, 3
-  union all select rep, workflow, budget, 'mixed', count_if(risk <= top or j <= q - top), cast(sum(case when risk <= top or j <= q - top then peak_bytes else 0 end) as bigint) from m group by 1, 2, 3),
- d as (select workflow, budget, 'risk' as policy, count_if(risk <= ceil(n * budget / 100.0)) as audited, cast(sum(case when risk <= ceil(n * budget / 100.0) then peak_bytes else 0 end) as bigint) as bytes from t cross join b group by 1, 2)
- select rep, workflow, budget, policy, audited, bytes from s union all select rep, workflow, budget, policy, audited, bytes from d cross join (select {e.steps('0', '999')} as rep) p""")
+ r as (select rep, workflow, peak_bytes, n, risk, row_number() over (partition by rep, workflow order by u, task_id) as k, {", ".join(f"count_if({_TOP.format(b=b)}) over (partition by rep, workflow order by u, task_id rows between unbounded preceding and current row) as j{b}" for b in _BUDGETS)} from u),
+ g as (select rep, workflow, {", ".join(f"count_if({c.format(b=b)}) as {m}_n{b}, cast(sum(case when {c.format(b=b)} then peak_bytes else 0 end) as bigint) as {m}_b{b}" for b in _BUDGETS for m, c in (("random", _DRAWN), ("mixed", _MIXED)))} from r group by rep, workflow),
+ d as (select workflow, {", ".join(f"count_if(risk <= {_ALL.format(b=b)}) as n{b}, cast(sum(case when risk <= {_ALL.format(b=b)} then peak_bytes else 0 end) as bigint) as b{b}" for b in _BUDGETS)} from t group by workflow),
+ a as (select g.*, {", ".join(f"d.n{b} as risk_n{b}, d.b{b} as risk_b{b}" for b in _BUDGETS)} from g join d on g.workflow = d.workflow)
+ select rep, workflow, {e.rows([dict(budget=b, policy=f"'{m}'", audited=f"{m}_n{b}", bytes=f"{m}_b{b}") for b in _BUDGETS for m in ("random", "mixed", "risk")])} from a""")
 _POISSON = "case when u < 0.36787944117144233 then 0 when u < 0.7357588823428847 then 1 when u < 0.9196986029286058 then 2 when u < 0.9810118431238462 then 3 when u < 0.9963401531726563 then 4 when u < 0.9994058151824183 then 5 else 6 end"
 _add("sp09_bootstrap_interval", lambda e: _REQ + f""", x as (select task_id, (request_b - request_a) / 1048576.0 as delta, {e.steps('0', '1999')} as rep from req), g as (select rep, delta, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || cast(task_id as string)") + ', 1, 13)')} / 4503599627370496.0 as u from x),
  w as (select rep, delta, {_POISSON} as n from g), m as (select rep, sum(n * delta) / sum(n) as mean from w group by rep) select count(*) as reps, round({e.pct('mean', 0.025)}, 6) as low, round({e.pct('mean', 0.975)}, 6) as high from m""")
