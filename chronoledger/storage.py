@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -87,5 +88,12 @@ def remove(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of jobs that are over: it learns of them when the driver collects garbage,
+    which in a long job of small plans may be late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
