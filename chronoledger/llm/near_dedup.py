@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, partitions, written
+from ..storage import Scratch, partitions, release_shuffles, written
 from .components import components
 from .skew import joined
 from .words import U, buffers, hashed, ids, mix, slices, spans, windows, within
@@ -226,7 +226,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
     with Scratch(spark) as scratch:
-        return written(_linked(base, scratch.written), "near_duplicates")
+        out = written(_linked(base, scratch.written), "near_duplicates")
+    release_shuffles(spark)
+    return out
 
 
 def _linked(base: DataFrame, written) -> DataFrame:
@@ -239,6 +241,7 @@ def _linked(base: DataFrame, written) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "node")).alias("least")).where("size > 1")
     buckets = written(buckets.select("key", "size", F.col("least.node").alias("a")), "sizes")
     crowded = written(joined(banded.select("key", "node"), buckets, "key", "size").select("key", "node", "a"), "buckets")
+    release_shuffles(base.sparkSession)
     # Signatures of what shares a bucket; bands carry none.
     near = written(heads.drop("digest").join(crowded.select("node").distinct(), "node", "left_semi"), "near")
     mine = near.select("node", "n_shingles", "low", "keys")
@@ -249,15 +252,20 @@ def _linked(base: DataFrame, written) -> DataFrame:
     pairs = written(pairs.mapInArrow(_stars, "a long, b long"), "pairs")
     # Only what shares a bucket is read again for verification.
     texts = written(base.join(near.select("node", "doc_id", "tid").hint("merge"), ["doc_id", "tid"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    release_shuffles(base.sparkSession)
     links = written(_confirmed(pairs, texts), "links")
+    release_shuffles(base.sparkSession)
     final = written(components(links), "components")
+    release_shuffles(base.sparkSession)
     # Buckets that hold several components: first each stray with its likeliest partner, then with all in reach.
     mine = mine.join(texts.withColumn("n_bytes", F.octet_length("text")), "node")
     more = written(_mixed(crowded, mine, final, False, written).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.take(1):
         links = links.unionByName(written(_confirmed(more, texts), "links"))
         final = written(components(links), "components")
+    release_shuffles(base.sparkSession)
     more = written(_mixed(crowded, mine, final, True, written), "links")
+    release_shuffles(base.sparkSession)
     if more.take(1):
         final = written(components(links.unionByName(more)), "components")
     # The smallest doc_id of each class's component, brought to the rows of the class.
