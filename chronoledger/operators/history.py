@@ -6,7 +6,7 @@ before, and trailing frames from blocks of places, each with the places before i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -24,14 +24,14 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[prefix + k]) for k in keys], F.lit(True))
 
 
-def positions(rows: DataFrame, by: Sequence[str], order: Sequence[str], counted: Column | None = None, name: str = "place") -> DataFrame:
+def positions(rows: DataFrame, by: Sequence[str], order: Sequence[str], counted: Column | None = None, name: str = "place", write: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """``rows`` with ``name``: how many rows of the same key (those that are ``counted``) come before in ``order``.
 
-    ``order`` should tell rows of a key apart; nulls come first and a null key is a key.
+    ``order`` should tell rows of a key apart; nulls come first and a null key is a key. ``write`` makes the sorted table.
     """
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
     cut = rows.repartitionByRange(partitions(rows.sparkSession), *by, *order).withColumn(_PART, F.spark_partition_id()).withColumn(_ONE, one.cast("long"))
-    cut = written(cut, "ranges")
+    cut = write(cut, "ranges")
     up = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = cut.groupBy(_PART, *by).agg(F.sum(_ONE).alias(_ONE)).withColumn(_BEFORE, up(_ONE, Window.partitionBy(*by).orderBy(_PART)))
     sums = sums.select(_BEFORE, *[F.col(k).alias("__k_" + k) for k in (_PART, *by)])
