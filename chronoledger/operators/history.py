@@ -1,4 +1,4 @@
-"""Point-in-time history: as-of state, trailing statistics and nearest neighbours, without a theta join.
+"""Point-in-time history: as-of state and trailing statistics, without a theta join.
 
 No step gives a key to one task: places within a key come from a range-partitioned sort and the counts of the partitions
 before, and trailing frames from blocks of places, each with the places before it that its frames reach back to.
@@ -20,7 +20,8 @@ from ..storage import partitions, written
 _PART, _ONE, _BEFORE, _INNER, _BLOCK, _OWN, _ROW = "__part", "__one", "__before", "__inner", "__block", "__own", "__row"
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    """Equal keys, null like null; the right side's begin with ``prefix``."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[prefix + k]) for k in keys], F.lit(True))
 
 
@@ -36,7 +37,7 @@ def positions(rows: DataFrame, by: Sequence[str], order: Sequence[str], counted:
     sums = cut.groupBy(_PART, *by).agg(F.sum(_ONE).alias(_ONE)).withColumn(_BEFORE, up(_ONE, Window.partitionBy(*by).orderBy(_PART)))
     sums = sums.select(_BEFORE, *[F.col(k).alias("__k_" + k) for k in (_PART, *by)])
     inner = cut.withColumn(_INNER, up(_ONE, Window.partitionBy(_PART, *by).orderBy(*order)))
-    found = inner.join(sums, _same(inner, sums, (_PART, *by), "__k_"))
+    found = inner.join(sums, same_keys(inner, sums, (_PART, *by), "__k_"))
     return found.select(*rows.columns, (F.col(_BEFORE) + F.col(_INNER)).alias(name))
 
 
@@ -52,7 +53,7 @@ def asof(decisions: DataFrame, outcomes: DataFrame, on: Sequence[str], at: str,
     both = positions(left.unionByName(right, allowMissingColumns=True), on, ["__time", "__kind", "__tie"], F.col("__kind") == 1)
     asks = both.where("__kind = 0").select(*on, (F.col("place") - 1).alias("place"), "__d")
     last = both.where("__kind = 1").select("__s", *[F.col(k).alias("__o_" + k) for k in (*on, "place")])
-    found = asks.join(last, _same(asks, last, (*on, "place"), "__o_"), "left")
+    found = asks.join(last, same_keys(asks, last, (*on, "place"), "__o_"), "left")
     return found.select("__d.*", *[F.col(f"__s.{c}").alias(f"last_{c}") for c in state])
 
 
@@ -121,7 +122,7 @@ def trailing_quantiles(rows: DataFrame, scope: Sequence[str], order: Sequence[st
 def before_each(seen: DataFrame, scope: Sequence[str], state: Sequence[str]) -> DataFrame:
     """Trailing results as each row found them: ``state`` and ``support`` of the row before in its scope, null (0) for the first."""
     last = seen.select(*[F.col(k).alias("__o_" + k) for k in scope], (F.col("support") + 1).alias("__o_support"), *[F.col(c).alias("__s_" + c) for c in state])
-    found = seen.join(last, _same(seen, last, (*scope, "support"), "__o_"), "left")
+    found = seen.join(last, same_keys(seen, last, (*scope, "support"), "__o_"), "left")
     kept = [F.col(f"__s_{c}").alias(c) if c in state else F.col(c) for c in seen.columns if c != "support"]
     return found.select(*kept, (F.col("support") - 1).alias("support"))
 
@@ -205,7 +206,7 @@ def asof_quantiles(decisions: DataFrame, outcomes: DataFrame, on: Sequence[str],
         cells = written(cells.select(*on, "place", f"__v_{c}", F.floor(F.col("place") / F.col("__w")).alias("block"), F.floor(F.col("__rank") / F.col("__w")).alias("bucket")), "cells")
         grid = sizes.select("__s.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("bucket"), "__blocks").select(*on, "bucket", F.explode(F.sequence(F.lit(0).cast("long"), "__blocks")).alias("block"))
         held = cells.groupBy(*on, "bucket", "block").agg(F.count("*").alias("held")).select("held", *[F.col(k).alias(f"__o_{k}") for k in (*on, "bucket", "block")])
-        grid = grid.join(held, _same(grid, held, (*on, "bucket", "block"), "__o_"), "left").select(*grid.columns, F.coalesce("held", F.lit(0)).alias("held"))
+        grid = grid.join(held, same_keys(grid, held, (*on, "bucket", "block"), "__o_"), "left").select(*grid.columns, F.coalesce("held", F.lit(0)).alias("held"))
         before = F.coalesce(F.sum("held").over(Window.partitionBy(*on, "bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         known = grid.select(*on, "block", "bucket", F.lit(None).cast("long").alias("place"), before.alias("before")).unionByName(cells.select(*on, "block", "bucket", "place", F.lit(None).cast("long").alias("before")))
         known = known.select(*[F.col(k).alias(f"__r{k}") for k in known.columns])
@@ -217,50 +218,7 @@ def asof_quantiles(decisions: DataFrame, outcomes: DataFrame, on: Sequence[str],
         found = got if found is None else found.unionByName(got)
     wide = found.groupBy(*on, "__d").agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in asked])
     wide = wide.select(*asked, *[F.col(k).alias(f"__o_{k}") for k in (*on, "__d")])
-    return asks.join(wide, _same(asks, wide, (*on, "__d"), "__o_"), "left").select(*on, "__d.*", F.col("__n").alias("support"), *asked)
-
-
-def _distances(k: int, out: pa.Schema):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        right = right.rename_columns([c.removeprefix("__r") for c in right.column_names])
-        x, y = (np.asarray(t["__v"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
-        at, other = np.asarray(left["place"]), np.asarray(right["place"])
-        rows, cols, gaps = [], [], []
-        for lo in range(0, len(x), 64):
-            d = np.sqrt(((x[lo : lo + 64, None] - y[None]) ** 2).mean(2)).round(9)
-            d[other[None] >= at[lo : lo + 64, None]] = np.inf
-            best = np.lexsort((np.broadcast_to(other, d.shape), d), axis=1)[:, :k]
-            row, _ = np.nonzero(np.isfinite(np.take_along_axis(d, best, 1)))
-            col = best[np.isfinite(np.take_along_axis(d, best, 1))]
-            rows.append(row + lo)
-            cols.append(col)
-            gaps.append(d[row, col])
-        row, col = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
-        return pa.table([left[_ROW].take(row), right[_ROW].take(col), right["place"].take(col), pa.array(np.concatenate(gaps))], schema=out)
-
-    return run
-
-
-def nearest_before(rows: DataFrame, scope: Sequence[str], order: Sequence[str], vector: Sequence[str], k: int, query: Sequence[str], carry: Sequence[str], block: int = 1024) -> DataFrame:
-    """The ``k`` nearest earlier rows of the same scope: ``query`` columns (they name a row), n_<carry>, distance, rank.
-
-    Distance is the root mean square over ``vector`` (null counts as 0), rounded to nine places; ties go to the earlier row.
-    Blocks of queries meet blocks of earlier rows; each keeps its best ``k`` a query, then each query its best of these.
-    """
-    placed = positions(rows, scope, order).withColumn("__v", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in vector]))
-    placed = written(placed.withColumn(_BLOCK, F.floor(F.col("place") / block)), "blocks")
-    last = placed.groupBy(*scope).agg(F.max(_BLOCK).alias("__last")).select("__last", *[F.col(c).alias("__o_" + c) for c in scope])
-    asks = placed.select(*scope, F.col(_BLOCK).alias("__q"), F.explode(F.sequence(F.lit(0).cast("long"), _BLOCK)).alias("__c"), "place", "__v", F.struct(*query).alias(_ROW))
-    rest = placed.join(last, _same(placed, last, scope, "__o_"))
-    rest = rest.select(*scope, F.explode(F.sequence(_BLOCK, "__last")).alias("__q"), F.col(_BLOCK).alias("__c"), "place", "__v", F.struct(*[F.col(c).alias(f"n_{c}") for c in carry]).alias(_ROW))
-    rest = rest.select(*[F.col(c).alias(f"__r{c}") for c in rest.columns])
-    schema = asks.select(F.col(_ROW).alias("__a")).schema.add("__b", rest.schema[f"__r{_ROW}"].dataType).add("place", "long").add("distance", "double")
-    keys = [*scope, "__q", "__c"]
-    found = asks.groupBy(*keys).cogroup(rest.groupBy(*[f"__r{c}" for c in keys])).applyInArrow(_distances(k, to_arrow_schema(schema)), schema)
-    best = Window.partitionBy("__a").orderBy("distance", "place")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("__a.*", "__b.*", "distance", "rank")
+    return asks.join(wide, same_keys(asks, wide, (*on, "__d"), "__o_"), "left").select(*on, "__d.*", F.col("__n").alias("support"), *asked)
 
 
 def stability(p50: Column, p95: Column) -> Column:

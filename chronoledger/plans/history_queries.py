@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calibration import Scope, corrections
-from ..operators.history import asof, asof_quantiles, before_each, confidence, nearest_before, positions, stability, trailing, trailing_quantiles, visible
+from ..operators.history import asof, asof_quantiles, before_each, confidence, positions, stability, trailing, trailing_quantiles, visible
+from ..storage import written
+from ..operators.neighbours import nearest_before, neighbour_quantiles, scaled
 from .sqltext import Engine, tasks
 
 _T = f"with {tasks(Engine(False))} ".replace("@", "")
@@ -30,7 +32,8 @@ def _described(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame
 
 def _judged(rows: DataFrame) -> DataFrame:
     spread = stability(F.col("p50"), F.col("p95"))
-    return rows.withColumn("spread", F.round(spread, 9)).withColumn("confidence", F.round(confidence(F.col("support"), F.coalesce(spread, F.lit(0.0))), 9))
+    far = F.col("distance_p50") if "distance_p50" in rows.columns else None
+    return rows.withColumn("spread", F.round(spread, 9)).withColumn("confidence", F.round(confidence(F.col("support"), F.coalesce(spread, F.lit(0.0)), far), 9))
 
 
 def wn04_trailing_512(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,21 +67,26 @@ def wn15_first_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.select("task_id", F.when(F.col("narrow") >= 10, "process").when(F.col("last_support") >= 10, "workflow").otherwise("none").alias("scope"))
 
 
-#: Columns known before a task starts, as logarithms scaled by their quartiles.
-_SIGNATURE = """, raw as (select *, ln(1 + input_bytes) as s1, ln(1 + cast(task_instance as double)) as s2, ln(1 + (task_id % 13)) as s3 from tasks),
- q as (select {columns} from raw), sig as (select raw.*, {scaled} from raw cross join q)"""
+#: What is known of a task before it starts: sizes, when, and what it was given; the last is a flag, all others are logarithms.
+_KNOWN = ("input_bytes", "input_bytes * (task_id % 4) / 4", "task_instance", "(decision_us / 1000000) % 86400", "floor(decision_us / 86400e6) % 7", "(input_bytes / 1048576) % 10", "task_instance % 16", "task_id % 13", "case when task_id % 9 > 0 then (input_bytes / 1048576) % 30 end", "task_id % 101 * 1000", "task_instance % 4 + 1", "task_id % 2")
+SIGNATURE = {f"x{i}": c.replace("task_instance", "cast(task_instance as bigint)") if i == len(_KNOWN) else f"ln(1 + cast({c.replace('task_instance', 'cast(task_instance as bigint)')} as double))" for i, c in enumerate(_KNOWN, 1)}
+_HELD = "case when task_id % 5 = 0 then 1 else 0 end"
+_SEQUENCE = ["held", *_DECIDED]
+
 
+def _signed(spark: SparkSession, sf_dir: str, fit: str | None = None) -> DataFrame:
+    """Tasks with their scaled signature, ``held`` and ``ratio``."""
+    t = task_table(spark, sf_dir).withColumn("held", F.expr(_HELD)).withColumn("ratio", F.col("consumed_bytes") / F.greatest(F.col("input_bytes"), F.lit(1)))
+    return scaled(t, {name: F.expr(c) for name, c in SIGNATURE.items()}, None if fit is None else F.expr(fit))
 
-def _signature(e: Engine) -> str:
-    columns = ", ".join(f"{e.pct(s, p)} as {s}_{int(100 * p)}" for s in ("s1", "s2", "s3") for p in (0.25, 0.5, 0.75))
-    one = "round(least(greatest(({s} - {s}_50) / case when {s}_75 - {s}_25 > 1e-9 then {s}_75 - {s}_25 else 1e0 end, -12e0), 12e0), 9) as x{i}"
-    return _SIGNATURE.format(columns=columns, scaled=", ".join(one.format(s=f"s{i}", i=i) for i in (1, 2, 3)))
+
+def hs02_robust_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signature of every task in quartile ranges of the development tasks."""
+    return _signed(spark, sf_dir, "held = 0").select("task_id", *SIGNATURE)
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = f"with {tasks(Engine(True))} {_signature(Engine(True))} select * from sig".replace("@events", "{events}")
-    t = spark.sql(text, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return nearest_before(t, _CONTEXT, _DECIDED, ["x1", "x2", "x3"], NEAREST, ["task_id"], ["task_id", "peak_bytes"])
+    return nearest_before(_signed(spark, sf_dir), _CONTEXT, _DECIDED, list(SIGNATURE), NEAREST, ["task_id"], ["task_id", "peak_bytes"])
 
 
 def jn13_nearest_48(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +95,8 @@ def jn13_nearest_48(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hs04_neighbour_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the nearest earlier tasks tell; each task has at most 48, so quantiles are taken of few values."""
-    near = _neighbours(spark, sf_dir).groupBy("task_id").agg(
-        F.count("*").alias("support"), F.percentile("distance", F.lit(0.5)).alias("distance_p50"), F.min("distance").alias("distance_min"),
-        F.percentile("n_peak_bytes", F.lit(0.5)).alias("p50"), F.percentile("n_peak_bytes", F.lit(0.95)).alias("p95"),
-    )
+    """What the nearest earlier tasks tell."""
+    near = neighbour_quantiles(_neighbours(spark, sf_dir), "task_id", p50=("n_peak_bytes", 0.5), p95=("n_peak_bytes", 0.95))
     trust = confidence(F.col("support"), stability(F.col("p50"), F.col("p95")), F.col("distance_p50"))
     return near.select("task_id", "support", F.round("distance_p50", 11).alias("distance_p50"), "distance_min", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"), F.round(trust, 9).alias("confidence"))
 
@@ -99,21 +104,43 @@ def hs04_neighbour_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCOPES = {
     "I0": "concat_ws('|', workflow, process, task_instance)", "I1": "concat_ws('|', workflow, process, input_identity)", "I3": "concat_ws('|', workflow, process)", "I4": "workflow", "I5": "'all'",
 }
-_HELD = "case when task_id % 5 = 0 then 1 else 0 end"
+#: The support from which each scope is taken, the most specific first.
+LEAST_SUPPORT = {"I0": 2, "I1": 3, "I2": 8, "I3": 16, "I4": 32, "I5": 1}
+
+
+def _held_near(spark: SparkSession, sf_dir: str, carry: list[str], rows: DataFrame | None = None) -> DataFrame:
+    """For each held-out task its nearest among the development tasks and the held-out ones before it."""
+    t = _signed(spark, sf_dir, "held = 0") if rows is None else rows
+    return nearest_before(t, _CONTEXT, _SEQUENCE, list(SIGNATURE), NEAREST, ["task_id"], carry, asked=F.col("held") == 1)
 
 
 def _held_out_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each held-out task, by scope, what all development tasks and the held-out ones before it tell."""
-    t = task_table(spark, sf_dir).withColumn("held", F.expr(_HELD))
+    """For each held-out task, by scope, what all development tasks and the held-out ones before it tell; I2 are its nearest in the context."""
+    t = written(_signed(spark, sf_dir, "held = 0"), "signed")
     long = t.withColumn("s", F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.expr(k).alias("key")) for s, k in _SCOPES.items()])))
     long = long.select("*", "s.scope", "s.key").drop("s").where("key is not null")
-    seen = _described(long, ["scope", "key"], ["held", "decision_us", "task_id"])
-    return _judged(before_each(seen, ["scope", "key"], list(STATISTICS)).where("held = 1"))
+    seen = _described(long, ["scope", "key"], _SEQUENCE)
+    five = before_each(seen, ["scope", "key"], list(STATISTICS)).where("held = 1").select("task_id", "scope", "support", *STATISTICS, *[F.lit(None).cast("double").alias(c) for c in _DISTANCES])
+    near = neighbour_quantiles(_held_near(spark, sf_dir, ["task_id", *{c for c, _ in STATISTICS.values()}], t), "task_id", **{name: (f"n_{c}", q) for name, (c, q) in STATISTICS.items()})
+    two = t.where("held = 1").select("task_id").join(near, "task_id", "left").select("task_id", F.lit("I2").alias("scope"), F.coalesce("support", F.lit(0)).alias("support"), *STATISTICS, *_DISTANCES)
+    return _judged(five.unionByName(two))
+
+
+_DISTANCES = ("distance_p50", "distance_min")
 
 
 def hs03_causal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten statistics of each of six scopes, and how far the nearest lie."""
     h = _held_out_history(spark, sf_dir)
-    return h.select("task_id", "scope", "support", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"), F.round("c95", 3).alias("c95"), F.round("ratio50", 9).alias("ratio50"), "confidence")
+    return h.select("task_id", "scope", "support", *[F.round(c, 9 if c == "ratio50" else 3).alias(c) for c in STATISTICS], "spread", "confidence", F.round("distance_p50", 11).alias("distance_p50"), "distance_min")
+
+
+def hs06_selected_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most specific scope with enough support, its support and confidence."""
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in LEAST_SUPPORT.items() for x in pair]), F.col("scope"))
+    h = _held_out_history(spark, sf_dir).withColumn("enough", F.col("support") >= least)
+    best = h.groupBy("task_id").agg(F.min(F.when(F.col("enough"), F.struct("scope", "support", "confidence"))).alias("b"))
+    return best.select("task_id", F.coalesce("b.scope", F.lit("cold_start")).alias("scope"), F.coalesce("b.support", F.lit(0)).alias("support"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"))
 
 
 def hs05_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,12 +158,13 @@ def hs11_best_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out tasks with their base (1.2 times the workflow's mean peak in development) and their correction of it."""
-    t = task_table(spark, sf_dir).withColumn("held", F.expr(_HELD))
+    t = _signed(spark, sf_dir, "held = 0")
     base = t.where("held = 0").groupBy("workflow").agg((F.avg("peak_bytes") * 1.2).alias("base"))
-    t = t.join(base, "workflow")
-    scopes = [Scope("I0", F.expr(_SCOPES["I0"]), 2, "I3"), Scope("I1", F.expr(_SCOPES["I1"]), 3, "I3"), Scope("I3", F.expr(_SCOPES["I3"]), 16, "I4"), Scope("I4", F.col("workflow"), 32, "I5"), Scope("I5", F.lit("all"), 1, "I5")]
-    residual = F.round(F.log(F.col("peak_bytes") / F.col("base")), 9)
-    found = corrections(t, scopes, residual, ["held", "decision_us", "task_id"], F.col("held") == 1, 0.95, "task_id")
+    t = written(t.join(base, "workflow").withColumn("residual", F.round(F.log(F.col("peak_bytes") / F.col("base")), 9)), "residuals")
+    parents = {"I0": "I3", "I1": "I3", "I2": "I3", "I3": "I4", "I4": "I5", "I5": "I5"}
+    scopes = [Scope(s, F.expr(_SCOPES[s]) if s in _SCOPES else None, least, parents[s]) for s, least in LEAST_SUPPORT.items()]
+    near = neighbour_quantiles(_held_near(spark, sf_dir, ["task_id", "residual"], t), "task_id", high=("n_residual", 0.95, "higher"), mid=("n_residual", 0.5), top=("n_residual", 0.95))
+    found = corrections(t, scopes, F.col("residual"), _SEQUENCE, F.col("held") == 1, 0.95, "task_id", states={"I2": near})
     return t.where("held = 1").join(found, "task_id")
 
 
@@ -239,33 +267,50 @@ _DESCRIBED = ", ".join(f"quantile_cont({_RATIO if c == 'ratio' else c}, {q}) ove
 _SPREAD = "greatest(ln(1 + p95) - ln(1 + p50), 0)"
 _TRUST = f"case when support > 0 then round(support / (support + 16.0) / (1 + coalesce({_SPREAD}, 0)), 9) else 0 end"
 _ROUNDED = ", ".join(f"round({c}, 3) as {c}" for c in STATISTICS if c != "ratio50")
-_PAIRS = _signature(Engine(False)) + f""", pairs as (select a.task_id, b.task_id as neighbour, b.peak_bytes, b.decision_us, round(sqrt(((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) + (a.x3 - b.x3) * (a.x3 - b.x3)) / 3), 9) as distance
+
+
+def _signed_sql(fit: str) -> str:
+    each = lambda form: ", ".join(form.format(x=x, e=e) for x, e in SIGNATURE.items())
+    return f""", raw as (select *, {_HELD} as held, {_RATIO} as ratio, {each("{e} as r{x}")} from tasks), md as (select {each("quantile_cont(r{x}, 0.5) as m{x}")} from raw where {fit}),
+ wd as (select {each("quantile_cont(coalesce(r{x}, m{x}), 0.75) - quantile_cont(coalesce(r{x}, m{x}), 0.25) as w{x}")} from raw cross join md where {fit}),
+ sig as (select raw.*, {each("round(least(greatest((coalesce(r{x}, m{x}) - m{x}) / case when w{x} > 1e-9 then w{x} else 1e0 end, -12e0), 12e0), 9) as {x}")} from raw cross join md cross join wd)"""
+
+
+_GAP = "round(sqrt((" + " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in SIGNATURE) + f") / {len(SIGNATURE)}), 9)"
+_PAIRS = _signed_sql("true") + f""", pairs as (select a.task_id, b.task_id as neighbour, b.peak_bytes, b.decision_us, {_GAP} as distance
   from sig a join sig b on a.workflow = b.workflow and a.process = b.process and (b.decision_us < a.decision_us or (b.decision_us = a.decision_us and b.task_id < a.task_id))),
  near as (select * from (select *, cast(row_number() over (partition by task_id order by distance, decision_us, neighbour) as integer) as rank from pairs) where rank <= {NEAREST})"""
-_LONG = ", l as (" + " union all ".join(f"select *, {_HELD} as held, '{s}' as scope, {k} as key from tasks where {k} is not null" for s, k in _SCOPES.items()) + f"""),
+_NEAR_HELD = f""", pr as (select a.task_id, b.peak_bytes, b.consumed_bytes, b.ratio, b.residual, b.held, b.decision_us, b.task_id as neighbour, {_GAP} as distance
+  from sg a join sg b on a.workflow = b.workflow and a.process = b.process and a.held = 1 and (b.held, b.decision_us, b.task_id) < (a.held, a.decision_us, a.task_id)),
+ nr as (select * from pr qualify row_number() over (partition by task_id order by distance, held, decision_us, neighbour) <= {NEAREST})"""
+_LONG = _signed_sql("held = 0") + ", sg as (select *, 0 as residual from sig)" + _NEAR_HELD + ", l as (" + " union all ".join(f"select *, {_HELD} as held, '{s}' as scope, {k} as key from tasks where {k} is not null" for s, k in _SCOPES.items()) + f"""),
  h as (select *, count(*) over w as support, {_DESCRIBED} from l window w as (partition by scope, key order by held, decision_us, task_id rows between 512 preceding and 1 preceding)),
  n as (select * exclude (support), count(*) over (partition by scope, key order by held, decision_us, task_id rows between unbounded preceding and 1 preceding) as support from h),
- j as (select *, {_TRUST} as confidence from n where held = 1)"""
+ i2 as (select s.task_id, count(nr.neighbour) as support, {", ".join(f"quantile_cont(nr.{c}, {q}) as {name}" for name, (c, q) in STATISTICS.items())}, quantile_cont(nr.distance, 0.5) as distance_p50, min(nr.distance) as distance_min from sg s left join nr on nr.task_id = s.task_id where s.held = 1 group by s.task_id),
+ j as (select task_id, scope, support, {", ".join(STATISTICS)}, null as distance_p50, null as distance_min, {_TRUST} as confidence from n where held = 1
+  union all select task_id, 'I2', support, {", ".join(STATISTICS)}, distance_p50, distance_min, case when support > 0 then round(support / (support + 16.0) / (1 + coalesce({_SPREAD}, 0)) * exp(-distance_p50), 9) else 0 end from i2)"""
 
-_CORRECTED = _T + f""", hd as (select *, {_HELD} as held from tasks), bs as (select workflow, avg(peak_bytes) * 1.2 as base from hd where held = 0 group by workflow),
- tb as (select hd.*, base, round(ln(peak_bytes / base), 9) as residual from hd join bs on hd.workflow = bs.workflow),
+_CORRECTED = _T + _signed_sql("held = 0") + f""", bs as (select workflow, avg(peak_bytes) * 1.2 as base from sig where held = 0 group by workflow),
+ tb as (select sig.*, base, round(ln(peak_bytes / base), 9) as residual from sig join bs on sig.workflow = bs.workflow), sg as (select * from tb) {_NEAR_HELD},
  lg as (""" + " union all ".join(f"select *, '{s}' as scope, {k} as key from tb where {k} is not null" for s, k in _SCOPES.items()) + """),
  fr as (select task_id, scope, held, list_sort(list(residual) over w) as v, count(*) over (partition by scope, key order by held, decision_us, task_id rows between unbounded preceding and 1 preceding) as n
   from lg window w as (partition by scope, key order by held, decision_us, task_id rows between 512 preceding and 1 preceding)),
  qs as (select task_id, scope, n, v[cast(ceil(least(1, ceil((len(v) + 1) * cast(0.95 as double)) / len(v)) * (len(v) - 1)) as bigint) + 1] as high, list_aggregate(v, 'quantile_cont', 0.95) - list_aggregate(v, 'quantile_cont', 0.5) as gap from fr where held = 1),
- tr as (select *, case when n > 0 then n / (n + 16.0) / (1 + case when n > 1 then greatest(gap, 0) else 1 end) else 0 end as trust from qs),
- wd as (select task_id, """ + ", ".join(f"max(case when scope = '{s}' then {c} end) as {c}_{s}" for s in _SCOPES for c in ("n", "high", "trust")) + """ from tr group by task_id),
- ch as (select *, case when n_I0 >= 2 then 'I0' when n_I1 >= 3 then 'I1' when n_I3 >= 16 then 'I3' when n_I4 >= 32 then 'I4' else 'I5' end as scope from wd),
- pa as (select *, coalesce(case when scope in ('I0', 'I1') then high_I3 when scope = 'I3' then high_I4 else high_I5 end, high_I5, 0) as parent from ch),
- lo as (select *, coalesce(case scope when 'I0' then high_I0 when 'I1' then high_I1 when 'I3' then high_I3 when 'I4' then high_I4 else high_I5 end, parent) as local,
-  coalesce(case scope when 'I0' then n_I0 when 'I1' then n_I1 when 'I3' then n_I3 when 'I4' then n_I4 else n_I5 end, 0) as support, coalesce(case scope when 'I0' then trust_I0 when 'I1' then trust_I1 when 'I3' then trust_I3 when 'I4' then trust_I4 else trust_I5 end, 0) as confidence from pa),
+ nv as (select task_id, list_sort(list(residual)) as v, count(*) as n, quantile_cont(distance, 0.5) as far from nr group by task_id),
+ q2 as (select task_id, scope, n, high, gap, 0 as far from qs union all select task_id, 'I2', n, v[cast(ceil(least(1, ceil((n + 1) * cast(0.95 as double)) / n) * (n - 1)) as bigint) + 1], list_aggregate(v, 'quantile_cont', 0.95) - list_aggregate(v, 'quantile_cont', 0.5), far from nv),
+ tr as (select *, case when n > 0 then n / (n + 16.0) / (1 + case when n > 1 then greatest(gap, 0) else 1 end) * exp(-far) else 0 end as trust from q2),
+ wi as (select task_id, """ + ", ".join(f"max(case when scope = '{s}' then {c} end) as {c}_{s}" for s in LEAST_SUPPORT for c in ("n", "high", "trust")) + """ from tr group by task_id),
+ ch as (select *, case when n_I0 >= 2 then 'I0' when n_I1 >= 3 then 'I1' when n_I2 >= 8 then 'I2' when n_I3 >= 16 then 'I3' when n_I4 >= 32 then 'I4' else 'I5' end as scope from wi),
+ pa as (select *, coalesce(case when scope in ('I0', 'I1', 'I2') then high_I3 when scope = 'I3' then high_I4 else high_I5 end, high_I5, 0) as parent from ch),
+ lo as (select *, coalesce(case scope when 'I0' then high_I0 when 'I1' then high_I1 when 'I2' then high_I2 when 'I3' then high_I3 when 'I4' then high_I4 else high_I5 end, parent) as local,
+  coalesce(case scope when 'I0' then n_I0 when 'I1' then n_I1 when 'I2' then n_I2 when 'I3' then n_I3 when 'I4' then n_I4 else n_I5 end, 0) as support, coalesce(case scope when 'I0' then trust_I0 when 'I1' then trust_I1 when 'I2' then trust_I2 when 'I3' then trust_I3 when 'I4' then trust_I4 else trust_I5 end, 0) as confidence from pa),
  co as (select lo.task_id, scope, support, confidence, greatest(confidence * local + (1 - confidence) * parent, 0) as correction, base, peak_bytes from lo join tb on lo.task_id = tb.task_id)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         wn03_positions, wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported,
-        jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
+        hs02_robust_scaler, hs06_selected_scope, jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
         md10_hierarchical_correction, md13_ordered_policy, st12_late_outcomes, hs07_five_levels, hs09_scope_summary, hs10_instance_history,
     )
 }
@@ -277,7 +322,9 @@ SQL = {
     "wn15_first_supported": _T + "select t.task_id, case when (select count(*) from tasks o where o.workflow = t.workflow and o.process = t.process and o.completion_us < t.decision_us) >= 10 then 'process' when (select count(*) from tasks o where o.workflow = t.workflow and o.completion_us < t.decision_us) >= 10 then 'workflow' else 'none' end as scope from tasks t",
     "jn13_nearest_48": _T + _PAIRS + " select task_id, neighbour, rank, distance from near",
     "hs04_neighbour_statistics": _T + _PAIRS + f", s as (select task_id, count(*) as support, quantile_cont(distance, 0.5) as distance_p50, min(distance) as distance_min, quantile_cont(peak_bytes, 0.5) as p50, quantile_cont(peak_bytes, 0.95) as p95 from near group by task_id) select task_id, support, round(distance_p50, 11) as distance_p50, distance_min, round(p50, 3) as p50, round(p95, 3) as p95, round(support / (support + 16.0) / (1 + {_SPREAD}) * exp(-distance_p50), 9) as confidence from s",
-    "hs03_causal_history": _T + _LONG + " select task_id, scope, support, round(p50, 3) as p50, round(p95, 3) as p95, round(c95, 3) as c95, round(ratio50, 9) as ratio50, confidence from j",
+    "hs02_robust_scaler": _T + _signed_sql("held = 0") + f" select task_id, {', '.join(SIGNATURE)} from sig",
+    "hs03_causal_history": _T + _LONG + f" select task_id, scope, support, {_ROUNDED}, round(ratio50, 9) as ratio50, round({_SPREAD}, 9) as spread, confidence, round(distance_p50, 11) as distance_p50, distance_min from j",
+    "hs06_selected_scope": _T + _LONG + f", ok as (select * from j where support >= case scope {' '.join(f"when '{s}' then {n}" for s, n in LEAST_SUPPORT.items())} end) select t.task_id, coalesce(arg_min(ok.scope, ok.scope), 'cold_start') as scope, coalesce(arg_min(ok.support, ok.scope), 0) as support, coalesce(arg_min(ok.confidence, ok.scope), 0) as confidence from sig t left join ok on ok.task_id = t.task_id where held = 1 group by t.task_id",
     "hs05_confidence": _T + f", h as (select *, quantile_cont(peak_bytes, 0.5) over w as p50, quantile_cont(peak_bytes, 0.95) over w as p95, count(*) over (partition by workflow, process order by decision_us, task_id rows between unbounded preceding and 1 preceding) as support from tasks window w as (partition by workflow, process order by decision_us, task_id rows between 512 preceding and 1 preceding)) select task_id, support, round(coalesce({_SPREAD}, 0), 9) as spread, {_TRUST} as confidence from h",
     "md10_hierarchical_correction": _CORRECTED + " select task_id, scope, support, round(confidence, 8) as confidence, round(correction, 8) as correction from co",
     "md13_ordered_policy": _CORRECTED + ", rq as (select *, cast(ceil(greatest(round(base * exp(correction) / 1048576, 6), 1)) as bigint) as request_mib from co) select task_id, request_mib, request_mib * 1048576 < peak_bytes as under from rq",

@@ -7,12 +7,7 @@ from .statements import _RANK, _REQ, _add
 # History scopes.
 _add("hs01_hierarchy_keys", """, k as (select 'I0' as scope, workflow || '|' || process || '|' || task_instance as key from tasks union all select 'I1', input_identity from tasks union all select 'I3', workflow || '|' || process from tasks union all select 'I4', workflow from tasks union all select 'I5', 'all' from tasks)
  select scope, key, count(*) as n from k where key is not null group by scope, key""")
-_add("hs02_robust_scaler", lambda e: f""", x as (select task_id, ln(1 + consumed_bytes) as v, ln(1 + input_bytes) as u from tasks), s as (select {e.pct('v', 0.5)} as vm, {e.pct('v', 0.75)} - {e.pct('v', 0.25)} as vs, {e.pct('u', 0.5)} as um, {e.pct('u', 0.75)} - {e.pct('u', 0.25)} as us from x)
- select task_id, round(least(greatest((coalesce(v, vm) - vm) / case when vs > 0 then vs else 1 end, -12), 12), 9) as consumed, round(least(greatest((u - um) / case when us > 0 then us else 1 end, -12), 12), 9) as input from x cross join s""")
 _ST = """, h as (select *, count(*) over w as support, stddev_pop(ln(peak_bytes)) over w as spread, avg(ln(peak_bytes)) over w as level from tasks window w as (partition by workflow, process order by decision_us, task_id rows between 512 preceding and 1 preceding))"""
-_SCOPES = """, h as (select task_id, peak_bytes, count(*) over (partition by workflow, process, task_instance order by decision_us, task_id rows between unbounded preceding and 1 preceding) as n0, count(*) over (partition by input_identity order by decision_us, task_id rows between unbounded preceding and 1 preceding) as n1,
- count(*) over (partition by workflow, process order by decision_us, task_id rows between unbounded preceding and 1 preceding) as n3, count(*) over (partition by workflow order by decision_us, task_id rows between unbounded preceding and 1 preceding) as n4 from tasks)"""
-_add("hs06_selected_scope", _SCOPES + " select task_id, case when n0 >= 2 then 'I0' when n1 >= 2 then 'I1' when n3 >= 8 then 'I3' when n4 >= 16 then 'I4' else 'none' end as scope, case when n0 >= 2 then n0 when n1 >= 2 then n1 when n3 >= 8 then n3 when n4 >= 16 then n4 else 0 end as support from h")
 _add("hs12_partial_labels", lambda e: f", m as (select workflow, peak_bytes, case when task_id % 5 = 0 then consumed_bytes end as seen from tasks) select workflow, count(*) as n, count(seen) as audited, round({e.pct('seen', 0.95)}, 3) as consumed_p95, round({e.pct('peak_bytes', 0.95)}, 3) as peak_p95 from m group by workflow")
 _add("hs13_outcome_upsert", """, w as (select task_id % 5000 as id, peak_bytes, completion_us, task_id as seq from tasks), r as (select *, row_number() over (partition by id order by completion_us desc, seq desc) as k from w) select id, peak_bytes, completion_us from r where k = 1""")
 _add("hs14_snapshot_counts", """, base as (select task_id as id, completion_us from tasks where task_id % 3 <> 0), run as (select task_id as id, completion_us from tasks where task_id % 2 = 0)

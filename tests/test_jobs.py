@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from chronoledger.operators import history as H
 from chronoledger.operators import models as M
+from chronoledger.operators import neighbours as N
 from chronoledger.operators.graph import components
 from chronoledger.plans import catalog
 from chronoledger.sources import tables as S
@@ -140,7 +141,7 @@ def test_history_of_a_hot_key(spark):
         seen_before = sorted(x[3] for x in rows if x[1] < rows[r.ask][1] and x[3] is not None)
         rank = lambda q: seen_before[max(1, int(np.ceil(q * len(seen_before)))) - 1] if seen_before else None
         assert r.support == len(seen_before) and (r.a, r.b) == (rank(0.5), rank(0.95))
-    near = H.nearest_before(df, ["k"], ["t", "id"], ["v"], 3, ["id"], ["id"], block=256).collect()
+    near = N.nearest_before(df, ["k"], ["t", "id"], ["v"], 3, ["id"], ["id"], block=256).collect()
     found = {}
     for r in near:
         found.setdefault(r.id, {})[r["rank"]] = (r.n_id, r.distance)
