@@ -34,27 +34,18 @@ SHORTEST, FEWEST, SPOILT = 5, 3, 97
 LEAST, MOST, DICTIONARY, LIST = 2, 6, 20_000, 32
 #: Grams are taken from this many places at either end of a word, so a word's rows are bounded.
 REACH = 8
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 
 
-def lowered(run: str) -> str:
-    return run.lower() if run.isascii() else run.translate(_LOWER)
-
-
-def spoilt(run: str, doc_id: int | None) -> str:
-    """The lower-cased ``run`` without one code point if SPOILT divides the crc32 of document and run; without a doc_id, as it is."""
-    if doc_id is not None:
-        h = zlib.crc32(f"{doc_id}:{run}".encode())
-        if h % SPOILT == 0:
-            at = h % len(run)
-            return run[:at] + run[at + 1 :]
-    return run
+def lowered(text: str) -> str:
+    """``text`` with A-Z lower-cased and all else as it is."""
+    return text.lower() if text.isascii() else text.encode().translate(_LOWER).decode()
 
 
 def _count(batches):
-    runs, held = re.compile(RUN), Counter()
+    runs, held = re.compile(RUN), {}
 
     def told():
         out = pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
@@ -63,13 +54,14 @@ def _count(batches):
 
     for batch in slices(batches):
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            own = Counter()
-            for run, n in Counter(runs.findall(text or "")).items():
-                own[lowered(run)] += n
-            for run, n in own.items():
-                word = spoilt(run, doc_id)
-                if len(word) >= SHORTEST:
-                    held[word] += n
+            begun = None if doc_id is None else zlib.crc32(f"{doc_id}:".encode())
+            for run, n in Counter(runs.findall(lowered(text or ""))).items():
+                if begun is not None:  # without a doc_id no run is spoilt
+                    h = zlib.crc32(run.encode(), begun)
+                    if not h % SPOILT:
+                        run = run[: h % len(run)] + run[h % len(run) + 1 :]
+                if len(run) >= SHORTEST:
+                    held[run] = held.get(run, 0) + n
         if len(held) >= HELD:
             yield told()
     yield told()
