@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .history import same_keys
+from .quantiles import group_quantiles
 
 
 @dataclass
@@ -89,6 +91,44 @@ class QuantileForest:
         return self
 
 
+@dataclass
+class GroupQuantiles:
+    """Quantiles of ``target`` by the columns ``by``, exact; groups with fewer than ``least`` rows, and those never seen, take all rows'."""
+
+    by: Sequence[str]
+    target: str
+    quantiles: Sequence[float] = (0.5, 0.995)
+    least: int = 20
+    groups: DataFrame | None = None
+    whole: DataFrame | None = None
+
+    @property
+    def names(self) -> list[str]:
+        return [f"q{q * 100:g}".replace(".", "_") for q in self.quantiles]
+
+    def fit(self, rows: DataFrame) -> "GroupQuantiles":
+        asked = dict(zip(self.names, self.quantiles))
+        self.groups = written(group_quantiles(rows, self.by, self.target, **asked).where(F.col("n") >= self.least), "groups")
+        self.whole = written(group_quantiles(rows, [], self.target, **asked), "groups")
+        return self
+
+    def predict(self, rows: DataFrame, key: str) -> DataFrame:
+        """``key`` and a column q<percent> for each quantile; null if no row was fitted."""
+        groups = self.groups.select(*self.names, *[F.col(c).alias("__o_" + c) for c in self.by])
+        found = rows.select(key, *self.by)
+        found = found.join(groups, same_keys(found, groups, self.by, "__o_"), "left")
+        whole = self.whole.first()  # one row
+        return found.select(key, *[F.coalesce(n, F.lit(whole[n] if whole else None).cast("double")).alias(n) for n in self.names])
+
+    def save(self, path: str) -> None:
+        self.groups.write.mode("overwrite").parquet(f"{path}/groups")
+        self.whole.write.mode("overwrite").parquet(f"{path}/whole")
+
+    def load(self, spark, path: str) -> "GroupQuantiles":
+        self.groups, self.whole = spark.read.parquet(f"{path}/groups"), spark.read.parquet(f"{path}/whole")
+        return self
+
+
 def feature_view(view: str, parts: Mapping[str, Sequence[str]], labels: Sequence[str]) -> list[str]:
     """Columns of a view such as ``A+P``: those of each of its ``parts``, in order. A label among them is an error."""
     unknown = [p for p in view.split("+") if p not in parts]

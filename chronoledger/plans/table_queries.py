@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.models import GroupQuantiles
 from ..sources import tables as S
 from ..storage import scratch_path, written
 from ..streaming import feedback as B
+from ..streaming.learner import Learner
 from .history_queries import task_table
 from .sqltext import Engine, tasks
 
@@ -162,6 +164,34 @@ def st06_refits_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("workflow").agg(F.count("*").alias("n")).where("n >= 32").select("workflow", F.explode(due).alias("fitted_at"))
 
 
+#: The live replay: batches by decision time, the first fit, outcomes between fits, and how many calibrate.
+_BATCHES, _FIRST, _EVERY, _WINDOW = 6, 128, 256, 64
+_LIVE = {"A": ["workflow"], "AP": ["workflow", "process"]}
+
+
+def st06_live_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eligible tasks as a stream of six batches: each task's request under both views by the version of its time, and each
+    version's calibration block with its residuals."""
+    t = task_table(spark, sf_dir)
+    code = F.when(F.col("task_id") % 17 == 0, 137).when(F.col("task_id") % 13 == 0, 1).otherwise(0)
+    ends = t.agg(F.min("decision_us").alias("lo"), F.max("decision_us").alias("hi")).first()
+    width = ((ends.hi or 0) - (ends.lo or 0)) // _BATCHES + 1
+    t = t.where((code == 0) & F.col("consumed_bytes").isNotNull())
+    t = written(t.withColumn("part", F.floor((F.col("decision_us") - (ends.lo or 0)) / width)).select("task_id", "workflow", "process", "completion_us", "peak_bytes", "part"), "eligible")
+    source, root, at = (scratch_path(spark, n) for n in ("outcomes", "learner", "progress"))
+    make = lambda by: lambda: GroupQuantiles(by, "peak_bytes")
+    live = Learner(root, {v: make(by) for v, by in _LIVE.items()}, "task_id", "peak_bytes", ["peak_bytes", "completion_us"], ["completion_us", "task_id"], ["q50", "q99_5"], _FIRST, _EVERY, _WINDOW)
+    for part in range(_BATCHES):
+        t.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        live.learn(spark.readStream.schema(t.drop("part").schema).parquet(source), at).awaitTermination()
+    scored = spark.read.parquet(f"{root}/scored").select("task_id", "view", F.lit("scored").alias("block"), "version", F.round("request", 6).alias("request"), F.lit(None).cast("double").alias("residual"))
+    last = live.pointer(spark)[0]
+    for version in range(1, last + 1):
+        held = live.calibration(spark, version)
+        scored = scored.unionByName(held.select("task_id", "view", F.lit("calibration").alias("block"), F.col("model_version").alias("version"), F.round("request", 6).alias("request"), F.round("residual", 9).alias("residual")))
+    return scored
+
+
 def st07_fit_and_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.fit_and_block(task_table(spark, sf_dir), 128).groupBy("workflow", "block").agg(F.count("*").alias("n"), F.min("completion_us").alias("first_us"))
 
@@ -182,11 +212,25 @@ _ROUTED = _T + f""", o as (select *, case when {_EXIT} = 0 and consumed_bytes is
  select task_id, 'applied' as status, route, row_number() over (partition by workflow order by batch, completion_us, task_id) as seq from a
  union all select cast(task_id as varchar), 'conflict', route, null from o where route <> 'skipped' and task_id % 3 <> 0 and task_id % 10 = 0"""
 
+_BY = {v: ", ".join(by) for v, by in _LIVE.items()}
+_LIVE_SQL = _T.replace("with ", "with recursive ", 1) + f""", el as (select task_id, workflow, process, completion_us, peak_bytes, decision_us from tasks where {_EXIT} = 0 and consumed_bytes is not null),
+ en as (select min(decision_us) as lo, (max(decision_us) - min(decision_us)) // {_BATCHES} + 1 as width from tasks), ev as (select el.*, (decision_us - lo) // width as part from el cross join en),
+ cn as (select p.part, count(ev.task_id) as e from (select unnest(range({_BATCHES})) as part) p left join ev on ev.part <= p.part group by p.part),
+ wk as (select -1 as part, cast(0 as bigint) as fitted, 0 as version, false as due union all
+  select cn.part, case when d then e else fitted end, case when d then version + 1 else version end, d from (select wk.fitted, wk.version, cn.part, cn.e, e > {_WINDOW} and case when fitted = 0 then e >= {_FIRST} else e - fitted >= {_EVERY} end as d from wk join cn on cn.part = wk.part + 1) cn),
+ vs as (select part, version from wk where due),
+ lg as (select v.version, ev.*, row_number() over (partition by v.version order by completion_us desc, task_id desc) <= {_WINDOW} as held from vs v join ev on ev.part <= v.part),
+ al as (select version, quantile_cont(peak_bytes, 0.5) as m, quantile_cont(peak_bytes, 0.995) as b from lg where not held group by version),
+ """ + ", ".join(f"g{v} as (select version, {by}, quantile_cont(peak_bytes, 0.5) as m, quantile_cont(peak_bytes, 0.995) as b from lg where not held group by version, {by} having count(*) >= 20)" for v, by in _BY.items()) + """,
+ asks as (select task_id, workflow, process, peak_bytes, 'scored' as block, (select max(w.version) from wk w where w.part < ev.part) as version from ev union all select task_id, workflow, process, peak_bytes, 'calibration', version from lg where held),
+ rq as (""" + " union all ".join(f"select a.*, '{v}' as view, greatest(coalesce(g.m, al.m), coalesce(g.b, al.b)) as request from asks a left join al on al.version = a.version left join g{v} g on g.version = a.version and " + " and ".join(f"g.{c} = a.{c}" for c in by) for v, by in _LIVE.items()) + """)
+ select task_id, view, block, version, round(request, 6) as request, case when block = 'calibration' then round(ln(peak_bytes / request), 9) end as residual from rq"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         src01_delimited_scan, src02_gzip_tables, src03_manifest_union, src04_json_records, src05_log_lines, src06_key_values, src07_field_tables, src08_schema_evolution,
-        src09_task_plan, src10_outcome_rules, snk01_projected_write, snk02_fan_out, snk03_decomposition, st01_ingested_outcomes, st02_matched_streams, st06_refits_due,
+        src09_task_plan, src10_outcome_rules, snk01_projected_write, snk02_fan_out, snk03_decomposition, st01_ingested_outcomes, st02_matched_streams, st06_refits_due, st06_live_versions,
         st07_fit_and_calibrate, st08_published_version,
     )
 }
@@ -207,6 +251,7 @@ SQL = {
     "st01_ingested_outcomes": _ROUTED,
     "st02_matched_streams": _T + "select task_id as attempt, peak_bytes from tasks where completion_us - decision_us <= 3600000000",
     "st06_refits_due": _T + f", n as (select workflow, count(*) as n from tasks where {_EXIT} = 0 and consumed_bytes is not null group by workflow having count(*) >= 32) select workflow, unnest(range(32, greatest(n, 32) + 1, 64)) as fitted_at from n",
+    "st06_live_versions": _LIVE_SQL,
     "st07_fit_and_calibrate": _T + ", b as (select *, case when row_number() over (partition by workflow order by completion_us desc, task_id desc) <= 128 then 'calibration' else 'fit' end as block from tasks) select workflow, block, count(*) as n, min(completion_us) as first_us from b group by workflow, block",
     "st08_published_version": _T + "select task_id, workflow from tasks where task_id % 2 = 1",
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.history import positions
+from ..storage import remove
 
 OUTCOME = "task_id string, workflow string, process string, exit_status int, completion_us long, peak_bytes long, consumed_bytes long"
 
@@ -19,9 +21,10 @@ def route(outcomes: DataFrame) -> DataFrame:
 
 _APPLIED = OUTCOME + ", route string, digest long, status string, seq long, batch long"
 _STATE = "workflow string, base long, batch long"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _rows(spark: SparkSession, table: str, schema: str, before: int | None = None) -> DataFrame:
+def rows_of(spark: SparkSession, table: str, schema: str, before: int | None = None) -> DataFrame:
     """Rows of a folder by batch, also of one that holds no file yet; a batch that is run again does not see itself."""
     root = spark._jvm.org.apache.hadoop.fs.Path(table)
     if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
@@ -32,35 +35,72 @@ def _rows(spark: SparkSession, table: str, schema: str, before: int | None = Non
 
 def applied(spark: SparkSession, table: str) -> DataFrame:
     """What ``ingest`` has taken in."""
-    return _rows(spark, table, _APPLIED)
+    return rows_of(spark, table, _APPLIED)
 
 
-def _apply(batch: DataFrame, batch_id: int, table: str) -> None:
+def _seen() -> StatefulProcessor:
+    """Keeps of each task the content that was applied; what comes later is the same, which goes, or a conflict."""
+
+    class Seen(StatefulProcessor):  # inside a function, so that it travels by value: the driver's state worker has no package
+        def init(self, handle):
+            self._digest = handle.getValueState("digest", "digest long")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 (names that Spark calls)
+            known = self._digest.get()[0] if self._digest.exists() else None
+            for row in sorted(rows, key=lambda r: (r.completion_us is not None, r.completion_us or 0, r.digest)):
+                if known is None:
+                    known = row.digest
+                    self._digest.update((known,))
+                    yield Row(**row.asDict(), status="applied")
+                elif row.digest != known:
+                    yield Row(**row.asDict(), status="conflict")
+
+        def close(self):
+            pass
+
+    return Seen()
+
+
+def _apply(batch: DataFrame, batch_id: int, table: str, strict: bool) -> None:
     spark, root = batch.sparkSession, table.rstrip("/")
-    digest = F.xxhash64(*[F.col(c) for c in sorted(batch.columns)])
-    fresh = route(batch).withColumn("digest", digest).where("route <> 'skipped'").dropDuplicates(["task_id", "digest"])
-    fresh = fresh.withColumn("copy", F.row_number().over(Window.partitionBy("task_id").orderBy("completion_us", "digest")))
-    known = _rows(spark, root, _APPLIED, batch_id).where("status = 'applied'").select("task_id", F.col("digest").alias("seen"))
-    # The last sequences are a small table of their own: one row a workflow and batch.
-    base = _rows(spark, f"{root}-state", _STATE, batch_id).groupBy("workflow").agg(F.max("base").alias("base"))
-    fresh = fresh.join(known, "task_id", "left").where("seen is null or seen <> digest")
-    marked = fresh.withColumn("status", F.when((F.col("copy") > 1) | F.col("seen").isNotNull(), "conflict").otherwise("applied"))
-    placed = positions(marked.drop("copy", "seen"), ["workflow"], ["completion_us", "task_id", "digest"], F.col("status") == "applied")
+    # The last sequences are a small table of their own: each batch carries on all workflows', so one is read.
+    past = rows_of(spark, f"{root}-state", _STATE, batch_id)
+    newest = past.agg(F.max("batch")).first()[0]
+    base = past.where(F.col("batch") == newest).select("workflow", "base")
+    placed = positions(batch, ["workflow"], ["completion_us", "task_id", "digest"], F.col("status") == "applied")
     placed = placed.join(base, "workflow", "left").fillna({"base": 0})
     out = placed.withColumn("seq", F.when(F.col("status") == "applied", F.col("base") + F.col("place") + 1)).drop("base", "place")
     out.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
-    last = spark.read.schema(_APPLIED).parquet(f"{root}/batch={batch_id}").where("seq is not null").groupBy("workflow").agg(F.max("seq").alias("base"))
+    done = spark.read.schema(_APPLIED).parquet(f"{root}/batch={batch_id}")
+    if strict:
+        changed = done.where("status = 'conflict'").select("task_id").take(1)
+        if changed:
+            remove(spark, f"{root}/batch={batch_id}")
+            raise ValueError(f"the outcome of {changed[0].task_id} has changed")
+    last = done.where("seq is not null").select("workflow", F.col("seq").alias("base")).unionByName(base).groupBy("workflow").agg(F.max("base").alias("base"))
     last.write.mode("overwrite").parquet(f"{root}-state/batch={batch_id}")
 
 
-def ingest(spark: SparkSession, source: str, table: str, checkpoint: str) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, strict: bool = False) -> StreamingQuery:
     """Reads each new file of ``source`` once and appends its outcomes to ``table``.
 
-    Applied outcomes get a sequence per workflow without gaps; the same outcome again is ignored; changed content
-    of a known task becomes a row with status ``conflict``. A batch overwrites its own folder, so a rerun is idempotent.
+    Applied outcomes get a sequence per workflow without gaps; the same outcome again is ignored; changed content of a known task
+    becomes a row with status ``conflict`` or, if ``strict``, an error that stops the stream before the batch counts. What was
+    applied is keyed state, so a batch costs its own tasks, however many came before. A batch overwrites its own folder, so a
+    rerun is idempotent.
     """
-    rows = spark.readStream.schema(OUTCOME).json(source)
-    return rows.writeStream.foreachBatch(lambda b, i: _apply(b, i, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = route(spark.readStream.schema(OUTCOME).json(source)).where("route <> 'skipped'")
+    fields = [f.name for f in rows.schema]
+    rows = rows.withColumn("digest", F.xxhash64(*[F.col(c) for c in sorted(fields) if c != "route"]))
+    kept = T.StructType([*rows.schema.fields, T.StructField("status", T.StringType())])
+    found = rows.groupBy("task_id").transformWithState(_seen(), kept, "append", "none")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, _ROCKSDB)  # a query keeps the settings that it was started under
+    try:
+        return found.writeStream.foreachBatch(lambda b, i: _apply(b, i, table, strict)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def matched(decisions: DataFrame, outcomes: DataFrame, late: str = "1 hour", longest: str = "7 days") -> DataFrame:
