@@ -17,11 +17,6 @@ _add("hs16_signal_swap", lambda e: f"select workflow, {e.pct('consumed_bytes', 0
 
 # Splits, lanes and draws.
 _add("sp03_role_remap", lambda e: f", r as (select task_id, workflow, decision_us, case when {e.hex_to_int('substr(' + e.sha('cast(task_id as string)') + ', 1, 2)')} < 154 then 'train' when {e.hex_to_int('substr(' + e.sha('cast(task_id as string)') + ', 1, 2)')} < 205 then 'calibration' else 'test' end as role from tasks) select task_id, case when role = 'test' then 'test' else 'train' end as role, row_number() over (partition by workflow order by case when role = 'test' then 1 else 0 end, decision_us, task_id) as position from r")
-_add("sp05_three_lanes", lambda e: f""", s as (select task_id, workflow, process, value as risk, coalesce(consumed_bytes, 0) as info, input_bytes as disc, cast(ceil(count(*) over (partition by workflow) * 0.05) as bigint) as q from tasks),
- a as (select *, row_number() over (partition by workflow order by risk desc, task_id) as k from s), a1 as (select * from a where k > q), b as (select task_id, workflow, process, disc, q, row_number() over (partition by workflow order by info desc, task_id) as k from a1),
- b1 as (select * from b where k > q), c as (select task_id, workflow, process, q, row_number() over (partition by workflow order by disc desc, task_id) as k from b1),
- c1 as (select * from c where k > q), d as (select task_id, q, row_number() over (partition by workflow order by {e.sha("'7|' || cast(task_id as string)")}) as k from c1)
- select task_id, 'risk' as lane from a where k <= q union all select task_id, 'information' from b where k <= q union all select task_id, 'discovery' from c where k <= q union all select task_id, 'exploration' from d where k <= q""")
 _add("sp07_random_comparators", lambda e: f", r as (select task_id, row_number() over (partition by workflow, process order by {e.sha("'1|' || cast(task_id as string)")}) as k, count(*) over (partition by workflow, process) as n from tasks) select task_id, ceil(0.2 * n) / n as inclusion from r where k <= ceil(0.2 * n)")
 # Audits of the riskiest are the same in every repetition: only what is drawn is multiplied, and ordered once for all budgets.
 _BUDGETS = (5, 10, 20, 30, 50, 100)
