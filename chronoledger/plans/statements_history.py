@@ -30,11 +30,6 @@ _add("sp08_repeated_policies", lambda e: f""", t as (select task_id, workflow, p
  d as (select workflow, {", ".join(f"count_if(risk <= {_ALL.format(b=b)}) as n{b}, cast(sum(case when risk <= {_ALL.format(b=b)} then peak_bytes else 0 end) as bigint) as b{b}" for b in _BUDGETS)} from t group by workflow),
  a as (select g.*, {", ".join(f"d.n{b} as risk_n{b}, d.b{b} as risk_b{b}" for b in _BUDGETS)} from g join d on g.workflow = d.workflow)
  select rep, workflow, {e.rows([dict(budget=b, policy=f"'{m}'", audited=f"{m}_n{b}", bytes=f"{m}_b{b}") for b in _BUDGETS for m in ("random", "mixed", "risk")])} from a""")
-_POISSON = "case when u < 0.36787944117144233 then 0 when u < 0.7357588823428847 then 1 when u < 0.9196986029286058 then 2 when u < 0.9810118431238462 then 3 when u < 0.9963401531726563 then 4 when u < 0.9994058151824183 then 5 else 6 end"
-_add("sp09_bootstrap_interval", lambda e: _REQ + f""", x as (select task_id, (request_b - request_a) / 1048576.0 as delta, {e.steps('0', '1999')} as rep from req), g as (select rep, delta, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || cast(task_id as string)") + ', 1, 13)')} / 4503599627370496.0 as u from x),
- w as (select rep, delta, {_POISSON} as n from g), m as (select rep, sum(n * delta) / sum(n) as mean from w group by rep) select count(*) as reps, round({e.pct('mean', 0.025)}, 6) as low, round({e.pct('mean', 0.975)}, 6) as high from m""")
-_add("sp10_cluster_bootstrap", lambda e: f""", c as (select workflow, task_instance, count(*) as n, sum(peak_bytes / 1048576.0) as s from tasks group by 1, 2), x as (select *, {e.steps('0', '4999')} as rep from c), g as (select *, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || workflow || '|' || task_instance") + ', 1, 13)')} / 4503599627370496.0 as u from x),
- w as (select *, {_POISSON} as k from g), m as (select workflow, rep, sum(k * s) / sum(k * n) as mean from w group by 1, 2) select workflow, round({e.pct('mean', 0.025)}, 6) as low, round({e.pct('mean', 0.975)}, 6) as high from m group by workflow""")
 _add("sp11_seed_means", lambda e: f""", m as (select task_id % 5 as seed, avg(peak_bytes / 1048576.0) as mean from tasks group by 1), x as (select {e.steps('0', '9999')} as rep), d as (select rep, {e.steps('0', '4')} as draw from x),
  p as (select rep, {e.hex_to_int('substr(' + e.sha("cast(rep as string) || '|' || cast(draw as string)") + ', 1, 12)')} % 5 as seed from d), g as (select rep, avg(mean) as mean from p join m on p.seed = m.seed group by rep)
  select count(*) as reps, round({e.pct('mean', 0.025)}, 6) as low, round({e.pct('mean', 0.975)}, 6) as high from g""")
