@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.calibration import Scope, corrections
+from ..operators.calibration import Scope, corrections, fold_external
 from ..operators.history import asof, asof_quantiles, before_each, confidence, positions, stability, trailing, trailing_quantiles, visible
 from ..storage import written
 from ..operators.neighbours import nearest_before, neighbour_quantiles, scaled
@@ -156,15 +156,20 @@ def hs11_best_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("task_id", "b.*")
 
 
+_PARENTS = {"I0": "I3", "I1": "I3", "I2": "I3", "I3": "I4", "I4": "I5", "I5": "I5"}
+
+
+def _scopes() -> list[Scope]:
+    return [Scope(s, F.expr(_SCOPES[s]) if s in _SCOPES else None, least, _PARENTS[s]) for s, least in LEAST_SUPPORT.items()]
+
+
 def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out tasks with their base (1.2 times the workflow's mean peak in development) and their correction of it."""
     t = _signed(spark, sf_dir, "held = 0")
     base = t.where("held = 0").groupBy("workflow").agg((F.avg("peak_bytes") * 1.2).alias("base"))
     t = written(t.join(base, "workflow").withColumn("residual", F.round(F.log(F.col("peak_bytes") / F.col("base")), 9)), "residuals")
-    parents = {"I0": "I3", "I1": "I3", "I2": "I3", "I3": "I4", "I4": "I5", "I5": "I5"}
-    scopes = [Scope(s, F.expr(_SCOPES[s]) if s in _SCOPES else None, least, parents[s]) for s, least in LEAST_SUPPORT.items()]
     near = neighbour_quantiles(_held_near(spark, sf_dir, ["task_id", "residual"], t), "task_id", high=("n_residual", 0.95, "higher"), mid=("n_residual", 0.5), top=("n_residual", 0.95))
-    found = corrections(t, scopes, F.col("residual"), _SEQUENCE, F.col("held") == 1, 0.95, "task_id", states={"I2": near})
+    found = corrections(t, _scopes(), F.col("residual"), _SEQUENCE, F.col("held") == 1, 0.95, "task_id", states={"I2": near})
     return t.where("held = 1").join(found, "task_id")
 
 
@@ -179,6 +184,22 @@ def md13_ordered_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("task_id", "request_mib", (F.col("request_mib") * 1048576 < F.col("peak_bytes")).alias("under"))
 
 
+def md14_fold_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every task's request in whole MiB, corrected by what all other folds tell of its scopes."""
+    t = _signed(spark, sf_dir)
+    base = t.groupBy("workflow").agg((F.avg("peak_bytes") * 1.2).alias("base"))
+    t = written(t.join(base, "workflow").withColumn("residual", F.round(F.log(F.col("peak_bytes") / F.col("base")), 9)), "residuals")
+    fold = F.col("task_id") % _FOLDS
+    near = nearest_before(t, _CONTEXT, _DECIDED, list(SIGNATURE), NEAREST, ["task_id"], ["task_id", "residual"], apart=fold)
+    near = neighbour_quantiles(near, "task_id", high=("n_residual", 0.95, "higher"), mid=("n_residual", 0.5), top=("n_residual", 0.95))
+    found = fold_external(t, _scopes(), F.col("residual"), _DECIDED, fold, _FOLDS, 0.95, "task_id", states={"I2": near})
+    mib = F.ceil(F.greatest(F.round(F.col("base") * F.exp("correction") / 1048576, 6), F.lit(1.0)))
+    return t.join(found, "task_id").select("task_id", "scope", "support", F.round("confidence", 8).alias("confidence"), F.round("correction", 8).alias("correction"), mib.alias("request_mib"))
+
+
+_FOLDS = 5
+
+
 def wn03_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task's place in its workflow by completion."""
     return positions(task_table(spark, sf_dir), ["workflow"], _DONE).select("task_id", "workflow", "place")
@@ -290,13 +311,7 @@ _LONG = _signed_sql("held = 0") + ", sg as (select *, 0 as residual from sig)" +
  j as (select task_id, scope, support, {", ".join(STATISTICS)}, null as distance_p50, null as distance_min, {_TRUST} as confidence from n where held = 1
   union all select task_id, 'I2', support, {", ".join(STATISTICS)}, distance_p50, distance_min, case when support > 0 then round(support / (support + 16.0) / (1 + coalesce({_SPREAD}, 0)) * exp(-distance_p50), 9) else 0 end from i2)"""
 
-_CORRECTED = _T + _signed_sql("held = 0") + f""", bs as (select workflow, avg(peak_bytes) * 1.2 as base from sig where held = 0 group by workflow),
- tb as (select sig.*, base, round(ln(peak_bytes / base), 9) as residual from sig join bs on sig.workflow = bs.workflow), sg as (select * from tb) {_NEAR_HELD},
- lg as (""" + " union all ".join(f"select *, '{s}' as scope, {k} as key from tb where {k} is not null" for s, k in _SCOPES.items()) + """),
- fr as (select task_id, scope, held, list_sort(list(residual) over w) as v, count(*) over (partition by scope, key order by held, decision_us, task_id rows between unbounded preceding and 1 preceding) as n
-  from lg window w as (partition by scope, key order by held, decision_us, task_id rows between 512 preceding and 1 preceding)),
- qs as (select task_id, scope, n, v[cast(ceil(least(1, ceil((len(v) + 1) * cast(0.95 as double)) / len(v)) * (len(v) - 1)) as bigint) + 1] as high, list_aggregate(v, 'quantile_cont', 0.95) - list_aggregate(v, 'quantile_cont', 0.5) as gap from fr where held = 1),
- nv as (select task_id, list_sort(list(residual)) as v, count(*) as n, quantile_cont(distance, 0.5) as far from nr group by task_id),
+_CHOSEN = """, nv as (select task_id, list_sort(list(residual)) as v, count(*) as n, quantile_cont(distance, 0.5) as far from nr group by task_id),
  q2 as (select task_id, scope, n, high, gap, 0 as far from qs union all select task_id, 'I2', n, v[cast(ceil(least(1, ceil((n + 1) * cast(0.95 as double)) / n) * (n - 1)) as bigint) + 1], list_aggregate(v, 'quantile_cont', 0.95) - list_aggregate(v, 'quantile_cont', 0.5), far from nv),
  tr as (select *, case when n > 0 then n / (n + 16.0) / (1 + case when n > 1 then greatest(gap, 0) else 1 end) * exp(-far) else 0 end as trust from q2),
  wi as (select task_id, """ + ", ".join(f"max(case when scope = '{s}' then {c} end) as {c}_{s}" for s in LEAST_SUPPORT for c in ("n", "high", "trust")) + """ from tr group by task_id),
@@ -305,13 +320,20 @@ _CORRECTED = _T + _signed_sql("held = 0") + f""", bs as (select workflow, avg(pe
  lo as (select *, coalesce(case scope when 'I0' then high_I0 when 'I1' then high_I1 when 'I2' then high_I2 when 'I3' then high_I3 when 'I4' then high_I4 else high_I5 end, parent) as local,
   coalesce(case scope when 'I0' then n_I0 when 'I1' then n_I1 when 'I2' then n_I2 when 'I3' then n_I3 when 'I4' then n_I4 else n_I5 end, 0) as support, coalesce(case scope when 'I0' then trust_I0 when 'I1' then trust_I1 when 'I2' then trust_I2 when 'I3' then trust_I3 when 'I4' then trust_I4 else trust_I5 end, 0) as confidence from pa),
  co as (select lo.task_id, scope, support, confidence, greatest(confidence * local + (1 - confidence) * parent, 0) as correction, base, peak_bytes from lo join tb on lo.task_id = tb.task_id)"""
+_CORRECTED = _T + _signed_sql("held = 0") + f""", bs as (select workflow, avg(peak_bytes) * 1.2 as base from sig where held = 0 group by workflow),
+ tb as (select sig.*, base, round(ln(peak_bytes / base), 9) as residual from sig join bs on sig.workflow = bs.workflow), sg as (select * from tb) {_NEAR_HELD},
+ lg as (""" + " union all ".join(f"select *, '{s}' as scope, {k} as key from tb where {k} is not null" for s, k in _SCOPES.items()) + """),
+ fr as (select task_id, scope, held, list_sort(list(residual) over w) as v, count(*) over (partition by scope, key order by held, decision_us, task_id rows between unbounded preceding and 1 preceding) as n
+  from lg window w as (partition by scope, key order by held, decision_us, task_id rows between 512 preceding and 1 preceding)),
+ qs as (select task_id, scope, n, v[cast(ceil(least(1, ceil((len(v) + 1) * cast(0.95 as double)) / len(v)) * (len(v) - 1)) as bigint) + 1] as high, list_aggregate(v, 'quantile_cont', 0.95) - list_aggregate(v, 'quantile_cont', 0.5) as gap from fr where held = 1)"""
+_CORRECTED += _CHOSEN
 
 QUERIES = {
     f.__name__: f
     for f in (
         wn03_positions, wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported,
         hs02_robust_scaler, hs06_selected_scope, jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
-        md10_hierarchical_correction, md13_ordered_policy, st12_late_outcomes, hs07_five_levels, hs09_scope_summary, hs10_instance_history,
+        md10_hierarchical_correction, md13_ordered_policy, md14_fold_external, st12_late_outcomes, hs07_five_levels, hs09_scope_summary, hs10_instance_history,
     )
 }
 SQL = {
@@ -345,6 +367,15 @@ SQL = {
  (select count(*) from tasks o where o.workflow = t.workflow and o.input_identity = t.input_identity and o.completion_us < t.decision_us) as input_count, (select count(distinct process) from tasks o where o.workflow = t.workflow and o.task_instance = t.task_instance and o.completion_us < t.decision_us) as processes,
  (select quantile_disc(cast(consumed_bytes as double), 0.5) from tasks o where o.workflow = t.workflow and o.task_instance = t.task_instance and o.completion_us < t.decision_us) as instance_consumed,
  (select quantile_disc(cast(consumed_bytes as double), 0.5) from tasks o where o.workflow = t.workflow and o.input_identity = t.input_identity and o.completion_us < t.decision_us) as input_consumed from tasks t""",
+    "md14_fold_external": _T + _signed_sql("true") + f""", bs as (select workflow, avg(peak_bytes) * 1.2 as base from sig group by workflow),
+ tb as (select sig.*, task_id % {_FOLDS} as fold, base, round(ln(peak_bytes / base), 9) as residual from sig join bs on sig.workflow = bs.workflow),
+ pr as (select a.task_id, b.residual, b.decision_us, b.task_id as neighbour, {_GAP} as distance from tb a join tb b on a.workflow = b.workflow and a.process = b.process and a.fold <> b.fold),
+ nr as (select * from pr qualify row_number() over (partition by task_id order by distance, decision_us, neighbour) <= {NEAREST}),
+ lg as ({" union all ".join(f"select *, '{s}' as scope, {k} as key from tb where {k} is not null" for s, k in _SCOPES.items())}),
+ ls as (select f.fold, lg.scope, lg.key, residual, count(*) over (partition by f.fold, lg.scope, lg.key) as n, row_number() over (partition by f.fold, lg.scope, lg.key order by decision_us desc, task_id desc) as k from lg join (select unnest(range({_FOLDS})) as fold) f on f.fold <> lg.fold),
+ vs as (select fold, scope, key, any_value(n) as n, list_sort(list(residual)) as v from ls where k <= {RECENT} group by all),
+ qs as (select lg.task_id, lg.scope, n, v[cast(ceil(least(1, ceil((len(v) + 1) * cast(0.95 as double)) / len(v)) * (len(v) - 1)) as bigint) + 1] as high, list_aggregate(v, 'quantile_cont', 0.95) - list_aggregate(v, 'quantile_cont', 0.5) as gap from lg join vs on vs.fold = lg.fold and vs.scope = lg.scope and vs.key = lg.key)"""
+ + _CHOSEN + " select task_id, scope, support, round(confidence, 8) as confidence, round(correction, 8) as correction, cast(ceil(greatest(round(base * exp(correction) / 1048576, 6), 1)) as bigint) as request_mib from co",
     "st12_late_outcomes": _T + ", e as (select *, completion_us + (task_id % 7) * 3600000000 as arrival_us from tasks) select t.task_id, (select count(*) from e o where o.workflow = t.workflow and o.completion_us < t.decision_us) as complete, (select count(*) from e o where o.workflow = t.workflow and o.arrival_us < t.decision_us) as arrived from e t",
     "hs11_best_scope": _T + _LONG + " select task_id, scope, support, confidence from (select *, row_number() over (partition by task_id order by confidence desc, scope) as k from j where support > 0) where k = 1",
 }
