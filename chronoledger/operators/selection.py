@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .history import positions, same_keys
+from .history import positions, running_sums, same_keys
 
 
 def _beside(rows: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -82,3 +82,20 @@ def average_ranks(rows: DataFrame, by: Sequence[str], value: str, key: str) -> D
     sizes = placed.groupBy(*by).agg((F.max("place") + 1).alias("__n"))
     found = _beside(_beside(placed, ties, [*by, value]), sizes, by)
     return found.select(*by, key, ((F.col("__both") / 2 + 1) / F.col("__n")).alias("share"))
+
+
+def best_factors(rows: DataFrame, by: Sequence[str], key: str, base: str, need: str, target: float, retry: float = 1.0) -> DataFrame:
+    """``by``, factor, coverage and cost of the best multiple of ``base`` as a request for ``need`` (whole numbers above 0), by group.
+
+    Every ratio of need by base is tried. A request below the need fails and is paid again with ``retry`` times the need. Factors
+    that cover the ``target`` come first, the cheapest of them; without any the one of highest coverage; then the smaller factor.
+    Coverage and cost are steps of the sorted ratios: one sort and running sums, no copy of the rows for each factor.
+    """
+    t = rows.select(*by, key, F.col(base).cast("long").alias("__b"), F.col(need).cast("long").alias("__n")).withColumn("factor", F.col("__n") / F.col("__b"))
+    t = running_sums(t, by, ["factor", key], __rank=F.lit(1).cast("long"), __paid=F.col("__n"))
+    total = t.groupBy(*by).agg(F.sum("__b").alias("__base"), F.sum("__n").alias("__need"), F.count("*").alias("__all"))
+    step = _beside(t.groupBy(*by, "factor").agg(F.max("__rank").alias("__rank"), F.max("__paid").alias("__paid")), total, by)
+    step = step.withColumn("coverage", F.col("__rank") / F.col("__all")).withColumn("cost", F.col("factor") * F.col("__base") + retry * (F.col("__need") - F.col("__paid")))
+    met = F.col("coverage") >= target
+    order = F.struct(F.when(met, 0).otherwise(1), F.when(met, F.col("cost")).otherwise(-F.col("coverage")), "factor")
+    return step.groupBy(*by).agg(F.min_by(F.struct("factor", "coverage", "cost"), order).alias("b")).select(*by, "b.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.calibration import Scope, corrections, fold_external
 from ..operators.history import asof, asof_quantiles, before_each, confidence, positions, stability, trailing, trailing_quantiles, visible
 from ..storage import written
-from ..operators.neighbours import nearest_before, neighbour_quantiles, scaled
+from ..operators.neighbours import nearest_asof, nearest_before, neighbour_quantiles, scaled
 from .sqltext import Engine, tasks
 
 _T = f"with {tasks(Engine(False))} ".replace("@", "")
@@ -250,9 +250,21 @@ def hs09_scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("task_id", "scope", "completed", "support", "oom", F.round(recency, 9).alias("recency"), F.round(like, 9).alias("similarity"), F.round(trust, 9).alias("confidence"), *[F.round(c, 9).alias(c) for c in values])
 
 
+def _near_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each task's 32 outcomes of its context that are nearest in the logarithm of the input size, of those before its decision."""
+    t = task_table(spark, sf_dir).withColumns({"size": F.log1p(F.col("input_bytes").cast("double")), "ratio": F.col("consumed_bytes") / F.col("input_bytes"), "memory": F.when(F.col("consumed_bytes") > 0, F.col("peak_bytes") / F.col("consumed_bytes"))})
+    done = t.where("consumed_bytes is not null and input_bytes > 0")
+    return nearest_asof(t, done, _CONTEXT, "decision_us", "completion_us", "task_id", ["size"], 32, "task_id", ["consumed_bytes", "ratio", "memory"])
+
+
+def jn14_nearest_in_one_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _near_inputs(spark, sf_dir).groupBy("task_id").agg(F.count("*").alias("n"), F.max("distance").alias("farthest"), F.avg("distance").alias("mean"))
+    return near.select("task_id", "n", "farthest", F.round("mean", 9).alias("mean"))
+
+
 def hs10_instance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of the same instance and of the same input in the workflow before each decision, their consumption, and how
-    many processes the instance had gone through."""
+    many processes the instance had gone through; and what the 32 outcomes nearest in input size tell."""
     t = task_table(spark, sf_dir)
     times, key = ("decision_us", "completion_us", "task_id"), ["task_id"]
     one, two = ["workflow", "task_instance"], ["workflow", "input_identity"]
@@ -267,7 +279,10 @@ def hs10_instance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = t.select("task_id")
     for part in parts:
         out = out.join(part, "task_id")
-    return out
+    near = written(_near_inputs(spark, sf_dir), "near")
+    marks = neighbour_quantiles(near, "task_id", near_consumed=("n_consumed_bytes", 0.5, "disc"), near_consumed_q95=("n_consumed_bytes", 0.95, "disc"), near_ratio=("n_ratio", 0.5, "disc"), near_memory=("n_memory", 0.5, "disc"))
+    marks = marks.join(near.groupBy("task_id").agg(F.round(F.avg("distance"), 9).alias("near_distance")), "task_id")
+    return out.join(marks.select("task_id", "near_distance", "near_consumed", "near_consumed_q95", F.round("near_ratio", 9).alias("near_ratio"), F.round("near_memory", 9).alias("near_memory")), "task_id", "left")
 
 
 def st12_late_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,12 +343,17 @@ _CORRECTED = _T + _signed_sql("held = 0") + f""", bs as (select workflow, avg(pe
  qs as (select task_id, scope, n, v[cast(ceil(least(1, ceil((len(v) + 1) * cast(0.95 as double)) / len(v)) * (len(v) - 1)) as bigint) + 1] as high, list_aggregate(v, 'quantile_cont', 0.95) - list_aggregate(v, 'quantile_cont', 0.5) as gap from fr where held = 1)"""
 _CORRECTED += _CHOSEN
 
+_NEAR_INPUTS = """, px as (select t.task_id, o.task_id as other, o.completion_us, o.consumed_bytes, round(abs(ln(1 + cast(o.input_bytes as double)) - ln(1 + cast(t.input_bytes as double))), 9) as distance, cast(o.consumed_bytes as double) / o.input_bytes as ratio, case when o.consumed_bytes > 0 then cast(o.peak_bytes as double) / o.consumed_bytes end as memory
+  from tasks t join tasks o on o.workflow = t.workflow and o.process = t.process and o.completion_us < t.decision_us and o.consumed_bytes is not null and o.input_bytes > 0),
+ nx as (select * from px qualify row_number() over (partition by task_id order by distance, completion_us, other) <= 32),
+ nm as (select task_id, count(*) as n, max(distance) as farthest, round(avg(distance), 9) as near_distance, quantile_disc(consumed_bytes, 0.5) as near_consumed, quantile_disc(consumed_bytes, 0.95) as near_consumed_q95, round(quantile_disc(ratio, 0.5), 9) as near_ratio, round(quantile_disc(memory, 0.5), 9) as near_memory from nx group by task_id)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         wn03_positions, wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported,
         hs02_robust_scaler, hs06_selected_scope, jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
-        md10_hierarchical_correction, md13_ordered_policy, md14_fold_external, st12_late_outcomes, hs07_five_levels, hs09_scope_summary, hs10_instance_history,
+        md10_hierarchical_correction, md13_ordered_policy, md14_fold_external, st12_late_outcomes, hs07_five_levels, hs09_scope_summary, hs10_instance_history, jn14_nearest_in_one_dimension,
     )
 }
 SQL = {
@@ -363,10 +383,10 @@ SQL = {
   quantile_disc(x.consumed_bytes, 0.5) over w as consumed_median, quantile_disc(x.consumed_bytes, 0.95) over w as consumed_q95, quantile_disc(ratio, 0.5) over w as ratio_median, quantile_disc(ratio, 0.95) over w as ratio_q95 from ev x window w as (partition by scope, key order by t, kind, tie rows between unbounded preceding and 1 preceding)),
  sc as (select *, case when completed > 0 then exp(-(t - fresh) / {_FADE}) else 0 end as rec, coalesce(exp(-abs(ln(1 + own) - ln(1 + input_median))), 0) as sim, case when completed > 0 then support / cast(completed as double) else 0 end as cover from st where kind = 0)
  select task_id, scope, completed, support, ooms as oom, round(rec, 9) as recency, round(sim, 9) as similarity, round(support / (support + {_PRIOR}) * sqrt(cover) * rec * 0.5 * sim * special, 9) as confidence, {", ".join(f"round({c}, 9) as {c}" for c in ("peak_median", "peak_q95", "peak_q99", "input_median", "consumed_median", "consumed_q95", "ratio_median", "ratio_q95"))} from sc""",
-    "hs10_instance_history": _T + """ select t.task_id, (select count(*) from tasks o where o.workflow = t.workflow and o.task_instance = t.task_instance and o.completion_us < t.decision_us) as instance_count,
+    "hs10_instance_history": _T + _NEAR_INPUTS + """ select t.task_id, (select count(*) from tasks o where o.workflow = t.workflow and o.task_instance = t.task_instance and o.completion_us < t.decision_us) as instance_count,
  (select count(*) from tasks o where o.workflow = t.workflow and o.input_identity = t.input_identity and o.completion_us < t.decision_us) as input_count, (select count(distinct process) from tasks o where o.workflow = t.workflow and o.task_instance = t.task_instance and o.completion_us < t.decision_us) as processes,
  (select quantile_disc(cast(consumed_bytes as double), 0.5) from tasks o where o.workflow = t.workflow and o.task_instance = t.task_instance and o.completion_us < t.decision_us) as instance_consumed,
- (select quantile_disc(cast(consumed_bytes as double), 0.5) from tasks o where o.workflow = t.workflow and o.input_identity = t.input_identity and o.completion_us < t.decision_us) as input_consumed from tasks t""",
+ (select quantile_disc(cast(consumed_bytes as double), 0.5) from tasks o where o.workflow = t.workflow and o.input_identity = t.input_identity and o.completion_us < t.decision_us) as input_consumed, near_distance, near_consumed, near_consumed_q95, near_ratio, near_memory from tasks t left join nm on nm.task_id = t.task_id""",
     "md14_fold_external": _T + _signed_sql("true") + f""", bs as (select workflow, avg(peak_bytes) * 1.2 as base from sig group by workflow),
  tb as (select sig.*, task_id % {_FOLDS} as fold, base, round(ln(peak_bytes / base), 9) as residual from sig join bs on sig.workflow = bs.workflow),
  pr as (select a.task_id, b.residual, b.decision_us, b.task_id as neighbour, {_GAP} as distance from tb a join tb b on a.workflow = b.workflow and a.process = b.process and a.fold <> b.fold),
@@ -376,6 +396,7 @@ SQL = {
  vs as (select fold, scope, key, any_value(n) as n, list_sort(list(residual)) as v from ls where k <= {RECENT} group by all),
  qs as (select lg.task_id, lg.scope, n, v[cast(ceil(least(1, ceil((len(v) + 1) * cast(0.95 as double)) / len(v)) * (len(v) - 1)) as bigint) + 1] as high, list_aggregate(v, 'quantile_cont', 0.95) - list_aggregate(v, 'quantile_cont', 0.5) as gap from lg join vs on vs.fold = lg.fold and vs.scope = lg.scope and vs.key = lg.key)"""
  + _CHOSEN + " select task_id, scope, support, round(confidence, 8) as confidence, round(correction, 8) as correction, cast(ceil(greatest(round(base * exp(correction) / 1048576, 6), 1)) as bigint) as request_mib from co",
+    "jn14_nearest_in_one_dimension": _T + _NEAR_INPUTS + " select task_id, n, farthest, near_distance as mean from nm",
     "st12_late_outcomes": _T + ", e as (select *, completion_us + (task_id % 7) * 3600000000 as arrival_us from tasks) select t.task_id, (select count(*) from e o where o.workflow = t.workflow and o.completion_us < t.decision_us) as complete, (select count(*) from e o where o.workflow = t.workflow and o.arrival_us < t.decision_us) as arrived from e t",
     "hs11_best_scope": _T + _LONG + " select task_id, scope, support, confidence from (select *, row_number() over (partition by task_id order by confidence desc, scope) as k from j where support > 0) where k = 1",
 }

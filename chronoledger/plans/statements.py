@@ -135,8 +135,6 @@ _add("wn12_even_batches", "select task_id, ntile(5) over (partition by workflow,
 _add("wn13_audit_plan", "select workflow, task_id, r from (select workflow, task_id, row_number() over (partition by workflow order by peak_bytes desc, task_id) as r, count(*) over (partition by workflow) as n from tasks) t where r <= ceil(n * 0.2)")
 _add("wn14_holm", """, p as (select workflow, process, 1.0 / (1 + count(*)) as p from tasks group by 1, 2), r as (select *, row_number() over (order by p, workflow, process) as k, count(*) over () as n from p)
  select workflow, process, round(max(least((n - k + 1) * p, 1)) over (order by k), 12) as adjusted from r""")
-_add("wn16_best_candidate", _REQ + """, c as (select workflow, 'a' as candidate, avg(case when request_a >= peak_bytes then 1.0 else 0 end) as coverage, sum(request_a) as cost from req group by workflow union all select workflow, 'b', avg(case when request_b >= peak_bytes then 1.0 else 0 end), sum(request_b) from req group by workflow)
- select workflow, candidate from (select *, row_number() over (partition by workflow order by case when coverage >= 0.7 then 1 else 0 end desc, case when coverage >= 0.7 then cost else -coverage end, candidate) as r from c) t where r = 1""")
 
 # Splits, sampling, checks.
 _add("sp01_cohort_filter", "select task_id from (select task_id, runtime_seconds, count(*) over (partition by workflow, process) as n from tasks where runtime_seconds > 0) t where n >= 34")

@@ -36,8 +36,6 @@ _add("sp11_seed_means", lambda e: f""", m as (select task_id % 5 as seed, avg(pe
 _add("sp12_capped_sample", lambda e: f"select workflow, task_id from (select workflow, task_id, row_number() over (partition by workflow order by {e.sha('cast(task_id as string)')}) as k from tasks) t where k <= 10")
 
 # Policies.
-_add("md12_policy_by_process", _REQ + """, c as (select workflow, process, k, avg(case when request_a * k >= peak_bytes then 1.0 else 0 end) as coverage, sum(request_a * k) as cost from req cross join (select 1.0 as k union all select 1.25 union all select 1.5 union all select 2.0) f group by 1, 2, 3)
- select workflow, process, k from (select *, row_number() over (partition by workflow, process order by case when coverage >= 0.9 then 0 else 1 end, case when coverage >= 0.9 then cost else -coverage end, k) as r from c) t where r = 1""")
 _add("md16_prediction_table", _REQ + " select task_id, workflow, process, 'history' as method, round(request_a, 3) as point, round(greatest(request_a, request_b), 3) as bound, peak_bytes, request_a < peak_bytes as underallocated, runtime_seconds from req")
 _add("md18_gate_targets", _REQ + f""", g as (select task_id, workflow, greatest(peak_bytes - request_a, 0) as shortfall, abs(ln(peak_bytes / request_a)) as surprise from req)
  select task_id, round(shortfall, 3) as shortfall, round(surprise, 9) as surprise, round({_RANK('workflow', 'surprise')} / count(*) over (partition by workflow), 9) as surprise_rank, shortfall > 0 as risky from g""")

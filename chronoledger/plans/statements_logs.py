@@ -53,9 +53,6 @@ _add("jn06_cascaded_assignment", """, u as (select process, task_instance as uni
  s3 as (select u3.uid, i3.iid from u3 join i3 on u3.process = i3.process and u3.k = i3.k and u3.n = i3.n)
  select uid, iid, 1 as stage from s1 union all select uid, iid, 2 from s2 union all select uid, iid, 3 from s3""")
 _add("jn09_dictionary_lookup", "select s_suppkey, n_name, r_name from @supplier left join @nation on s_nationkey = n_nationkey left join @region on n_regionkey = r_regionkey", False)
-_add("jn14_nearest_in_one_dimension", lambda e: f""", r as (select task_id, workflow, ln(1 + peak_bytes) as x, consumed_bytes, row_number() over (partition by workflow order by peak_bytes, task_id) as k from tasks),
- o as (select task_id, workflow, x, k, {e.steps('-32', '32')} as d from r), p as (select o.task_id, r.task_id as other, abs(o.x - r.x) as gap, r.x as y from o join r on r.workflow = o.workflow and r.k = o.k + o.d where o.d <> 0),
- n as (select *, row_number() over (partition by task_id order by gap, other) as i from p) select task_id, count(*) as n, round(max(gap), 9) as farthest, round(avg(y), 6) as mean from n where i <= 32 group by task_id""")
 
 # Aggregations.
 _EDGES = lambda e: ", ".join(f"{e.pct('p', i / 10)} as e{i}" for i in range(11))
