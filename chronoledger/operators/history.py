@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..storage import partitions, written
 
-_PART, _ONE, _BEFORE, _INNER, _BLOCK, _OWN, _ROW = "__part", "__one", "__before", "__inner", "__block", "__own", "__row"
+_PART, _ONE, _BEFORE, _INNER, _BLOCK, _OWN, _ROW = (f"__place_{n}" for n in ("part", "one", "before", "inner", "block", "own", "row"))
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
