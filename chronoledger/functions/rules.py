@@ -47,9 +47,14 @@ def first(text: str, rules, value, otherwise: str, like) -> str:
 
 
 def terminal(text: str, engine) -> str:
-    """SQL of the last part of a process name, its words joined by underscores; a doubled name once."""
+    """SQL of the last part of a process name, its words joined by underscores; a doubled name once, nothing is UNKNOWN_OPERATION."""
     part = engine.replace_all(f"upper(trim(split_part({text}, ':', -1)))", "[^A-Z0-9]+", "_")
     plain = f"trim(both '_' from {part})"
     half = f"cast(floor(length({plain}) / 2) as int)"
     twice = f"length({plain}) % 2 = 1 and substr({plain}, 1, {half}) = substr({plain}, {half} + 2) and substr({plain}, {half} + 1, 1) = '_' and position('_' in substr({plain}, 1, {half})) = 0 and length({plain}) > 1"
-    return f"case when {twice} then substr({plain}, 1, {half}) else {plain} end"
+    return f"case when {plain} = '' then 'UNKNOWN_OPERATION' when {twice} then substr({plain}, 1, {half}) else {plain} end"
+
+
+def underscored(text: str, engine) -> str:
+    """SQL of a name in upper case with one underscore between its words and none at its ends."""
+    return "trim(both '_' from " + engine.replace_all(f"upper({text})", "[^A-Z0-9]+", "_") + ")"

@@ -6,7 +6,7 @@ from ..functions import rules
 from .statements import _RANK, _REQ, _add
 
 #: Process names as pipelines print them, one for each number.
-_NAMES = ("NF:KRAKEN2_RUN", "prep:UNTAR", "gatk:MERGE_HAPLOTYPECALLER", "gatk:HAPLOTYPECALLER", "map:BUILD_INDEX", "map:bwamem align", "SAMTOOLS:FLAGSTAT", "qc:fastqc", "qc:FASTP", "qc:MOSDEPTH", "report:krona", "TABIX:bgzip", "main:SORT_SORT", "main:custom-step", "data:download_reads", "x:scatter intervals", "y:generate", "z:A_A_A")
+_NAMES = ("NF:KRAKEN2_RUN", "prep:UNTAR", "gatk:MERGE_HAPLOTYPECALLER", "gatk:HAPLOTYPECALLER", "map:BUILD_INDEX", "map:bwamem align", "SAMTOOLS:FLAGSTAT", "qc:fastqc", "qc:FASTP", "qc:MOSDEPTH", "report:krona", "TABIX:bgzip", "main:SORT_SORT", "main:custom-step", "data:download_reads", "x:scatter intervals", "y:generate", "z:A_A_A", "w:STAR GENOME INDEX)", "v:", "_", " :  (sort-sort) ", "u:Öffnen 2", "t:MAKE_INDEX_FILE", "index")
 _NAMED = ", named as (select task_id, case task_id % " + str(len(_NAMES)) + " " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(_NAMES)) + " end as name from tasks)"
 _PATHS = ", paths as (select task_id, input_bytes, case task_id % 7 when 0 then '/runs/a1/work/stage-7/x.bam' when 1 then '/runs/a1/work/3f/out.bam' when 2 then 's3://bucket/reads.fq' when 3 then 'https://host/ref.fa' when 4 then '/work/stage-2/in.vcf' when 5 then '/workflow/data/panel.bed' else '/tmp/other.txt' end as path from tasks)"
 
@@ -17,7 +17,7 @@ _add("fn09_lifecycle_minutes", """, lines as (select workflow, cast(decision_us
  s as (select workflow, line, cast(regexp_extract(line, '^([0-9]+)', 1) as bigint) as us from lines) select workflow, round((max(case when line like '%Execution complete' then us end) - min(us)) / 60000000.0, 6) as minutes from s group by workflow""")
 _add("fn16_operation_rules", lambda e: _NAMED + f""" select task_id, {rules.first('upper(name)', rules.OPERATIONS, lambda r: f"'{r[1]}'", rules.terminal('name', e), e.like)} as operation,
  {rules.first('upper(name)', rules.OPERATIONS, lambda r: "'" + '|'.join(sorted(r[2])) + "'", "'" + '|'.join(rules.UNCLASSIFIED) + "'", e.like)} as classes from named""")
-_add("fn17_process_family", lambda e: _NAMED + f""", w as (select task_id, {e.replace_all('upper(name)', '[^A-Z0-9]+', '_')} as v from named) select task_id, {rules.first('v', rules.FAMILIES, lambda r: f"'{r[1]}'", "'other'", e.like)} as family from w""")
+_add("fn17_process_family", lambda e: _NAMED + f""", w as (select task_id, {rules.underscored('name', e)} as v from named) select task_id, {rules.first('v', rules.FAMILIES, lambda r: f"'{r[1]}'", "'other'", e.like)} as family from w""")
 _add("fn19_source_class", lambda e: _PATHS + f""" select task_id, {rules.first('path', rules.SOURCES, lambda r: f"'{r[1]}'", "'external'", e.like)} as source_class from paths""")
 _add("fn23_retry_group", """, raw as (select task_id, process, task_instance, case when task_id % 2 = 0 then 'run_err' || task_instance || '_a' else 'other' end as tag from tasks)
  select task_id, coalesce(nullif(regexp_extract(upper(tag), '(ERR[0-9]+)', 1), ''), process || '::' || task_instance) as retry_group from raw""")

@@ -225,3 +225,26 @@ def test_outcomes_are_applied_once(spark, tmp_path):
     B.publish(spark.range(3), str(tmp_path / "m"), 1)
     B.publish(spark.range(5), str(tmp_path / "m"), 2)
     assert B.current(spark, str(tmp_path / "m")).count() == 5
+
+
+def test_names_at_their_edges(spark):
+    """Names that are empty, all punctuation or end in it."""
+    from chronoledger.functions import rules
+    from chronoledger.plans.sqltext import Engine
+
+    e = Engine(True)
+    names = spark.createDataFrame([(n,) for n in ("", ":", "x:__", "STAR INDEX)", " _index", "index", "A_A", "p:A_A_A")], "name string")
+    family = rules.first("v", rules.FAMILIES, lambda r: f"'{r[1]}'", "'other'", e.like)
+    got = names.selectExpr("name", f"{rules.terminal('name', e)} as t", f"{rules.underscored('name', e)} as v").selectExpr("name", "t", f"{family} as f")
+    assert {r.name: (r.t, r.f) for r in got.collect()} == {
+        "": ("UNKNOWN_OPERATION", "other"), ":": ("UNKNOWN_OPERATION", "other"), "x:__": ("UNKNOWN_OPERATION", "other"), "STAR INDEX)": ("STAR_INDEX", "index_build"),
+        " _index": ("INDEX", "other"), "index": ("INDEX", "other"), "A_A": ("A", "other"), "p:A_A_A": ("A_A_A", "other"),
+    }
+
+
+def test_students_quantile(spark):
+    from chronoledger.plans.statements import student
+
+    want = {1: 12.7062, 9: 2.2622, 10: 2.2281, 11: 2.2010, 20: 2.0860, 30: 2.0423, 120: 1.9799}
+    got = spark.createDataFrame([(k,) for k in want], "k int").selectExpr("k", f"{student('k')} as t").collect()
+    assert all(abs(r.t - want[r.k]) < 1.1e-4 for r in got)
