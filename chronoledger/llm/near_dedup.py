@@ -5,7 +5,8 @@ value in [j, j+1); a component keeps its least value. Ranks are generated level
 once every component of a document has a value, no later rank can lower one, so its elements stop there. Long
 documents stop after rank 0 or 1.
 
-Documents with equal sets, by a 128-bit digest, are one class (node). Within a bucket (equal values in all components of a band) each class
+Words and shingles have two independent 64-bit hashes. Signatures take the first; equal sets and links must be so by both.
+Documents with equal sets, by a digest of both halves, are one class (node). Within a bucket (equal values in all components of a band) each class
 is first paired with that of the smallest doc_id; pairs whose signatures leave the threshold in
 reach are confirmed on their full shingle sets and joined into components. What remains are buckets that hold several
 components: there, every member outside the bucket's largest component is compared by signature with all members of the others, in
@@ -38,15 +39,15 @@ BLOCK, BLOCK_BYTES = 2048, 8 << 20
 SALTS = 4
 
 
-def shingles(data, off) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document (sorted within it) and their offsets (n + 1)."""
+def shingles(data, off, half: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each document (sorted within it) and their offsets (n + 1), by one half of 128 bits."""
     starts, ends, word_off = spans(data, off)
-    h = hashed(data, starts, ends, fold=True)
+    h = hashed(data, starts, ends, fold=True, half=half)
     at, doc = within(word_off, SHINGLE)
-    full = windows(h, SHINGLE)[at]
+    full = windows(h, SHINGLE, half)[at]
     counts = np.diff(word_off)
     short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-    whole = np.array([windows(h[word_off[d] : word_off[d + 1]], int(counts[d]))[0] ^ U(counts[d]) for d in short], np.uint64)
+    whole = np.array([windows(h[word_off[d] : word_off[d + 1]], int(counts[d]), half)[0] ^ U(counts[d]) for d in short], np.uint64)
     sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, counts > 0).astype(np.int64)
     cut = np.concatenate(([0], np.cumsum(sizes)))
     held = np.empty(cut[-1], np.uint64)
@@ -105,40 +106,48 @@ def _sign(batches):
         data, off = buffers(batch["text"])
         doc_id, null = ids(batch["doc_id"])
         sets, cut = shingles(data, off)
+        other, other_cut = shingles(data, off, 1)
         sig = super_minhash(sets, cut)
         bands = np.zeros((len(doc_id), BANDS), np.uint64)
         for i in range(COMPONENTS // BANDS):
             bands = mix(bands ^ sig[:, i::COMPONENTS // BANDS], 40)
         bands = mix(bands + np.arange(BANDS, dtype=np.uint64), 41).view(np.int64)
         low = (mix(sig, 50) >> U(56)).astype(np.uint8)
-        raw = sets.tobytes()
+        raw, more = sets.tobytes(), other.tobytes()
+        whole = zip(cut, cut[1:], other_cut, other_cut[1:])
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.array(doc_id, pa.int64(), mask=null),
                 "tid": batch["tid"],
-                "n_shingles": pa.array(np.diff(cut).astype(np.int64)),
-                "digest": pa.array([hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(cut, cut[1:])], pa.binary()),
+                "n_shingles": pa.array(np.maximum(np.diff(cut), np.diff(other_cut)).astype(np.int64)),
+                "digest": pa.array([hashlib.blake2b(raw[8 * a : 8 * b] + more[8 * c : 8 * d], digest_size=16).digest() for a, b, c, d in whole], pa.binary()),
                 "low": pa.array([x.tobytes() for x in low], pa.binary()),
                 "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(doc_id) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel())),
             }
         )
 
 
+def _near(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both)
+
+
 def _confirm(batches):
-    """Rows ordered by (a, salt, b), each pivot's own text (b null) before its partners; keeps one pivot at a time."""
+    """Rows ordered by (a, salt, b), each pivot's own text (b null) before its partners; keeps one pivot at a time.
+
+    A pair is linked if both halves of the hashes say so.
+    """
     have, pivot = None, None
     for batch in slices(batches):
-        sets, cut = shingles(*buffers(batch["text"]))
+        halves = [shingles(*buffers(batch["text"]), half) for half in (0, 1)]
         a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
         out = []
         for i in range(len(a)):
-            mine = sets[cut[i] : cut[i + 1]]
+            mine = [sets[cut[i] : cut[i + 1]] for sets, cut in halves]
             if b[i] is None:
                 have, pivot = mine, a[i]
-            elif a[i] == pivot:
-                both = len(np.intersect1d(have, mine, assume_unique=True))
-                if NEAR[1] * both >= NEAR[0] * (len(have) + len(mine) - both):
-                    out.append((a[i], b[i]))
+            elif a[i] == pivot and all(map(_near, have, mine)):
+                out.append((a[i], b[i]))
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
@@ -173,7 +182,7 @@ def _across(exact: bool):
         sig = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, COMPONENTS)
         n, node, comp, copied = (np.asarray(table[c]) for c in ("n_shingles", "node", "component", "copied"))
         bands = np.asarray(table["keys"].combine_chunks().flatten()).reshape(-1, BANDS)
-        sets, cut = shingles(*buffers(table["text"])) if exact else (None, None)
+        halves = [shingles(*buffers(table["text"]), half) for half in (0, 1)] if exact else []
         a, b = [], []
         members = np.flatnonzero(~copied)
         for i in np.flatnonzero(stray & copied):
@@ -181,11 +190,7 @@ def _across(exact: bool):
             js = js[bands[js, (bands[js] == bands[i]).argmax(1)] == bucket]
             js = js[_in_reach(sig[js], sig[i], n[js], n[i])]
             if exact:
-                mine, linked = sets[cut[i] : cut[i + 1]], []
-                for j in js:
-                    both = len(np.intersect1d(mine, sets[cut[j] : cut[j + 1]], assume_unique=True))
-                    linked.append(NEAR[1] * both >= NEAR[0] * (n[i] + n[j] - both))
-                js = js[np.array(linked, bool)]
+                js = js[np.array([all(_near(sets[cut[i] : cut[i + 1]], sets[cut[j] : cut[j + 1]]) for sets, cut in halves) for j in js], bool)]
             elif len(js):
                 js = js[[np.argmax((sig[js] == sig[i]).sum(1))]]
             a.append(np.minimum(node[js], node[i]))

@@ -319,6 +319,15 @@ def test_op5_brute_force(spark, docs, none):
     assert near_dedup.near_duplicates(spark, none).count() == 0
 
 
+def test_op5_shingles_of_equal_half_hashes_are_not_linked(spark):
+    """Two texts without a common word whose only shingles agree in the first 64 bits."""
+    texts = ["harvest1 lanterns meridian copperxy quietly9", "zzzzzzz1 yyyyyyy2 xxxxxxx3 2ihe1llc k[f!u5c]"]
+    data = pa.array(texts)
+    assert len({near_dedup.shingles(*near_dedup.buffers(data.slice(i, 1)))[0][0] for i in (0, 1)}) == 1
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string")
+    assert {(r.component_id, r.kept) for r in near_dedup.near_duplicates(spark, df).collect()} == {(1, True), (2, True)}
+
+
 def test_op5_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     common, rest = rng.integers(0, 2**63, 600).astype(np.uint64), rng.integers(0, 2**63, 400).astype(np.uint64)
