@@ -42,6 +42,13 @@ def wn04_trailing_512(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("task_id", "support", *[F.round(c, 3).alias(c) for c in STATISTICS if c != "ratio50"], F.round("ratio50", 9).alias("ratio50"), "spread", "confidence")
 
 
+def wn07_trailing_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conformal 95% quantile of the last 512 residuals of the workflow before each task."""
+    t = task_table(spark, sf_dir).withColumn("residual", F.round(F.log(F.col("peak_bytes") / F.col("input_bytes")), 9))
+    seen = trailing_quantiles(t, ["workflow"], _DECIDED, RECENT, high=("residual", 0.95, "higher"))
+    return before_each(seen, ["workflow"], ["high"]).select("task_id", "support", "high")
+
+
 def wn06_recent_32(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trailing(task_table(spark, sf_dir), ["workflow"], _DONE, 32, most=F.max("peak_bytes"), mean=F.avg("peak_bytes"))
     return t.select("task_id", "most", F.round("mean", 3).alias("mean"))
@@ -351,7 +358,7 @@ _NEAR_INPUTS = """, px as (select t.task_id, o.task_id as other, o.completion_us
 QUERIES = {
     f.__name__: f
     for f in (
-        wn03_positions, wn04_trailing_512, wn06_recent_32, jn12_asof_history, wn15_first_supported,
+        wn03_positions, wn04_trailing_512, wn06_recent_32, wn07_trailing_residuals, jn12_asof_history, wn15_first_supported,
         hs02_robust_scaler, hs06_selected_scope, jn13_nearest_48, hs03_causal_history, hs04_neighbour_statistics, hs05_confidence, hs11_best_scope,
         md10_hierarchical_correction, md13_ordered_policy, md14_fold_external, st12_late_outcomes, hs07_five_levels, hs09_scope_summary, hs10_instance_history, jn14_nearest_in_one_dimension,
     )
@@ -359,6 +366,8 @@ QUERIES = {
 SQL = {
     "wn03_positions": _T + "select task_id, workflow, row_number() over (partition by workflow order by completion_us, task_id) - 1 as place from tasks",
     "wn04_trailing_512": _T + f", h as (select *, count(*) over (partition by workflow, process order by completion_us, task_id) as support, {_DESCRIBED} from tasks window w as (partition by workflow, process order by completion_us, task_id rows between 511 preceding and current row)) select task_id, support, {_ROUNDED}, round(ratio50, 9) as ratio50, round({_SPREAD}, 9) as spread, {_TRUST} as confidence from h",
+    "wn07_trailing_residuals": _T + """, r as (select *, round(ln(peak_bytes / cast(input_bytes as double)), 9) as residual from tasks), l as (select task_id, list_sort(list(residual) over (partition by workflow order by decision_us, task_id rows between 512 preceding and 1 preceding)) as v, count(*) over (partition by workflow order by decision_us, task_id) - 1 as support from r)
+ select task_id, support, v[cast(ceil(least(1, ceil((len(v) + 1) * cast(0.95 as double)) / len(v)) * (len(v) - 1)) as bigint) + 1] as high from l""",
     "wn06_recent_32": _T + "select task_id, max(peak_bytes) over w as most, round(avg(peak_bytes) over w, 3) as mean from tasks window w as (partition by workflow order by completion_us, task_id rows between 31 preceding and current row)",
     "jn12_asof_history": _T + _ASOF,
     "wn15_first_supported": _T + "select t.task_id, case when (select count(*) from tasks o where o.workflow = t.workflow and o.process = t.process and o.completion_us < t.decision_us) >= 10 then 'process' when (select count(*) from tasks o where o.workflow = t.workflow and o.completion_us < t.decision_us) >= 10 then 'workflow' else 'none' end as scope from tasks t",

@@ -133,7 +133,6 @@ _add("ag28_matched_scaling", _REQ + ", s as (select *, task_id % 5 as batch from
 _add("wn01_ranks_and_tops", """, r as (select task_id, row_number() over (partition by workflow order by peak_bytes desc, task_id) as peak_rank, row_number() over (partition by workflow order by coalesce(consumed_bytes, -1) desc, task_id) as consumed_rank, count(*) over (partition by workflow) as n from tasks)
  select task_id, peak_rank, consumed_rank, """ + ", ".join(f"{m}_rank <= greatest(1, ceil(n * {t / 100})) as {m}_top{t}" for m in ("peak", "consumed") for t in (1, 5, 10)) + " from r")
 _add("wn02_percent_rank", f"select task_id, {_RANK('workflow', 'input_bytes')} / count(*) over (partition by workflow) as pct from tasks")
-_add("wn07_trailing_residuals", "select task_id, round(max(ln(peak_bytes / cast(input_bytes as double))) over (partition by workflow order by decision_us, task_id rows between 512 preceding and 1 preceding), 9) as worst from tasks")
 _add("wn08_midpoint_split", """, c as (select workflow, input_identity, count(*) as size, min(decision_us) as t from tasks group by 1, 2), m as (select *, (sum(size) over (partition by workflow order by t, input_identity) - size / 2.0) / sum(size) over (partition by workflow) as mid from c)
  select workflow, input_identity, case when mid <= 0.70 then 'train' when mid <= 0.85 then 'calibration' else 'test' end as role from m""")
 # A quota of each stratum: at least one, at most its size; the remainder goes to the largest fractions with room.

@@ -7,7 +7,6 @@ from .statements import _RANK, _REQ, _add
 # History scopes.
 _add("hs01_hierarchy_keys", """, k as (select 'I0' as scope, workflow || '|' || process || '|' || task_instance as key from tasks union all select 'I1', input_identity from tasks union all select 'I3', workflow || '|' || process from tasks union all select 'I4', workflow from tasks union all select 'I5', 'all' from tasks)
  select scope, key, count(*) as n from k where key is not null group by scope, key""")
-_ST = """, h as (select *, count(*) over w as support, stddev_pop(ln(peak_bytes)) over w as spread, avg(ln(peak_bytes)) over w as level from tasks window w as (partition by workflow, process order by decision_us, task_id rows between 512 preceding and 1 preceding))"""
 _add("hs12_partial_labels", lambda e: f", m as (select workflow, peak_bytes, case when task_id % 5 = 0 then consumed_bytes end as seen from tasks) select workflow, count(*) as n, count(seen) as audited, round({e.pct('seen', 0.95)}, 3) as consumed_p95, round({e.pct('peak_bytes', 0.95)}, 3) as peak_p95 from m group by workflow")
 _add("hs13_outcome_upsert", """, w as (select task_id % 5000 as id, peak_bytes, completion_us, task_id as seq from tasks), r as (select *, row_number() over (partition by id order by completion_us desc, seq desc) as k from w) select id, peak_bytes, completion_us from r where k = 1""")
 _add("hs14_snapshot_counts", """, base as (select task_id as id, completion_us from tasks where task_id % 3 <> 0), run as (select task_id as id, completion_us from tasks where task_id % 2 = 0)
@@ -37,11 +36,6 @@ _add("sp12_capped_sample", lambda e: f"select workflow, task_id from (select wor
 
 # Policies.
 _add("md16_prediction_table", _REQ + " select task_id, workflow, process, 'history' as method, round(request_a, 3) as point, round(greatest(request_a, request_b), 3) as bound, peak_bytes, request_a < peak_bytes as underallocated, runtime_seconds from req")
-_add("md18_gate_targets", _REQ + f""", g as (select task_id, workflow, greatest(peak_bytes - request_a, 0) as shortfall, abs(ln(peak_bytes / request_a)) as surprise from req)
- select task_id, round(shortfall, 3) as shortfall, round(surprise, 9) as surprise, round({_RANK('workflow', 'surprise')} / count(*) over (partition by workflow), 9) as surprise_rank, shortfall > 0 as risky from g""")
-_add("md19_gate_features", _ST + " select task_id, support, round(coalesce(spread, 0), 9) as spread, round(coalesce(exp(level + 2 * spread) - exp(level), 0), 3) as tail_interval, round(ln(1 + input_bytes), 9) as log_input from h")
-_add("md21_gate_scores", f""", r as (select task_id, {_RANK('workflow', 'value')} / count(*) over (partition by workflow) as a, {_RANK('workflow', 'input_bytes')} / count(*) over (partition by workflow) as b, {_RANK('workflow', 'coalesce(consumed_bytes, 0)')} / count(*) over (partition by workflow) as c from tasks)
- select task_id, round(0.70 * a + 0.30 * b, 9) as risk, round(c, 9) as information, round(0.35 * a + 0.25 * b + 0.20 * c + 0.20 * (1 - a), 9) as discovery from r""")
 _add("md22_route_comparison", _REQ + ", l as (select workflow, peak_bytes, 'global' as route, request_a as request from req union all select workflow, peak_bytes, 'process', request_b from req union all select workflow, peak_bytes, 'mixed', greatest(request_a, request_b) from req) select route, workflow, count_if(request < peak_bytes) as under, round(sum(request) / sum(peak_bytes), 9) as ratio from l group by grouping sets ((route), (route, workflow))")
 _add("md23_cold_warm_route", "select task_id, case when k.workflow is null then 'cold' else 'warm' end as route from tasks t left join (select workflow from tasks group by workflow having count(*) % 2 = 0) k on t.workflow = k.workflow")
 
