@@ -265,8 +265,8 @@ def _near_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn14_nearest_in_one_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _near_inputs(spark, sf_dir).groupBy("task_id").agg(F.count("*").alias("n"), F.max("distance").alias("farthest"), F.avg("distance").alias("mean"))
-    return near.select("task_id", "n", "farthest", F.round("mean", 9).alias("mean"))
+    near = _near_inputs(spark, sf_dir).groupBy("task_id").agg(F.count("*").alias("n"), F.max("distance").alias("farthest"), (F.round(F.sum("distance"), 9) / F.count("*")).alias("mean"))
+    return near
 
 
 def hs10_instance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +288,7 @@ def hs10_instance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = out.join(part, "task_id")
     near = written(_near_inputs(spark, sf_dir), "near")
     marks = neighbour_quantiles(near, "task_id", near_consumed=("n_consumed_bytes", 0.5, "disc"), near_consumed_q95=("n_consumed_bytes", 0.95, "disc"), near_ratio=("n_ratio", 0.5, "disc"), near_memory=("n_memory", 0.5, "disc"))
-    marks = marks.join(near.groupBy("task_id").agg(F.round(F.avg("distance"), 9).alias("near_distance")), "task_id")
+    marks = marks.join(near.groupBy("task_id").agg((F.round(F.sum("distance"), 9) / F.count("*")).alias("near_distance")), "task_id")
     return out.join(marks.select("task_id", "near_distance", "near_consumed", "near_consumed_q95", F.round("near_ratio", 9).alias("near_ratio"), F.round("near_memory", 9).alias("near_memory")), "task_id", "left")
 
 
@@ -353,7 +353,7 @@ _CORRECTED += _CHOSEN
 _NEAR_INPUTS = """, px as (select t.task_id, o.task_id as other, o.completion_us, o.consumed_bytes, round(abs(ln(1 + cast(o.input_bytes as double)) - ln(1 + cast(t.input_bytes as double))), 9) as distance, cast(o.consumed_bytes as double) / o.input_bytes as ratio, case when o.consumed_bytes > 0 then cast(o.peak_bytes as double) / o.consumed_bytes end as memory
   from tasks t join tasks o on o.workflow = t.workflow and o.process = t.process and o.completion_us < t.decision_us and o.consumed_bytes is not null and o.input_bytes > 0),
  nx as (select * from px qualify row_number() over (partition by task_id order by distance, completion_us, other) <= 32),
- nm as (select task_id, count(*) as n, max(distance) as farthest, round(avg(distance), 9) as near_distance, quantile_disc(consumed_bytes, 0.5) as near_consumed, quantile_disc(consumed_bytes, 0.95) as near_consumed_q95, round(quantile_disc(ratio, 0.5), 9) as near_ratio, round(quantile_disc(memory, 0.5), 9) as near_memory from nx group by task_id)"""
+ nm as (select task_id, count(*) as n, max(distance) as farthest, round(sum(distance), 9) / count(*) as near_distance, quantile_disc(consumed_bytes, 0.5) as near_consumed, quantile_disc(consumed_bytes, 0.95) as near_consumed_q95, round(quantile_disc(ratio, 0.5), 9) as near_ratio, round(quantile_disc(memory, 0.5), 9) as near_memory from nx group by task_id)"""
 
 QUERIES = {
     f.__name__: f
