@@ -7,7 +7,7 @@ a feature, requests for workflows never seen, gates that tell which tasks to wat
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -44,12 +44,16 @@ class QuantileForest:
     model: PipelineModel | None = None
     leaves: DataFrame | None = None
     local: DataFrame | None = None
+    modes: dict[str, str] = field(default_factory=dict)
 
     def _ready(self, rows: DataFrame) -> DataFrame:
         flags = {f"__no_{c}": F.col(c).isNull().cast("double") for c in self.numeric}
-        return rows.withColumns(flags | {f"__x_{c}": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in self.numeric} | {f"__c_{c}": F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in self.categorical})
+        return rows.withColumns(flags | {f"__x_{c}": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in self.numeric} | {f"__c_{c}": F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c, "unknown"))) for c in self.categorical})
 
     def fit(self, rows: DataFrame) -> "QuantileForest":
+        for c in self.categorical:  # a missing category is the most frequent one, ties to the first
+            counts = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").first()
+            self.modes[c] = counts.v if counts else "unknown"
         train = self._ready(rows.where(F.col(self.target) >= 0)).withColumn("__y", F.log1p(F.col(self.target).cast("double")))
         x, c = [f"__x_{n}" for n in self.numeric], [f"__c_{n}" for n in self.categorical]
         stages = [Imputer(strategy="median", inputCols=x, outputCols=[f"{n}_f" for n in x])]
@@ -81,6 +85,7 @@ class QuantileForest:
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
+        self.leaves.sparkSession.createDataFrame(list(self.modes.items()), "c string, v string").coalesce(1).write.mode("overwrite").parquet(f"{path}/modes")
         self.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
         if self.local is not None:
             self.local.write.mode("overwrite").parquet(f"{path}/local")
@@ -88,6 +93,34 @@ class QuantileForest:
     def load(self, spark, path: str) -> "QuantileForest":
         self.model, self.leaves = PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/leaves")
         self.local = spark.read.parquet(f"{path}/local") if self.by else None
+        self.modes = {r.c: r.v for r in spark.read.parquet(f"{path}/modes").collect()}  # one row a category column
+        return self
+
+
+@dataclass
+class Ensemble:
+    """Several models that differ in their seed: each quantile is the median over them, at least 0 and never falling."""
+
+    make: Callable[[int], QuantileForest]
+    seeds: Sequence[int] = (1996, 1997, 1998)
+    members: list[QuantileForest] = field(default_factory=list)
+
+    def fit(self, rows: DataFrame) -> "Ensemble":
+        self.members = [self.make(s).fit(rows) for s in self.seeds]
+        return self
+
+    def predict(self, rows: DataFrame, key: str) -> DataFrame:
+        found = reduce(DataFrame.unionByName, [m.predict(rows, key) for m in self.members])
+        names = [c for c in found.columns if c != key]
+        middle = found.groupBy(key).agg(*[F.greatest(F.median(n), F.lit(0.0)).alias(n) for n in names])
+        return middle.select(key, *[(F.greatest(*names[: i + 1]) if i else F.col(n)).alias(n) for i, n in enumerate(names)])
+
+    def save(self, path: str) -> None:
+        for s, m in zip(self.seeds, self.members):
+            m.save(f"{path}/seed={s}")
+
+    def load(self, spark, path: str) -> "Ensemble":
+        self.members = [self.make(s).load(spark, f"{path}/seed={s}") for s in self.seeds]
         return self
 
 

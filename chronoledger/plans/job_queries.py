@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..operators.models import QuantileForest, cold_start, derived_memory, feature_view, gate_scores, out_of_fold, replay, score_views
+from ..operators.models import Ensemble, QuantileForest, cold_start, derived_memory, feature_view, gate_scores, out_of_fold, replay, score_views
 from ..sources.tables import fingerprint, key_fingerprint
 from .history_queries import task_table
 from .sqltext import Engine, tasks
@@ -36,8 +36,8 @@ def _forest(**settings) -> QuantileForest:
 
 
 def md03_quantile_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantiles of every task's peak, learned from the other folds."""
-    return out_of_fold(_forest, _features(spark, sf_dir), "task_id", _fold(), 5)
+    """Quantiles of every task's peak, learned from the other folds: the median of three forests of different seeds."""
+    return out_of_fold(lambda: Ensemble(lambda s: _forest(seed=s, trees=4)), _features(spark, sf_dir), "task_id", _fold(), 5)
 
 
 def md06_process_tails(spark: SparkSession, sf_dir: str) -> DataFrame:

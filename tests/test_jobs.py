@@ -69,6 +69,24 @@ def test_forest_is_kept(spark, tmp_path):
     assert again.predict(new, "id").where("q95 is not null").count() == 2
 
 
+def test_ensembles_and_modes(spark, tmp_path):
+    """Pinball loss well below that of plain quantiles, missing categories as the most frequent, members kept."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(i % 5), ("a", "b", "b")[i % 3], float(10 * (i % 5) + rng.exponential(4 if i % 3 else 9))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, x long, p string, y double")
+    both = M.Ensemble(lambda s: M.QuantileForest(["x"], ["p"], "y", (0.5, 0.9), trees=8, depth=5, seed=s))
+    got = {r.id: r for r in both.fit(df).predict(df, "id").collect()}
+    both.save(str(tmp_path / "e"))
+    again = M.Ensemble(both.make).load(spark, str(tmp_path / "e"))
+    assert {r.id: (r.q50, r.q90) for r in again.predict(df, "id").collect()} == {i: (r.q50, r.q90) for i, r in got.items()}
+    loss = lambda q, name, of: np.mean([max(q * (r[3] - of(r)), (q - 1) * (r[3] - of(r))) for r in rows])
+    for q, name in ((0.5, "q50"), (0.9, "q90")):
+        plain = np.quantile([r[3] for r in rows], q)
+        assert loss(q, name, lambda r, name=name: got[r[0]][name]) < 0.85 * loss(q, name, lambda r, plain=plain: plain) and all(0 <= r.q50 <= r.q90 for r in got.values())
+    lost = spark.createDataFrame([(1, 2, None), (2, 2, "b")], "id long, x long, p string")
+    assert len({(r.q50, r.q90) for r in both.predict(lost, "id").collect()}) == 1
+
+
 def test_feature_views():
     parts = {"A": ["size"], "P": ["p50"], "C": ["c50", "c_hat"]}
     assert M.feature_view("A+P+C", parts, ["peak"]) == ["size", "p50", "c50", "c_hat"]
