@@ -277,3 +277,31 @@ def test_changed_outcomes_can_stop_the_stream(spark, tmp_path):
     (source / "3.json").write_text(json.dumps(row | {"task_id": "c"}) + "\n")  # mended: the same batch is run again
     B.ingest(spark, str(source), table, at, strict=True).awaitTermination()
     assert {(r.task_id, r.seq, r.status) for r in B.applied(spark, table).collect()} == {("a", 1, "applied"), ("b", 2, "applied"), ("c", 3, "applied")}
+
+
+def test_equal_vectors_do_not_meet_every_block(spark, caplog):
+    """Of a value's copies only the first k are candidates, however many there are; runs of asking rows are cut anywhere."""
+    caplog.set_level(logging.INFO, "chronoledger")
+    n, k = 6000, 4
+    rows = [("c", i, i, float(i * 7 % 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "c string, t long, id long, v double")
+    run, N.RUN = N.RUN, 900
+    try:
+        got = as_lists(N.nearest_before(df, ["c"], ["t", "id"], ["v"], k, ["id"], ["id"], block=64))
+    finally:
+        N.RUN = run
+    for r in rows[:60] + rows[-60:]:
+        want = sorted((abs(o[3] - r[3]), o[1], o[2]) for o in rows[: min(r[1], 40)])[:k]
+        assert got.get(r[2], []) == [(o, d) for d, _, o in want]
+    met, _ = map(int, re.search(r"(\d+) of (\d+) pairs", caplog.text).groups())
+    assert met <= 10
+
+
+def test_a_run_lets_go_of_rows_and_of_far_values(spark, points, monkeypatch):
+    """Small runs, values beyond single precision, and lists row by row."""
+    rows = [(c, t, i, *[None if v is None else v * (1e20 if c == "few" else 1.0) for v in x]) for c, t, i, *x in points[:300] + points[-6:]]
+    want = {i: x for i, x in brute(rows, 5, lambda i, j, r, o: j < i).items() if x}
+    for name, value in (("RUN", 100), ("ROWS", 16), ("COLUMNS", 32)):
+        monkeypatch.setattr(N, name, value)
+    lists = N.nearest_lists(frame(spark, rows), ["c"], ["t", "id"], DIMS, 5, ["id"], ["id"], block=64).collect()
+    assert {r.id: [(x.n_id, x.distance) for x in r.near] for r in lists} == want
