@@ -305,3 +305,25 @@ def test_a_run_lets_go_of_rows_and_of_far_values(spark, points, monkeypatch):
         monkeypatch.setattr(N, name, value)
     lists = N.nearest_lists(frame(spark, rows), ["c"], ["t", "id"], DIMS, 5, ["id"], ["id"], block=64).collect()
     assert {r.id: [(x.n_id, x.distance) for x in r.near] for r in lists} == want
+
+
+def test_quantiles_of_long_and_short_scopes(spark, monkeypatch):
+    """The same quantiles whether a scope is one group, its asks lie in several, or it is cut into blocks; short ones take one group each."""
+    rng = np.random.default_rng(6)
+    rows = [("long" if i % 4 else f"s{i % 5}", int(rng.integers(400)), i, float(rng.integers(60)) if i % 6 else None, float(rng.normal())) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v double, w double")
+    asked = {"a": ("v", 0.5), "b": ("v", 0.95), "c": ("w", 0.5)}
+    ask = df.select("k", (F.col("t") + 1).alias("at"), F.col("id").alias("ask"))
+    told = {}
+    for width in (64, 4096):
+        monkeypatch.setattr(H, "WIDTH", width)
+        told[width] = {r.ask: (r.support, r.a, r.b, r.c) for r in H.asof_quantiles(ask, df, ["k"], "at", "t", "id", ["ask"], **asked).collect()}
+    assert told[64] == told[4096] and len(told[64]) == len(rows)
+    for r in rows[::40]:
+        seen = [o for o in rows if o[0] == r[0] and o[1] <= r[1] and o[3] is not None]
+        rank = lambda j, q: sorted(o[j] for o in seen)[max(1, int(np.ceil(q * len(seen)))) - 1] if seen else None
+        assert told[64][r[2]] == (len(seen), rank(3, 0.5), rank(3, 0.95), rank(4, 0.5))
+    ranks = rng.permutation(5000)
+    n = rng.integers(1, 5001, 300)
+    k = rng.integers(1, n + 1)
+    assert H.kth_of_first(ranks, n, k).tolist() == [int(np.sort(ranks[:a])[b - 1]) for a, b in zip(n, k)]
