@@ -327,3 +327,13 @@ def test_quantiles_of_long_and_short_scopes(spark, monkeypatch):
     n = rng.integers(1, 5001, 300)
     k = rng.integers(1, n + 1)
     assert H.kth_of_first(ranks, n, k).tolist() == [int(np.sort(ranks[:a])[b - 1]) for a, b in zip(n, k)]
+
+
+def test_earlier_quantiles_are_those_before_each(spark):
+    rng = np.random.default_rng(7)
+    rows = [("a" if i % 5 else None, i // 2, i, float(rng.normal()) if i % 6 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v double")
+    asked = {"a": ("v", 0.5), "b": ("v", 0.95, "higher")}
+    want = H.before_each(H.trailing_quantiles(df, ["k"], ["t", "id"], 32, **asked), ["k"], list(asked)).where("id % 3 = 0")
+    got = H.earlier_quantiles(df, ["k"], ["t", "id"], 32, F.col("id") % 3 == 0, **asked)
+    assert got.count() == 234 and {r.id: (r.support, r.a, r.b) for r in got.collect()} == {r.id: (r.support, r.a, r.b) for r in want.collect()}
