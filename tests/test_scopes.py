@@ -337,3 +337,17 @@ def test_earlier_quantiles_are_those_before_each(spark):
     want = H.before_each(H.trailing_quantiles(df, ["k"], ["t", "id"], 32, **asked), ["k"], list(asked)).where("id % 3 = 0")
     got = H.earlier_quantiles(df, ["k"], ["t", "id"], 32, F.col("id") % 3 == 0, **asked)
     assert got.count() == 234 and {r.id: (r.support, r.a, r.b) for r in got.collect()} == {r.id: (r.support, r.a, r.b) for r in want.collect()}
+
+
+def test_repeated_lowest_of_many_blocks(spark, monkeypatch):
+    """Draws that end in every bin, in blocks of a few rows, are those of a sort of each repetition."""
+    monkeypatch.setattr(R, "RANKS", 16)
+    rows = [("a" if i % 9 else "b", i, i * 31 % 97, i % 3, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, id long, v long, level int, rank long")
+    asks = [(k, d, above, wanted) for k in "ab" for d, (above, wanted) in enumerate([(0, 0), (0, 7), (1, 60), (2, 500), (3, 5)])]
+    got = {(r.k, r.rep, r.draw): (r.audited, r.total) for r in R.repeated_lowest(df, ["k"], "id", "v", "level", "rank", spark.createDataFrame(asks, "k string, draw int, above int, wanted long"), 6).collect()}
+    assert len(got) == 6 * len(asks)
+    for (k, rep, draw), found in got.items():
+        above, wanted = next(a[2:] for a in asks if a[:2] == (k, draw))
+        some = sorted((int(R.keyed_numbers(rep, [str(r[1]).encode()])[0]), r[1], r[2]) for r in rows if r[0] == k and r[3] >= above)[:wanted]
+        assert found == (len(some), sum(x[2] for x in some))
