@@ -4,6 +4,7 @@ import json
 import logging
 import math
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from chronoledger.operators import neighbours as N
 from chronoledger.operators import resampling as R
 from chronoledger.operators import selection as S
 from chronoledger.operators.quantiles import group_quantiles
-from chronoledger.storage import scratch_path
+from chronoledger.storage import scratch_path, shared_dir
 from chronoledger.streaming import feedback as B
 from chronoledger.streaming.learner import Learner
 
@@ -351,3 +352,15 @@ def test_repeated_lowest_of_many_blocks(spark, monkeypatch):
         above, wanted = next(a[2:] for a in asks if a[:2] == (k, draw))
         some = sorted((int(R.keyed_numbers(rep, [str(r[1]).encode()])[0]), r[1], r[2]) for r in rows if r[0] == k and r[3] >= above)[:wanted]
         assert found == (len(some), sum(x[2] for x in some))
+
+
+def test_nearest_rows_leave_no_table_of_a_step_that_is_over(spark):
+    """Only what the result reads stays in the shared folder, and a block of candidates is one row of it."""
+    rng = np.random.default_rng(12)
+    rows = [("a", i, i, *map(float, rng.integers(0, 50, len(DIMS)))) for i in range(3000)]
+    before = set(Path(shared_dir(spark)).iterdir())
+    got = N.nearest_lists(frame(spark, rows), ["c"], ["t", "id"], DIMS, 5, ["id"], ["id"], block=64).collect()
+    made = [p for p in Path(shared_dir(spark)).iterdir() if p not in before and any(p.glob("*.parquet"))]
+    assert {p.name.split("-")[0] for p in made} <= {"packed", "asks", "runs", "sent", "pairs"} and len(got) == 2999
+    packed = spark.read.parquet(*[str(p) for p in made if p.name.startswith("packed")])
+    assert packed.select(F.max(F.length("__pack"))).first()[0] > 0 and packed.groupBy("__epoch").agg(F.max("__block").alias("b"), F.count("*").alias("n")).where("n <> b + 1").count() == 0
