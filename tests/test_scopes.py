@@ -17,7 +17,7 @@ from chronoledger.operators import neighbours as N
 from chronoledger.operators import resampling as R
 from chronoledger.operators import selection as S
 from chronoledger.operators.quantiles import group_quantiles
-from chronoledger.storage import scratch_path, shared_dir
+from chronoledger.storage import partitions, scratch_path, shared_dir
 from chronoledger.streaming import feedback as B
 from chronoledger.streaming.learner import Learner
 
@@ -364,3 +364,15 @@ def test_nearest_rows_leave_no_table_of_a_step_that_is_over(spark):
     assert {p.name.split("-")[0] for p in made} <= {"packed", "asks", "runs", "sent", "pairs"} and len(got) == 2999
     packed = spark.read.parquet(*[str(p) for p in made if p.name.startswith("packed")])
     assert packed.select(F.max(F.length("__pack"))).first()[0] > 0 and packed.groupBy("__epoch").agg(F.max("__block").alias("b"), F.count("*").alias("n")).where("n <> b + 1").count() == 0
+
+
+def test_draws_are_spread_and_as_before(spark):
+    """The numbers that a search among the bounds gives, and all cores at work on a table of one partition."""
+    units, reps = np.random.default_rng(3).integers(0, 2**32, 500), np.arange(70)
+    h = R.mix32(units.astype(np.uint32)[:, None] ^ R.mix32(reps.astype(np.uint32) + np.uint32(5))[None])
+    want = np.searchsorted(np.array(R.POISSON, np.uint64), h.ravel().astype(np.uint64), "right").reshape(h.shape)
+    assert (R.draws(units, reps, 5) == want).all() and want.max() > 4
+    df = spark.range(4000, numPartitions=1).select("id", F.lit(1.0).alias("x"))
+    sums = R.bootstrap_sums(df, [], "id", ["x"], 3)
+    assert f"RoundRobinPartitioning({partitions(spark)})" in sums._jdf.queryExecution().executedPlan().toString()
+    assert {r.rep for r in sums.collect()} == {0, 1, 2}
