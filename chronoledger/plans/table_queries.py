@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators.models import GroupQuantiles
 from ..sources import tables as S
-from ..storage import scratch_path, written
+from ..storage import partitions, scratch_path, written
 from ..streaming import feedback as B
 from ..streaming.learner import Learner
 from .history_queries import task_table
@@ -50,17 +50,18 @@ def src03_manifest_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_manifests(spark, [old, new], ["o_orderkey", "position"], {"replay_position": "position"})
 
 
-def _by_file(df: DataFrame, key: str, name: str, form: str) -> str:
-    """One file (in a folder of its own) for each key."""
+def _by_file(df: DataFrame, name: str, form: str) -> str:
+    """One file for each row, all in one folder: it is listed once, and tasks commit their own files."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(key).write.partitionBy(key).format(form).save(path)
-    return path + "/*"
+    out = df.repartition(partitions(df.sparkSession)).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    out.format(form).save(path)
+    return path
 
 
 def src04_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _read(spark, sf_dir, "supplier").select("s_suppkey", F.struct(F.col("s_name").alias("name"), F.struct(F.col("s_nationkey").alias("key")).alias("nation")).alias("h"), F.lit(4).alias("n"))
+    s = _read(spark, sf_dir, "supplier").select(F.struct(F.col("s_name").alias("name"), F.struct(F.col("s_nationkey").alias("key")).alias("nation")).alias("h"), F.lit(4).alias("n"))
     schema = T.StructType.fromDDL("h struct<name: string, nation: struct<key: int>, missing: string>, n int")
-    return S.read_records(spark, _by_file(s, "s_suppkey", "records", "json"), schema, {"name": "h.name", "nation": "h.nation.key", "missing": "h.missing", "n": "n"}).drop("attempt")
+    return S.read_records(spark, _by_file(s, "records", "json"), schema, {"name": "h.name", "nation": "h.nation.key", "missing": "h.missing", "n": "n"}).drop("attempt")
 
 
 def src05_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,17 +75,17 @@ def src05_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fields(spark: SparkSession, sf_dir: str, sep: str) -> DataFrame:
     one = lambda name, c: F.concat(F.lit(name + sep), F.col(c).cast("string"))
-    return _read(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws("\n", one("key", "s_suppkey"), one("nation", "s_nationkey"), F.lit("other" + sep + "1"), one("key", "s_nationkey")).alias("value"))
+    return _read(spark, sf_dir, "supplier").select(F.concat_ws("\n", one("key", "s_suppkey"), one("nation", "s_nationkey"), F.lit("other" + sep + "1"), one("key", "s_nationkey")).alias("value"))
 
 
 def src06_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a repeated key the first counts."""
-    found = S.read_key_values(spark, _by_file(_fields(spark, sf_dir, "="), "s_suppkey", "pairs", "text"))
+    found = S.read_key_values(spark, _by_file(_fields(spark, sf_dir, "="), "pairs", "text"))
     return found.select(*[F.col("fields")[k].cast("long").alias(k) for k in ("key", "nation", "other", "missing")])
 
 
 def src07_field_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.read_field_tables(spark, _by_file(_fields(spark, sf_dir, "\t").withColumn("value", F.substring_index("value", "\n", 3)), "s_suppkey", "fields", "text"), ["key", "nation", "missing"])
+    found = S.read_field_tables(spark, _by_file(_fields(spark, sf_dir, "\t").withColumn("value", F.substring_index("value", "\n", 3)), "fields", "text"), ["key", "nation", "missing"])
     return found.select(*[F.col(c).cast("long").alias(c) for c in ("key", "nation", "missing")])
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from chronoledger.operators import neighbours as N
 from chronoledger.operators.graph import components
 from chronoledger.plans import catalog
 from chronoledger.sources import tables as S
+from chronoledger.storage import shared_dir
 from chronoledger.streaming import feedback as B
 
 SF = "/root/testdata/sf0.001"
@@ -266,3 +268,14 @@ def test_students_quantile(spark):
     want = {1: 12.7062, 9: 2.2622, 10: 2.2281, 11: 2.2010, 20: 2.0860, 30: 2.0423, 120: 1.9799}
     got = spark.createDataFrame([(k,) for k in want], "k int").selectExpr("k", f"{student('k')} as t").collect()
     assert all(abs(r.t - want[r.k]) < 1.1e-4 for r in got)
+
+
+@pytest.mark.parametrize("name", ["src04_json_records", "src06_key_values", "src07_field_tables"])
+def test_files_of_one_record_lie_in_one_folder(spark, name):
+    """As many files as records, none in a folder of its own, which would be listed, made and moved one by one."""
+    n = spark.read.parquet(f"{SF}/supplier.parquet").count()
+    before = set(Path(shared_dir(spark)).iterdir())
+    assert catalog.queries()[name](spark, SF).distinct().count() == n
+    (made,) = [p for p in Path(shared_dir(spark)).iterdir() if p not in before]
+    inside = [p for p in made.iterdir() if p.name.startswith("part-")]
+    assert len(inside) == n and all(p.is_file() for p in inside)
