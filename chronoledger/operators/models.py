@@ -10,24 +10,92 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import Scratch, partitions, written
 from .history import same_keys
 from .quantiles import group_quantiles
 
 
+#: Ranges of the target in which a leaf's rows are counted, and how many places are counted at once.
+RANGES, AT_ONCE = 1024, 1 << 22
+
+
+def _cells(batch: pa.RecordBatch, leaves: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row and tree the cell (leaf of the tree, range of the target) that the row falls into, and the target."""
+    y = np.asarray(batch["__y"])
+    leaf = np.asarray(batch["__leaf"].flatten()).reshape(len(y), -1)
+    node = leaf + np.arange(leaf.shape[1]) * leaves
+    return node * (len(edges) + 1) + np.searchsorted(edges, y, "right")[:, None], y
+
+
+def _counted(cells: int, leaves: int, edges: np.ndarray):
+    def run(batches):
+        total, held, n = np.zeros(cells, np.int64), [], 0
+        for batch in batches:
+            held.append(_cells(batch, leaves, edges)[0].ravel())
+            n += len(held[-1])
+            if n > AT_ONCE:
+                total += np.bincount(np.concatenate(held), minlength=cells)
+                held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=cells)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    return run
+
+
+def _within(wanted: np.ndarray, leaves: int, edges: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            cell, y = _cells(batch, leaves, edges)
+            row, tree = np.nonzero(wanted[cell])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[row, tree]), pa.array(y[row])], ["cell", "v"])
+
+    return run
+
+
+def _leaf_quantiles(reached: DataFrame, trees: int, leaves: int, quantiles: Sequence[float]) -> DataFrame:
+    """``tree``, ``leaf``, ``at`` (the nearest-rank quantiles of ``__y`` over the rows that reach the leaf) and ``rows``; ``__leaf`` holds each row's leaves.
+
+    Exact, in two passes: tasks count their rows by leaf and range of the target, which tells in which range an asked rank lies; only
+    values of these ranges are shuffled. Places on the driver are bounded by trees, leaves and ranges, whatever the input.
+    """
+    edges = reached.agg(F.percentile_approx("__y", [i / RANGES for i in range(1, RANGES)], 10000)).first()[0]
+    edges = np.unique(np.array(edges or [], np.float64))
+    width = len(edges) + 1
+    cells = trees * leaves * width
+    short = reached.select("__y", "__leaf")
+    counts = short.mapInArrow(_counted(cells, leaves, edges), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    node = F.floor(F.col("cell") / width)
+    own = Window.partitionBy("node")
+    upto = counts.withColumn("node", node).withColumn("upto", F.sum("n").over(own.orderBy("cell"))).withColumn("rows", F.sum("n").over(own))
+    ranks = F.array(*[F.greatest(F.ceil(F.col("rows") * F.lit(float(q))), F.lit(1)) for q in quantiles])
+    asks = upto.select("cell", "node", "rows", "n", "upto", F.posexplode(ranks).alias("q", "rank")).where("rank <= upto and rank > upto - n")
+    asks = written(asks.select("cell", "node", "rows", "q", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")), "asks")
+    wanted = np.zeros(cells, bool)
+    wanted[[r.cell for r in asks.select("cell").distinct().collect()]] = True  # at most one for each leaf and quantile
+    values = short.mapInArrow(_within(wanted, leaves, edges), "cell long, v double").groupBy("cell", "v").agg(F.count("*").alias("n"))
+    values = values.withColumn("upto", F.sum("n").over(Window.partitionBy("cell").orderBy("v")))
+    found = values.join(F.broadcast(asks), "cell").where("rank <= upto and rank > upto - n")
+    at = F.transform(F.sort_array(F.collect_list(F.struct("q", "v"))), lambda x: x["v"])
+    return found.groupBy("node", "rows").agg(at.alias("at")).select(F.floor(F.col("node") / leaves).cast("int").alias("tree"), F.col("node") % leaves, "at", "rows").toDF("tree", "leaf", "at", "rows")
+
+
 @dataclass
 class QuantileForest:
     """Quantiles of ``target`` given numeric and categorical columns, on a log scale.
 
-    The table of leaves has at most ``trees * 2**depth`` rows, whatever the input; that bounds its broadcast. With ``by``
+    The table of leaves has at most ``trees * 2**depth`` rows, whatever the input; that bounds what tasks get of it. With ``by``
     (columns) a leaf also holds quantiles of each group that has at least ``least`` rows in it; elsewhere, and for groups
     never seen, those of all rows stand.
     """
@@ -51,10 +119,6 @@ class QuantileForest:
         return rows.withColumns(flags | {f"__x_{c}": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in self.numeric} | {f"__c_{c}": F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c, "unknown"))) for c in self.categorical})
 
     def fit(self, rows: DataFrame) -> "QuantileForest":
-        for c in self.categorical:  # a missing category is the most frequent one, ties to the first
-            counts = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").first()
-            self.modes[c] = counts.v if counts else "unknown"
-        train = self._ready(rows.where(F.col(self.target) >= 0)).withColumn("__y", F.log1p(F.col(self.target).cast("double")))
         x, c = [f"__x_{n}" for n in self.numeric], [f"__c_{n}" for n in self.categorical]
         stages = [Imputer(strategy="median", inputCols=x, outputCols=[f"{n}_f" for n in x])]
         if c:
@@ -63,25 +127,62 @@ class QuantileForest:
             VectorAssembler(inputCols=[f"{n}_f" for n in x] + [f"__no_{n}" for n in self.numeric] + [f"{n}_v" for n in c], outputCol="__features"),
             RandomForestRegressor(featuresCol="__features", labelCol="__y", predictionCol="__mean", leafCol="__leaf", numTrees=self.trees, maxDepth=self.depth, seed=self.seed, maxBins=64),
         ]
-        self.model = Pipeline(stages=stages).fit(train)
-        reached = self.model.transform(train).select("__y", *self.by, F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"))
-        # mergeable sketches: a leaf may hold a large share of all rows
-        held = [F.percentile_approx("__y", [float(q) for q in self.quantiles], 10000).alias("at"), F.count("*").alias("rows")]
-        self.leaves = written(reached.groupBy("tree", "leaf").agg(*held), "leaves")
-        if self.by:
-            self.local = written(reached.groupBy(*self.by, "tree", "leaf").agg(*held).where(F.col("rows") >= self.least), "leaves")
+        with Scratch(rows.sparkSession) as scratch:
+            # columns of the fit only, dealt over all partitions: it reads them many times
+            short = rows.select(*dict.fromkeys([*self.numeric, *self.categorical, *self.by, self.target])).repartition(partitions(rows.sparkSession))
+            short = scratch.written(short, "train")
+            for n in self.categorical:  # a missing category is the most frequent one, ties to the first
+                counts = short.where(F.col(n).isNotNull()).groupBy(F.col(n).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").first()
+                self.modes[n] = counts.v if counts else "unknown"
+            train = self._ready(short.where(F.col(self.target) >= 0)).withColumn("__y", F.log1p(F.col(self.target).cast("double")))
+            self.model = Pipeline(stages=stages).fit(train)
+            reached = scratch.written(self.model.transform(train).select("__y", *self.by, vector_to_array("__leaf").cast("array<long>").alias("__leaf")), "reached")
+            grown = self.model.stages[-1].trees
+            self.leaves = written(_leaf_quantiles(reached, len(grown), max((t.numNodes + 1) // 2 for t in grown), self.quantiles), "leaves")
+            if self.by:
+                # mergeable sketches: a leaf may hold a large share of a group's rows
+                held = [F.percentile_approx("__y", [float(q) for q in self.quantiles], 10000).alias("at"), F.count("*").alias("rows")]
+                each = reached.select("__y", *self.by, F.posexplode("__leaf").alias("tree", "leaf"))
+                self.local = written(each.groupBy(*self.by, "tree", "leaf").agg(*held).where(F.col("rows") >= self.least), "leaves")
         return self
 
+    @property
+    def names(self) -> list[str]:
+        return [f"q{q * 100:g}".replace(".", "_") for q in self.quantiles]
+
+    def told(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with ``name``, an array of the medians over trees for all quantiles, on the log scale; found row by row."""
+        known = self.leaves.select("tree", "leaf", "at").collect()  # at most trees * 2**depth
+        grown = self.model.stages[-1].trees
+        trees = len(grown)
+        at = np.full((trees, max((t.numNodes + 1) // 2 for t in grown), len(self.quantiles)), np.nan)
+        for r in known:
+            at[r.tree, r.leaf] = r.at
+
+        @F.arrow_udf("array<double>")
+        def middle(leaf: pa.Array) -> pa.Array:
+            place = np.asarray(leaf.flatten()).reshape(len(leaf), -1).astype(np.int64)
+            got = at[np.arange(trees), place]
+            got = np.nanmedian(got, axis=1) if np.isnan(got).any() else np.median(got, axis=1)
+            ends = pa.array(np.arange(len(got) + 1) * got.shape[1], pa.int32())
+            return pa.ListArray.from_arrays(ends, pa.array(got.ravel(), mask=np.isnan(got.ravel())))
+
+        return self.model.transform(self._ready(rows)).select(*rows.columns, middle(vector_to_array("__leaf")).alias(name))
+
+    def rising(self, name: str) -> list[Column]:
+        """The quantiles that the array ``name`` holds, never falling."""
+        plain = [F.expm1(F.col(name)[i]) for i in range(len(self.quantiles))]
+        return [(F.greatest(*plain[: i + 1]) if i else plain[0]).alias(n) for i, n in enumerate(self.names)]
+
     def predict(self, rows: DataFrame, key: str) -> DataFrame:
         """``key`` and a column q<percent> for each quantile: the median over trees, never falling."""
+        if self.local is None:
+            return self.told(rows, "__told").select(key, *self.rising("__told"))
         reached = self.model.transform(self._ready(rows)).select(key, *self.by, F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"))
-        found = reached.join(F.broadcast(self.leaves), ["tree", "leaf"], "left")
-        if self.local is not None:
-            own = self.local.select(*self.by, "tree", "leaf", F.col("at").alias("own"))
-            found = found.join(own, [*self.by, "tree", "leaf"], "left").withColumn("at", F.coalesce("own", "at"))
-        names = [f"q{q * 100:g}".replace(".", "_") for q in self.quantiles]
-        out = found.groupBy(key).agg(*[F.expm1(F.median(F.col("at")[i])).alias(n) for i, n in enumerate(names)])
-        return out.select(key, *[(F.greatest(*names[: i + 1]) if i else F.col(n)).alias(n) for i, n in enumerate(names)])
+        own = self.local.select(*self.by, "tree", "leaf", F.col("at").alias("own"))
+        found = reached.join(F.broadcast(self.leaves), ["tree", "leaf"], "left").join(own, [*self.by, "tree", "leaf"], "left").withColumn("at", F.coalesce("own", "at"))
+        out = found.groupBy(key).agg(*[F.median(F.col("at")[i]).alias(f"__{i}") for i in range(len(self.quantiles))])
+        return out.select(key, F.array(*[f"__{i}" for i in range(len(self.quantiles))]).alias("__told")).select(key, *self.rising("__told"))
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
@@ -110,9 +211,16 @@ class Ensemble:
         return self
 
     def predict(self, rows: DataFrame, key: str) -> DataFrame:
-        found = reduce(DataFrame.unionByName, [m.predict(rows, key) for m in self.members])
-        names = [c for c in found.columns if c != key]
-        middle = found.groupBy(key).agg(*[F.greatest(F.median(n), F.lit(0.0)).alias(n) for n in names])
+        names = self.members[0].names
+        if any(m.local is not None for m in self.members):
+            found = reduce(DataFrame.unionByName, [m.predict(rows, key) for m in self.members])
+            middle = found.groupBy(key).agg(*[F.greatest(F.median(n), F.lit(0.0)).alias(n) for n in names])
+        else:  # row by row, one member after the other
+            for i, m in enumerate(self.members):
+                rows = m.told(rows, f"__m{i}").withColumn(f"__m{i}", F.struct(*m.rising(f"__m{i}")))
+            each = {n: F.sort_array(F.filter(F.array(*[F.col(f"__m{i}")[n] for i in range(len(self.members))]), lambda v: v.isNotNull())) for n in names}
+            half = lambda c: (c[F.floor((F.size(c) - 1) / 2).cast("int")] + c[F.ceil((F.size(c) - 1) / 2).cast("int")]) / 2
+            middle = rows.select(key, *[F.greatest(F.when(F.size(c) > 0, half(c)), F.lit(0.0)).alias(n) for n, c in each.items()])
         return middle.select(key, *[(F.greatest(*names[: i + 1]) if i else F.col(n)).alias(n) for i, n in enumerate(names)])
 
     def save(self, path: str) -> None:

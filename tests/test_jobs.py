@@ -279,3 +279,23 @@ def test_files_of_one_record_lie_in_one_folder(spark, name):
     (made,) = [p for p in Path(shared_dir(spark)).iterdir() if p not in before]
     inside = [p for p in made.iterdir() if p.name.startswith("part-")]
     assert len(inside) == n and all(p.is_file() for p in inside)
+
+
+def test_leaves_hold_exact_quantiles_and_rows_are_told_where_they_are(spark, monkeypatch):
+    """Nearest ranks of the rows that reach a leaf, however few ranges count them; a prediction shuffles nothing."""
+    rng = np.random.default_rng(2)
+    leaf, y = rng.integers(0, 5, (3000, 2)), np.concatenate((rng.exponential(3, 1500), rng.integers(0, 9, 1500)))
+    df = spark.createDataFrame([(float(v), [int(a) for a in x]) for v, x in zip(y, leaf)], "__y double, __leaf array<long>")
+    asked = (0.0, 0.5, 0.9, 0.99, 1.0)
+    for ranges, at_once in ((4, 100), (64, 1 << 20)):
+        monkeypatch.setattr(M, "RANGES", ranges)
+        monkeypatch.setattr(M, "AT_ONCE", at_once)
+        got = {(r.tree, r.leaf): (list(r.at), r.rows) for r in M._leaf_quantiles(df, 2, 5, asked).collect()}
+        for t in range(2):
+            for x in range(5):
+                v = np.sort(y[leaf[:, t] == x])
+                assert got[t, x] == ([v[max(int(np.ceil(len(v) * q)), 1) - 1] for q in asked], len(v))
+    rows = spark.createDataFrame([(i, i % 7, float(i % 50)) for i in range(600)], "id long, x long, y double")
+    both = M.Ensemble(lambda s: M.QuantileForest(["x"], [], "y", (0.5, 0.9), trees=4, depth=3, seed=s)).fit(rows)
+    for model in (both, both.members[0]):
+        assert "Exchange" not in model.predict(rows, "id")._jdf.queryExecution().executedPlan().toString()
