@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.history import positions
-from ..storage import remove
+from ..operators.history import positions, same_keys
+from ..storage import Scratch, remove
 
 OUTCOME = "task_id string, workflow string, process string, exit_status int, completion_us long, peak_bytes long, consumed_bytes long"
 
@@ -20,7 +19,7 @@ def route(outcomes: DataFrame) -> DataFrame:
 
 
 _APPLIED = OUTCOME + ", route string, digest long, status string, seq long, batch long"
-_STATE = "workflow string, base long, batch long"
+_STATE = "workflow string, base long, arrived long, batch long"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,47 +37,37 @@ def applied(spark: SparkSession, table: str) -> DataFrame:
     return rows_of(spark, table, _APPLIED)
 
 
-def _seen() -> StatefulProcessor:
-    """Keeps of each task the content that was applied; what comes later is the same, which goes, or a conflict."""
-
-    class Seen(StatefulProcessor):  # inside a function, so that it travels by value: the driver's state worker has no package
-        def init(self, handle):
-            self._digest = handle.getValueState("digest", "digest long")
-
-        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 (names that Spark calls)
-            known = self._digest.get()[0] if self._digest.exists() else None
-            for row in sorted(rows, key=lambda r: (r.completion_us is not None, r.completion_us or 0, r.digest)):
-                if known is None:
-                    known = row.digest
-                    self._digest.update((known,))
-                    yield Row(**row.asDict(), status="applied")
-                elif row.digest != known:
-                    yield Row(**row.asDict(), status="conflict")
-
-        def close(self):
-            pass
-
-    return Seen()
-
-
 def _apply(batch: DataFrame, batch_id: int, table: str, strict: bool) -> None:
     spark, root = batch.sparkSession, table.rstrip("/")
     # The last sequences are a small table of their own: each batch carries on all workflows', so one is read.
     past = rows_of(spark, f"{root}-state", _STATE, batch_id)
     newest = past.agg(F.max("batch")).first()[0]
-    base = past.where(F.col("batch") == newest).select("workflow", "base")
-    placed = positions(batch, ["workflow"], ["completion_us", "task_id", "digest"], F.col("status") == "applied")
-    placed = placed.join(base, "workflow", "left").fillna({"base": 0})
-    out = placed.withColumn("seq", F.when(F.col("status") == "applied", F.col("base") + F.col("place") + 1)).drop("base", "place")
-    out.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    carried = past.where(F.col("batch") == newest).drop("batch")
+    base = carried.drop("arrived")
+    with Scratch(spark) as scratch:
+        both = scratch.written(batch, "arrivals")  # once: reading it anew would ask the state anew
+        now = both.agg(F.max("arrived")).first()[0]
+        last = carried.agg(F.max("arrived")).first()[0]
+        if now is not None and last is not None and now <= last:
+            raise ValueError(f"the clock went back during batch {batch_id}; start again")
+        rows = both.where("first is null").drop("first", "arrived")
+        known = both.where("first is not null").select("first", F.col("task_id").alias("__o_task_id"))
+        held = rows.join(known, same_keys(rows, known, ["task_id"], "__o_"))
+        mine = (F.col("digest") == F.col("first.digest")) & F.col("completion_us").eqNullSafe(F.col("first.completion_us"))
+        applied = held.where(mine & (F.col("first.arrived") == F.lit(now))).select(*rows.columns, F.lit("applied").alias("status")).dropDuplicates(["task_id"])
+        conflict = held.where(F.col("digest") != F.col("first.digest")).select(*rows.columns, F.lit("conflict").alias("status"))
+        placed = positions(applied.unionByName(conflict), ["workflow"], ["completion_us", "task_id", "digest"], F.col("status") == "applied", write=scratch.written)
+        placed = placed.join(F.broadcast(base), "workflow", "left").fillna({"base": 0})
+        out = placed.withColumn("seq", F.when(F.col("status") == "applied", F.col("base") + F.col("place") + 1)).drop("base", "place")
+        out.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
     done = spark.read.schema(_APPLIED).parquet(f"{root}/batch={batch_id}")
     if strict:
         changed = done.where("status = 'conflict'").select("task_id").take(1)
         if changed:
             remove(spark, f"{root}/batch={batch_id}")
             raise ValueError(f"the outcome of {changed[0].task_id} has changed")
-    last = done.where("seq is not null").select("workflow", F.col("seq").alias("base")).unionByName(base).groupBy("workflow").agg(F.max("base").alias("base"))
-    last.write.mode("overwrite").parquet(f"{root}-state/batch={batch_id}")
+    ends = done.where("seq is not null").select("workflow", F.col("seq").alias("base")).unionByName(base).groupBy("workflow").agg(F.max("base").alias("base"))
+    ends.withColumn("arrived", F.lit(last if now is None else now).cast("long")).write.mode("overwrite").parquet(f"{root}-state/batch={batch_id}")
 
 
 def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, strict: bool = False) -> StreamingQuery:
@@ -86,19 +75,22 @@ def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, strict
 
     Applied outcomes get a sequence per workflow without gaps; the same outcome again is ignored; changed content of a known task
     becomes a row with status ``conflict`` or, if ``strict``, an error that stops the stream before the batch counts. What was
-    applied is keyed state, so a batch costs its own tasks, however many came before. A batch overwrites its own folder, so a
-    rerun is idempotent.
+    applied is keyed state (of each task the smallest arrival, and content within it), so a batch costs its own tasks, however many
+    came before. A batch overwrites its own folder, so a rerun is idempotent.
     """
     rows = route(spark.readStream.schema(OUTCOME).json(source)).where("route <> 'skipped'")
     fields = [f.name for f in rows.schema]
-    rows = rows.withColumn("digest", F.xxhash64(*[F.col(c) for c in sorted(fields) if c != "route"]))
-    kept = T.StructType([*rows.schema.fields, T.StructField("status", T.StringType())])
-    found = rows.groupBy("task_id").transformWithState(_seen(), kept, "append", "none")
+    # A batch's time is logged with it; beyond the last one's, so that a clock that was set back does not turn batches around.
+    last = rows_of(spark, f"{table.rstrip('/')}-state", _STATE).agg(F.max("arrived")).first()[0] or 0
+    arrived = F.greatest(F.unix_micros(F.current_timestamp()), F.lit(last + 1))
+    rows = rows.withColumns({"digest": F.xxhash64(*[F.col(c) for c in sorted(fields) if c != "route"]), "arrived": arrived})
+    first = rows.groupBy("task_id").agg(F.min(F.struct("arrived", "completion_us", "digest")).alias("first"))
+    found = rows.unionByName(first, allowMissingColumns=True)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, _ROCKSDB)  # a query keeps the settings that it was started under
     try:
-        return found.writeStream.foreachBatch(lambda b, i: _apply(b, i, table, strict)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return found.writeStream.outputMode("update").foreachBatch(lambda b, i: _apply(b, i, table, strict)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 

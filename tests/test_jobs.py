@@ -299,3 +299,35 @@ def test_leaves_hold_exact_quantiles_and_rows_are_told_where_they_are(spark, mon
     both = M.Ensemble(lambda s: M.QuantileForest(["x"], [], "y", (0.5, 0.9), trees=4, depth=3, seed=s)).fit(rows)
     for model in (both, both.members[0]):
         assert "Exchange" not in model.predict(rows, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outcomes_are_told_apart_by_built_in_state(spark, tmp_path):
+    """Batches of repeated, changed and null contents as brute force takes them in, no call of Python a task, also when the clock was set back."""
+    source, table, at = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "at")
+    source.mkdir()
+    rng, names = np.random.default_rng(4), ("task_id", "workflow", "process", "exit_status", "completion_us", "peak_bytes", "consumed_bytes")
+    known, seq, want = {}, {}, []
+    for b in range(3):
+        rows = [(None if k == 0 else f"t{k}", f"w{k % 3}", "p", 0, None if v == 0 else int(v), int(v), 1) for k, v in zip(rng.integers(0, 40, 60), rng.integers(0, 3, 60))]
+        (source / f"{b}.json").write_text("".join(json.dumps(dict(zip(names, r))) + "\n" for r in rows))
+        query = B.ingest(spark, str(source), table, at)
+        query.awaitTermination()
+        assert [s["operatorName"] for s in query.lastProgress["stateOperators"]] == ["stateStoreSave"]
+        new = []
+        for r in sorted(rows, key=lambda r: (r[4] is not None, r[4] or 0)):
+            if known.setdefault(r[0], (r, b))[0] != r:
+                want.append((r[0], r[5], "conflict", None))
+            elif known[r[0]] == (r, b) and (r[0], b) not in new:
+                new.append((r[0], b))
+        for t, _ in sorted(new, key=lambda n: (known[n[0]][0][4] is not None, known[n[0]][0][4] or 0, n[0] is not None, n[0] or "")):
+            w = known[t][0][1]
+            seq[w] = seq.get(w, 0) + 1
+            want.append((t, known[t][0][5], "applied", seq[w]))
+        state = f"{table}-state/batch={b}"
+        later = spark.createDataFrame(spark.read.parquet(state).withColumn("arrived", F.col("arrived") + 10**12).collect(), "workflow string, base long, arrived long")
+        later.write.mode("overwrite").parquet(state)
+    got = [(r.task_id, r.peak_bytes, r.status, r.seq) for r in B.applied(spark, table).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    late = spark.createDataFrame([(5, None)], "arrived long, first struct<arrived: long, completion_us: long, digest: long>")
+    with pytest.raises(ValueError, match="clock"):
+        B._apply(late, 3, table, False)
