@@ -15,18 +15,18 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, partitions, written
+from ..storage import Scratch, partitions, remove, scratch_path, written
 from .history import same_keys
 from .quantiles import group_quantiles
 
 
-#: Ranges of the target in which a leaf's rows are counted, and how many places are counted at once.
-RANGES, AT_ONCE = 1024, 1 << 22
+#: Ranges of the target in which a leaf's rows are counted (at least LEAST_RANGES), and how many places are counted at once.
+RANGES, LEAST_RANGES, AT_ONCE = 1024, 16, 1 << 22
 
 
 def _cells(batch: pa.RecordBatch, leaves: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +64,18 @@ def _within(wanted: np.ndarray, leaves: int, edges: np.ndarray):
     return run
 
 
-def _leaf_quantiles(reached: DataFrame, trees: int, leaves: int, quantiles: Sequence[float]) -> DataFrame:
+def _leaf_quantiles(reached: DataFrame, trees: int, leaves: int, quantiles: Sequence[float], groups: int = 1) -> DataFrame:
     """``tree``, ``leaf``, ``at`` (the nearest-rank quantiles of ``__y`` over the rows that reach the leaf) and ``rows``; ``__leaf`` holds each row's leaves.
 
-    Exact, in two passes: tasks count their rows by leaf and range of the target, which tells in which range an asked rank lies; only
+    With ``groups``, leaves of group g lie ``g * trees * leaves`` further and trees are numbered on, group by group. Exact, in two passes: tasks count their rows by leaf and range of the target, which tells in which range an asked rank lies; only
     values of these ranges are shuffled. Places on the driver are bounded by trees, leaves and ranges, whatever the input.
     """
-    edges = reached.agg(F.percentile_approx("__y", [i / RANGES for i in range(1, RANGES)], 10000)).first()[0]
+    nodes = groups * trees * leaves
+    ranges = min(RANGES, max(LEAST_RANGES, AT_ONCE // nodes))
+    edges = reached.agg(F.percentile_approx("__y", [i / ranges for i in range(1, ranges)], 10000)).first()[0]
     edges = np.unique(np.array(edges or [], np.float64))
     width = len(edges) + 1
-    cells = trees * leaves * width
+    cells = nodes * width
     short = reached.select("__y", "__leaf")
     counts = short.mapInArrow(_counted(cells, leaves, edges), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     node = F.floor(F.col("cell") / width)
@@ -91,6 +93,73 @@ def _leaf_quantiles(reached: DataFrame, trees: int, leaves: int, quantiles: Sequ
     return found.groupBy("node", "rows").agg(at.alias("at")).select(F.floor(F.col("node") / leaves).cast("int").alias("tree"), F.col("node") % leaves, "at", "rows").toDF("tree", "leaf", "at", "rows")
 
 
+@dataclass(frozen=True)
+class Walk:
+    """Trees as arrays of nodes, a row a tree: ``feature`` is at most ``threshold`` to the left; a leaf leads to itself."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    leaf: np.ndarray
+    depth: int
+
+    @staticmethod
+    def of(model, spark) -> Walk:
+        """Of an MLlib forest, whose leaves are numbered from left to right as its ``leafCol`` does."""
+        path = scratch_path(spark, "forest")
+        model.write().save(path)
+        nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()  # at most trees * 2**(depth + 1)
+        remove(spark, path)
+        shape = (model.getNumTrees, max(r.id for r in nodes) + 1)
+        feature, leaf, threshold = np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.zeros(shape)
+        left = np.tile(np.arange(shape[1], dtype=np.int32), (shape[0], 1))
+        right, seen = left.copy(), [0] * shape[0]
+        for r in nodes:  # a node before its children, the left ones first
+            t, i = r.treeID, r.id
+            if r.leftChild < 0:
+                leaf[t, i] = seen[t]
+                seen[t] += 1
+                continue
+            feature[t, i], ends = r.split.featureIndex, (r.leftChild, r.rightChild)
+            values = list(r.split.leftCategoriesOrThreshold)
+            if r.split.numCategories != -1:  # a feature that is 0 or 1
+                threshold[t, i], ends = 0.5, ends if values == [0.0] else ends[::-1]
+            else:
+                threshold[t, i] = values[0]
+            left[t, i], right[t, i] = ends
+        return Walk(feature, threshold, left, right, leaf, max(t.depth for t in model.trees))
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        """Trees, and the most leaves that one has."""
+        return len(self.leaf), int(self.leaf.max()) + 1
+
+    def leaves(self, features: pa.Array) -> np.ndarray:
+        """The leaf of each row (a list of features) in each tree."""
+        x = np.asarray(features.flatten())
+        start = np.arange(len(features)) * (len(x) // max(len(features), 1))
+        out = np.empty((len(features), len(self.leaf)), np.int32)
+        for t in range(len(self.leaf)):
+            at = np.zeros(len(features), np.int32)
+            for _ in range(self.depth):
+                at = np.where(x[start + self.feature[t][at]] <= self.threshold[t][at], self.left[t][at], self.right[t][at])
+            out[:, t] = self.leaf[t][at]
+        return out
+
+
+def _most_groups(trees: int, leaves: int) -> int:
+    """How many groups' leaves are counted, and held by a task, beside each other."""
+    return AT_ONCE // (LEAST_RANGES * trees * leaves)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """Rows as lists, NaN as null."""
+    flat = values.ravel()
+    nothing = np.isnan(flat) if flat.dtype.kind == "f" else None
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(flat, mask=nothing))
+
+
 @dataclass
 class QuantileForest:
     """Quantiles of ``target`` given numeric and categorical columns, on a log scale.
@@ -113,39 +182,75 @@ class QuantileForest:
     leaves: DataFrame | None = None
     local: DataFrame | None = None
     modes: dict[str, str] = field(default_factory=dict)
+    walk: Walk | None = None
 
     def _ready(self, rows: DataFrame) -> DataFrame:
         flags = {f"__no_{c}": F.col(c).isNull().cast("double") for c in self.numeric}
         return rows.withColumns(flags | {f"__x_{c}": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in self.numeric} | {f"__c_{c}": F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c, "unknown"))) for c in self.categorical})
 
-    def fit(self, rows: DataFrame) -> "QuantileForest":
+    def _features(self, stages: Sequence) -> Column:
+        """What the fitted ``stages`` make of a row that is ready, as an array."""
+        fill = stages[0].surrogateDF.first()
+        x = [F.when(F.col(f"__x_{n}").isNull() | F.isnan(f"__x_{n}"), F.lit(fill[f"__x_{n}"])).otherwise(F.col(f"__x_{n}")) for n in self.numeric]
+        x += [F.col(f"__no_{n}") for n in self.numeric]
+        for n, labels in zip(self.categorical, stages[1].labelsArray if self.categorical else ()):
+            x += [(F.col(f"__c_{n}") == v).cast("double") for v in labels] + [(~F.col(f"__c_{n}").isin(*labels)).cast("double")]
+        return F.array(*x)
+
+    def fit(self, rows: DataFrame, dealt: bool = False) -> "QuantileForest":
+        """``dealt`` tells that ``rows`` are read from a table over all partitions."""
         x, c = [f"__x_{n}" for n in self.numeric], [f"__c_{n}" for n in self.categorical]
         stages = [Imputer(strategy="median", inputCols=x, outputCols=[f"{n}_f" for n in x])]
         if c:
             stages += [StringIndexer(inputCols=c, outputCols=[f"{n}_i" for n in c], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{n}_i" for n in c], outputCols=[f"{n}_v" for n in c], handleInvalid="keep")]
-        stages += [
-            VectorAssembler(inputCols=[f"{n}_f" for n in x] + [f"__no_{n}" for n in self.numeric] + [f"{n}_v" for n in c], outputCol="__features"),
-            RandomForestRegressor(featuresCol="__features", labelCol="__y", predictionCol="__mean", leafCol="__leaf", numTrees=self.trees, maxDepth=self.depth, seed=self.seed, maxBins=64),
-        ]
-        with Scratch(rows.sparkSession) as scratch:
-            # columns of the fit only, dealt over all partitions: it reads them many times
-            short = rows.select(*dict.fromkeys([*self.numeric, *self.categorical, *self.by, self.target])).repartition(partitions(rows.sparkSession))
-            short = scratch.written(short, "train")
+        stages += [VectorAssembler(inputCols=[f"{n}_f" for n in x] + [f"__no_{n}" for n in self.numeric] + [f"{n}_v" for n in c], outputCol="__features")]
+        forest = RandomForestRegressor(featuresCol="__features", labelCol="__y", predictionCol="__mean", leafCol="__leaf", numTrees=self.trees, maxDepth=self.depth, seed=self.seed, maxBins=64)
+        spark = rows.sparkSession
+        with Scratch(spark) as scratch:
+            # columns of the fit only: it reads them many times
+            short = rows.select(*dict.fromkeys([*self.numeric, *self.categorical, *self.by, self.target]))
+            short = short if dealt else scratch.written(short.repartition(partitions(spark)), "train")
             for n in self.categorical:  # a missing category is the most frequent one, ties to the first
                 counts = short.where(F.col(n).isNotNull()).groupBy(F.col(n).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").first()
                 self.modes[n] = counts.v if counts else "unknown"
             train = self._ready(short.where(F.col(self.target) >= 0)).withColumn("__y", F.log1p(F.col(self.target).cast("double")))
-            self.model = Pipeline(stages=stages).fit(train)
-            reached = scratch.written(self.model.transform(train).select("__y", *self.by, vector_to_array("__leaf").cast("array<long>").alias("__leaf")), "reached")
-            grown = self.model.stages[-1].trees
-            self.leaves = written(_leaf_quantiles(reached, len(grown), max((t.numNodes + 1) // 2 for t in grown), self.quantiles), "leaves")
+            ready = Pipeline(stages=stages).fit(train)
+            # features once, by plain expressions: the forest reads them several times, and leaves are found in them
+            made = scratch.written(train.select("__y", *self.by, self._features(ready.stages).alias("__f")), "features")
+            names = ready.transform(train).schema["__features"].metadata
+            grown = forest.fit(made.select("__y", array_to_vector("__f").alias("__features", metadata=names)))
+            self.model, self.walk = PipelineModel([*ready.stages, grown]), Walk.of(grown, spark)
+            walk, (trees, leaves) = self.walk, self.walk.shape
+
+            @F.arrow_udf("array<int>")
+            def reach(features: pa.Array) -> pa.Array:
+                return _lists(walk.leaves(features))
+
+            reached = scratch.written(made.select("__y", *self.by, reach("__f").alias("__leaf")), "reached")
+            self.leaves = written(_leaf_quantiles(reached, trees, leaves, self.quantiles), "leaves")
             if self.by:
-                # mergeable sketches: a leaf may hold a large share of a group's rows
-                held = [F.percentile_approx("__y", [float(q) for q in self.quantiles], 10000).alias("at"), F.count("*").alias("rows")]
-                each = reached.select("__y", *self.by, F.posexplode("__leaf").alias("tree", "leaf"))
-                self.local = written(each.groupBy(*self.by, "tree", "leaf").agg(*held).where(F.col("rows") >= self.least), "leaves")
+                self.local = written(self._by_group(reached, trees, leaves, scratch), "leaves")
         return self
 
+    def _by_group(self, reached: DataFrame, trees: int, leaves: int, scratch: Scratch) -> DataFrame:
+        """``by``, ``tree``, ``leaf``, ``at`` and ``rows`` of groups with at least ``least`` rows in a leaf."""
+        most = _most_groups(trees, leaves)
+        groups = reached.select(*self.by).distinct().limit(most + 1).collect()
+        if len(groups) > most:
+            # mergeable sketches: a leaf may hold a large share of a group's rows
+            held = [F.percentile_approx("__y", [float(q) for q in self.quantiles], 10000).alias("at"), F.count("*").alias("rows")]
+            each = reached.select("__y", *self.by, F.posexplode("__leaf").alias("tree", "leaf"))
+            return each.groupBy(*self.by, "tree", "leaf").agg(*held).where(F.col("rows") >= self.least)
+        # few groups: a group's trees are counted like further trees
+        types = reached.select(*self.by).schema
+        codes = scratch.written(reached.sparkSession.createDataFrame([(*g, i) for i, g in enumerate(groups)], types.add("__code", "integer")).coalesce(1), "groups")
+        known = codes.select("__code", *[F.col(c).alias("__o_" + c) for c in self.by])
+        mine = reached.join(F.broadcast(known), same_keys(reached, known, self.by, "__o_"))
+        mine = mine.select("__y", F.transform("__leaf", lambda v: v + F.col("__code") * trees * leaves).alias("__leaf"))
+        found = _leaf_quantiles(mine, trees, leaves, self.quantiles, max(len(groups), 1)).where(F.col("rows") >= self.least)
+        found = found.withColumn("__code", F.floor(F.col("tree") / trees).cast("int")).withColumn("tree", F.col("tree") % trees)
+        return found.join(F.broadcast(codes), "__code").select(*self.by, "tree", "leaf", "at", "rows")
+
     @property
     def names(self) -> list[str]:
         return [f"q{q * 100:g}".replace(".", "_") for q in self.quantiles]
@@ -153,30 +258,49 @@ class QuantileForest:
     def told(self, rows: DataFrame, name: str) -> DataFrame:
         """``rows`` with ``name``, an array of the medians over trees for all quantiles, on the log scale; found row by row."""
         known = self.leaves.select("tree", "leaf", "at").collect()  # at most trees * 2**depth
-        grown = self.model.stages[-1].trees
-        trees = len(grown)
-        at = np.full((trees, max((t.numNodes + 1) // 2 for t in grown), len(self.quantiles)), np.nan)
+        walk = self._walked()
+        trees, leaves = walk.shape
+        at = np.full((1, trees, leaves, len(self.quantiles)), np.nan)
         for r in known:
-            at[r.tree, r.leaf] = r.at
+            at[0, r.tree, r.leaf] = r.at
+        ready, code = self._ready(rows), F.lit(0)
+        if self.local is not None:
+            own = self.local.collect()  # of the groups that ``_few`` lets through
+            groups = {g: i + 1 for i, g in enumerate(dict.fromkeys(tuple(r[c] for c in self.by) for r in own))}
+            at = np.repeat(at, len(groups) + 1, axis=0)
+            for r in own:
+                at[groups[tuple(r[c] for c in self.by)], r.tree, r.leaf] = r.at
+            if groups:
+                codes = rows.sparkSession.createDataFrame([(*g, i) for g, i in groups.items()], self.local.select(*[F.col(c).alias("__o_" + c) for c in self.by]).schema.add("__code", "integer"))
+                ready = ready.join(F.broadcast(codes), reduce(lambda a, b: a & b, [ready[c] == codes[f"__o_{c}"] for c in self.by]), "left")  # a null is in no group
+                code = F.coalesce("__code", F.lit(0))
 
         @F.arrow_udf("array<double>")
-        def middle(leaf: pa.Array) -> pa.Array:
-            place = np.asarray(leaf.flatten()).reshape(len(leaf), -1).astype(np.int64)
-            got = at[np.arange(trees), place]
-            got = np.nanmedian(got, axis=1) if np.isnan(got).any() else np.median(got, axis=1)
-            ends = pa.array(np.arange(len(got) + 1) * got.shape[1], pa.int32())
-            return pa.ListArray.from_arrays(ends, pa.array(got.ravel(), mask=np.isnan(got.ravel())))
+        def middle(features: pa.Array, code: pa.Array) -> pa.Array:
+            got = at[np.asarray(code)[:, None], np.arange(trees), walk.leaves(features)]
+            return _lists(np.nanmedian(got, axis=1) if np.isnan(got).any() else np.median(got, axis=1))
 
-        return self.model.transform(self._ready(rows)).select(*rows.columns, middle(vector_to_array("__leaf")).alias(name))
+        return ready.select(*rows.columns, middle(self._features(self.model.stages), code).alias(name))
 
     def rising(self, name: str) -> list[Column]:
         """The quantiles that the array ``name`` holds, never falling."""
         plain = [F.expm1(F.col(name)[i]) for i in range(len(self.quantiles))]
         return [(F.greatest(*plain[: i + 1]) if i else plain[0]).alias(n) for i, n in enumerate(self.names)]
 
+    def _few(self) -> bool:
+        """Whether the leaves of groups are few enough for a task to hold them all."""
+        if self.local is None:
+            return True
+        most = _most_groups(*self._walked().shape)
+        return self.local.select(*self.by).distinct().limit(most + 1).count() <= most
+
+    def _walked(self) -> Walk:
+        self.walk = self.walk or Walk.of(self.model.stages[-1], self.leaves.sparkSession)
+        return self.walk
+
     def predict(self, rows: DataFrame, key: str) -> DataFrame:
         """``key`` and a column q<percent> for each quantile: the median over trees, never falling."""
-        if self.local is None:
+        if self._few():
             return self.told(rows, "__told").select(key, *self.rising("__told"))
         reached = self.model.transform(self._ready(rows)).select(key, *self.by, F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"))
         own = self.local.select(*self.by, "tree", "leaf", F.col("at").alias("own"))
@@ -184,6 +308,12 @@ class QuantileForest:
         out = found.groupBy(key).agg(*[F.median(F.col("at")[i]).alias(f"__{i}") for i in range(len(self.quantiles))])
         return out.select(key, F.array(*[f"__{i}" for i in range(len(self.quantiles))]).alias("__told")).select(key, *self.rising("__told"))
 
+    def added(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """``rows`` with the prediction of the first quantile as ``name``; without a join if leaves of groups are few."""
+        if self._few():
+            return self.told(rows, "__told").withColumn(name, self.rising("__told")[0]).drop("__told")
+        return rows.join(self.predict(rows, key).select(key, F.col(self.names[0]).alias(name)), key)
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         self.leaves.sparkSession.createDataFrame(list(self.modes.items()), "c string, v string").coalesce(1).write.mode("overwrite").parquet(f"{path}/modes")
@@ -206,8 +336,10 @@ class Ensemble:
     seeds: Sequence[int] = (1996, 1997, 1998)
     members: list[QuantileForest] = field(default_factory=list)
 
-    def fit(self, rows: DataFrame) -> "Ensemble":
-        self.members = [self.make(s).fit(rows) for s in self.seeds]
+    def fit(self, rows: DataFrame, dealt: bool = False) -> "Ensemble":
+        """The members read the same table; ``dealt`` tells that ``rows`` are one over all partitions."""
+        rows = rows if dealt else _dealt(rows)
+        self.members = [self.make(s).fit(rows, dealt=True) for s in self.seeds]
         return self
 
     def predict(self, rows: DataFrame, key: str) -> DataFrame:
@@ -270,6 +402,11 @@ class GroupQuantiles:
         return self
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table over all partitions, for several fits: what made them is done once."""
+    return written(rows.repartition(partitions(rows.sparkSession)), "rows")
+
+
 def feature_view(view: str, parts: Mapping[str, Sequence[str]], labels: Sequence[str]) -> list[str]:
     """Columns of a view such as ``A+P``: those of each of its ``parts``, in order. A label among them is an error."""
     unknown = [p for p in view.split("+") if p not in parts]
@@ -284,7 +421,8 @@ def feature_view(view: str, parts: Mapping[str, Sequence[str]], labels: Sequence
 
 def out_of_fold(make: Callable[[], QuantileForest], rows: DataFrame, key: str, fold: Column, folds: int) -> DataFrame:
     """Predictions for all ``rows``, each from a fit on the other folds (0 to ``folds`` - 1)."""
-    parts = [make().fit(rows.where(fold != i)).predict(rows.where(fold == i), key) for i in range(folds)]
+    rows = _dealt(rows)
+    parts = [make().fit(rows.where(fold != i), dealt=True).predict(rows.where(fold == i), key) for i in range(folds)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -293,14 +431,15 @@ def derived_memory(rows: DataFrame, key: str, numeric: Sequence[str], categorica
 
     Both are learned from rows whose consumption is known and predicted for all.
     """
+    rows = _dealt(rows)
     known = rows.where(F.col(consumed) > 0).withColumn("__ratio", F.col(peak) / F.col(consumed) * 1e6)
     make = lambda target: QuantileForest(numeric, categorical, target, (0.5,), **forest)
     parts = []
     for i in range(folds):
         train, test = known.where(fold != i), rows.where(fold == i)
-        c = make(consumed).fit(train).predict(test, key).withColumnRenamed("q50", "c_hat")
-        parts.append(c.join(make("__ratio").fit(train).predict(test, key).withColumnRenamed("q50", "ratio"), key))
-    return reduce(DataFrame.unionByName, parts).select(key, "c_hat", (F.col("c_hat") * F.col("ratio") / 1e6).alias("derived"))
+        c, ratio = make(consumed).fit(train, dealt=True), make("__ratio").fit(train, dealt=True)
+        parts.append(ratio.added(c.added(test, key, "c_hat"), key, "__m").select(key, "c_hat", (F.col("c_hat") * F.col("__m") / 1e6).alias("derived")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cold_start(rows: DataFrame, key: str, workflow: str, make: Callable[[], QuantileForest], peak: str, multiplier: float = 1.0, folds: int = 50) -> DataFrame:
@@ -317,11 +456,11 @@ def cold_start(rows: DataFrame, key: str, workflow: str, make: Callable[[], Quan
     else:
         found = spark.createDataFrame([(r[0], i) for i, r in enumerate(order)], f"{workflow} string, __fold int")
         rows, count = rows.join(F.broadcast(found), workflow), len(order)  # at most ``folds`` rows
-    parts = []
+    parts, rows = [], _dealt(rows) if count > 1 else rows
     for i in range(count if count > 1 else 0):
         others = rows.where(F.col("__fold") != i)
         p95 = others.agg(F.percentile_approx(peak, 0.95, 10000)).first()[0]
-        got = make().fit(others).predict(rows.where(F.col("__fold") == i), key)
+        got = make().fit(others, dealt=True).predict(rows.where(F.col("__fold") == i), key)
         floor = F.sqrt(F.greatest(F.col("q99"), F.lit(1.0)) * F.lit(float(max(p95 or 1, 1))))
         parts.append(got.select(key, "q95", "q99", floor.alias("floor"), F.ceil(F.greatest(F.col("q95") * multiplier, floor, F.lit(1.0))).alias("request")))
     return reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], f"{key} long, q95 double, q99 double, floor double, request long")
@@ -356,9 +495,9 @@ def replay(tasks: DataFrame, key: str, batch: str, batches: int, labels: Sequenc
     A batch's decisions are made without ``labels`` and written before its outcomes are joined. Returns key, batch, request
     and the labels.
     """
-    parts = []
+    parts, tasks = [], _dealt(tasks)
     for i in range(1, batches):
-        model = make().fit(tasks.where(F.col(batch) < i))
+        model = make().fit(tasks.where(F.col(batch) < i), dealt=True)
         blind = tasks.where(F.col(batch) == i).drop(*labels)
         parts.append(written(model.predict(blind, key).select(key, F.lit(i).alias(batch), F.ceil(quantile).alias("request")), "decisions"))
     return reduce(DataFrame.unionByName, parts).join(tasks.select(key, *labels), key)
@@ -371,11 +510,9 @@ def score_views(history: DataFrame, decisions: DataFrame, key: str, views: Mappi
     learns from predictions for history rows too.
     """
     first = list(next(iter(views.values())))
-    model = QuantileForest(first, categorical, consumed, (0.5,), **forest).fit(history.where(F.col(consumed).isNotNull()))
-    known, asked = (df.join(model.predict(df, key).withColumnRenamed("q50", "c_hat"), key) for df in (history, decisions))
-    out = asked.select(key, "c_hat")
-    for name, columns in views.items():
-        fitted = QuantileForest(list(columns), categorical, target, (quantile,), **forest).fit(known)
-        got = fitted.predict(asked, key)
-        out = out.join(got.select(key, F.ceil(F.greatest(got.columns[1], F.lit(1.0))).alias(name)), key)
-    return out
+    history = _dealt(history)
+    model = QuantileForest(first, categorical, consumed, (0.5,), **forest).fit(history.where(F.col(consumed).isNotNull()), dealt=True)
+    known, out = written(model.added(history, key, "c_hat"), "known"), model.added(decisions, key, "c_hat")
+    for i, columns in enumerate(views.values()):
+        out = QuantileForest(list(columns), categorical, target, (quantile,), **forest).fit(known, dealt=True).added(out, key, f"__v{i}")
+    return out.select(key, "c_hat", *[F.ceil(F.greatest(f"__v{i}", F.lit(1.0))).alias(n) for i, n in enumerate(views)])

@@ -31,29 +31,34 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return task_table(spark, sf_dir).withColumn("instance", F.col("task_instance").cast("long"))
 
 
+def _learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the forests read of a task."""
+    return _features(spark, sf_dir).select("task_id", "workflow", "process", "peak_bytes", "consumed_bytes", *feature_view("A+P", PARTS, LABELS))
+
+
 def _forest(**settings) -> QuantileForest:
     return QuantileForest(feature_view("A+P", PARTS, LABELS), ["workflow", "process"], "peak_bytes", **settings)
 
 
 def md03_quantile_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of every task's peak, learned from the other folds: the median of three forests of different seeds."""
-    return out_of_fold(lambda: Ensemble(lambda s: _forest(seed=s, trees=4)), _features(spark, sf_dir), "task_id", _fold(), 5)
+    return out_of_fold(lambda: Ensemble(lambda s: _forest(seed=s, trees=4)), _learned(spark, sf_dir), "task_id", _fold(), 5)
 
 
 def md06_process_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with leaves that know each workflow and process apart."""
-    return out_of_fold(lambda: _forest(by=["workflow", "process"]), _features(spark, sf_dir), "task_id", _fold(), 5)
+    return out_of_fold(lambda: _forest(by=["workflow", "process"]), _learned(spark, sf_dir), "task_id", _fold(), 5)
 
 
 def md07_derived_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted consumption of every task and the memory that follows from it."""
-    return derived_memory(_features(spark, sf_dir), "task_id", feature_view("A+P", PARTS, LABELS), ["workflow", "process"], "consumed_bytes", "peak_bytes", _fold(), 5)
+    return derived_memory(_learned(spark, sf_dir), "task_id", feature_view("A+P", PARTS, LABELS), ["workflow", "process"], "consumed_bytes", "peak_bytes", _fold(), 5)
 
 
 def md17_cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for every task as if its workflow had never run."""
     make = lambda: QuantileForest(feature_view("A+P", PARTS, LABELS), ["process"], "peak_bytes")
-    return cold_start(_features(spark, sf_dir), "task_id", "workflow", make, "peak_bytes")
+    return cold_start(_learned(spark, sf_dir), "task_id", "workflow", make, "peak_bytes")
 
 
 def md20_gate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +71,7 @@ def md20_gate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def md24_three_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The later half of all tasks, by task number, scored by three views that were fitted on the earlier half."""
-    t = _features(spark, sf_dir)
+    t = _learned(spark, sf_dir)
     middle = t.agg(F.min("task_id") + F.floor((F.max("task_id") - F.min("task_id")) / 2)).first()[0] or 0
     views = {"A": feature_view("A", PARTS, LABELS), "AP": feature_view("A+P", PARTS, LABELS), "APC": [*feature_view("A+P", PARTS, LABELS), "c_hat"]}
     later = t.where(F.col("task_id") > middle).drop(*LABELS)
@@ -75,7 +80,7 @@ def md24_three_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st11_batched_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests over the later four of five batches by decision time, each from what was revealed before it."""
-    t = _features(spark, sf_dir)
+    t = _learned(spark, sf_dir)
     ends = t.agg(F.min("decision_us").alias("lo"), F.max("decision_us").alias("hi")).first()
     width = max(1, ((ends.hi or 0) - (ends.lo or 0)) // 5 + 1)
     t = t.withColumn("batch", F.floor((F.col("decision_us") - (ends.lo or 0)) / width).cast("int"))

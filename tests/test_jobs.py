@@ -331,3 +331,55 @@ def test_outcomes_are_told_apart_by_built_in_state(spark, tmp_path):
     late = spark.createDataFrame([(5, None)], "arrived long, first struct<arrived: long, completion_us: long, digest: long>")
     with pytest.raises(ValueError, match="clock"):
         B._apply(late, 3, table, False)
+
+
+def _grouped(spark):
+    rng = np.random.default_rng(6)
+    cells = zip(rng.integers(0, 40, 2000), rng.integers(0, 4, 2000), rng.integers(0, 3, 2000), rng.exponential(5, 2000))
+    rows = [(i, None if x == 7 else int(x), (None, "a", "b", "c")[p], f"g{g}" if g else None, float(y * (1 + g) + x)) for i, (x, p, g, y) in enumerate(cells)]
+    return spark.createDataFrame(rows, "id long, x long, p string, g string, y double")
+
+
+def test_trees_are_walked_as_mllib_does(spark):
+    """Leaves of rows as found by ``leafCol``, with missing and unseen values; and quantiles of a group's rows in them."""
+    df = _grouped(spark)
+    forest = M.QuantileForest(["x"], ["p"], "y", (0.5, 0.9), trees=5, depth=4, by=["g"]).fit(df)
+    asked = df.select("id", "x", "p", "g", "y").unionByName(spark.createDataFrame([(-1, 3, "new", "g9", 1.0), (-2, None, None, None, 1.0)], df.schema))
+    got = forest._ready(asked).select("id", forest._features(forest.model.stages).alias("f")).toPandas()
+    import pyarrow as pa
+
+    mine = dict(zip(got["id"], forest.walk.leaves(pa.array([list(f) for f in got["f"]])).tolist()))
+    theirs = {r.id: [int(v) for v in r["__leaf"]] for r in forest.model.transform(forest._ready(asked)).select("id", "__leaf").collect()}
+    assert mine == theirs and len({tuple(v) for v in mine.values()}) > 9
+    rows, level = {r.id: r for r in asked.collect()}, np.log1p
+    rank = lambda v, q: np.sort(v)[max(int(np.ceil(len(v) * q)), 1) - 1]
+    told = {r.id: (r.q50, r.q90) for r in forest.predict(asked, "id").collect()}
+    assert len(told) == len(rows)
+    for i in [-1, -2, *range(0, 2000, 190)]:
+        each = []
+        for t in range(5):
+            here = [rows[j] for j in range(2000) if mine[j][t] == mine[i][t]]
+            own = [r.y for r in here if r.g == rows[i].g] if rows[i].g else []
+            each.append([rank(level(own if len(own) >= 20 else [r.y for r in here]), q) for q in (0.5, 0.9)])
+        assert np.allclose(told[i], np.expm1(np.median(each, axis=0)))
+
+
+def test_groups_and_views_are_told_without_shuffles(spark, monkeypatch, tmp_path):
+    """Few groups' leaves travel to the rows; of many groups the rows travel, with much the same quantiles. Views are columns, not joins."""
+    df = _grouped(spark)
+    make = lambda: M.QuantileForest(["x"], ["p"], "y", (0.5, 0.9), trees=3, depth=3, by=["g"])
+    forest = make().fit(df)
+    few = forest.predict(df, "id")
+    assert "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    forest.save(str(tmp_path / "f"))
+    monkeypatch.setattr(M, "AT_ONCE", 1)
+    many = make().load(spark, str(tmp_path / "f")).predict(df, "id")
+    assert {r.id: r.q90 for r in many.collect()} == pytest.approx({r.id: r.q90 for r in few.collect()})
+    sketched = make()._by_group.__func__(forest, forest.model.transform(forest._ready(df)).select(F.log1p("y").alias("__y"), "g", M.vector_to_array("__leaf").cast("array<int>").alias("__leaf")), *forest.walk.shape, None)
+    exact = {(r.g, r.tree, r.leaf): (r.rows, *r.at) for r in forest.local.collect()}
+    assert {(r.g, r.tree, r.leaf): (r.rows, *r.at) for r in sketched.collect()} == {k: pytest.approx(v) for k, v in exact.items()}
+    monkeypatch.undo()
+    t = df.withColumn("c", F.when(F.col("id") % 7 != 0, F.col("y") / 2))
+    out = M.score_views(t.where("id < 1000"), t.where("id >= 1000"), "id", {"A": ["x"], "AC": ["x", "c_hat"]}, ["p"], "c", "y", trees=3, depth=3)
+    assert out.columns == ["id", "c_hat", "A", "AC"] and out.count() == 1000
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
