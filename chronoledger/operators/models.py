@@ -379,7 +379,8 @@ class GroupQuantiles:
     def names(self) -> list[str]:
         return [f"q{q * 100:g}".replace(".", "_") for q in self.quantiles]
 
-    def fit(self, rows: DataFrame) -> "GroupQuantiles":
+    def fit(self, rows: DataFrame, dealt: bool = False) -> "GroupQuantiles":
+        """``dealt`` is what a forest is told; grouping needs no dealing."""
         asked = dict(zip(self.names, self.quantiles))
         self.groups = written(group_quantiles(rows, self.by, self.target, **asked).where(F.col("n") >= self.least), "groups")
         self.whole = written(group_quantiles(rows, [], self.target, **asked), "groups")

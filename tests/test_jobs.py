@@ -383,3 +383,17 @@ def test_groups_and_views_are_told_without_shuffles(spark, monkeypatch, tmp_path
     out = M.score_views(t.where("id < 1000"), t.where("id >= 1000"), "id", {"A": ["x"], "AC": ["x", "c_hat"]}, ["p"], "c", "y", trees=3, depth=3)
     assert out.columns == ["id", "c_hat", "A", "AC"] and out.count() == 1000
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_quantiles_of_groups_from_outside_a_fold(spark, by):
+    """Rows of every fold are told what the groups of all other folds tell, and of small groups what all of these rows do."""
+    rng = np.random.default_rng(8)
+    rows = [(i, ("a", "b", None)[i % 3] if i % 50 else "rare", float(x)) for i, x in enumerate(rng.normal(0, 1, 400))]
+    df = spark.createDataFrame(rows, "id long, k string, y double")
+    got = {r.id: (r.q50, r.q90) for r in M.out_of_fold(lambda: M.GroupQuantiles(by, "y", (0.5, 0.9)), df, "id", F.col("id") % 2, 2).collect()}
+    assert len(got) == len(rows)
+    for i, k, _ in rows:
+        others = [r for r in rows if r[0] % 2 != i % 2]
+        own = [r[2] for r in others if r[1] == k or not by]
+        assert np.allclose(got[i], np.quantile(own if len(own) >= 20 else [r[2] for r in others], (0.5, 0.9)))
