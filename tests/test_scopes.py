@@ -376,3 +376,54 @@ def test_draws_are_spread_and_as_before(spark):
     sums = R.bootstrap_sums(df, [], "id", ["x"], 3)
     assert f"RoundRobinPartitioning({partitions(spark)})" in sums._jdf.queryExecution().executedPlan().toString()
     assert {r.rep for r in sums.collect()} == {0, 1, 2}
+
+
+def test_asks_that_end_in_one_bucket_are_spread(spark, monkeypatch):
+    """However many asks have their quantile in the same values, a task takes less than two blocks of them and a bucket of values."""
+    monkeypatch.setattr(H, "WIDTH", 64)
+    within, width = H._within_buckets, H.WIDTH
+
+    def bounded(value, out):
+        run = within(value, out)
+
+        def checked(left, right):
+            if left.num_rows >= 2 * width or right.num_rows > width:
+                raise RuntimeError(f"{left.num_rows} asks and {right.num_rows} values in one task")
+            return run(left, right)
+
+        return checked
+
+    monkeypatch.setattr(H, "_within_buckets", bounded)
+    rows = [("k", 2 * i, i, float(i * 7919 % 1000)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v double")
+    ask = df.select("k", (F.col("t") + 1).alias("at"), F.col("id").alias("ask")).union(df.select("k", (F.col("t") + 1).alias("at"), F.col("id") + 1000))
+    got = {r.ask: (r.support, r.a) for r in H.asof_quantiles(ask, df, ["k"], "at", "t", "id", ["ask"], a=("v", 0.5)).collect()}
+    assert len(got) == 2000
+    for i in range(1000):
+        want = i + 1, sorted(r[3] for r in rows[: i + 1])[(i + 2) // 2 - 1]
+        assert got[i] == got[i + 1000] == want
+
+
+def test_a_summary_of_scopes_sorts_once_and_leaves_no_step(spark):
+    """Counts, quantiles and the last outcome come from one sequence; only what the result reads stays in the shared folder."""
+    from chronoledger.plans import catalog
+
+    before = set(Path(shared_dir(spark)).iterdir())
+    found = catalog.queries()["hs09_scope_summary"](spark, "/root/testdata/sf0.001")
+    left = sorted(p.name.split("-")[0] for p in Path(shared_dir(spark)).iterdir() if p not in before and any(p.glob("*.parquet")))
+    assert left == ["places", "told", "told"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
+
+
+def test_parts_of_outcomes(spark):
+    """An outcome without a time never completed; each part counts its own."""
+    rows = [(i, float(i) if i % 3 else None, float(-i), None if i == 5 else i) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v double, w double, t long").withColumn("k", F.lit(None).cast("string"))
+    ask = spark.range(45).select(F.col("id").alias("at"), F.lit(None).cast("string").alias("k"), F.col("id").alias("ask"))
+    got = {r.ask: r for r in H.asof_parts(ask, df, ["k"], "at", "t", "id", ["ask"], {"all": {"low": ("w", 0.5)}, "some": {"mid": ("v", 0.5)}}, {"odd": F.col("id") % 2 == 1}, "latest").collect()}
+    assert len(got) == 45
+    for i, r in got.items():
+        seen = [o for o in rows if o[3] is not None and o[3] < i]
+        some, every = sorted(o[1] for o in seen if o[1] is not None), sorted(o[2] for o in seen)
+        rank = lambda x: x[max(1, math.ceil(len(x) / 2)) - 1] if x else None
+        assert (r["all"], r["some"], r.odd, r.latest, r.low, r.mid) == (len(every), len(some), sum(o[0] % 2 for o in seen), max((o[3] for o in seen), default=None), rank(every), rank(some))
