@@ -427,3 +427,56 @@ def test_parts_of_outcomes(spark):
         some, every = sorted(o[1] for o in seen if o[1] is not None), sorted(o[2] for o in seen)
         rank = lambda x: x[max(1, math.ceil(len(x) / 2)) - 1] if x else None
         assert (r["all"], r["some"], r.odd, r.latest, r.low, r.mid) == (len(every), len(some), sum(o[0] % 2 for o in seen), max((o[3] for o in seen), default=None), rank(every), rank(some))
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_a_row_meets_only_leaves_that_lie_near(monkeypatch, apart):
+    """Of values that are spread evenly a row is compared with few, though the boxes of whole blocks and runs touch; ties, far values, best k exact."""
+    import pyarrow as pa
+
+    for name, value in (("ROWS", 64), ("COLUMNS", 32), ("LEAVES", 3)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(13)
+    n, k, dims = 6000, 5, 4
+    x = rng.integers(0, 40, (n, dims)) / 8.0
+    x[-3:] *= 1e20
+    side = rng.permutation(n) % (3 if apart else n)
+    ids = pa.array([{"n_id": i} for i in range(n)])
+    run = N._Run(k, apart, pa.schema([("__a", ids.type), ("__near", pa.list_(ids.type)), ("__gaps", pa.list_(pa.float64()))]))
+    asks = np.concatenate((rng.choice(n - 3, 400, replace=False), [n - 1]))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(asks) + 1) * dims, pa.int32()), pa.array(x[asks].ravel()))
+    run.asks = [pa.RecordBatch.from_arrays([pa.array(side[asks]), pa.array(side[asks]), vectors, ids.take(pa.array(asks)), pa.array(np.full(len(asks), None), pa.float64())], ["place", "__side", "__v", "__a", "__reach"])]
+    pairs, compare = [], run._compare
+    monkeypatch.setattr(run, "_compare", lambda part, rows, right, *rest: (pairs.append(len(rows) * right.shape[1]), compare(part, rows, right, *rest)))
+    place = np.arange(n) if apart else side
+    packs = []
+    for lo in range(0, n, 1500):
+        cut = slice(lo, lo + 1500)
+        table = pa.table({"place": pa.array(place[cut]), "__side": pa.array(side[cut]), N._ROW: ids[lo : lo + 1500], **{f"v{i}": pa.array(x[cut, i]) for i in range(dims)}}).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as to:
+            to.write_table(table)
+        packs.append(sink.getvalue().to_pybytes())
+    for pack in packs:
+        run.meet(pa.array([pack], pa.binary()))
+    got = {a["n_id"]: ([z["n_id"] for z in near], gaps) for b in run.told() for a, near, gaps in zip(*(b[c].to_pylist() for c in ("__a", "__near", "__gaps")))}
+    for i in asks.tolist():
+        may = np.flatnonzero(side != side[i] if apart else side < side[i])
+        gap = np.sqrt(((x[may] - x[i]) ** 2).sum(1) / dims).round(9)
+        best = np.lexsort((place[may], gap))[:k]
+        assert got.get(i, ([], [])) == (may[best].tolist(), gap[best].tolist())
+    assert sum(pairs) < 0.35 * n * len(asks)
+
+
+def test_runs_take_turns(spark, points, monkeypatch):
+    """Where runs meet more blocks than are shuffled at once, each turn's lists are written, and only what is wanted of them."""
+    for name, value in (("RUN", 20), ("TURN", 2)):
+        monkeypatch.setattr(N, name, value)
+    rows = points[:400] + points[-6:]
+    before = set(Path(shared_dir(spark)).iterdir())
+    found = N.nearest_lists(frame(spark, rows), ["c"], ["t", "id"], DIMS, 5, ["id"], ["id"], block=64, apart=F.col("id") % 3, finish=lambda lists: lists.select("id", F.transform("near", lambda r: r["n_id"]).alias("ids")))
+    got = {r.id: r.ids for r in found.collect()}
+    want = brute(rows, 5, lambda i, j, r, o: r[2] % 3 != o[2] % 3)
+    assert got == {i: [a for a, _ in x] for i, x in want.items() if x}
+    lists = [p for p in Path(shared_dir(spark)).iterdir() if p not in before and p.name.startswith("lists-")]
+    assert len(lists) > 1 and all(spark.read.parquet(str(p)).columns == ["id", "ids"] for p in lists)
