@@ -480,3 +480,27 @@ def test_runs_take_turns(spark, points, monkeypatch):
     assert got == {i: [a for a, _ in x] for i, x in want.items() if x}
     lists = [p for p in Path(shared_dir(spark)).iterdir() if p not in before and p.name.startswith("lists-")]
     assert len(lists) > 1 and all(spark.read.parquet(str(p)).columns == ["id", "ids"] for p in lists)
+
+
+@pytest.mark.parametrize("missed", [False, True])
+def test_scales_are_found_without_a_sort_of_all_rows(spark, monkeypatch, missed):
+    """Quantiles of columns are those of a sort, also where the sketch says nothing; only distinct values near them are sorted."""
+    from chronoledger.operators import quantiles as Q
+
+    rng = np.random.default_rng(14)
+    rows = [(float(a), float(i % 3) if i % 5 else None, None, math.nan if i % 7 == 0 else float(b)) for i, (a, b) in enumerate(rng.normal(0, 9, (30000, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    sorted_rows = []
+
+    def write(table, name):
+        sorted_rows.append(table.cache().count())
+        return table
+
+    if missed:
+        monkeypatch.setattr(Q, "STEPS", -3)
+    got = Q.column_quantiles(df, list("abcd"), [0.25, 0.5, 0.999], write)
+    assert set(got) == set("abd")
+    for i, c in enumerate("abcd"):
+        x = [r[i] for r in rows if r[i] is not None and not math.isnan(r[i])]
+        assert not x or np.allclose(got[c], np.quantile(x, (0.25, 0.5, 0.999)), rtol=1e-12, atol=0)
+    assert missed or sum(sorted_rows) < 400
