@@ -504,3 +504,23 @@ def test_scales_are_found_without_a_sort_of_all_rows(spark, monkeypatch, missed)
         x = [r[i] for r in rows if r[i] is not None and not math.isnan(r[i])]
         assert not x or np.allclose(got[c], np.quantile(x, (0.25, 0.5, 0.999)), rtol=1e-12, atol=0)
     assert missed or sum(sorted_rows) < 400
+
+
+@pytest.mark.parametrize("sigmas", [3.5, 0.01])
+def test_few_rows_of_a_draw_are_shuffled(spark, monkeypatch, sigmas):
+    """Only rows near where a draw should end leave their block; draws that end elsewhere are made again until all are whole."""
+    monkeypatch.setattr(R, "RANKS", 1024)
+    monkeypatch.setattr(R, "SIGMAS", sigmas)
+    n, reps = 6000, 9
+    df = spark.range(n).select(F.lit("a").alias("k"), F.col("id").cast("string").alias("unit"), (F.col("id") * 31 % 97).alias("v"), (F.col("id") % 2).cast("int").alias("level"), F.col("id").alias("rank"))
+    asks = [("a", 0, 0, 1500), ("a", 1, 1, 900), ("a", 2, 0, n), ("a", 3, 0, 0), ("a", 4, 5, 8)]
+    before = set(Path(shared_dir(spark)).iterdir())
+    got = {(r.rep, r.draw): (r.audited, r.total) for r in R.repeated_lowest(df, ["k"], "unit", "v", "level", "rank", spark.createDataFrame(asks, "k string, draw int, above int, wanted long"), reps).collect()}
+    assert len(got) == reps * len(asks)
+    for rep in range(reps):
+        order = sorted(zip(R.keyed_numbers(rep, [str(i).encode() for i in range(n)]).tolist(), map(str, range(n)), range(n)))
+        for _, draw, above, wanted in asks:
+            some = [i for _, _, i in order if i % 2 >= above][:wanted]
+            assert got[rep, draw] == (len(some), sum(i * 31 % 97 for i in some))
+    passes = [p for p in Path(shared_dir(spark)).iterdir() if p not in before and p.name.startswith("ends-")]
+    assert len(passes) > 1 if sigmas < 1 else len(passes) < 3
